@@ -47,8 +47,8 @@ def matryoshka(spark, d):
     return shown(sweep.withColumn("dim", F.col("dim").cast("bigint")), "dim")
 
 
-@query("embedding_variant_compare", f"""SELECT query_id, round(count(b.rank) / 10.0::DOUBLE, 6) AS overlap, round(avg(abs(a.rank - b.rank)), 6) AS mean_rank_shift
-  FROM ({sql_dense('vecs', 'centroids', 10)}) a LEFT JOIN ({sql_dense('vecs', 'centroids', 10, '32')}) b USING (query_id, doc_id) GROUP BY 1""", ("vecs", "centroids"))
+@query("embedding_variant_compare", f"""WITH a AS MATERIALIZED ({sql_dense('vecs', 'centroids', 10)}), b AS MATERIALIZED ({sql_dense('vecs', 'centroids', 10, '32')})
+  SELECT query_id, round(count(b.rank) / 10.0::DOUBLE, 6) AS overlap, round(avg(abs(a.rank - b.rank)), 6) AS mean_rank_shift FROM a LEFT JOIN b USING (query_id, doc_id) GROUP BY 1""", ("vecs", "centroids"))
 def variant_compare(spark, d):
     docs, queries = t.vectors(spark, d), t.centroids(spark, d)
     half = lambda df: df.withColumn("vec", F.slice("vec", 1, 32))

@@ -213,7 +213,8 @@ def pool_metrics(scores: DataFrame, pool: DataFrame, gains: DataFrame, ks: Seque
 def spearman_by(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank correlation with average ranks; 0 when a side has no variance."""
     ranked = mid_ranks(mid_ranks(df.select(*by, a, b), a, by, "ra"), b, by, "rb")
-    value = F.when((F.stddev_pop("ra") == 0) | (F.stddev_pop("rb") == 0), F.lit(0.0)).otherwise(F.corr("ra", "rb"))
+    spread = F.stddev_pop("ra") * F.stddev_pop("rb")
+    value = F.coalesce(F.covar_pop("ra", "rb") / F.nullif(spread, F.lit(0.0)), F.lit(0.0))
     aggs = [F.count(F.lit(1)).alias("n"), value.alias("spearman")]
     return ranked.groupBy(*by).agg(*aggs) if by else ranked.agg(*aggs)
 
