@@ -3,16 +3,16 @@
 from pyspark.sql import functions as F
 
 from ranklab.catalog import tables as t
-from ranklab.catalog.registry import query
+from ranklab.catalog.registry import query, shown6
 from ranklab.operators import tags as tg
 from ranklab.operators.bm25 import bm25_rank, okapi_idf, text_index
 from ranklab.operators.dense import dense_rank, embedding_variant_compare, matryoshka_sweep
 
-ROUND = "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM "
+ROUND = "SELECT query_id, doc_id, round(score + 2.5e-10, 6) + 0.0 AS score, rank FROM "
 
 
 def shown(df, *extra):
-    return df.select(*extra, "query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return df.select(*extra, "query_id", "doc_id", shown6("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("bm25_baseline", ROUND + "plain_bm25", ("plain_bm25",))
@@ -41,7 +41,7 @@ def dense(spark, d):
 
 
 @query("matryoshka_truncate", " UNION ALL ".join(
-    f"SELECT {n}::BIGINT AS dim, query_id, doc_id, round(score, 6) AS score, rank FROM ({sql_dense('vecs', 'centroids', 20, n)})" for n in (64, 32, 16, 8)), ("vecs", "centroids"))
+    f"SELECT {n}::BIGINT AS dim, query_id, doc_id, round(score + 2.5e-10, 6) + 0.0 AS score, rank FROM ({sql_dense('vecs', 'centroids', 20, n)})" for n in (64, 32, 16, 8)), ("vecs", "centroids"))
 def matryoshka(spark, d):
     sweep = matryoshka_sweep(t.vectors(spark, d), t.centroids(spark, d), (64, 32, 16, 8), 20)
     return shown(sweep.withColumn("dim", F.col("dim").cast("bigint")), "dim")
@@ -67,12 +67,12 @@ def tag_inputs(spark, d):
     return t.customer_tags(spark, d), t.customers(spark, d), t.nation_queries(spark, d)
 
 
-@query("tag_bm25", f"SELECT query_id, doc_id, round(score, 6) AS score, {SQL_RANK} FROM ({SQL_TAG_BM25}) QUALIFY rank <= 50", TAG_NEEDS)
+@query("tag_bm25", f"SELECT query_id, doc_id, round(score + 2.5e-10, 6) + 0.0 AS score, {SQL_RANK} FROM ({SQL_TAG_BM25}) QUALIFY rank <= 50", TAG_NEEDS)
 def tag_bm25(spark, d):
     return shown(tg.tag_rank(*tag_inputs(spark, d), k=50))
 
 
-@query("tag_coverage", f"""SELECT query_id, doc_id, round(score, 6) AS score, {SQL_RANK} FROM (
+@query("tag_coverage", f"""SELECT query_id, doc_id, round(score + 2.5e-10, 6) + 0.0 AS score, {SQL_RANK} FROM (
   SELECT query_id, doc_id, round(count(*)::DOUBLE / n, 9) AS score FROM nation_queries JOIN customer_tags USING (tag_id)
   JOIN (SELECT query_id, count(*) AS n FROM nation_queries WHERE tag_id IN (SELECT tag_id FROM customer_tags) GROUP BY 1) USING (query_id)
   GROUP BY query_id, doc_id, n) QUALIFY rank <= 50""", TAG_NEEDS)
@@ -80,14 +80,14 @@ def tag_coverage(spark, d):
     return shown(tg.tag_rank(*tag_inputs(spark, d), k=50, method="coverage"))
 
 
-@query("tag_idf_overlap", f"""SELECT query_id, doc_id, round(score, 6) AS score, {SQL_RANK} FROM (
+@query("tag_idf_overlap", f"""SELECT query_id, doc_id, round(score + 2.5e-10, 6) + 0.0 AS score, {SQL_RANK} FROM (
   SELECT query_id, doc_id, round(sum(idf), 9) AS score FROM nation_queries JOIN tag_idf USING (tag_id) JOIN customer_tags USING (tag_id)
   GROUP BY 1, 2) QUALIFY rank <= 50""", TAG_NEEDS)
 def tag_idf_overlap(spark, d):
     return shown(tg.tag_rank(*tag_inputs(spark, d), k=50, method="idf_overlap"))
 
 
-@query("tag_sum_levels", f"""SELECT query_id, doc_id, round(score, 6) AS score, {SQL_RANK} FROM (
+@query("tag_sum_levels", f"""SELECT query_id, doc_id, round(score + 2.5e-10, 6) + 0.0 AS score, {SQL_RANK} FROM (
   SELECT query_id, doc_id, round(sum(level)::DOUBLE, 9) AS score FROM nation_queries JOIN customer_tags USING (tag_id)
   GROUP BY 1, 2) QUALIFY rank <= 50""", TAG_NEEDS)
 def tag_sum_levels(spark, d):
@@ -120,7 +120,7 @@ SQL_WEIGHTS = """doc_w AS (SELECT doc_id, tag_id, 8.0::DOUBLE - level - {tau} AS
     GROUP BY query_id, doc_id, dn, qn)"""
 
 
-@query("tag_weighted_cosine", "WITH " + SQL_WEIGHTS.format(tau="1.0::DOUBLE") + f" SELECT query_id, doc_id, round(score, 6) AS score, {SQL_RANK} FROM wcos QUALIFY rank <= 50",
+@query("tag_weighted_cosine", "WITH " + SQL_WEIGHTS.format(tau="1.0::DOUBLE") + f" SELECT query_id, doc_id, round(score + 2.5e-10, 6) + 0.0 AS score, {SQL_RANK} FROM wcos QUALIFY rank <= 50",
        ("customer_tags", "nation_tags"))
 def tag_weighted_cosine(spark, d):
     from ranklab.operators.ordering import rank_list
@@ -138,7 +138,7 @@ def predicted(df, owner):
   s AS (SELECT query_id, doc_id, round(2.2::DOUBLE / (1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) * sum(idf), 9) AS score
     FROM best_q JOIN idf2 USING (tag_id) JOIN best_d USING (tag_id) JOIN (SELECT doc_id, count(*) AS dl FROM best_d GROUP BY 1) USING (doc_id),
       (SELECT (SELECT count(*) FROM best_d)::DOUBLE / count(*) AS avgdl FROM customer) GROUP BY query_id, doc_id, dl, avgdl)
-  SELECT query_id, doc_id, round(score, 6) AS score, """ + SQL_RANK + " FROM s QUALIFY rank <= 50", ("customer_tags", "nation_tags"))
+  SELECT query_id, doc_id, round(score + 2.5e-10, 6) + 0.0 AS score, """ + SQL_RANK + " FROM s QUALIFY rank <= 50", ("customer_tags", "nation_tags"))
 def tag_channel(spark, d):
     return shown(tg.tag_channel_rank(predicted(doc_weights(spark, d), "doc_id"), predicted(query_weights(spark, d), "query_id"),
                                      t.customers(spark, d), m=10, k=50))

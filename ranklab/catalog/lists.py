@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ranklab.catalog import tables as t
 from ranklab.catalog.channels import shown
-from ranklab.catalog.registry import fragment, query
+from ranklab.catalog.registry import fragment, query, shown9
 from ranklab.operators import fusion as fu
 from ranklab.sources.sinks import ranked_as_lists
 
@@ -33,15 +33,15 @@ def rrf3(spark, d, **kw):
 
 
 def fused_shown(df, *extra):
-    return df.select(*extra, "query_id", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return df.select(*extra, "query_id", "doc_id", shown9("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("rrf_fuse2", "SELECT query_id, doc_id, round(score, 9) AS score, rank FROM rrf2", ("rrf2",))
+@query("rrf_fuse2", "SELECT query_id, doc_id, round(score + 2.5e-13, 9) + 0.0 AS score, rank FROM rrf2", ("rrf2",))
 def rrf_fuse2(spark, d):
     return fused_shown(rrf2(spark, d))
 
 
-@query("rrf_fuse_n", "SELECT query_id, doc_id, round(score, 9) AS score, rank FROM rrf3", ("rrf3",))
+@query("rrf_fuse_n", "SELECT query_id, doc_id, round(score + 2.5e-13, 9) + 0.0 AS score, rank FROM rrf3", ("rrf3",))
 def rrf_fuse_n(spark, d):
     return fused_shown(rrf3(spark, d))
 
@@ -49,7 +49,7 @@ def rrf_fuse_n(spark, d):
 GRID = ((10, 1.0, 1.0), (60, 1.0, 1.0), (100, 1.0, 1.0), (60, 1.0, 1.5), (60, 0.7, 1.3), (60, 1.5, 1.0))
 
 
-@query("rrf_sweep", f"""SELECT config, query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, doc_id) AS rank FROM (
+@query("rrf_sweep", f"""SELECT config, query_id, doc_id, round(score + 2.5e-13, 9) + 0.0 AS score, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, doc_id) AS rank FROM (
   SELECT config, query_id, doc_id, round(coalesce(wa / (k + a.rank), 0) + coalesce(wb / (k + b.rank), 0), 12) AS score
   FROM (ev_click a FULL JOIN ev_view b USING (query_id, doc_id)), (VALUES {', '.join(f'({i}, {k}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE)' for i, (k, a, b) in enumerate(GRID, 1))}) g(config, k, wa, wb))
   QUALIFY rank <= 10""", ("ev_click", "ev_view"))
@@ -57,20 +57,20 @@ def rrf_sweep(spark, d):
     return fused_shown(fu.rrf_sweep(t.ev_list(spark, d, "click"), t.ev_list(spark, d, "view"), GRID, top=10), "config")
 
 
-@query("fuse_systems", """SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM (
+@query("fuse_systems", """SELECT query_id, doc_id, round(score + 2.5e-13, 9) + 0.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM (
   SELECT query_id, doc_id, round(sum(CASE list_no WHEN 1 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END / (60 + rank)), 12) AS score, min(list_no * 1000000 + rank) AS first_seen
   FROM stacked3 WHERE list_no < 3 AND query_id IN (SELECT query_id FROM ev_click) GROUP BY 1, 2)""", ("stacked3", "ev_click"))
 def fuse_systems(spark, d):
     return fused_shown(fu.fuse_systems([t.ev_list(spark, d, "click"), t.ev_list(spark, d, "view")], [7.0, 3.0]))
 
 
-@query("rrf_tied_rank", """SELECT query_id, doc_id, round(sum(share), 9) AS score FROM (
+@query("rrf_tied_rank", """SELECT query_id, doc_id, round(round(sum(share), 12) + 2.5e-13, 9) + 0.0 AS score FROM (
   SELECT query_id, doc_id, CASE WHEN s > 0 THEN 1.0::DOUBLE / (60 + rank() OVER (PARTITION BY query_id ORDER BY s DESC)) ELSE 0 END AS share FROM (SELECT query_id, doc_id, floor(score / 20) AS s FROM ev_click)
   UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank() OVER (PARTITION BY query_id ORDER BY s DESC)) FROM (SELECT query_id, doc_id, floor(score / 20) AS s FROM ev_view)) GROUP BY 1, 2""",
        ("ev_click", "ev_view"))
 def rrf_tied(spark, d):
     coarse = lambda c: t.ev_scores(spark, d).where(F.col("channel") == c).select("query_id", "doc_id", F.floor(F.col("score") / 20).cast("double").alias("score"))
-    return fu.rrf_tied_rank([coarse("click"), coarse("view")], [True, False]).withColumn("score", F.round("score", 9))
+    return fu.rrf_tied_rank([coarse("click"), coarse("view")], [True, False]).withColumn("score", shown9("score"))
 
 
 def ev_candidates(spark, d):

@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ranklab.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,13 +19,33 @@ MODULES = ("ingestion", "taxonomies", "texts", "channels", "hubs", "lists", "poo
 def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
     """Register `fn(spark, sf_dir)`; `sql` may use the fragments in `needs` as tables."""
     def register(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(settle(spark), sf_dir)
+        QUERIES[name].__module__ = fn.__module__
         if sql is not None:
             ORACLES[name] = with_fragments(needs, sql)
         return fn
     return register
 
 
+def shown6(name: str, out: str | None = None) -> Column:
+    """A score an operator has rounded to 9 decimals, shown with 6. The offset keeps a ...5 in the seventh place from
+    being a tie, which engines round differently."""
+    return (F.round(F.col(name) + F.lit(2.5e-10), 6) + F.lit(0.0)).alias(out or name)
+
+
+def sql6(name: str = "score", out: str | None = None) -> str:
+    return f"round({name} + 2.5e-10, 6) + 0.0 AS {out or name}"
+
+
+def shown9(name: str, out: str | None = None) -> Column:
+    """The same for scores rounded to 12 decimals."""
+    return (F.round(F.col(name) + F.lit(2.5e-13), 9) + F.lit(0.0)).alias(out or name)
+
+
+def sql9(name: str = "score", out: str | None = None) -> str:
+    return f"round({name} + 2.5e-13, 9) + 0.0 AS {out or name}"
+
+
 def fragment(name: str, sql: str, needs: tuple[str, ...] = ()) -> None:
     FRAGMENTS[name] = (needs, sql)
 

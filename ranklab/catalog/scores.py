@@ -7,6 +7,7 @@ from ranklab.catalog.lists import rrf2, rrf3
 from ranklab.catalog.registry import fragment, query
 from ranklab.functions.keys import seeded_key
 from ranklab.operators import metrics as m
+from ranklab.session import union_all
 
 
 def sql_metrics(ranked: str, gains: str, ks=(5, 10), recall_ks=None, by: str = "", queries: str | None = None) -> str:
@@ -43,9 +44,8 @@ fragment("ev_metrics", sql_metrics("ev_systems", "ev_gains", by="system"), ("ev_
 
 def systems(spark, d):
     lists = t.ev_lists(spark, d).select(F.col("channel").alias("system"), "query_id", "doc_id", "rank")
-    for name, df in (("rrf2", rrf2(spark, d)), ("rrf3", rrf3(spark, d))):
-        lists = lists.unionByName(df.select(F.lit(name).alias("system"), "query_id", "doc_id", "rank"))
-    return lists
+    fused = [df.select(F.lit(name).alias("system"), "query_id", "doc_id", "rank") for name, df in (("rrf2", rrf2(spark, d)), ("rrf3", rrf3(spark, d)))]
+    return union_all([lists, *fused])
 
 
 def rounded(df, by=("query_id",)):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ranklab.catalog import tables as t
-from ranklab.catalog.registry import fragment, query
+from ranklab.catalog.registry import fragment, query, shown6
 from ranklab.operators import tags as tg
 from ranklab.operators import taxonomy as tx
 from ranklab.operators.ordering import rank_list
@@ -55,7 +55,7 @@ def shared(spark, d):
     return tx.shared_tagset_count(t.roles(spark, d), t.order_tags(spark, d))
 
 
-@query("duplicate_names", "SELECT p_name AS name, count(*) AS n_ids, list(p_partkey ORDER BY p_partkey) AS ids FROM part GROUP BY 1 HAVING count(*) > 1")
+@query("duplicate_names", "SELECT p_name AS name, count(*) OVER (PARTITION BY p_name) AS n_ids, p_partkey AS id FROM part QUALIFY n_ids > 1")
 def duplicate_names(spark, d):
     return tx.duplicate_names(t.table(spark, d, "part"), "p_partkey", "p_name")
 
@@ -83,11 +83,11 @@ def nation_role_ranks(spark, d):
     return tg.tag_rank(bridge.withColumnRenamed("role_id", "doc_id"), roles.select(F.col("role_id").alias("doc_id")), t.nation_queries(spark, d))
 
 
-@query("track_distribution", """SELECT query_id, track_id, round(mass, 6) AS mass, row_number() OVER (PARTITION BY query_id ORDER BY mass DESC, track_id) AS track_rank FROM (
+@query("track_distribution", """SELECT query_id, track_id, round(mass + 2.5e-10, 6) + 0.0 AS mass, row_number() OVER (PARTITION BY query_id ORDER BY mass DESC, track_id) AS track_rank FROM (
   SELECT query_id, track_id, round(sum(score) / sum(sum(score)) OVER (PARTITION BY query_id), 9) AS mass FROM nation_roles JOIN market_roles ON role_id = doc_id WHERE rank <= 10 GROUP BY 1, 2)""", ("nation_roles", "market_roles"))
 def track_distribution(spark, d):
     out = tx.track_distribution(nation_role_ranks(spark, d), market(spark, d)[0])
-    return out.select("query_id", "track_id", F.round("mass", 6).alias("mass"), F.col("track_rank").cast("bigint").alias("track_rank"))
+    return out.select("query_id", "track_id", shown6("mass"), F.col("track_rank").cast("bigint").alias("track_rank"))
 
 
 @query("taxonomy_profile", """WITH s AS (SELECT role_id, count(tag_id) AS n FROM roles LEFT JOIN order_tags USING (role_id) GROUP BY 1)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from math import ceil
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ranklab.operators.ordering import rank_list
+from ranklab.session import union_all
 
 RRF_K = 60
 
@@ -21,7 +21,7 @@ def stack_lists(lists: Sequence[DataFrame], weights: Sequence[float] | None = No
     parts = [df.select(F.lit(i).alias("list_no"), F.lit(float(w)).alias("weight"), "query_id", "doc_id",
                        F.col("rank").cast("bigint").alias("rank"))
              for i, (df, w) in enumerate(zip(lists, weights), start=1)]
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def rrf_fuse_n(lists: Sequence[DataFrame], weights: Sequence[float] | None = None, k: int = RRF_K,
@@ -77,7 +77,7 @@ def rrf_tied_rank(tables: Sequence[DataFrame], drop_nonpositive: Sequence[bool],
         if drop:
             share = F.when(F.col("score") > 0, share).otherwise(F.lit(0.0))
         parts.append(ranked.select("query_id", "doc_id", share.alias("share")))
-    return reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_id").agg(
+    return union_all(parts).groupBy("query_id", "doc_id").agg(
         F.round(F.sum("share"), 12).alias("score"))
 
 
@@ -102,7 +102,7 @@ def head_plus_tail(head: DataFrame, full: DataFrame) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("rank")
     tail = rest.withColumn("pos", F.row_number().over(w)).join(size, "query_id").select(
         "query_id", "doc_id", (F.col("head_n") + F.col("pos")).cast("bigint").alias("rank"))
-    return head.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank")).unionByName(tail)
+    return union_all([head.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank")), tail])
 
 
 def rerank_by_external_score(candidates: DataFrame, scores: DataFrame) -> DataFrame:

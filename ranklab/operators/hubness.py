@@ -8,11 +8,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from collections.abc import Sequence
-from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ranklab.operators.ordering import rank_list
 from ranklab.operators.similarity import all_cosines, block_products, top_k_cosine
+from ranklab.session import union_all
 
 SIGMA_FLOOR = 1e-6
 
@@ -74,7 +74,7 @@ def hubness_csls(sims: DataFrame, k: int = 10) -> DataFrame:
     """score - half the mean of the tag's k highest cosines. The k best per tag survive a WindowGroupLimit, so a
     tag's texts never gather in one task."""
     best = rank_list(sims, max(int(k), 1), keys=("tag_id",), tie=("text_id",)).groupBy("tag_id").agg(F.avg("score").alias("r"))
-    return sims.join(best, "tag_id").withColumn("score", F.round(F.col("score") - F.col("r") * 0.5, 9)).select(*sims.columns)
+    return sims.join(best, "tag_id").withColumn("score", F.round(F.col("score") - F.col("r") * 0.5, 12)).select(*sims.columns)
 
 
 def hubness_dsm(sims: DataFrame, arg: float = 1.0) -> DataFrame:
@@ -103,7 +103,7 @@ def score_ensemble(tables: Sequence[DataFrame], weights: Sequence[float] | None
     weights = [1.0] * len(tables) if weights is None else list(weights)
     total = float(sum(weights))
     parts = [t.select("text_id", "tag_id", (F.col("score") * F.lit(w / total)).alias("s")) for t, w in zip(tables, weights)]
-    mean = reduce(DataFrame.unionByName, parts).groupBy("text_id", "tag_id").agg(F.sum("s").alias("s"))
+    mean = union_all(parts).groupBy("text_id", "tag_id").agg(F.sum("s").alias("s"))
     sd = mean.agg(F.stddev_pop("s")).scalar()
     divisor = F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0))
     return mean.withColumn("sd", sd).select("text_id", "tag_id", F.round(F.col("s") / divisor, 9).alias("score"))

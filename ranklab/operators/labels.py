@@ -7,7 +7,6 @@ absent in priority order. All of them are min_by / max_by aggregates, combined m
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,6 +15,7 @@ from ranklab.functions.keys import key_to_long, seeded_key
 from ranklab.functions.lexicon import DEFAULT_PROMPT_VERSION
 from ranklab.operators.agreement import band_grade
 from ranklab.operators.ordering import prefix_sum, linear_bins
+from ranklab.session import union_all
 
 PAIR = ["query_id", "doc_id"]
 
@@ -100,7 +100,7 @@ def latest_ok_grade(log: DataFrame) -> DataFrame:
 def merge_labels_first_wins(base: DataFrame, log: DataFrame) -> DataFrame:
     """(query_id, doc_id, grade): the base labels plus the first ok grade of pairs that have none."""
     new = first_ok(log, "grade").join(base.select(*PAIR), PAIR, "left_anti")
-    return base.select(*PAIR, "grade").unionByName(new.select(*PAIR, "grade"))
+    return union_all([base.select(*PAIR, "grade"), new.select(*PAIR, "grade")])
 
 
 def merge_counts(base: DataFrame, log: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def graded_gains(log: DataFrame) -> DataFrame:
 def seed_grades(log: DataFrame, sources: Sequence[DataFrame], wanted: DataFrame) -> DataFrame:
     """(query_id, doc_id, grade, source_no): wanted pairs the log lacks, from earlier logs in priority order."""
     parts = [ok_records(s).select(*PAIR, "grade", F.lit(i).alias("source_no"), "seq") for i, s in enumerate(sources, start=1)]
-    best = reduce(DataFrame.unionByName, parts).groupBy(*PAIR).agg(
+    best = union_all(parts).groupBy(*PAIR).agg(
         F.min_by(F.struct("grade", "source_no"), F.struct("source_no", "seq")).alias("r")).select(*PAIR, "r.*")
     return best.join(wanted.select(*PAIR).distinct(), PAIR, "left_semi").join(ok_records(log).select(*PAIR), PAIR, "left_anti")
 

@@ -6,12 +6,12 @@ and a top-n by that key is a uniform sample without replacement."""
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ranklab.functions.keys import key_to_long, seeded_key
 from ranklab.operators.ordering import global_rank
+from ranklab.session import union_all
 
 PAIR = ["query_id", "doc_id"]
 
@@ -20,7 +20,7 @@ def judging_pool(lists: Sequence[tuple[str, DataFrame, int]]) -> DataFrame:
     """pool(query_id, doc_id, sources): union of every list's top-n; sources in the given order."""
     parts = [df.where(F.col("rank") <= n).select(*PAIR, F.struct(F.lit(i).alias("no"), F.lit(name).alias("source")).alias("s"))
              for i, (name, df, n) in enumerate(lists)]
-    return reduce(DataFrame.unionByName, parts).groupBy(*PAIR).agg(
+    return union_all(parts).groupBy(*PAIR).agg(
         F.transform(F.array_sort(F.collect_set("s")), lambda s: s["source"]).alias("sources"))
 
 
@@ -49,7 +49,7 @@ def pool_additions(ranked: DataFrame, pool: DataFrame, n: int) -> DataFrame:
 
 def pool_cover_k(lists: Sequence[DataFrame], pool: DataFrame, k: int) -> DataFrame:
     """Every pair in some channel's top-k that is not pooled yet."""
-    tops = reduce(DataFrame.unionByName, [df.where(F.col("rank") <= k).select(*PAIR) for df in lists])
+    tops = union_all([df.where(F.col("rank") <= k).select(*PAIR) for df in lists])
     return tops.distinct().join(pool.select(*PAIR), PAIR, "left_anti")
 
 
@@ -61,7 +61,7 @@ def pool_stats(pool: DataFrame) -> DataFrame:
 
 def compared_pool(lists: Sequence[DataFrame], queries: DataFrame, top: int = 10) -> DataFrame:
     """Distinct pairs over all compared top lists of the chosen queries."""
-    tops = reduce(DataFrame.unionByName, [df.where(F.col("rank") <= top).select(*PAIR) for df in lists])
+    tops = union_all([df.where(F.col("rank") <= top).select(*PAIR) for df in lists])
     return tops.join(queries.select("query_id").distinct(), "query_id", "left_semi").distinct()
 
 
@@ -148,8 +148,8 @@ def query_sampler(classes: DataFrame, class_tags: DataFrame, track_tags: DataFra
            .join(class_tags, ["class_id", "tag_id"], "left_anti")
            .withColumn("pos", F.row_number().over(Window.partitionBy(*by_query).orderBy("step")))
            .where(F.col("pos") <= F.col("n_wrong")))
-    wrong = near.select(*by_query, "tag_id").unionByName(far.select(*by_query, "tag_id")).withColumn("wrong", F.lit(1))
-    return right.unionByName(wrong)
+    wrong = union_all([near.select(*by_query, "tag_id"), far.select(*by_query, "tag_id")]).withColumn("wrong", F.lit(1))
+    return union_all([right, wrong])
 
 
 def permuted_control(query_tags: DataFrame, seed: int = 7) -> DataFrame:
@@ -222,8 +222,8 @@ def hard_negative_triplets(queries: DataFrame, docs: DataFrame, gains: DataFrame
     queries."""
     best = gains.groupBy("query_id").agg(F.max_by("doc_id", F.struct(F.col("gain"), -F.col("doc_id"))).alias("positive_id"))
     anchors = queries.select("query_id", "category").join(best, "query_id")
-    excluded = gains.where(F.col("gain") >= limit_score).select(*PAIR).unionByName(
-        best.select("query_id", F.col("positive_id").alias("doc_id"))).distinct()
+    excluded = union_all([gains.where(F.col("gain") >= limit_score).select(*PAIR),
+                          best.select("query_id", F.col("positive_id").alias("doc_id"))]).distinct()
     barred = excluded.join(docs.select("doc_id", "category"), "doc_id").join(
         queries.select("query_id", "category"), ["query_id", "category"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("barred"))
     keyed = docs.select("doc_id", "category").withColumn("key", seeded_key(seed, "negatives", "doc_id"))
@@ -241,7 +241,7 @@ def hard_negative_triplets(queries: DataFrame, docs: DataFrame, gains: DataFrame
     same = walk.groupBy("query_id").agg(F.min_by("doc_id", "step").alias("negative_id"))
     missing = anchors.join(same, "query_id", "left_anti")
     fallback = _other_category(missing, keyed, sizes, start)
-    found = same.unionByName(fallback)
+    found = union_all([same, fallback])
     return anchors.join(found, "query_id").select("query_id", "positive_id", "negative_id")
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ranklab.operators.ordering import rank_list, upper_median
+from ranklab.session import union_all
 
 
 def taxonomy_assemble(roles: DataFrame, bridge: DataFrame, tracks: DataFrame, sectors: DataFrame | None = None,
@@ -44,10 +45,7 @@ def taxonomy_verify(roles: DataFrame, tags: DataFrame, tracks: DataFrame, bridge
         count(level_pairs.join(pairs, ["role_id", "tag_id"], "left_anti"), "only_in_levels"),
         count(pairs.join(level_pairs, ["role_id", "tag_id"], "left_anti"), "only_in_bridge"),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("check", F.col("n_bad").cast("bigint").alias("n_bad"))
+    return union_all(parts).select("check", F.col("n_bad").cast("bigint").alias("n_bad"))
 
 
 def role_tag_sets(roles: DataFrame, bridge: DataFrame) -> DataFrame:
@@ -72,10 +70,11 @@ def shared_tagset_count(roles: DataFrame, bridge: DataFrame) -> DataFrame:
 
 
 def duplicate_names(entities: DataFrame, id_col: str, name_col: str) -> DataFrame:
-    """(name, n_ids, first_id, last_id, ids): names used by more than one id, ids ascending."""
-    return entities.select(id_col, name_col).distinct().groupBy(name_col).agg(
-        F.count(F.lit(1)).alias("n_ids"), F.sort_array(F.collect_list(id_col)).alias("ids")).where(
-        F.col("n_ids") > 1).select(F.col(name_col).alias("name"), "n_ids", "ids")
+    """(name, n_ids, id): every id of a name used by more than one id. One row per id instead of one array per
+    name, so a name shared by a third of all entities is never gathered."""
+    pairs = entities.select(F.col(id_col).alias("id"), F.col(name_col).alias("name")).distinct()
+    counts = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("n_ids")).where(F.col("n_ids") > 1)
+    return pairs.join(counts, "name").select("name", "n_ids", "id")
 
 
 def display_name_restore(tracks: DataFrame, truncated: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,21 @@ def build_session(app: str = "ranklab", master: str | None = None, shuffle_parti
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return settle(builder.getOrCreate())
+
+
+def settle(spark: SparkSession) -> SparkSession:
+    """Turn off one planner shortcut: with adaptive execution, Spark 4.1.2 can treat a union of hash-partitioned
+    inputs as already partitioned after their partitions have been coalesced differently, and an aggregation above
+    it then returns unmerged groups. Without the shortcut the aggregation shuffles, as it did before 4.1."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    """UNION ALL by column name; every union of the library goes through here (see `settle`)."""
+    settle(frames[0].sparkSession)
+    return reduce(DataFrame.unionByName, frames)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

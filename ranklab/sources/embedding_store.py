@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ranklab.session import checkpoint
+from ranklab.session import checkpoint, union_all
 
 Compute = Callable[[pd.Series], list]
 
@@ -59,9 +59,9 @@ def incremental_embed(texts: DataFrame, store: DataFrame, compute: Compute, stor
         known = checkpoint(known)
         new = checkpoint(new)
         new.write.mode("append").parquet(store_path)
-        vectors = known.select("text_key", F.col("old").alias("vec")).unionByName(new)
+        vectors = union_all([known.select("text_key", F.col("old").alias("vec")), new])
     else:
-        vectors = store.select("text_key", "vec").unionByName(checkpoint(new))
+        vectors = union_all([store.select("text_key", "vec"), checkpoint(new)])
     return texts.withColumn("text_key", text_key(text_col)).join(vectors, "text_key", "left")
 
 
