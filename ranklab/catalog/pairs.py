@@ -1 +1,213 @@
+"""Pair features over every order line."""
 
+from pyspark.sql import functions as F
+
+from ranklab.catalog import tables as t
+from ranklab.catalog.lists import rrf2
+from ranklab.catalog.registry import fragment, query
+from ranklab.functions import fits as ft
+from ranklab.operators import features as fe
+
+KEYS = ("query_id", "doc_id", "line")
+SQL_BUDGET = """CASE WHEN rate_per_hour >= budget_lo AND rate_per_hour <= budget_hi THEN 1.0 ELSE greatest(0.0, 1.0 -
+  (CASE WHEN rate_per_hour < budget_lo THEN budget_lo - rate_per_hour ELSE rate_per_hour - budget_hi END) / greatest(budget_hi - budget_lo, 1.0)) END"""
+SQL_SENIORITY = f"coalesce(1.0 - abs({t.NEED} - {t.HAVE}) / 2.0::DOUBLE, 0.5)"
+SQL_AVAIL = """CASE WHEN avail_date IS NULL THEN phrase_score WHEN date_diff('day', start_date, avail_date) <= 0 THEN 1.0
+  ELSE greatest(0.0, 1.0 - date_diff('day', start_date, avail_date) / 60.0::DOUBLE) END"""
+
+
+@query("budget_fit", f"SELECT query_id, doc_id, line, round(({SQL_BUDGET})::DOUBLE, 6) AS fit FROM term_pairs", ("term_pairs",))
+def budget_fit(spark, d):
+    return t.term_pairs(spark, d).select(*KEYS, F.round(ft.budget_fit(F.col("budget_lo"), F.col("budget_hi"), F.col("rate_per_hour")), 6).alias("fit"))
+
+
+@query("seniority_fit", f"SELECT query_id, doc_id, line, ({SQL_SENIORITY})::DOUBLE AS fit FROM term_pairs", ("term_pairs",))
+def seniority_fit(spark, d):
+    return t.term_pairs(spark, d).select(*KEYS, ft.seniority_fit(F.col("seniority_needed"), F.col("seniority")).alias("fit"))
+
+
+@query("avail_immediacy", f"SELECT query_id, doc_id, line, round(({SQL_AVAIL})::DOUBLE, 6) AS fit FROM term_pairs", ("term_pairs",))
+def avail(spark, d):
+    return t.term_pairs(spark, d).select(*KEYS, F.round(ft.avail_immediacy(F.col("available_from"), F.col("start_by"), F.col("availability"), t.as_of()), 6).alias("fit"))
+
+
+@query("formula_relevance", f"""WITH cat AS (SELECT l_orderkey AS query_id, arg_min(p_brand, (l_linenumber, l_partkey)) AS brand, arg_min(p_type, (l_linenumber, l_partkey)) AS kind FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
+  SELECT query_id, doc_id, line, greatest(1, least(100, CASE WHEN c.kind = p.kind THEN 70 ELSE 35 END
+    + CASE WHEN rate_per_hour >= budget_lo AND rate_per_hour <= budget_hi THEN 10 WHEN rate_per_hour >= budget_lo * 0.75::DOUBLE AND rate_per_hour <= budget_hi * 1.25::DOUBLE THEN 0 ELSE -10 END
+    + CASE WHEN abs({t.NEED} - {t.HAVE}) = 0 THEN 10 WHEN abs({t.NEED} - {t.HAVE}) = 1 THEN 0 ELSE -10 END
+    + (('0x' || substr(md5(concat_ws('|', '7', 'noise', query_id::VARCHAR, doc_id::VARCHAR)), 1, 15))::UBIGINT::BIGINT % 11 - 5)))::INT AS score
+  FROM term_pairs p JOIN cat c USING (query_id) WHERE p.brand = c.brand""", ("term_pairs",))
+def formula(spark, d):
+    """Category = brand, speciality = type: an order's are those of its first line. The candidate pairs are the
+    order's own lines of that category; pairs of other categories score 0 and are no rows."""
+    li, part = t.table(spark, d, "lineitem"), t.table(spark, d, "part")
+    lines = li.select("l_orderkey", "l_linenumber", "l_partkey").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type"), "l_partkey")
+    cat = lines.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.min_by(F.struct("p_brand", "p_type"), F.struct("l_linenumber", "l_partkey")).alias("c"))
+    pairs = t.term_pairs(spark, d).join(cat, "query_id").where(F.col("brand") == F.col("c.p_brand"))
+    score = ft.formula_relevance(F.col("c.p_type") == F.col("kind"), F.col("budget_lo"), F.col("budget_hi"), F.col("rate_per_hour"),
+                                 F.col("seniority_needed"), F.col("seniority"), ft.relevance_noise(7, "query_id", "doc_id"))
+    return pairs.select(*KEYS, score.alias("score"))
+
+
+def mismatch_kinds():
+    return ft.serious_term_mismatch(F.col("budget_hi"), F.col("rate_per_hour"), F.col("seniority_needed"), F.col("seniority"), F.col("start_by"),
+                                    F.col("available_from"), F.col("commitment"), F.col("capacity"), t.as_of())
+
+
+@query("serious_term_mismatch", "SELECT query_id, doc_id, line, kinds FROM mismatch_pairs", ("mismatch_pairs",))
+def mismatch(spark, d):
+    return t.term_pairs(spark, d).select(*KEYS, mismatch_kinds().alias("kinds"))
+
+
+fragment("ev_gig", "SELECT query_id, g.* EXCLUDE (query_id) FROM ev_queries JOIN gig_struct g USING (query_id)", ("ev_queries", "gig_struct"))
+fragment("candidates", f"""SELECT r.query_id, r.doc_id, gr.grade AS label, (gr.grade IS NOT NULL)::INT AS judged, coalesce(round(c.score, 6), 0) AS bm25_score, coalesce(c.rank, 0) AS bm25_rank,
+  coalesce(round(v.score, 6), 0) AS dense_cosine, coalesce(v.rank, 0) AS dense_rank, round(r.score, 8) AS rrf_score, r.rank AS rrf_rank,
+  CASE WHEN coalesce(rate_per_hour, 0) >= coalesce(budget_lo, 0) AND coalesce(rate_per_hour, 0) <= coalesce(budget_hi, 0) THEN 1 ELSE round(greatest(0, 1 - (CASE WHEN coalesce(rate_per_hour, 0) < coalesce(budget_lo, 0) THEN coalesce(budget_lo, 0) - coalesce(rate_per_hour, 0)
+    ELSE coalesce(rate_per_hour, 0) - coalesce(budget_hi, 0) END) / greatest(coalesce(budget_hi, 0) - coalesce(budget_lo, 0), 1)), 4) END::DOUBLE AS budget_fit,
+  {SQL_SENIORITY}::DOUBLE AS seniority_fit, coalesce(phrase_score, 0.5)::DOUBLE AS avail_immediacy
+  FROM rrf2 r LEFT JOIN ev_click c USING (query_id, doc_id) LEFT JOIN ev_view v USING (query_id, doc_id) LEFT JOIN gig_struct g USING (query_id)
+  LEFT JOIN provider_struct p USING (doc_id) LEFT JOIN ev_grades gr USING (query_id, doc_id) WHERE r.rank <= 20""", ("rrf2", "ev_click", "ev_view", "gig_struct", "provider_struct", "ev_grades"))
+
+
+def candidates(spark, d, top=20, fused=None):
+    """Users are gigs (with the terms of the order of the same number), event documents are providers."""
+    providers = t.provider_struct(spark, d).withColumn("available_from", F.lit(None).cast("string"))
+    return fe.candidate_features(rrf2(spark, d, top=top) if fused is None else fused, t.ev_list(spark, d, "click"), t.ev_list(spark, d, "view"),
+                                 t.gig_struct(spark, d), providers, t.ev_grades(spark, d), top, t.as_of())
+
+
+def bigs(df, *cols):
+    for c in cols:
+        df = df.withColumn(c, F.col(c).cast("bigint"))
+    return df
+
+
+@query("candidate_features", "SELECT * FROM candidates", ("candidates",))
+def candidate_features(spark, d):
+    return bigs(candidates(spark, d), "bm25_rank", "dense_rank", "rrf_rank")
+
+
+@query("tag_features", """SELECT query_id, doc_id, rrf_rank, coalesce(round(score, 6), 0) AS tag_score, coalesce(rank, 0) AS tag_rank, round(score, 6) AS tag_score_missing, rank AS tag_rank_missing
+  FROM candidates LEFT JOIN ev_purchase USING (query_id, doc_id)""", ("candidates", "ev_purchase"))
+def tag_features(spark, d):
+    base, tag = candidates(spark, d).select("query_id", "doc_id", "rrf_rank"), t.ev_list(spark, d, "purchase")
+    missing = fe.tag_features(base, tag, raw=False).select("query_id", "doc_id", F.col("tag_score").alias("tag_score_missing"), F.col("tag_rank").alias("tag_rank_missing"))
+    return bigs(fe.tag_features(base, tag).join(missing, ["query_id", "doc_id"]), "rrf_rank", "tag_rank", "tag_rank_missing")
+
+
+@query("label_policy", """SELECT 'judged' AS policy, query_id, doc_id, label FROM candidates WHERE label IS NOT NULL UNION ALL SELECT 'all', query_id, doc_id, coalesce(label, 0) FROM candidates""", ("candidates",))
+def label_policy(spark, d):
+    from ranklab.session import union_all
+    c = candidates(spark, d).select("query_id", "doc_id", "label")
+    return union_all([fe.label_policy(c, p).select(F.lit(p).alias("policy"), "*") for p in ("judged", "all")])
+
+
+@query("pool_recall_loss", """SELECT count(*) AS n_relevant, count(*) FILTER (c.query_id IS NULL) AS n_outside FROM (SELECT * FROM ev_grades WHERE grade >= 2) g LEFT JOIN (SELECT query_id, doc_id FROM rrf2 WHERE rank <= 20) c USING (query_id, doc_id)""".replace("c.query_id IS NULL", "c.hit IS NULL").replace("SELECT query_id, doc_id FROM rrf2", "SELECT query_id, doc_id, 1 AS hit FROM rrf2"), ("ev_grades", "rrf2"))
+def recall_loss(spark, d):
+    return fe.pool_recall_loss(rrf2(spark, d), t.ev_grades(spark, d), 20)
+
+
+@query("swap_labels", "SELECT query_id, doc_id, rrf_rank, grade AS label, (grade IS NOT NULL)::INT AS judged FROM (SELECT query_id, doc_id, rrf_rank FROM candidates) LEFT JOIN latest_b USING (query_id, doc_id)", ("candidates", "latest_b"))
+def swap(spark, d):
+    from ranklab.operators.labels import latest_ok_grade
+    c = candidates(spark, d).select("query_id", "doc_id", "rrf_rank", "label", "judged")
+    return bigs(fe.swap_labels(c, latest_ok_grade(t.ev_log_half(spark, d, False))), "rrf_rank")
+
+
+fragment("norm_in", "SELECT query_id, doc_id, bm25_score, CASE WHEN dense_rank > 0 THEN dense_cosine END AS dense_cosine, budget_fit FROM candidates", ("candidates",))
+
+
+def _z(c):
+    return f"round(CASE WHEN count({c}) OVER w >= 2 THEN ({c} - avg({c}) OVER w) / CASE WHEN stddev_pop({c}) OVER w = 0 THEN 1 ELSE stddev_pop({c}) OVER w END ELSE {c} END, 6) + 0.0 AS {c}_z"
+
+
+def _r(c):
+    return f"round(CASE WHEN {c} IS NOT NULL AND count({c}) OVER w >= 2 THEN 1.0::DOUBLE / dense_rank() OVER (PARTITION BY query_id ORDER BY {c} DESC NULLS LAST) ELSE {c} END, 6) AS {c}_r"
+
+
+@query("normalize_by_query", f"SELECT query_id, doc_id, {', '.join(f(c) for c in ('bm25_score', 'dense_cosine', 'budget_fit') for f in (_z, _r))} FROM norm_in WINDOW w AS (PARTITION BY query_id)", ("norm_in",))
+def normalize(spark, d):
+    cols = ("bm25_score", "dense_cosine", "budget_fit")
+    rows = candidates(spark, d).select("query_id", "doc_id", "bm25_score", F.when(F.col("dense_rank") > 0, F.col("dense_cosine")).alias("dense_cosine"), "budget_fit")
+    z = fe.normalize_by_query(rows, cols, "zscore").select("query_id", "doc_id", *[(F.round(c, 6) + 0.0).alias(f"{c}_z") for c in cols])
+    r = fe.normalize_by_query(rows, cols, "rank").select("query_id", "doc_id", *[F.round(c, 6).alias(f"{c}_r") for c in cols])
+    return z.join(r, ["query_id", "doc_id"])
+
+
+@query("grade_score_maps", """SELECT query_id, doc_id, grade, CASE grade WHEN 0 THEN 0 WHEN 1 THEN 33 WHEN 2 THEN 67 ELSE 100 END AS score, grade AS grade_back, grade > 0 AS kept FROM ev_grades""", ("ev_grades",))
+def maps(spark, d):
+    g = t.ev_grades(spark, d).withColumn("score", ft.score_of_grade(F.col("grade")))
+    return g.withColumn("grade_back", ft.grade_of_score(F.col("score"))).withColumn("kept", F.col("grade") > 0)
+
+
+# Layouts of the three prompt forms; the rubric texts themselves are supplied by the caller.
+FORMS = (("repro", "RUBRIC", "=== GIG ===\n", "=== PROVIDER PROFILE ===\n", "Grade (0, 1, 2 or 3):"),
+         ("orig", "RUBRIC", "Gig: ", "Provider profile: ", "Output only a single integer between 0 and 3 inclusive."),
+         ("cont", "RUBRIC", "Gig: ", "Provider profile: ", "Output only the score, as a decimal number between 0 and 1."))
+
+
+def _g(c):
+    """%g of a positive number in SQL: six significant digits without trailing zeros."""
+    return f"regexp_replace(regexp_replace(printf('%.6f', round({c}, greatest(0, 5 - floor(log10(greatest(abs({c}), 1e-4))))::INT)), '0+$', ''), '\\.$', '')"
+
+
+_DAYS = "{0}::VARCHAR || CASE WHEN {0} = 1 THEN ' day a week' ELSE ' days a week' END"
+
+
+@query("grading_requests", f"""SELECT query_id, doc_id, 'rubric_0_3.v2-repro' AS prompt_version, md5(array_to_string(list_filter(['RUBRIC', '', '=== GIG ===' || chr(10) || 'order ' || query_id::VARCHAR,
+    'Budget: S$' || {_g('round(budget_lo, 2)')} || '-' || {_g('round(budget_hi, 2)')} || ' per hour', 'Seniority needed: ' || seniority_needed, 'Start date: ' || strftime(start_date, '%-d %b %Y'), 'Commitment: ' || {_DAYS.format('commitment')},
+    '', '=== PROVIDER PROFILE ===' || chr(10) || 'part ' || doc_id::VARCHAR, 'Rate: S$' || {_g('rate_per_hour')} || ' per hour', 'Seniority: ' || seniority,
+    CASE WHEN avail_date IS NULL THEN 'Availability: ' || CASE phrase_score WHEN 1.0 THEN 'Free immediately' WHEN 0.6 THEN 'Weekday evenings' WHEN 0.2 THEN '2 weeks'' notice' ELSE 'By arrangement' END
+      ELSE 'Availability: from ' || strftime(avail_date, '%-d %b %Y') || ', ' || {_DAYS.format('capacity')} END, '', 'Grade (0, 1, 2 or 3):'], lambda x: x IS NOT NULL), chr(10))) AS prompt_md5 FROM term_pairs""", ("term_pairs",))
+def requests(spark, d):
+    rubrics = spark.createDataFrame(FORMS, "variant string, rubric string, gig_head string, provider_head string, closing string")
+    money = lambda c: F.round(c, 2).alias(c)
+    pairs = t.term_pairs(spark, d).select("query_id", "doc_id", "line", "available_from")
+    gigs = t.gig_struct(spark, d).select("query_id", F.concat(F.lit("order "), F.col("query_id").cast("string")).alias("text"), money("budget_lo"), money("budget_hi"), "seniority_needed", "start_by", "commitment")
+    # the date belongs to the line, so each line is its own provider row here
+    key = F.concat_ws("/", "query_id", "doc_id", "line", F.coalesce("available_from", F.lit("-")))
+    lines = pairs.withColumn("line_key", key)
+    providers = lines.select(F.col("line_key"), "doc_id", "available_from").distinct().join(t.provider_struct(spark, d), "doc_id").select(
+        F.col("line_key").alias("doc_key"), F.concat(F.lit("part "), F.col("doc_id").cast("string")).alias("text"), "rate_per_hour", "seniority", "available_from", "capacity", "availability")
+    out = fe.grading_requests(lines.select("query_id", F.col("line_key").alias("doc_id")), gigs, providers.withColumnRenamed("doc_key", "doc_id"), rubrics, "repro", t.as_of())
+    return out.select("query_id", F.split("doc_id", "/")[1].cast("bigint").alias("doc_id"), "prompt_version", F.md5("prompt").alias("prompt_md5"))
+
+
+@query("binarise_examples", "SELECT query_id, doc_id, grade, CASE WHEN grade >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS example FROM ev_grades WHERE grade <> 2", ("ev_grades",))
+def binarise(spark, d):
+    return fe.binarise_examples(t.ev_grades(spark, d))
+
+
+def graded_lines(spark, d):
+    """Lines with a grade by quantity and the buckets of their terms."""
+    grade = F.when(F.col("l_quantity") >= 45, 3).when(F.col("l_quantity") >= 35, 2).when(F.col("l_quantity") >= 15, 1).otherwise(0)
+    li = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), grade.alias("grade"), "l_shipdate", "l_returnflag")
+    return li.join(t.gig_struct(spark, d), "query_id").join(t.provider_struct(spark, d), "doc_id")
+
+
+@query("label_distribution", f"""WITH x AS (SELECT CASE WHEN l_quantity >= 45 THEN 3 WHEN l_quantity >= 35 THEN 2 WHEN l_quantity >= 15 THEN 1 ELSE 0 END AS grade, l_shipdate::DATE AS ship, g.*, p.* FROM lineitem JOIN gig_struct g ON g.query_id = l_orderkey JOIN provider_struct p ON p.doc_id = l_partkey),
+  b AS (SELECT grade, CASE WHEN rate_per_hour <= budget_hi THEN 'within or under' WHEN rate_per_hour <= budget_hi * 1.15::DOUBLE THEN '<=15% over' WHEN rate_per_hour <= budget_hi * 1.4::DOUBLE THEN '15-40% over' ELSE '>40% over' END AS budget,
+    CASE abs({t.NEED} - {t.HAVE}) WHEN 0 THEN 'same level' WHEN 1 THEN 'one level apart' WHEN 2 THEN 'mid vs expert' END AS seniority,
+    CASE WHEN date_diff('day', start_date, ship) <= 0 THEN 'on time' WHEN date_diff('day', start_date, ship) <= 14 THEN '<=14 days late' WHEN date_diff('day', start_date, ship) <= 30 THEN '15-30 days late' ELSE '>30 days late' END AS start,
+    CASE WHEN commitment - capacity <= 0 THEN 'enough' WHEN commitment - capacity = 1 THEN '1 day short' ELSE '>=2 days short' END AS days FROM x)
+  SELECT dimension, bucket, count(*) AS pairs, count(*) FILTER (grade = 0) AS g0, count(*) FILTER (grade = 1) AS g1, count(*) FILTER (grade = 2) AS g2, count(*) FILTER (grade = 3) AS g3, round(avg((grade >= 2)::INT), 6) AS share_ge2
+  FROM (SELECT grade, unnest(['budget', 'seniority', 'start', 'days']) AS dimension, unnest([budget, seniority, start, days]) AS bucket FROM b) WHERE bucket IS NOT NULL GROUP BY 1, 2""", ("gig_struct", "provider_struct"))
+def distribution(spark, d):
+    late = F.datediff(F.col("l_shipdate").cast("date"), ft.sentinel_date(F.col("start_by"), t.as_of()))
+    diff = F.abs(ft.seniority_level(F.col("seniority_needed")) - ft.seniority_level(F.col("seniority")))
+    return fe.label_distribution(graded_lines(spark, d), {
+        "budget": fe.bucket_budget(F.col("budget_hi"), F.col("rate_per_hour")), "seniority": F.when(diff.isNotNull(), fe.bucket_seniority(diff)),
+        "start": fe.bucket_start(late), "days": fe.bucket_days(F.col("commitment") - F.col("capacity"))})
+
+
+@query("label_distribution_by_source", """SELECT 'source' AS dimension, source AS bucket, count(*) AS pairs, count(*) FILTER (grade = 0) AS g0, count(*) FILTER (grade = 1) AS g1, count(*) FILTER (grade = 2) AS g2, count(*) FILTER (grade = 3) AS g3,
+  round(avg((grade >= 2)::INT), 6) AS share_ge2 FROM pool_rows JOIN ev_grades USING (query_id, doc_id) GROUP BY 2""", ("pool_rows", "ev_grades"))
+def by_source(spark, d):
+    from ranklab.catalog.pooling import pool
+    rows = pool(spark, d).join(t.ev_grades(spark, d), ["query_id", "doc_id"]).withColumn("source", F.explode("sources"))
+    return fe.label_distribution(rows, {"source": F.col("source")})
+
+
+@query("positives_per_query", "SELECT least(n, 6) AS n_positive, count(*) AS n_queries FROM (SELECT query_id, count(*) FILTER (grade >= 2) AS n FROM ev_grades GROUP BY 1) GROUP BY 1", ("ev_grades",))
+def positives(spark, d):
+    return fe.positives_per_query(t.ev_grades(spark, d))

@@ -11,14 +11,15 @@ from ranklab.operators.dense import dense_rank
 from ranklab.operators.ordering import global_rank
 from ranklab.operators.tags import tag_idf
 
-MAX_VOCABULARY = 20_000
+MAX_VOCABULARY = 4_096
 
 
 def lsa_basis(doc_tags: DataFrame, docs: DataFrame, rank: int) -> DataFrame:
     """(tag_id, idf, axis): each tag's coordinates on the leading right singular vectors.
 
-    Spark computes the SVD over the distributed rows; its result, vocabulary x rank, is small because the
-    vocabulary is a fixed taxonomy (checked)."""
+    Spark adds up the tag x tag Gram matrix over the distributed rows; its eigenvectors are the right singular
+    vectors. The matrix is small because the vocabulary is a fixed taxonomy (checked), and an exact eigensolver on
+    it is deterministic at every rank."""
     pairs = doc_tags.select("doc_id", "tag_id").distinct()
     vocab = global_rank(tag_idf(pairs, docs), "tag_id", "col")
     size = vocab.count()
@@ -27,10 +28,12 @@ def lsa_basis(doc_tags: DataFrame, docs: DataFrame, rank: int) -> DataFrame:
     entries = pairs.join(vocab, "tag_id").groupBy("doc_id").agg(
         F.sort_array(F.collect_list(F.struct((F.col("col") - 1).alias("i"), F.col("idf").alias("v")))).alias("e"))
     rows = entries.select("e").rdd.map(lambda r: Vectors.sparse(size, [(x["i"], x["v"]) for x in r["e"]]))
-    svd = RowMatrix(rows, numCols=size).computeSVD(min(rank, size))
-    basis = svd.V.toArray()
+    gram = RowMatrix(rows, numCols=size).computeGramianMatrix().toArray()
+    values, vectors = np.linalg.eigh(gram)
+    keep = np.argsort(-values, kind="stable")[:min(rank, size)]
+    basis = vectors[:, keep[values[keep] > 1e-9 * values.max()]]
     spark = doc_tags.sparkSession
-    axes = spark.createDataFrame([(i + 1, [float(x) for x in row]) for i, row in enumerate(np.asarray(basis))], "col bigint, axis array<double>")
+    axes = spark.createDataFrame([(i + 1, [float(x) for x in row]) for i, row in enumerate(basis)], "col bigint, axis array<double>")
     return vocab.join(axes, "col").select("tag_id", "idf", "axis")
 
 
