@@ -316,7 +316,7 @@ def ev_log(spark: SparkSession, d: str) -> DataFrame:
     """events as the append-only judgment log: error events failed, the others carry a 0-1 score, its band grade and
     a grade distribution whose P(>= 2) equals the score."""
     e = table(spark, d, "events")
-    s = F.least(F.lit(1.0), F.round(F.col("value") / 150.0, 2))
+    s = F.least(F.lit(1.0), F.round(F.col("value") / 150.0 + 1e-9, 2))
     rows = e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("query_id"), (F.col("event_id") % 97).alias("doc_id"),
                     F.when(F.col("event_type") == "error", "error: timeout").otherwise("ok").alias("status"), s.alias("score"), "event_type", "ts")
     one = F.lit(1.0) - F.col("score")
@@ -334,7 +334,7 @@ def ev_log_half(spark: SparkSession, d: str, first: bool) -> DataFrame:
 fragment("ev_log", """SELECT event_id AS seq, user_id AS query_id, event_id % 97 AS doc_id,
   CASE WHEN event_type = 'error' THEN 'error: timeout' ELSE 'ok' END AS status, s AS score,
   (s >= 0.175)::INT + (s >= 0.5)::INT + (s >= 0.825)::INT AS grade, s * (1 - s) + s * s AS p_ge2, event_type, ts
-  FROM (SELECT *, least(1.0::DOUBLE, round(value / 150.0::DOUBLE, 2)) AS s FROM events)""")
+  FROM (SELECT *, least(1.0::DOUBLE, round(value / 150.0::DOUBLE + 1e-9, 2)) AS s FROM events)""")
 fragment("log_a", "SELECT * FROM ev_log WHERE event_type IN ('click', 'view', 'error')", ("ev_log",))
 fragment("log_b", "SELECT * FROM ev_log WHERE event_type IN ('purchase', 'signup')", ("ev_log",))
 fragment("latest_a", "SELECT query_id, doc_id, arg_max(grade, seq) AS grade, arg_max(score, seq) AS score FROM log_a WHERE status = 'ok' GROUP BY 1, 2", ("log_a",))

@@ -25,10 +25,14 @@ def grade_from_logprobs(records: DataFrame) -> DataFrame:
 
     Tokens are trimmed; the probabilities of the digits 0..3 are added and renormalised; the first maximum wins;
     without a digit the status is an error. Done inside the row with array functions."""
-    digit = lambda e, g: F.when(F.trim(e["token"]) == str(g), F.exp(e["logprob"])).otherwise(F.lit(0.0))
-    mass = [F.aggregate(F.coalesce("top_logprobs", F.array().cast("array<struct<token:string,logprob:double>>")),
-                        F.lit(0.0), lambda acc, e, g=g: acc + digit(e, g)) for g in range(4)]
-    rows = records.withColumn("mass", F.array(*mass))
+    entries = F.coalesce("top_logprobs", F.array().cast("array<struct<token:string,logprob:double>>"))
+
+    def mass_of(grade: int) -> Column:
+        def add(acc, e):
+            return acc + F.when(F.trim(e["token"]) == str(grade), F.exp(e["logprob"])).otherwise(F.lit(0.0))
+        return F.aggregate(entries, F.lit(0.0), add)
+
+    rows = records.withColumn("mass", F.array(*[mass_of(g) for g in range(4)]))
     total = F.aggregate("mass", F.lit(0.0), lambda acc, x: acc + x)
     rows = rows.withColumn("p", F.when(total > 0, F.transform("mass", lambda x: x / total)))
     best = F.array_position("p", F.array_max("p")).cast("int") - 1

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ranklab.operators.dense import dense_rank
 from ranklab.operators.ordering import global_rank
 from ranklab.operators.tags import tag_idf
+from ranklab.session import checkpoint
 
 MAX_VOCABULARY = 4_096
 
@@ -20,8 +21,8 @@ def lsa_basis(doc_tags: DataFrame, docs: DataFrame, rank: int) -> DataFrame:
     Spark adds up the tag x tag Gram matrix over the distributed rows; its eigenvectors are the right singular
     vectors. The matrix is small because the vocabulary is a fixed taxonomy (checked), and an exact eigensolver on
     it is deterministic at every rank."""
-    pairs = doc_tags.select("doc_id", "tag_id").distinct()
-    vocab = global_rank(tag_idf(pairs, docs), "tag_id", "col")
+    pairs = checkpoint(doc_tags.select("doc_id", "tag_id").distinct())
+    vocab = checkpoint(global_rank(tag_idf(pairs, docs), "tag_id", "col"))
     size = vocab.count()
     if size > MAX_VOCABULARY:
         raise ValueError(f"{size} tags: latent ranking needs a taxonomy of at most {MAX_VOCABULARY}")
