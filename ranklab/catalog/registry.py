@@ -11,6 +11,7 @@ from ranklab.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+PENDING: dict[str, tuple[tuple[str, ...], str]] = {}
 FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {}
 MODULES = ("ingestion", "taxonomies", "texts", "channels", "hubs", "lists", "pooling", "pairs", "judgments", "scores",
            "raters", "ranking", "reports")
@@ -22,7 +23,7 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
         QUERIES[name] = lambda spark, sf_dir: fn(settle(spark), sf_dir)
         QUERIES[name].__module__ = fn.__module__
         if sql is not None:
-            ORACLES[name] = with_fragments(needs, sql)
+            PENDING[name] = (needs, sql)
         return fn
     return register
 
@@ -75,3 +76,4 @@ def with_fragments(names: tuple[str, ...], body: str) -> str:
 def load_all() -> None:
     for name in MODULES:
         importlib.import_module(f"ranklab.catalog.{name}")
+    ORACLES.update({name: with_fragments(needs, sql) for name, (needs, sql) in PENDING.items()})

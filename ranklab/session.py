@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -46,18 +47,27 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: the session's `spark.checkpoint.dir`. Only a local session without one
+    gets a temporary folder; on a cluster a machine-local folder would not survive the loss of an executor."""
+    jsc = spark.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isDefined():
+        return jsc.getCheckpointDir().get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="ranklab-ckpt-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(folder)
+    return jsc.getCheckpointDir().get()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for written tables and stream checkpoints."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the cluster's shared checkpoint folder and cut its lineage.
-
-    The folder is the session's `spark.checkpoint.dir`. Only a local session without one gets a temporary
-    folder; on a cluster a machine-local folder would not survive the loss of an executor, so that is an error."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="ranklab-ckpt-", dir="/tmp")
-        sc.setCheckpointDir(folder)
+    """Materialise `df` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

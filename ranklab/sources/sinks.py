@@ -17,11 +17,15 @@ def sink_ranked_lists(ranked: DataFrame, path: str, system: str, fmt: str = "jso
     ranked_as_lists(ranked).write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/system={system}")
 
 
+def feature_rows(rows: DataFrame, dataset: str, variant: str = "base") -> DataFrame:
+    """Candidate rows with the columns their folders are named by."""
+    return rows.withColumn("dataset", F.lit(dataset)).withColumn("variant", F.lit(variant)).withColumn(
+        "judged", F.col("label").isNotNull())
+
+
 def sink_features(rows: DataFrame, path: str, dataset: str, variant: str = "base", fmt: str = "parquet") -> None:
     """All candidates and the judged subset; only this dataset's and variant's partitions are replaced."""
-    out = rows.withColumn("dataset", F.lit(dataset)).withColumn("variant", F.lit(variant)).withColumn(
-        "judged", F.col("label").isNotNull())
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (feature_rows(rows, dataset, variant).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("dataset", "variant", "judged").format(fmt).save(path))
 
 
