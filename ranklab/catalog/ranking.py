@@ -1 +1,97 @@
+"""Learning to rank and serving scores."""
 
+from pyspark.sql import functions as F
+
+from ranklab.catalog import tables as t
+from ranklab.catalog.lists import rrf2, rrf3
+from ranklab.catalog.pairs import candidates
+from ranklab.catalog.registry import query
+from ranklab.catalog.scores import columns, sql_metrics, sql_round, systems
+from ranklab.operators import ltr
+from ranklab.operators.features import DEFAULT_FEATURES
+from ranklab.operators.metrics import evaluate_all
+from ranklab.plans.ranking import downstream_ablation, recipe_lists, stack_systems
+from ranklab.session import checkpoint, union_all
+
+# Few shallow trees keep the registered query short; the library's defaults are the full-size values.
+QUICK = ltr.Params(trees=4, depth=3, rate=0.3, min_child_weight=0.1)
+
+
+@query("group_kfold", "SELECT query_id, ((row_number() OVER (ORDER BY query_id) - 1) % 5)::INT AS fold FROM ev_queries", ("ev_queries",))
+def kfold(spark, d):
+    return ltr.group_kfold(t.ev_queries(spark, d))
+
+
+def rows(spark, d):
+    return checkpoint(candidates(spark, d))
+
+
+@query("ltr_oof")
+def oof(spark, d):
+    scores, _ = ltr.ltr_oof(rows(spark, d), DEFAULT_FEATURES, QUICK)
+    return scores.select("query_id", "doc_id", "fold", F.round("oof_score", 6).alias("oof_score"))
+
+
+@query("ltr_gain_mode")
+def gain_mode(spark, d):
+    """Mean metrics of both gain forms, out of fold, beside the fused order."""
+    from dataclasses import replace
+    table = rows(spark, d)
+    lists = {"rrf": table.select("query_id", "doc_id", F.col("rrf_rank").alias("rank"))}
+    for name, linear in (("linear", True), ("exponential", False)):
+        scores, _ = ltr.ltr_oof(table, DEFAULT_FEATURES, replace(QUICK, linear_gain=linear))
+        lists[name] = ltr.rank_by_score(scores, table)
+    return evaluate_all(stack_systems(lists), t.ev_gains(spark, d), by=["system"])
+
+
+@query("ltr_importances")
+def importances(spark, d):
+    _, model = ltr.ltr_oof(rows(spark, d), DEFAULT_FEATURES, QUICK)
+    return spark.createDataFrame(sorted(model.importances().items()), "feature string, importance double")
+
+
+@query("ltr_final_and_export", """SELECT query_id, doc_id, round(100.0::DOUBLE * (rrf_score - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END, 2) AS semantic_score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS rank
+  FROM candidates JOIN (SELECT query_id, min(rrf_score) AS lo, max(rrf_score) AS hi FROM candidates GROUP BY 1) USING (query_id)""", ("candidates",))
+def export(spark, d):
+    """The export step on a given score, so that it has an oracle; `ltr_final_scores` exports a trained model's."""
+    out = ltr.export_scores(candidates(spark, d).select("query_id", "doc_id", F.col("rrf_score").alias("score")))
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("ltr_final_scores")
+def final_scores(spark, d):
+    scores, _ = ltr.ltr_oof(rows(spark, d), DEFAULT_FEATURES, QUICK, with_final=True)
+    return ltr.export_scores(scores, "final_score")
+
+
+@query("ltr_recipes_and_fusion")
+def recipes(spark, d):
+    table = rows(spark, d)
+    return evaluate_all(stack_systems(recipe_lists(table, DEFAULT_FEATURES, QUICK)), t.ev_gains(spark, d), by=["system"])
+
+
+@query("downstream_ablation")
+def ablation(spark, d):
+    """Base candidates against candidates with the purchase channel as the tag channel, under the original labels
+    (signup and error events) and the labels extended by the second grader."""
+    from ranklab.operators.features import tag_features
+    from ranklab.operators.labels import gains_from_grades, latest_ok_grade, overlay_labels_last_wins
+    base = rows(spark, d)
+    tagged = checkpoint(tag_features(candidates(spark, d, fused=rrf3(spark, d, top=20)), t.ev_list(spark, d, "purchase"), raw=False))
+    lists = {f"base_{n}": df for n, df in recipe_lists(base, DEFAULT_FEATURES, QUICK).items()}
+    lists.update({f"tag_{n}": df for n, df in recipe_lists(tagged, (*DEFAULT_FEATURES, "tag_score", "tag_rank"), QUICK).items()})
+    original = t.ev_grades(spark, d)
+    extended = overlay_labels_last_wins(latest_ok_grade(t.ev_log_half(spark, d, True)), original)
+    label_sets = union_all([g.select(F.lit(n).alias("labels"), "query_id", "doc_id") for n, g in (("original", original), ("extended", extended))])
+    gains = union_all([gains_from_grades(g).withColumn("labels", F.lit(n)) for n, g in (("original", original), ("extended", extended))])
+    _, diffs, _ = downstream_ablation(checkpoint(stack_systems(lists)), label_sets, gains, t.ev_queries(spark, d), n_boot=100)
+    return diffs
+
+
+@query("ranking_ablation_table", f"""SELECT {sql_round(columns((5, 10)), 'system')} FROM ({sql_metrics("(SELECT 'rrf' AS system, query_id, doc_id, rrf_rank AS rank FROM candidates UNION ALL SELECT 'external', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, rrf_rank) FROM candidates LEFT JOIN ev_purchase USING (query_id, doc_id))", 'ev_gains', by='system')}) GROUP BY 1""",
+       ("candidates", "ev_purchase", "ev_gains"))
+def ablation_table(spark, d):
+    from ranklab.operators.fusion import rerank_by_external_score
+    table = candidates(spark, d)
+    lists = {"rrf": table.select("query_id", "doc_id", F.col("rrf_rank").alias("rank")), "external": rerank_by_external_score(table, t.ev_list(spark, d, "purchase"))}
+    return evaluate_all(stack_systems(lists), t.ev_gains(spark, d), by=["system"])
