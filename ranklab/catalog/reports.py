@@ -1 +1,325 @@
+"""Composed benches: roles, tracks, providers, taggers, encoders, compared lists."""
 
+from pyspark.sql import functions as F
+
+from ranklab.catalog import hubs as hu
+from ranklab.catalog import tables as t
+from ranklab.catalog.judgments import truths
+from ranklab.catalog.lists import rrf2, rrf3
+from ranklab.catalog.pooling import sampler, split, sql_key
+from ranklab.catalog.raters import COMPARISONS, N_BOOT, audit_rows, comparison_table, plus0, sql_ci
+from ranklab.catalog.registry import fragment, query, shown6
+from ranklab.catalog.scores import columns, sql_metrics, sql_round, systems
+from ranklab.catalog.taxonomies import market
+from ranklab.functions.keys import seeded_key
+from ranklab.operators import hubness as hb
+from ranklab.operators import roles as ro
+from ranklab.operators.pools import class_split
+from ranklab.operators.tags import tag_scores
+from ranklab.plans import benches as be
+from ranklab.plans.stage1 import stage1_sweep, sweep_names
+from ranklab.session import union_all
+
+METHODS = (("bm25_b0.25", "bm25", 1.2, 0.25), ("bm25_b0.75", "bm25", 1.2, 0.75), ("idf_overlap", "idf_overlap", 1.2, 0.75), ("coverage", "coverage", 1.2, 0.75))
+
+
+def world(spark, d):
+    roles, bridge = market(spark, d)
+    classes = roles.select("role_id", F.col("role_id").alias("class_id"))
+    return roles, bridge, classes
+
+
+def role_queries(spark, d):
+    return sampler(spark, d).select("condition", "draw", F.col("class_id").alias("query_id"), "tag_id")
+
+
+fragment("role_q", "SELECT DISTINCT condition, draw, class_id AS query_id, tag_id FROM sampled", ("sampled",))
+_BM = """SELECT '{name}' AS method, condition, draw, query_id, role_id, round(2.2::DOUBLE / (1 + 1.2::DOUBLE * (1 - {b}::DOUBLE + {b}::DOUBLE * dl / avgdl)) * sum(idf), 9) AS score FROM role_q JOIN market_idf USING (tag_id) JOIN market_bridge USING (tag_id)
+  JOIN (SELECT role_id, count(*) AS dl FROM market_bridge GROUP BY 1) USING (role_id), (SELECT (SELECT count(*) FROM market_bridge)::DOUBLE / count(*) AS avgdl FROM market_roles) GROUP BY condition, draw, query_id, role_id, dl, avgdl"""
+fragment("role_scores", " UNION ALL ".join([_BM.format(name="bm25_b0.25", b="0.25"), _BM.format(name="bm25_b0.75", b="0.75"),
+         """SELECT 'idf_overlap', condition, draw, query_id, role_id, round(sum(idf), 9) FROM role_q JOIN market_idf USING (tag_id) JOIN market_bridge USING (tag_id) GROUP BY ALL""",
+         """SELECT 'coverage', condition, draw, query_id, role_id, round(count(*)::DOUBLE / n, 9) FROM role_q JOIN market_bridge USING (tag_id) JOIN (SELECT condition, draw, query_id, count(*) AS n FROM role_q
+           WHERE tag_id IN (SELECT tag_id FROM market_bridge) GROUP BY ALL) USING (condition, draw, query_id) GROUP BY condition, draw, query_id, role_id, n"""]), ("role_q", "market_idf", "market_bridge", "market_roles"))
+fragment("role_truth", "SELECT DISTINCT method, condition, draw, query_id FROM role_q, (SELECT DISTINCT method FROM role_scores)", ("role_q", "role_scores"))
+fragment("role_hits", """SELECT method, condition, draw, query_id AS class_id, CASE WHEN st > 1e-9 THEN least(greatest((1 - gt) / ties::DOUBLE, 0), 1) ELSE 0 END AS role_1, CASE WHEN st > 1e-9 THEN least(greatest((5 - gt) / ties::DOUBLE, 0), 1) ELSE 0 END AS role_5,
+  CASE WHEN st > 1e-9 THEN least(greatest((10 - gt) / ties::DOUBLE, 0), 1) ELSE 0 END AS role_10 FROM (SELECT method, condition, draw, query_id, st, count(*) FILTER (score > st + 1e-9) AS gt, greatest(count(*) FILTER (abs(score - st) <= 1e-9), 1) AS ties FROM (
+    SELECT tr.*, coalesce(s.score, 0) AS st FROM role_truth tr LEFT JOIN role_scores s ON s.method = tr.method AND s.condition = tr.condition AND s.draw = tr.draw AND s.query_id = tr.query_id AND s.role_id = tr.query_id) a LEFT JOIN role_scores USING (method, condition, draw, query_id) GROUP BY ALL)""", ("role_truth", "role_scores"))
+fragment("role_dist", """SELECT method, condition, draw, query_id, track_id, row_number() OVER (PARTITION BY method, condition, draw, query_id ORDER BY mass DESC, track_id) AS tr FROM (
+  SELECT method, condition, draw, query_id, track_id, round(sum(score) / sum(sum(score)) OVER (PARTITION BY method, condition, draw, query_id), 9) AS mass FROM (
+    SELECT *, row_number() OVER (PARTITION BY method, condition, draw, query_id ORDER BY score DESC, role_id) AS rk FROM role_scores) JOIN market_roles USING (role_id) WHERE rk <= 10 GROUP BY method, condition, draw, query_id, track_id)""", ("role_scores", "market_roles"))
+fragment("track_hits", """SELECT method, condition, draw, q.query_id AS class_id, max((coalesce(track_id = own AND tr <= 1, false))::INT)::DOUBLE AS track_1, max((coalesce(track_id = own AND tr <= 3, false))::INT)::DOUBLE AS track_3
+  FROM role_truth q JOIN (SELECT role_id AS query_id, track_id AS own FROM market_roles) USING (query_id) LEFT JOIN role_dist USING (method, condition, draw, query_id) GROUP BY ALL""", ("role_truth", "market_roles", "role_dist"))
+R3 = ", ".join(f"round(avg(role_{k}), 6) AS role_{k}" for k in (1, 5, 10))
+
+
+def role_tables(spark, d):
+    roles, bridge, classes = world(spark, d)
+    keys = ("method", *be.ROLE_KEYS)
+    q = role_queries(spark, d)
+    scores = be.role_scores(bridge, roles, q, METHODS)
+    truth = q.select(*be.ROLE_KEYS).distinct().withColumn("method", F.explode(F.array(*[F.lit(m[0]) for m in METHODS]))).withColumn("class_id", F.col("query_id"))
+    return roles, bridge, classes, keys, scores, truth
+
+
+@query("tie_aware_hit_at_k", "SELECT method, condition, draw::BIGINT AS draw, class_id, round(role_1, 6) AS role_1, round(role_5, 6) AS role_5, round(role_10, 6) AS role_10 FROM role_hits", ("role_hits",))
+def tie_hits(spark, d):
+    roles, _, classes, keys, scores, truth = role_tables(spark, d)
+    hits = ro.tie_aware_hits(ro.class_scores(scores, classes, keys), truth, classes.select("class_id").distinct().agg(F.count(F.lit(1))), keys=keys)
+    return hits.select("method", "condition", F.col("draw").cast("bigint").alias("draw"), "class_id", *[F.round(f"role_{k}", 6).alias(f"role_{k}") for k in (1, 5, 10)])
+
+
+@query("track_at_k", "SELECT method, condition, draw::BIGINT AS draw, class_id, track_1, track_3 FROM track_hits", ("track_hits",))
+def track_at(spark, d):
+    roles, _, classes, keys, scores, truth = role_tables(spark, d)
+    out = ro.track_hits(scores, truth, roles, classes, t.tracks(spark, d), keys)
+    return out.select("method", "condition", F.col("draw").cast("bigint").alias("draw"), "class_id", "track_1", "track_3")
+
+
+def class_halves(spark, d):
+    _, _, classes = world(spark, d)
+    return class_split(classes).select("class_id", "split")
+
+
+fragment("class_halves", f"SELECT role_id AS class_id, CASE WHEN row_number() OVER (ORDER BY {sql_key(7, 'split', 'role_id')}) <= count(*) OVER () // 2 THEN 'dev' ELSE 'test' END AS split FROM market_roles", ("market_roles",))
+fragment("role_means", """SELECT method, condition, class_id, split, avg(role_1) AS role_1, avg(role_5) AS role_5, avg(role_10) AS role_10, avg(track_1) AS track_1, avg(track_3) AS track_3
+  FROM role_hits JOIN track_hits USING (method, condition, draw, class_id) JOIN class_halves USING (class_id) GROUP BY 1, 2, 3, 4""", ("role_hits", "track_hits", "class_halves"))
+M5 = ("role_1", "role_5", "role_10", "track_1", "track_3")
+
+
+def role_means(spark, d, methods=METHODS):
+    roles, bridge, classes = world(spark, d)
+    return be.role_bench(bridge, roles, classes, t.tracks(spark, d), role_queries(spark, d), class_halves(spark, d), methods)
+
+
+@query("class_means", "SELECT method, condition, class_id, " + ", ".join(f"round({m}, 6) AS {m}" for m in M5) + " FROM role_means", ("role_means",))
+def class_means(spark, d):
+    return role_means(spark, d).select("method", "condition", "class_id", *[F.round(m, 6).alias(m) for m in M5])
+
+
+fragment("class_draws", f"""SELECT split, boot, class_id, count(*) AS times FROM (SELECT split, boot, ('0x' || substr(md5(concat_ws('|', '7', 'boot/' || split, boot::VARCHAR, slot::VARCHAR)), 1, 15))::UBIGINT::BIGINT % n + 1 AS pos
+  FROM (SELECT split, count(*) AS n FROM class_halves GROUP BY 1), unnest(range(1, 51)) b(boot), unnest(range(1, n + 1)) s(slot)) JOIN (SELECT split, class_id, row_number() OVER (PARTITION BY split ORDER BY class_id) AS pos FROM class_halves) USING (split, pos) GROUP BY 1, 2, 3""", ("class_halves",))
+
+
+@query("role_bench", f"""WITH l AS (SELECT method, condition, split, class_id, unnest([{', '.join("'" + m + "'" for m in M5)}]) AS metric, unnest([{', '.join(M5)}]) AS value FROM role_means)
+  SELECT split, method, condition, metric, n, round(mean, 6) + 0.0 AS mean, round(quantile_cont(mm, 0.025), 6) + 0.0 AS lo, round(quantile_cont(mm, 0.975), 6) + 0.0 AS hi FROM (
+    SELECT split, method, condition, metric, boot, sum(value * times) / sum(times) AS mm FROM l JOIN class_draws USING (split, class_id) GROUP BY ALL)
+  JOIN (SELECT split, method, condition, metric, count(*) AS n, avg(value) AS mean FROM l GROUP BY ALL) USING (split, method, condition, metric) GROUP BY split, method, condition, metric, n, mean""", ("role_means", "class_draws"))
+def role_bench(spark, d):
+    summary = be.role_bench_summary(role_means(spark, d), n_boot=50)
+    return plus0(summary.where(F.col("metric").isin(*M5)), "mean", "lo", "hi")
+
+
+TWINS = (("wrong1_on_5", "default_5"), ("wrong1_on_4", "clean_4"), ("wrong2_on_3", "few_3"), ("near1_on_5", "default_5"), ("near2_on_3", "few_3"))
+
+
+@query("condition_effect", f"""SELECT noisy || ' - ' || clean AS label, metric, count(*) AS n, round(avg(v), 6) + 0.0 AS mean FROM (SELECT noisy, clean, unnest(['role_1', 'role_5', 'track_1']) AS metric, unnest([x.role_1 - y.role_1, x.role_5 - y.role_5, x.track_1 - y.track_1]) AS v
+  FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in TWINS)}) w(noisy, clean) JOIN role_means x ON x.condition = noisy AND x.method = 'bm25_b0.75' JOIN role_means y ON y.condition = clean AND y.method = x.method AND y.class_id = x.class_id) GROUP BY 1, 2""", ("role_means",))
+def condition_effect(spark, d):
+    means = role_means(spark, d, METHODS[1:2])
+    effect = ro.condition_effect(means, TWINS, ("role_1", "role_5", "track_1"))
+    return effect.groupBy("label", "metric").agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("value"), 6) + 0.0).alias("mean"))
+
+
+B_GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
+_GRID_SQL = " UNION ALL ".join(f"""SELECT {b}::DOUBLE AS b, query_id, role_id, round(2.2::DOUBLE / (1 + 1.2::DOUBLE * (1 - {b}::DOUBLE + {b}::DOUBLE * dl / avgdl)) * s, 9) AS score FROM grid_sums""" for b in B_GRID)
+
+
+@query("grid_select", f"""WITH grid_sums AS (SELECT query_id, role_id, dl, avgdl, sum(idf) AS s FROM nation_queries JOIN market_idf USING (tag_id) JOIN market_bridge USING (tag_id) JOIN (SELECT role_id, count(*) AS dl FROM market_bridge GROUP BY 1) USING (role_id),
+    (SELECT (SELECT count(*) FROM market_bridge)::DOUBLE / count(*) AS avgdl FROM market_roles) GROUP BY ALL),
+  g AS (SELECT b, query_id, role_id, row_number() OVER (PARTITION BY b, query_id ORDER BY score DESC, role_id) AS rank FROM ({_GRID_SQL})),
+  v AS (SELECT b, avg(h) AS value FROM (SELECT b, g.query_id, max((r.track_id = g.query_id)::INT) AS h FROM g JOIN market_roles r USING (role_id) WHERE rank <= 5 GROUP BY 1, 2) GROUP BY 1)
+  SELECT b, round(value, 6) AS value FROM v ORDER BY round(value, 9) DESC, abs(b - 0.75) LIMIT 1""", ("nation_queries", "market_idf", "market_bridge", "market_roles"))
+def grid_select(spark, d):
+    """b of the tag scorer by how often a nation's own roles are in its top 5; ties go to the b nearest 0.75."""
+    from ranklab.operators.ordering import rank_list
+    roles, bridge, _ = world(spark, d)
+    q = t.nation_queries(spark, d)
+    docs = roles.select(F.col("role_id").alias("doc_id"))
+    grid = union_all([tag_scores(bridge.withColumnRenamed("role_id", "doc_id"), docs, q, "bm25", 1.2, b).withColumn("b", F.lit(b)) for b in B_GRID])
+    top = rank_list(grid, 5, keys=("b", "query_id")).join(roles.select(F.col("role_id").alias("doc_id"), "track_id"), "doc_id")
+    value = top.groupBy("b", "query_id").agg(F.max((F.col("track_id") == F.col("query_id")).cast("double")).alias("h")).groupBy("b").agg(F.avg("h").alias("value"))
+    return ro.grid_select(value, "value", [F.abs(F.col("b") - 0.75)]).select("b", F.round("value", 6).alias("value"))
+
+
+@query("track_first_funnel", """WITH q AS (SELECT * FROM role_q WHERE condition = 'default_5'), tt AS (SELECT DISTINCT track_id, tag_id FROM market_bridge JOIN market_roles USING (role_id)),
+  ti AS (SELECT tag_id, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM (SELECT tag_id, count(*) AS df FROM tt GROUP BY 1), (SELECT count(DISTINCT track_id) AS n FROM market_roles)),
+  ts AS (SELECT condition, draw, query_id, track_id, round(2.2::DOUBLE / (1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) * sum(idf), 9) AS score FROM q JOIN ti USING (tag_id) JOIN tt USING (tag_id) JOIN (SELECT track_id, count(*) AS dl FROM tt GROUP BY 1) USING (track_id),
+    (SELECT (SELECT count(*) FROM tt)::DOUBLE / count(DISTINCT track_id) AS avgdl FROM market_roles) GROUP BY condition, draw, query_id, track_id, dl, avgdl),
+  pr AS (SELECT condition, draw, query_id, arg_max(track_id, (score, md5(concat_ws('|', '7', 'funnel', condition, draw::VARCHAR, query_id::VARCHAR, track_id::VARCHAR)))) AS pred FROM ts GROUP BY ALL),
+  fl AS (SELECT s.*, r.track_id, o.track_id AS own, pred FROM role_scores s JOIN market_roles r USING (role_id) JOIN market_roles o ON o.role_id = s.query_id LEFT JOIN pr USING (condition, draw, query_id) WHERE method = 'bm25_b0.75' AND condition = 'default_5'),
+  v AS (SELECT 'flat' AS route, * FROM fl UNION ALL SELECT 'funnel', * FROM fl WHERE track_id = pred UNION ALL SELECT 'oracle', * FROM fl WHERE track_id = own),
+  tr AS (SELECT DISTINCT route, condition, draw, query_id FROM q, (VALUES ('flat'), ('funnel'), ('oracle')) r(route)),
+  st AS (SELECT tr.*, coalesce(v.score, 0) AS st FROM tr LEFT JOIN v ON v.route = tr.route AND v.draw = tr.draw AND v.query_id = tr.query_id AND v.role_id = tr.query_id),
+  h AS (SELECT route, draw, query_id, st, count(*) FILTER (score > st + 1e-9) AS gt, greatest(count(*) FILTER (abs(score - st) <= 1e-9), 1) AS ties FROM st LEFT JOIN v USING (route, condition, draw, query_id) GROUP BY ALL)
+  SELECT route, count(*) AS n, round(avg(CASE WHEN st > 1e-9 THEN least(greatest((1 - gt) / ties::DOUBLE, 0), 1) ELSE 0 END), 6) AS role_1, round(avg(CASE WHEN st > 1e-9 THEN least(greatest((5 - gt) / ties::DOUBLE, 0), 1) ELSE 0 END), 6) AS role_5,
+    round(avg(CASE WHEN st > 1e-9 THEN least(greatest((10 - gt) / ties::DOUBLE, 0), 1) ELSE 0 END), 6) AS role_10 FROM h GROUP BY 1
+  UNION ALL SELECT 'track accuracy', count(*), round(avg((coalesce(pred = own, false))::INT), 6), NULL, NULL FROM (SELECT DISTINCT condition, draw, query_id FROM q) LEFT JOIN pr USING (condition, draw, query_id) JOIN (SELECT role_id AS query_id, track_id AS own FROM market_roles) USING (query_id)""",
+       ("role_q", "market_bridge", "market_roles", "role_scores"))
+def funnel(spark, d):
+    roles, bridge, classes = world(spark, d)
+    q = role_queries(spark, d).where("condition = 'default_5'")
+    truth = q.select(*be.ROLE_KEYS).distinct().withColumn("class_id", F.col("query_id"))
+    out = ro.track_first_funnel(bridge, roles, classes, q, truth, be.ROLE_KEYS)
+    rows = [out[n].agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(f"role_{k}"), 6).alias(f"role_{k}") for k in (1, 5, 10)]).select(F.lit(n).alias("route"), "*") for n in ("flat", "funnel", "oracle")]
+    none = F.lit(None).cast("double")
+    rows.append(out["accuracy"].agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias("role_1")).select(F.lit("track accuracy").alias("route"), "n", "role_1", none.alias("role_5"), none.alias("role_10")))
+    return union_all(rows)
+
+
+# --- providers ------------------------------------------------------------------------------------------------
+
+PKS, PRK = (5, 10, 20), (10, 20, 50, 100)
+fragment("test_q", "SELECT query_id FROM split WHERE split = 'test'", ("split",))
+fragment("ext_grades", "SELECT query_id, doc_id, coalesce(g.grade, a.grade) AS grade FROM latest_a a FULL JOIN ev_grades g USING (query_id, doc_id)", ("latest_a", "ev_grades"))
+fragment("ext_gains", "SELECT query_id, doc_id, CASE grade WHEN 1 THEN 33.0 WHEN 2 THEN 67.0 ELSE 100.0 END::DOUBLE AS gain FROM ext_grades WHERE grade > 0", ("ext_grades",))
+fragment("rrf3w1", """SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list_no * 1000000 + rank) AS first_seen FROM stacked3 GROUP BY 1, 2)""", ("stacked3",))
+fragment("prov_lists", """SELECT 'bm25' AS system, query_id, doc_id, rank FROM ev_click UNION ALL SELECT 'dense', query_id, doc_id, rank FROM ev_view UNION ALL SELECT 'tag', query_id, doc_id, rank FROM ev_purchase
+  UNION ALL SELECT 'rrf2', query_id, doc_id, rank FROM rrf2 UNION ALL SELECT 'rrf3_w1.0', query_id, doc_id, rank FROM rrf3w1 UNION ALL SELECT 'rrf3_w0.5', query_id, doc_id, rank FROM rrf3""", ("ev_click", "ev_view", "ev_purchase", "rrf2", "rrf3w1", "rrf3"))
+
+
+def _prov_sql(labels, gains, grades, treatment):
+    lists = "(SELECT * FROM prov_lists SEMI JOIN test_q USING (query_id))"
+    if treatment == "condensed":
+        lists = f"(SELECT system, query_id, doc_id, row_number() OVER (PARTITION BY system, query_id ORDER BY rank) AS rank FROM prov_lists SEMI JOIN test_q USING (query_id) SEMI JOIN {grades} USING (query_id, doc_id))"
+    body = sql_metrics(lists, gains, PKS, PRK, "system", "(SELECT DISTINCT system, q.query_id FROM prov_lists, test_q q)")
+    return f"SELECT '{labels}' AS labels, '{treatment}' AS treatment, {sql_round(columns(PKS, PRK), 'system')} FROM ({body}) GROUP BY system"
+
+
+@query("provider_bench", " UNION ALL ".join(_prov_sql(n, g, j, tr) for n, g, j in (("base", "ev_gains", "ev_grades"), ("extended", "ext_gains", "ext_grades")) for tr in ("standard", "condensed")),
+       ("prov_lists", "test_q", "ev_gains", "ev_grades", "ext_gains", "ext_grades"))
+def provider_bench(spark, d):
+    from ranklab.operators.labels import gains_from_grades, latest_ok_grade, overlay_labels_last_wins
+    from ranklab.operators.metrics import mean_metrics
+    base = t.ev_grades(spark, d)
+    extended = overlay_labels_last_wins(latest_ok_grade(t.ev_log_half(spark, d, True)), base)
+    channels = {"bm25": t.ev_list(spark, d, "click"), "dense": t.ev_list(spark, d, "view"), "tag": t.ev_list(spark, d, "purchase"), "rrf2": rrf2(spark, d)}
+    queries = split(spark, d).where("split = 'test'")
+    per = be.provider_bench(channels, {"base": (base, gains_from_grades(base)), "extended": (extended, gains_from_grades(extended))}, queries)
+    return mean_metrics(per, ["labels", "treatment", "system"])
+
+
+# --- compared lists, one grader -------------------------------------------------------------------------------
+
+fragment("cut_lists", "SELECT * FROM ev_systems WHERE rank <= 10 AND query_id IN (SELECT query_id FROM test_q)", ("ev_systems", "test_q"))
+DEFINITIONS = ("repro", "p60", "term", "s70")
+_VAR = " UNION ALL ".join(f"""SELECT '{n}' AS relevance, * FROM ({sql_metrics('cut_lists', f"(SELECT query_id, doc_id, gain FROM truths WHERE relevance = '{n}')", by='system', queries='(SELECT DISTINCT system, q.query_id FROM ev_systems, test_q q)')})""" for n in DEFINITIONS)
+fragment("var_metrics", _VAR, ("cut_lists", "truths", "ev_systems", "test_q"))
+fragment("var_long", f"SELECT relevance, system, query_id, unnest([{', '.join(chr(39) + c + chr(39) for c in columns((5, 10)))}]) AS metric, unnest([{', '.join(columns((5, 10)))}]) AS value FROM var_metrics", ("var_metrics",))
+fragment("var_draws", f"""SELECT boot, query_id, count(*) AS times FROM (SELECT boot, ('0x' || substr(md5(concat_ws('|', '7', 'variants/boot', boot::VARCHAR, slot::VARCHAR)), 1, 15))::UBIGINT::BIGINT % n + 1 AS pos FROM (SELECT count(*) AS n FROM test_q), unnest(range(1, {N_BOOT + 1})) b(boot), unnest(range(1, n + 1)) s(slot))
+  JOIN (SELECT query_id, row_number() OVER (ORDER BY query_id) AS pos FROM test_q) USING (pos) GROUP BY 1, 2""", ("test_q",))
+fragment("var_diff", "SELECT label, x.relevance, x.metric, x.query_id, x.value - y.value AS value FROM comparisons JOIN var_long x ON x.system = a JOIN var_long y ON y.system = b AND y.metric = x.metric AND y.query_id = x.query_id AND y.relevance = x.relevance", ("comparisons", "var_long"))
+
+
+def chosen_truths(spark, d):
+    return truths(spark, d).where(F.col("relevance").isin(*DEFINITIONS))
+
+
+@query("compared_lists_report", "SELECT *, lo > 0 OR hi < 0 AS significant FROM (" + sql_ci("var_diff", "label, relevance, metric").replace("JOIN draws", "JOIN var_draws") + ")", ("var_diff", "var_draws"))
+def compared_lists(spark, d):
+    _, diffs = be.compared_lists_report(systems(spark, d), chosen_truths(spark, d), split(spark, d).where("split = 'test'"), comparison_table(spark), N_BOOT)
+    return plus0(diffs, "mean", "lo", "hi")
+
+
+@query("compared_lists_means", f"SELECT relevance, {sql_round(columns((5, 10)), 'system')} FROM var_metrics GROUP BY relevance, system", ("var_metrics",))
+def compared_means(spark, d):
+    means, _ = be.compared_lists_report(systems(spark, d), chosen_truths(spark, d), split(spark, d).where("split = 'test'"), comparison_table(spark), N_BOOT)
+    return means
+
+
+@query("samegrader_report", f"""SELECT 'pairs' AS kind, 'all' AS system, count(*)::DOUBLE AS p_10, count(*) FILTER (l.grade IS NULL)::DOUBLE AS ndcg_10, NULL::DOUBLE AS mrr FROM (SELECT DISTINCT query_id, doc_id FROM cut_lists) LEFT JOIN latest_all l USING (query_id, doc_id)
+  UNION ALL SELECT 'mean', system, round(avg(p_10), 6), round(avg(ndcg_10), 6), round(avg(mrr), 6) FROM ({sql_metrics('cut_lists', "(SELECT query_id, doc_id, CASE grade WHEN 1 THEN 33.0 WHEN 2 THEN 67.0 ELSE 100.0 END::DOUBLE AS gain FROM latest_all WHERE grade > 0)", by='system', queries='(SELECT DISTINCT system, q.query_id FROM ev_systems, test_q q)')}) GROUP BY 2""",
+       ("cut_lists", "latest_all", "ev_systems", "test_q"))
+def samegrader(spark, d):
+    from ranklab.operators.labels import gains_from_grades, latest_ok_grade
+    grades = latest_ok_grade(t.ev_log(spark, d))
+    complete, means, _ = be.samegrader_report(systems(spark, d), grades, gains_from_grades(grades), split(spark, d).where("split = 'test'"), comparison_table(spark), N_BOOT)
+    head = complete.select(F.lit("pairs").alias("kind"), F.lit("all").alias("system"), F.col("n_pairs").cast("double").alias("p_10"), F.col("n_missing").cast("double").alias("ndcg_10"), F.lit(None).cast("double").alias("mrr"))
+    return union_all([head, means.select(F.lit("mean").alias("kind"), "system", "p_10", "ndcg_10", "mrr")])
+
+
+@query("calibrated_gain", """WITH b AS (SELECT query_id, doc_id, CASE WHEN score < 0.6 THEN 0 WHEN score < 0.8 THEN 1 WHEN score < 0.95 THEN 2 ELSE 3 END AS bin FROM latest_all WHERE grade >= 2),
+  r AS (SELECT CASE WHEN p_ge2 < 0.6 THEN 0 WHEN p_ge2 < 0.8 THEN 1 WHEN p_ge2 < 0.95 THEN 2 ELSE 3 END AS bin, avg((audit_grade >= 2)::INT) AS rate FROM audit_rows WHERE grade >= 2 GROUP BY 1),
+  w AS (SELECT query_id, doc_id, coalesce(rate, 1.0) AS rate FROM b LEFT JOIN r USING (bin))
+  SELECT system, round(avg(p), 6) AS precision, round(avg(c), 6) AS calibrated FROM (SELECT system, query_id, count(rate)::DOUBLE / count(*) AS p, coalesce(sum(rate), 0) / count(*) AS c FROM ev_systems LEFT JOIN w USING (query_id, doc_id) WHERE rank <= 10 GROUP BY 1, 2) GROUP BY 1""",
+       ("latest_all", "audit_rows", "ev_systems"))
+def calibrated(spark, d):
+    from ranklab.operators.labels import latest_ok
+    records = latest_ok(t.ev_log(spark, d), "grade", "score").withColumnRenamed("score", "p_ge2")
+    audit = audit_rows(spark, d).where("grade >= 2").select("p_ge2", (F.col("audit_grade") >= 2).alias("confirmed"))
+    return be.calibrated_gain(systems(spark, d), records, audit)
+
+
+# --- taggers and encoders -------------------------------------------------------------------------------------
+
+TOP = hu.TOP
+
+
+def _gold_sql(table):
+    return f"""(SELECT p.text_id, m, count(g.tag_id)::DOUBLE / m AS precision, count(g.tag_id)::DOUBLE / any_value(n) AS recall, (count(g.tag_id) > 0)::INT::DOUBLE AS hit FROM (SELECT text_id, tag_id, {TOP} FROM {table}) p JOIN (VALUES (5), (10), (20), (30)) k(m) ON p.rank <= m
+      JOIN (SELECT text_id, count(*) AS n FROM vec_gold GROUP BY 1) USING (text_id) LEFT JOIN vec_gold g ON g.text_id = p.text_id AND g.tag_id = p.tag_id GROUP BY 1, 2)"""
+
+
+@query("tagger_bench", " UNION ALL ".join(f"SELECT '{n}' AS variant, m, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit FROM {_gold_sql(tb)} GROUP BY m" for n, tb in (("raw", "sims"), ("center", "centered"), ("z", "zscored"))),
+       ("sims", "centered", "zscored", "vec_gold"))
+def tagger_bench(spark, d):
+    s = t.sims(spark, d)
+    st = hb.hubness_stats(s)
+    gold, texts = hu.gold(spark, d), t.texts(spark, d)
+    quality = {n: hb.gold_tag_metrics(hb.top_tags(x, 30), gold, texts) for n, x in (("raw", s), ("center", hb.hubness_center(s, st)), ("z", hb.hubness_z(s, st)))}
+    tags, _ = be.encoder_bench(quality, {"none": spark.createDataFrame([], "query_id bigint, doc_id bigint, score double")},
+                               spark.createDataFrame([], "query_id bigint, doc_id bigint, grade int, tie string"), spark.createDataFrame([], "query_id bigint, doc_id bigint, gain double"))
+    return tags.withColumnRenamed("candidate", "variant")
+
+
+fragment("vec_pool", f"SELECT query_id, doc_id, CASE WHEN label = query_id THEN 3 ELSE 0 END AS grade, {sql_key(7, 'tie', 'doc_id')} AS tie FROM (SELECT * FROM vecs) v, (SELECT query_id FROM centroids) c WHERE label = query_id OR label = (query_id + 1) % 10", ("vecs", "centroids"))
+
+
+@query("encoder_bench", "WITH s AS (SELECT 'tags' AS candidate, query_id, doc_id, tie, grade, coalesce(p.score, 0) AS score FROM vec_pool LEFT JOIN pair_cos p USING (query_id, doc_id) UNION ALL SELECT 'dense', query_id, doc_id, tie, grade, round(list_cosine_similarity(v.vec, c.vec), 9) FROM vec_pool JOIN vecs v USING (doc_id) JOIN centroids c USING (query_id)),"
+       " rk AS (SELECT *, row_number() OVER (PARTITION BY candidate, query_id ORDER BY score DESC, tie) AS rank, rank() OVER (PARTITION BY candidate, query_id ORDER BY score) + (count(*) OVER (PARTITION BY candidate, query_id, score) - 1) / 2.0::DOUBLE AS mr FROM s),"
+       " m AS (" + sql_metrics("(SELECT candidate, query_id, doc_id, rank FROM rk)", "(SELECT query_id, doc_id, 100.0::DOUBLE AS gain FROM vec_pool WHERE grade = 3)", by="candidate") + "),"
+       " a AS (SELECT candidate, query_id, (sum(mr) FILTER (grade = 3) - count(*) FILTER (grade = 3) * (count(*) FILTER (grade = 3) + 1) / 2.0::DOUBLE) / nullif(count(*) FILTER (grade = 3) * count(*) FILTER (grade = 0), 0) AS auc FROM rk GROUP BY 1, 2)"
+       " SELECT candidate, query_id, round(ndcg_5, 6) AS ndcg_5, round(ndcg_10, 6) AS ndcg_10, round(auc, 6) AS auc FROM m JOIN a USING (candidate, query_id)", ("vec_pool", "pair_cos", "vecs", "centroids"))
+def encoder_bench(spark, d):
+    """Graded pool of a centroid: its own label's vectors (relevant) and the next label's."""
+    labels = t.centroids(spark, d).select("query_id")
+    near = labels.withColumn("label", F.explode(F.array("query_id", (F.col("query_id") + 1) % 10)))
+    pool = t.vectors(spark, d).select("doc_id", F.col("label").cast("bigint").alias("label")).join(near, "label").select(
+        "query_id", "doc_id", F.when(F.col("label") == F.col("query_id"), 3).otherwise(0).alias("grade"), seeded_key(7, "tie", "doc_id").alias("tie"))
+    gains = pool.where("grade = 3").select("query_id", "doc_id", F.lit(100.0).alias("gain"))
+    from ranklab.operators.similarity import all_cosines
+    dense = all_cosines(t.vectors(spark, d), t.centroids(spark, d), "doc_id", "query_id")
+    s = t.sims(spark, d)
+    quality = {"tags": hb.gold_tag_metrics(hb.top_tags(hb.hubness_pooled_unit(s), 30), hu.gold(spark, d), t.texts(spark, d))}
+    _, pools = be.encoder_bench(quality, {"tags": hu.pair_scores(spark, d), "dense": dense}, pool, gains)
+    return pools.select("candidate", "query_id", *[F.round(c, 6).alias(c) for c in ("ndcg_5", "ndcg_10", "auc")])
+
+
+# --- stage 1 --------------------------------------------------------------------------------------------------
+
+def text_vectors(spark, d):
+    """Document vectors: the embedding of the document's number; an item's: the centroid of the label it maps to."""
+    docs = t.vectors(spark, d).select("doc_id", "vec").join(t.table(spark, d, "documents").select("doc_id"), "doc_id", "left_semi")
+    cents = t.centroids(spark, d).select(F.col("query_id").alias("label"), "vec")
+    gigs = t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 10).alias("label")).join(cents, "label").select("query_id", "vec")
+    return docs, gigs
+
+
+fragment("gig_vecs", "SELECT item_id AS query_id, vec FROM benchmark JOIN centroids c ON c.query_id = item_id % 10", ("centroids",))
+fragment("doc_vecs", "SELECT doc_id, vec FROM vecs SEMI JOIN documents USING (doc_id)", ("vecs",))
+
+
+def _dense_sql(dim, k):
+    return f"""SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(list_cosine_similarity(q.vec[1:{dim}], v.vec[1:{dim}]), 9) + 0.0 AS score FROM doc_vecs v, gig_vecs q) QUALIFY rank <= {k}"""
+
+
+fragment("dense50", _dense_sql(64, 50), ("doc_vecs", "gig_vecs"))
+_SWEEP = ", ".join(f"('{n}', {k}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE)" for n, (k, a, b) in zip(sweep_names(), ((10, 1, 1), (60, 1, 1), (100, 1, 1), (60, 1.0, 1.0), (60, 1.0, 1.5), (60, 0.7, 1.3), (60, 1.5, 1.0))))
+
+
+@query("stage1_sweep", f"""SELECT 'bm25_baseline' AS system, query_id, doc_id, rank FROM plain_bm25 WHERE rank <= 20 UNION ALL SELECT 'bm25_refined', query_id, doc_id, rank FROM bm25 WHERE rank <= 20
+  UNION ALL SELECT 'dense_64', query_id, doc_id, rank FROM dense50 WHERE rank <= 20 UNION ALL SELECT 'dense_16', * FROM ({_dense_sql(16, 20)})
+  UNION ALL SELECT system, query_id, doc_id, row_number() OVER (PARTITION BY system, query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT system, query_id, doc_id, round(coalesce(wa / (k + a.rank), 0) + coalesce(wb / (k + b.rank), 0), 12) AS score
+    FROM (bm25 a FULL JOIN dense50 b USING (query_id, doc_id)), (VALUES {_SWEEP}) s(system, k, wa, wb)) QUALIFY rank <= 20""", ("plain_bm25", "bm25", "dense50", "doc_vecs", "gig_vecs"))
+def stage1(spark, d):
+    docs, gigs = text_vectors(spark, d)
+    return stage1_sweep(t.docs(spark, d), t.gigs(spark, d), docs, gigs, (64, 16), top=20)

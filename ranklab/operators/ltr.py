@@ -197,7 +197,8 @@ def fit(rows: DataFrame, folds: DataFrame, features: Sequence[str], params: Para
         with_final: bool = True) -> tuple[Model, DataFrame]:
     """Train one model per fold (on the other folds' judged rows) and the final model on all of them. Returns the
     models and the packed candidates, which are checkpointed once and read by every pass."""
-    packed = checkpoint(pack_queries(rows, folds, features, params.max_group))
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    packed = checkpoint(pack_queries(rows, folds, features, params.max_group).repartition(tasks, "query_id"))
     names = list(range(k)) + ([FINAL] if with_final else [])
     model = Model(tuple(features), bin_edges(rows, features, params.bins), {f: [] for f in names}, {f: {} for f in names})
     width, n_codes = len(features), params.bins + 1
