@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ranklab.catalog.registry import fragment
 from ranklab.functions.lexicon import STOPWORDS, SUFFIX_RULES, SYNONYMS, MIN_STEM
-from ranklab.functions.text import tokens
+from ranklab.functions.text import tokenize_corpus
 from ranklab.operators.agreement import band_grade
 from ranklab.operators.labels import gains_from_grades
 from ranklab.operators.ordering import rank_list
@@ -103,8 +103,8 @@ for _name in ("bm25", "plain_bm25"):
 def text_grades(spark: SparkSession, d: str) -> DataFrame:
     """Formula labels of (item, document) pairs sharing a term: the share of the item's distinct terms the document
     has, cut at .95 / .6 / .35."""
-    q = gigs(spark, d).select("query_id", F.explode(F.array_distinct(tokens(F.col("text"), False))).alias("term"))
-    t = docs(spark, d).select("doc_id", F.explode(F.array_distinct(tokens(F.col("text"), False))).alias("term"))
+    q = tokenize_corpus(gigs(spark, d), "query_id", F.col("text")).select("query_id", "term")
+    t = tokenize_corpus(docs(spark, d), "doc_id", F.col("text")).select("doc_id", "term")
     size = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     common = t.join(q, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("m")).join(size, "query_id")
     share = F.col("m") / F.col("n")
