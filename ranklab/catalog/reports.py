@@ -18,19 +18,19 @@ from ranklab.operators.pools import class_split
 from ranklab.operators.tags import tag_scores
 from ranklab.plans import benches as be
 from ranklab.plans.stage1 import stage1_sweep, sweep_names
-from ranklab.session import union_all
+from ranklab.session import checkpoint, union_all
 
 METHODS = (("bm25_b0.25", "bm25", 1.2, 0.25), ("bm25_b0.75", "bm25", 1.2, 0.75), ("idf_overlap", "idf_overlap", 1.2, 0.75), ("coverage", "coverage", 1.2, 0.75))
 
 
 def world(spark, d):
-    roles, bridge = market(spark, d)
+    roles, bridge = (checkpoint(x) for x in market(spark, d))
     classes = roles.select("role_id", F.col("role_id").alias("class_id"))
     return roles, bridge, classes
 
 
 def role_queries(spark, d):
-    return sampler(spark, d).select("condition", "draw", F.col("class_id").alias("query_id"), "tag_id")
+    return checkpoint(sampler(spark, d).select("condition", "draw", F.col("class_id").alias("query_id"), "tag_id"))
 
 
 fragment("role_q", "SELECT DISTINCT condition, draw, class_id AS query_id, tag_id FROM sampled", ("sampled",))
@@ -56,7 +56,7 @@ def role_tables(spark, d):
     roles, bridge, classes = world(spark, d)
     keys = ("method", *be.ROLE_KEYS)
     q = role_queries(spark, d)
-    scores = be.role_scores(bridge, roles, q, METHODS)
+    scores = checkpoint(be.role_scores(bridge, roles, q, METHODS))
     truth = q.select(*be.ROLE_KEYS).distinct().withColumn("method", F.explode(F.array(*[F.lit(m[0]) for m in METHODS]))).withColumn("class_id", F.col("query_id"))
     return roles, bridge, classes, keys, scores, truth
 
@@ -190,10 +190,10 @@ def _prov_sql(labels, gains, grades, treatment):
 def provider_bench(spark, d):
     from ranklab.operators.labels import gains_from_grades, latest_ok_grade, overlay_labels_last_wins
     from ranklab.operators.metrics import mean_metrics
-    base = t.ev_grades(spark, d)
-    extended = overlay_labels_last_wins(latest_ok_grade(t.ev_log_half(spark, d, True)), base)
-    channels = {"bm25": t.ev_list(spark, d, "click"), "dense": t.ev_list(spark, d, "view"), "tag": t.ev_list(spark, d, "purchase"), "rrf2": rrf2(spark, d)}
-    queries = split(spark, d).where("split = 'test'")
+    base = checkpoint(t.ev_grades(spark, d))
+    extended = checkpoint(overlay_labels_last_wins(latest_ok_grade(t.ev_log_half(spark, d, True)), base))
+    channels = {n: checkpoint(x) for n, x in {"bm25": t.ev_list(spark, d, "click"), "dense": t.ev_list(spark, d, "view"), "tag": t.ev_list(spark, d, "purchase"), "rrf2": rrf2(spark, d)}.items()}
+    queries = checkpoint(split(spark, d).where("split = 'test'"))
     per = be.provider_bench(channels, {"base": (base, gains_from_grades(base)), "extended": (extended, gains_from_grades(extended))}, queries)
     return mean_metrics(per, ["labels", "treatment", "system"])
 
@@ -211,18 +211,18 @@ fragment("var_diff", "SELECT label, x.relevance, x.metric, x.query_id, x.value -
 
 
 def chosen_truths(spark, d):
-    return truths(spark, d).where(F.col("relevance").isin(*DEFINITIONS))
+    return checkpoint(truths(spark, d).where(F.col("relevance").isin(*DEFINITIONS)))
 
 
 @query("compared_lists_report", "SELECT *, lo > 0 OR hi < 0 AS significant FROM (" + sql_ci("var_diff", "label, relevance, metric").replace("JOIN draws", "JOIN var_draws") + ")", ("var_diff", "var_draws"))
 def compared_lists(spark, d):
-    _, diffs = be.compared_lists_report(systems(spark, d), chosen_truths(spark, d), split(spark, d).where("split = 'test'"), comparison_table(spark), N_BOOT)
+    _, diffs = be.compared_lists_report(checkpoint(systems(spark, d)), chosen_truths(spark, d), checkpoint(split(spark, d).where("split = 'test'")), comparison_table(spark), N_BOOT)
     return plus0(diffs, "mean", "lo", "hi")
 
 
 @query("compared_lists_means", f"SELECT relevance, {sql_round(columns((5, 10)), 'system')} FROM var_metrics GROUP BY relevance, system", ("var_metrics",))
 def compared_means(spark, d):
-    means, _ = be.compared_lists_report(systems(spark, d), chosen_truths(spark, d), split(spark, d).where("split = 'test'"), comparison_table(spark), N_BOOT)
+    means, _ = be.compared_lists_report(checkpoint(systems(spark, d)), chosen_truths(spark, d), checkpoint(split(spark, d).where("split = 'test'")), comparison_table(spark), N_BOOT)
     return means
 
 
@@ -231,8 +231,8 @@ def compared_means(spark, d):
        ("cut_lists", "latest_all", "ev_systems", "test_q"))
 def samegrader(spark, d):
     from ranklab.operators.labels import gains_from_grades, latest_ok_grade
-    grades = latest_ok_grade(t.ev_log(spark, d))
-    complete, means, _ = be.samegrader_report(systems(spark, d), grades, gains_from_grades(grades), split(spark, d).where("split = 'test'"), comparison_table(spark), N_BOOT)
+    grades = checkpoint(latest_ok_grade(t.ev_log(spark, d)))
+    complete, means, _ = be.samegrader_report(checkpoint(systems(spark, d)), grades, gains_from_grades(grades), checkpoint(split(spark, d).where("split = 'test'")), comparison_table(spark), N_BOOT)
     head = complete.select(F.lit("pairs").alias("kind"), F.lit("all").alias("system"), F.col("n_pairs").cast("double").alias("p_10"), F.col("n_missing").cast("double").alias("ndcg_10"), F.lit(None).cast("double").alias("mrr"))
     return union_all([head, means.select(F.lit("mean").alias("kind"), "system", "p_10", "ndcg_10", "mrr")])
 
@@ -262,7 +262,7 @@ def _gold_sql(table):
 @query("tagger_bench", " UNION ALL ".join(f"SELECT '{n}' AS variant, m, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit FROM {_gold_sql(tb)} GROUP BY m" for n, tb in (("raw", "sims"), ("center", "centered"), ("z", "zscored"))),
        ("sims", "centered", "zscored", "vec_gold"))
 def tagger_bench(spark, d):
-    s = t.sims(spark, d)
+    s = checkpoint(t.sims(spark, d))
     st = hb.hubness_stats(s)
     gold, texts = hu.gold(spark, d), t.texts(spark, d)
     quality = {n: hb.gold_tag_metrics(hb.top_tags(x, 30), gold, texts) for n, x in (("raw", s), ("center", hb.hubness_center(s, st)), ("z", hb.hubness_z(s, st)))}
@@ -288,7 +288,7 @@ def encoder_bench(spark, d):
     gains = pool.where("grade = 3").select("query_id", "doc_id", F.lit(100.0).alias("gain"))
     from ranklab.operators.similarity import all_cosines
     dense = all_cosines(t.vectors(spark, d), t.centroids(spark, d), "doc_id", "query_id")
-    s = t.sims(spark, d)
+    s = checkpoint(t.sims(spark, d))
     quality = {"tags": hb.gold_tag_metrics(hb.top_tags(hb.hubness_pooled_unit(s), 30), hu.gold(spark, d), t.texts(spark, d))}
     _, pools = be.encoder_bench(quality, {"tags": hu.pair_scores(spark, d), "dense": dense}, pool, gains)
     return pools.select("candidate", "query_id", *[F.round(c, 6).alias(c) for c in ("ndcg_5", "ndcg_10", "auc")])

@@ -12,7 +12,7 @@ from ranklab.operators.fusion import rrf_fuse_n
 from ranklab.operators.metrics import (condensed_lists, mean_metrics, metrics_per_query, pool_metrics, to_long, unique_positive_summary)
 from ranklab.operators.roles import class_means, class_scores, tie_aware_hits, track_hits
 from ranklab.operators.tags import tag_scores
-from ranklab.session import union_all
+from ranklab.session import checkpoint, union_all
 
 ROLE_KEYS = ("condition", "draw", "query_id")
 
@@ -32,14 +32,15 @@ def role_bench(bridge: DataFrame, roles: DataFrame, classes: DataFrame, tracks:
     condition. query_tags(condition, draw, query_id = class, tag_id); split(class_id, split). Sweeps over b or k1
     are further methods; selection on dev and intervals on test read this table."""
     keys = ("method", *ROLE_KEYS)
-    scores = role_scores(bridge, roles, query_tags, methods)
+    query_tags = checkpoint(query_tags)
+    scores = checkpoint(role_scores(bridge, roles, query_tags, methods))
     names = F.array(*[F.lit(m[0]) for m in methods])
     truth = query_tags.select(*ROLE_KEYS).distinct().withColumn("method", F.explode(names)).withColumn("class_id", F.col("query_id"))
     n = classes.select("class_id").distinct().agg(F.count(F.lit(1)))
     hits = tie_aware_hits(class_scores(scores, classes, keys), truth, n, keys=keys)
     on_track = track_hits(scores, truth, roles, classes, tracks, keys)
     per_query = hits.join(on_track, [*keys, "class_id"])
-    return class_means(per_query, ["method", "condition"]).join(split, "class_id")
+    return checkpoint(class_means(per_query, ["method", "condition"]).join(split, "class_id"))
 
 
 def role_bench_summary(means: DataFrame, n_boot: int = 2000, seed: int = 7) -> DataFrame:
@@ -94,7 +95,7 @@ def compared_lists_report(lists: DataFrame, gains: DataFrame, queries: DataFrame
     systems = lists.select("system").distinct().agg(F.sort_array(F.collect_set("system"))).scalar()
     frame = queries.select("query_id").distinct().withColumn("relevance", F.explode(options)).withColumn("system", F.explode(systems))
     by = ["relevance", "system"]
-    per = metrics_per_query(spread, gains, (5, 10), queries=frame, by=by)
+    per = checkpoint(metrics_per_query(spread, gains, (5, 10), queries=frame, by=by))
     draws = boot_draws(queries, "query_id", n_boot, seed, "variants/boot")
     diffs = paired_diff_ci(to_long(per, by), draws, comparisons, by=("relevance", "metric"))
     return mean_metrics(per, by), diffs
