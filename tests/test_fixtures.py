@@ -154,7 +154,7 @@ def test_taxonomy(spark):
 
 
 def test_hubness(spark):
-    texts = {1: [1., 0, 0, 0], 2: [1., .4, 0, 0], 3: [1., 0, .4, 0], 4: [1., 0, 0, .4]}
+    texts = {1: [1., 0., 0., 0.], 2: [1., .4, 0., 0.], 3: [1., 0., .4, 0.], 4: [1., 0., 0., .4]}
     tags = {501 + i: [1. if j == i else 0. for j in range(4)] for i in range(4)}
     t = spark.createDataFrame([(k, v) for k, v in texts.items()], "text_id bigint, vec array<double>")
     g = spark.createDataFrame([(k, v) for k, v in tags.items()], "tag_id bigint, vec array<double>")
