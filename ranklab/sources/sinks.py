@@ -32,7 +32,7 @@ def sink_features(rows: DataFrame, path: str, dataset: str, variant: str = "base
 def read_features(spark, path: str, dataset: str, variant: str = "base", judged_only: bool = False) -> DataFrame:
     """The partition filters prune folders; the training subset never reads unjudged files."""
     rows = spark.read.parquet(path).where((F.col("dataset") == dataset) & (F.col("variant") == variant))
-    return rows.where(F.col("judged")) if judged_only else rows
+    return rows.where(F.col("judged").cast("string") == "true") if judged_only else rows
 
 
 def sink_log(records: DataFrame, path: str) -> None:
