@@ -38,11 +38,17 @@ class RankQueue:
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets[rank]
-        if not bucket:
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        heappush(bucket, position)
+        if bucket:
+            heappush(bucket, position)
+            return
+        bucket.append(position)
+        b = rank >> 6
+        if not self.low[b]:
+            a = b >> 6
+            if not self.mid[a]:
+                self.top |= 1 << a
+            self.mid[a] |= 1 << (b & 63)
+        self.low[b] |= 1 << (rank & 63)
 
     def pop(self) -> tuple[int, int]:
         a = (self.top & -self.top).bit_length() - 1
@@ -51,18 +57,19 @@ class RankQueue:
         word = self.low[b]
         rank = b << 6 | (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.low[b] &= self.low[b] - 1
-            if not self.low[b]:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top &= self.top - 1
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        self.low[b] = word = word & word - 1
+        if not word:
+            self.mid[a] = word = self.mid[a] & self.mid[a] - 1
+            if not word:
+                self.top &= self.top - 1
+        return rank, bucket.pop()
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary; made once per worker, with a bounded memory of short pre-tokens."""
+    """Encoder and decoder of one vocabulary; made once per worker. It remembers short pre-tokens in two generations of
+    at most CACHE_ITEMS: what is in use moves to the younger one, and the older one is forgotten when that is full."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
@@ -70,6 +77,7 @@ class Codec:
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.tokens = dict(map(reversed, ranks.items()))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Token ids of one pre-token."""
@@ -77,37 +85,34 @@ class Codec:
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, queue = len(piece), self.queue
+        n, queue, rank_of = len(piece), self.queue, ranks.get
+        push, pop = queue.push, queue.pop
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n
-        for i in range(n - 1):
-            rank = ranks.get(piece[i:i + 2])
+        pair: list[int | None] = [rank_of(piece[i:i + 2]) for i in range(n - 1)] + [None]
+        for i, rank in enumerate(pair):
             if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
+                push(rank, i)
         while queue.top:
-            rank, i = queue.pop()
+            rank, i = pop()
             if pair[i] != rank:
                 continue
             gone = after[i]
-            end = after[gone]
-            after[i], pair[gone] = end, -1
+            end = after[i] = after[gone]
+            pair[gone] = None
             if end < n:
                 before[end] = i
-                rank = ranks.get(piece[i:after[end]])
-                pair[i] = -1 if rank is None else rank
+                pair[i] = rank = rank_of(piece[i:after[end]])
                 if rank is not None:
-                    queue.push(rank, i)
+                    push(rank, i)
             else:
-                pair[i] = -1
+                pair[i] = None
             left = before[i]
             if left >= 0:
-                rank = ranks.get(piece[left:end])
-                if rank is None:
-                    pair[left] = -1
-                elif pair[left] != rank:
+                rank = rank_of(piece[left:end])
+                if rank != pair[left]:
                     pair[left] = rank
-                    queue.push(rank, left)
+                    if rank is not None:
+                        push(rank, left)
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i:after[i]]])
@@ -115,17 +120,22 @@ class Codec:
         return ids
 
     def _packed(self, piece: str) -> bytes:
-        ids = np.array(self.merge(piece.encode()), dtype="<u4").tobytes()
+        ids = self.older.get(piece) or np.array(self.merge(piece.encode()), dtype="<u4").tobytes()
         if len(piece) <= CACHE_CHARS:
             if len(self.known) >= CACHE_ITEMS:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, packed as little-endian unsigned 32-bit integers."""
-        known, packed = self.known.get, self._packed
-        return b"".join([known(piece) or packed(piece) for piece in self.split(text)])
+        packed, out = self._packed, []
+        for piece in self.split(text):
+            try:
+                out.append(self.known[piece])
+            except KeyError:
+                out.append(packed(piece))
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -174,8 +184,21 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: st
                      f"_id {kind}, ids binary, decoded binary", work, keep=["_id", "ids"]).withColumnRenamed("_id", id_col)
 
 
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`decode(encode(docs))` in one pass: id, `ids` and `decoded`."""
+    codec = _shared(docs, ranks, pattern)
+
+    def work(batch):
+        one = codec()
+        ids = [one.encode(t) if t else b"" for t in batch.column("_text").to_pylist()]
+        return {"ids": ids, "decoded": [one.decode(x) for x in ids]}
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return per_batch(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), ["_id", "_text"],
+                     f"_id {kind}, ids binary, decoded binary", work).withColumnRenamed("_id", id_col)
+
+
 def round_trip_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token counts and digests of ids and decoded bytes per row."""
-    back = decode(encode(docs, ranks, pattern, id_col, text_col), ranks, pattern, id_col)
-    return back.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+    return round_trip(docs, ranks, pattern, id_col, text_col).select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
