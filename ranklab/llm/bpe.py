@@ -1,7 +1,7 @@
 """Byte-level BPE over whole texts with a public vocabulary of merge ranks.
 
 Merges are found with a hierarchical-bitmap rank queue: every rank that waits has a bucket of positions of a linked
-list of parts, three levels of 64-bit words mark the buckets in use, and find-first-set leads to the lowest rank.
+list of parts, two levels of 256-bit words mark the buckets in use, and find-first-set leads to the lowest rank.
 Positions whose pair has changed meanwhile are stale and skipped when they come up. A pre-token of n bytes takes
 O(n log n) steps, so very long ones need no special case.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import regex
@@ -27,44 +28,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class RankQueue:
-    """Waiting (rank, position) entries, lowest rank first and leftmost within a rank."""
-
-    def __init__(self, n_ranks: int) -> None:
-        self.buckets: list[list[int]] = [[] for _ in range(n_ranks)]
-        self.low = [0] * ((n_ranks >> 6) + 1)
-        self.mid = [0] * ((n_ranks >> 12) + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket:
-            heappush(bucket, position)
-            return
-        bucket.append(position)
-        b = rank >> 6
-        if not self.low[b]:
-            a = b >> 6
-            if not self.mid[a]:
-                self.top |= 1 << a
-            self.mid[a] |= 1 << (b & 63)
-        self.low[b] |= 1 << (rank & 63)
-
-    def pop(self) -> tuple[int, int]:
-        a = (self.top & -self.top).bit_length() - 1
-        word = self.mid[a]
-        b = a << 6 | (word & -word).bit_length() - 1
-        word = self.low[b]
-        rank = b << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        self.low[b] = word = word & word - 1
-        if not word:
-            self.mid[a] = word = self.mid[a] & self.mid[a] - 1
-            if not word:
-                self.top &= self.top - 1
-        return rank, bucket.pop()
+WORD = 8
+_BIT = [1 << i for i in range(1 << WORD)]
 
 
 class Codec:
@@ -74,27 +39,43 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        n_ranks = max(ranks.values(), default=0) + 1
+        self.buckets: list[list[int]] = [[] for _ in range(n_ranks)]
+        self.words = [0] * ((n_ranks >> WORD) + 1)
         self.tokens = dict(map(reversed, ranks.items()))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Token ids of one pre-token."""
-        ranks = self.ranks
+        """Token ids of one pre-token. The queue's operations are written out here, since all time goes there: `top` marks
+        the words in use, a word its ranks, and a bucket holds the positions of a rank, leftmost first."""
+        ranks, buckets, words, top = self.ranks, self.buckets, self.words, 0
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, queue, rank_of = len(piece), self.queue, ranks.get
-        push, pop = queue.push, queue.pop
+        n, rank_of = len(piece), ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair: list[int | None] = [rank_of(piece[i:i + 2]) for i in range(n - 1)] + [None]
+        pair: list[int | None] = [rank_of(piece[i:i + 2]) for i in range(n - 1)]
+        pair.append(None)
         for i, rank in enumerate(pair):
             if rank is not None:
-                push(rank, i)
-        while queue.top:
-            rank, i = pop()
-            if pair[i] != rank:
+                bucket = buckets[rank]
+                if not bucket:
+                    words[rank >> WORD] |= _BIT[rank & 255]
+                    top |= 1 << (rank >> WORD)
+                bucket.append(i)
+        while top:
+            at = (top & -top).bit_length() - 1
+            word = words[at]
+            bit = word & -word
+            lowest = at << WORD | bit.bit_length() - 1
+            bucket = buckets[lowest]
+            i = heappop(bucket) if len(bucket) > 1 else bucket.pop()
+            if not bucket:
+                words[at] = word = word ^ bit
+                if not word:
+                    top &= top - 1
+            if pair[i] != lowest:
                 continue
             gone = after[i]
             end = after[i] = after[gone]
@@ -103,16 +84,24 @@ class Codec:
                 before[end] = i
                 pair[i] = rank = rank_of(piece[i:after[end]])
                 if rank is not None:
-                    push(rank, i)
+                    bucket = buckets[rank]
+                    if not bucket:
+                        words[rank >> WORD] |= _BIT[rank & 255]
+                        top |= 1 << (rank >> WORD)
+                    heappush(bucket, i)
             else:
                 pair[i] = None
-            left = before[i]
-            if left >= 0:
-                rank = rank_of(piece[left:end])
-                if rank != pair[left]:
-                    pair[left] = rank
+            i = before[i]
+            if i >= 0:
+                rank = rank_of(piece[i:end])
+                if rank != pair[i]:
+                    pair[i] = rank
                     if rank is not None:
-                        push(rank, left)
+                        bucket = buckets[rank]
+                        if not bucket:
+                            words[rank >> WORD] |= _BIT[rank & 255]
+                            top |= 1 << (rank >> WORD)
+                        heappush(bucket, i)
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i:after[i]]])
@@ -120,7 +109,10 @@ class Codec:
         return ids
 
     def _packed(self, piece: str) -> bytes:
-        ids = self.older.get(piece) or np.array(self.merge(piece.encode()), dtype="<u4").tobytes()
+        ids = self.known.get(piece) or self.older.get(piece)
+        if ids is None:
+            merged = self.merge(piece.encode())
+            ids = pack(f"<{len(merged)}I", *merged)
         if len(piece) <= CACHE_CHARS:
             if len(self.known) >= CACHE_ITEMS:
                 self.older, self.known = self.known, {}
@@ -129,13 +121,8 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, packed as little-endian unsigned 32-bit integers."""
-        packed, out = self._packed, []
-        for piece in self.split(text):
-            try:
-                out.append(self.known[piece])
-            except KeyError:
-                out.append(packed(piece))
-        return b"".join(out)
+        known, packed = self.known.get, self._packed
+        return b"".join([known(piece) or packed(piece) for piece in self.split(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
