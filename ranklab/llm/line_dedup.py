@@ -82,10 +82,12 @@ def removed_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             c.alias("code"), F.when(F.trim(t) != "", F.xxhash64(t)).alias("hash"))))
 
     chunks = rows.filter(F.instr("_text", "\n") > 0).select("_id", "_th", F.inline(let(lines_of(F.col("_text")), hashed))).filter("hash is not null")
-    again = chunks.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash")
+    # Written, so that the join below is one of two plain shuffles, of which a common hash may be split.
+    again = written(chunks.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash"), "hashes")
     found = written(chunks.join(again, "hash"), "chunks")
     per_doc = found.groupBy("_id", "_th").agg(F.collect_set("code").alias("codes"))
-    texts = rows.join(per_doc.withColumnRenamed("_id", "_i").withColumnRenamed("_th", "_h"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")))
+    # Merge joins at every size: texts meet their chunks the same way whether or not the chunks could be broadcast.
+    texts = rows.join(per_doc.withColumnRenamed("_id", "_i").withColumnRenamed("_th", "_h").hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")))
     compared = texts.select("_id", "_th", F.inline(let(lines_of(F.col("_text")), lambda lines: F.transform("codes", lambda c: F.struct(
         c.alias("code"), _text(lines, c).alias("bytes"))))))
     first = compared.groupBy("bytes").agg(F.min(F.struct("_id", "_th", "code")).alias("first")).select("first.*")
@@ -105,7 +107,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = removed_chunks(docs, id_col, text_col).withColumnRenamed("gone", "_gone")
     names = docs.columns
     keyed = docs.withColumn("_th", F.xxhash64(text_col))
-    both = keyed.join(gone.withColumnRenamed("_id", "_i").withColumnRenamed("_th", "_h"),
+    both = keyed.join(gone.withColumnRenamed("_id", "_i").withColumnRenamed("_th", "_h").hint("merge"),
                       F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")), "left")
     kept = let(lines_of(F.col(text_col)), lambda lines: F.array_join(F.flatten(F.transform(
         F.array_except(chunk_codes(lines), F.col("_gone")), lambda c: F.slice(lines, _at(c), _n(c)))), "\n"))
