@@ -219,5 +219,5 @@ def digest(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """The rows of `docs`, all columns, whose id is the smallest of its component; rows with a null id stay."""
     found = near_duplicates(docs, id_col, text_col, bits)
-    gone = found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
+    gone = found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct().hint("merge")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
