@@ -32,12 +32,20 @@ def from_logprobs(spark, d):
     return out.select("seq", "status", F.get("probs", F.lit(0)).alias("p0"), F.get("probs", F.lit(3)).alias("p3"), "grade", "expected_grade")
 
 
-@query("score_from_text")
+@query("score_from_text", """WITH a AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'I cannot grade ' || event_id WHEN event_id % 7 = 0 THEN 'v2.' || event_id || ': ' || (cents % 100) || ' of 1.0'
+    WHEN event_id % 5 = 0 THEN 'Score .' || lpad((cents % 100)::VARCHAR, 2, '0') ELSE 'Score: ' || (cents // 100) || '.' || lpad((cents % 100)::VARCHAR, 2, '0') || ' (of 1)' END AS generated
+    FROM (SELECT event_id, event_type, least(floor(value), 130)::BIGINT AS cents FROM events)),
+  r AS (SELECT event_id, list_filter(regexp_extract_all(generated, '[0-9.]+'), lambda x: regexp_full_match(x, '[01]|[01]?[.][0-9]+')) AS runs FROM a),
+  s AS (SELECT event_id, CASE WHEN runs[1]::DOUBLE BETWEEN 0 AND 1 THEN runs[1]::DOUBLE END AS score FROM r)
+  SELECT event_id, score, CASE WHEN score IS NOT NULL THEN (score >= 0.175)::INT + (score >= 0.5)::INT + (score >= 0.825)::INT END AS grade, CASE WHEN score IS NULL THEN 'error: no score in output' ELSE 'ok' END AS status FROM s""")
 def from_text(spark, d):
-    """Scores read from free answers built from the event values (look-around patterns have no SQL twin here)."""
-    e = t.table(spark, d, "events")
+    """Scores read from free answers built from the event values."""
+    e = t.table(spark, d, "events").withColumn("cents", F.least(F.floor("value"), F.lit(130)))
+    part = F.lpad((F.col("cents") % 100).cast("string"), 2, "0")
     answer = (F.when(F.col("event_type") == "error", F.concat(F.lit("I cannot grade "), F.col("event_id").cast("string")))
-              .otherwise(F.concat(F.lit("Score: "), F.format_string("%.2f", F.least(F.col("value") / 150, F.lit(1.0))), F.lit(" (of 1)"))))
+              .when(F.col("event_id") % 7 == 0, F.concat(F.lit("v2."), F.col("event_id").cast("string"), F.lit(": "), (F.col("cents") % 100).cast("string"), F.lit(" of 1.0")))
+              .when(F.col("event_id") % 5 == 0, F.concat(F.lit("Score ."), part))
+              .otherwise(F.concat(F.lit("Score: "), F.floor(F.col("cents") / 100).cast("string"), F.lit("."), part, F.lit(" (of 1)"))))
     return lb.continuous_grades(e.select("event_id", answer.alias("generated"))).select("event_id", "score", "grade", "status")
 
 

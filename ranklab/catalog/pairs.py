@@ -208,6 +208,6 @@ def by_source(spark, d):
     return fe.label_distribution(rows, {"source": F.col("source")})
 
 
-@query("positives_per_query", "SELECT least(n, 6) AS n_positive, count(*) AS n_queries FROM (SELECT query_id, count(*) FILTER (grade >= 2) AS n FROM ev_grades GROUP BY 1) GROUP BY 1", ("ev_grades",))
+@query("positives_per_query", "SELECT n AS n_positive, count(*) AS n_queries FROM (SELECT query_id, count(*) FILTER (grade >= 2) AS n FROM ev_grades GROUP BY 1) GROUP BY 1", ("ev_grades",))
 def positives(spark, d):
     return fe.positives_per_query(t.ev_grades(spark, d))

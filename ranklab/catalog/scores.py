@@ -159,7 +159,16 @@ def complementarity(spark, d):
     return rounded(m.complementarity(view, t.ev_list(spark, d, "click"), rrf2(spark, d), 10))
 
 
-@query("embedding_spread", """WITH u AS (SELECT dim, x FROM (SELECT unnest(vec) AS x, unnest(range(1, len(vec) + 1)) AS dim FROM vecs)), s AS (SELECT dim, sum(x) AS s, sum(x * x) AS sq, count(*) AS n FROM u GROUP BY 1)
+@query("embedding_positive_cosine", """SELECT dim::INT AS dim, count(*) AS n_pairs, round(avg(list_cosine_similarity(a.vec[1:dim], p.vec[1:dim])), 6) AS mean_cosine
+  FROM vecs a JOIN vecs p ON p.doc_id = a.doc_id + 1, (VALUES (64), (16)) d(dim) WHERE a.doc_id % 2 = 0 GROUP BY 1""", ("vecs",))
+def positive_cosines(spark, d):
+    """Every even vector with its odd successor, at the full and at the cut width."""
+    vectors = t.vectors(spark, d)
+    pairs = vectors.where("doc_id % 2 = 0").select(F.col("doc_id").alias("anchor"), (F.col("doc_id") + 1).alias("positive"))
+    return m.positive_cosine(pairs, vectors, (64, 16))
+
+
+@query("embedding_spread", """WITH u AS (SELECT dim, x / sqrt(list_dot_product(vec, vec)) AS x FROM (SELECT vec, unnest(vec) AS x, unnest(range(1, len(vec) + 1)) AS dim FROM vecs)), s AS (SELECT dim, sum(x) AS s, sum(x * x) AS sq, count(*) AS n FROM u GROUP BY 1)
   SELECT max(n) AS n, 0::BIGINT AS n_nan, round((sum(s * s) - sum(sq)) / (max(n) * (max(n) - 1)::DOUBLE), 6) AS mean_pairwise_cosine, (sum(s * s) - sum(sq)) / (max(n) * (max(n) - 1)::DOUBLE) > 0.95 AS collapsed FROM s""", ("vecs",))
 def spread(spark, d):
     return m.embedding_spread(t.vectors(spark, d))

@@ -19,10 +19,5 @@ def key_to_long(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint")
 
 
-def key_bin(key: Column) -> Column:
-    """Order-preserving bin (4,096 of them) of a hex key: rows spread evenly because md5 is uniform."""
-    return F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
-
-
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -69,12 +69,16 @@ def swap_labels(candidates: DataFrame, grades: DataFrame) -> DataFrame:
 
 def normalize_by_query(rows: DataFrame, cols: Sequence[str], how: str = "zscore", query: str = "query_id") -> DataFrame:
     """Rescale features within each query: z-score with the population deviation (0 counts as 1), or 1 / dense rank
-    (best = 1, ties equal). NULLs stay NULL; a query with fewer than two values stays as it is.
+    (best = 1, ties equal). NULL and NaN are skipped and come back as NULL; a query with fewer than two values stays as it is.
 
     z-scores use one aggregation joined back, so a query with very many rows is combined map-side and AQE may
     split its rows; the rank form ranks the distinct values only."""
     if how == "none":
         return rows
+    kinds = dict(rows.dtypes)
+    for c in cols:
+        if kinds[c] in ("double", "float"):
+            rows = rows.withColumn(c, F.when(~F.isnan(c), F.col(c)))
     if how == "zscore":
         aggs = [f(c).alias(f"{c}__{n}") for c in cols for n, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop))]
         stats = rows.groupBy(query).agg(*aggs)
@@ -109,10 +113,13 @@ PROMPT_VERSIONS = {"repro": "rubric_0_3.v2-repro", "orig": "rubric_0_3.v2-orig-t
 
 def _number(c: Column) -> Column:
     """A number as printed by %g: at most 6 significant digits, no trailing zeros."""
-    digits = F.greatest(F.lit(0), F.lit(5) - F.floor(F.log10(F.greatest(F.abs(c), F.lit(1e-4)))).cast("int"))
-    scaled = F.pow(F.lit(10.0), digits)
-    text = F.format_string("%.6f", F.bround(c * scaled, 0) / scaled)
-    return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
+    science = F.format_string("%.5e", c)
+    exponent = F.substring_index(science, "e", -1).cast("int")
+    plain = [F.format_string(f"%.{5 - e}f", c) for e in range(-4, 6)]
+    fixed = F.element_at(F.array(*plain), F.least(F.greatest(exponent, F.lit(-4)), F.lit(5)) + 5)
+    short = lambda x: F.when(F.contains(x, F.lit(".")), F.regexp_replace(F.regexp_replace(x, r"0+$", ""), r"\.$", "")).otherwise(x)
+    scientific = F.concat(short(F.substring_index(science, "e", 1)), F.lit("e"), F.substring_index(science, "e", -1))
+    return F.when(c == 0, "0").when(exponent.between(-4, 5), short(fixed)).otherwise(scientific)
 
 
 def _day(value: Column, as_of: Column) -> Column:
@@ -196,7 +203,7 @@ def label_distribution(rows: DataFrame, dimensions: dict[str, Column]) -> DataFr
         F.round(F.avg((F.col("grade") >= 2).cast("double")), 6).alias("share_ge2"))
 
 
-def positives_per_query(grades: DataFrame, cap: int = 6) -> DataFrame:
-    """(n_positive, n_queries): queries by number of documents graded >= 2; the last class is open."""
+def positives_per_query(grades: DataFrame) -> DataFrame:
+    """(n_positive, n_queries): queries by number of documents graded >= 2."""
     per = grades.groupBy("query_id").agg(F.count_if(F.col("grade") >= 2).alias("n"))
-    return per.groupBy(F.least("n", F.lit(cap)).alias("n_positive")).agg(F.count(F.lit(1)).alias("n_queries"))
+    return per.groupBy(F.col("n").alias("n_positive")).agg(F.count(F.lit(1)).alias("n_queries"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ranklab.operators.ordering import rank_list
 from ranklab.session import union_all
@@ -17,7 +17,7 @@ def stack_lists(lists: Sequence[DataFrame], weights: Sequence[float] | None = No
     """Ranked lists as one long table (list_no, weight, query_id, doc_id, rank)."""
     weights = [1.0] * len(lists) if weights is None else list(weights)
     if len(weights) != len(lists):
-        raise ValueError(f"{len(lists)} ranked lists but {len(weights)} weights")
+        raise ValueError(f"weights: {len(weights)} given, {len(lists)} needed")
     parts = [df.select(F.lit(i).alias("list_no"), F.lit(float(w)).alias("weight"), "query_id", "doc_id",
                        F.col("rank").cast("bigint").alias("rank"))
              for i, (df, w) in enumerate(zip(lists, weights), start=1)]
@@ -120,11 +120,16 @@ def missing_score_counts(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     return joined.agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if(F.col("score").isNull()).alias("n_missing"))
 
 
+def stripped(col: str) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(F.col(col), r"(?U)^\s+|\s+$", "")
+
+
 def pair_texts(candidates: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Candidate pairs with both texts: the input of any external pair scorer."""
     return (candidates.select("query_id", "doc_id")
-            .join(queries.select("query_id", F.trim("text").alias("query_text")), "query_id")
-            .join(docs.select("doc_id", F.trim("text").alias("doc_text")), "doc_id")
+            .join(queries.select("query_id", stripped("text").alias("query_text")), "query_id")
+            .join(docs.select("doc_id", stripped("text").alias("doc_text")), "doc_id")
             .select("query_id", "doc_id", "query_text", "doc_text"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ranklab.operators.ordering import N_BINS, prefix_sum
+from ranklab.operators.ordering import global_rank
 
 ENGAGEMENT_LINE = r"(?i)\s*Engagement duration:[^\n]*$"
 GIG_STRUCT = {"budget_lo": "double", "budget_hi": "double", "seniority_needed": "string", "start_by": "string",
@@ -75,26 +75,9 @@ def quality_filter_providers(providers: DataFrame) -> DataFrame:
                            & (clean_cell(F.col("about_description")) != ""))
 
 
-def string_splits(df: DataFrame, col: str, n_bins: int = 64, sample_rows: int = 20_000) -> list[str]:
-    """At most n_bins - 1 split points of a string column from a bounded sample. They only balance the bins; any
-    split points give the same ids."""
-    n = df.count()
-    if n == 0:
-        return []
-    rows = df.select(col).sample(min(1.0, 2.0 * sample_rows / n), seed=7).limit(sample_rows).collect()
-    values = sorted({r[0] for r in rows if r[0] is not None}, key=lambda s: s.encode("utf-8"))
-    step = max(1, len(values) // n_bins)
-    return values[step::step][:n_bins - 1]
-
-
 def stable_surrogate_ids(df: DataFrame, order_col: str, id_col: str) -> DataFrame:
-    """Ids 1..n in the order of a unique string column. Rows are range-binned by split points, numbered inside
-    each bin and shifted by the bin's offset: no single-task sort."""
-    splits = string_splits(df, order_col)
-    bin_ = F.lit(0)
-    if splits:
-        bin_ = F.size(F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s <= F.col(order_col)))
-    return prefix_sum(df.withColumn("_bin", bin_), [], "_bin", [F.col(order_col)], F.lit(1), id_col).drop("_bin")
+    """Ids 1..n in the order of a unique string column: ranges, numbered inside and shifted by the rows before."""
+    return global_rank(df, order_col, id_col)
 
 
 def fill_rate_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:

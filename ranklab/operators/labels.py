@@ -14,7 +14,7 @@ from ranklab.functions.fits import score_of_grade
 from ranklab.functions.keys import key_to_long, seeded_key
 from ranklab.functions.lexicon import DEFAULT_PROMPT_VERSION
 from ranklab.operators.agreement import band_grade
-from ranklab.operators.ordering import prefix_sum, linear_bins
+from ranklab.operators.ordering import prefix_sum
 from ranklab.session import union_all
 
 PAIR = ["query_id", "doc_id"]
@@ -43,13 +43,15 @@ def grade_from_logprobs(records: DataFrame) -> DataFrame:
         F.transform("p", lambda x: F.round(x, 4)).alias("probs"), best.alias("grade"), F.round(expected, 4).alias("expected_grade"))
 
 
-SCORE_PATTERN = r"(?<![\d.])(?:[01](?:\.\d+)?|\.\d+)(?![\d.])"
-
-
 def score_from_text(text: Column) -> Column:
-    """The first standalone decimal in [0, 1] of a grader's answer, else NULL."""
-    found = F.regexp_extract(F.coalesce(text, F.lit("")), SCORE_PATTERN, 0)
-    value = F.nullif(found, F.lit("")).try_cast("double")
+    """The first standalone decimal of a grader's answer, if it is in [0, 1], else NULL: of the runs of digits and dots
+    the first that is 0, 1 or a fraction with at most one such digit before the point."""
+    def is_decimal(run: Column) -> Column:
+        whole, point, fraction = F.substring_index(run, ".", 1), F.instr(run, "."), F.substring_index(run, ".", -1)
+        dots = F.length(run) - F.length(F.replace(run, F.lit("."), F.lit("")))
+        return F.when(point == 0, run.isin("0", "1")).otherwise((dots == 1) & whole.isin("", "0", "1") & (fraction != ""))
+
+    value = F.get(F.filter(F.split(F.coalesce(text, F.lit("")), "[^0-9.]+"), is_decimal), F.lit(0)).try_cast("double")
     return F.when(value.between(0, 1), value)
 
 
@@ -75,11 +77,11 @@ def run_stats(wanted: DataFrame, done_before: DataFrame, log: DataFrame, abort_a
     """One row: requested, already done, graded, errors, longest error streak, aborted.
 
     The streak is gaps-and-islands over seq: errors sharing the same count of preceding ok records form one
-    island; the count is a binned running sum, so no task orders the whole log."""
+    island; the count is a running sum over ranges of seq (a number or a string), so no task orders the whole log."""
     pairs = wanted.select(*PAIR).distinct()
     done = ok_records(done_before).select(*PAIR).distinct().join(pairs, PAIR, "left_semi").agg(F.count(F.lit(1)))
     ok = (F.col("status") == "ok").cast("int")
-    islands = prefix_sum(linear_bins(log.select("seq", "status"), "seq"), [], "_bin", [F.col("seq")], ok, "oks")
+    islands = prefix_sum(log.select("seq", "status"), [], [F.col("seq")], ok, "oks")
     streak = islands.where(F.col("status") != "ok").groupBy("oks").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"))
     counts = log.agg(F.count_if(F.col("status") == "ok").alias("graded"), F.count_if(F.col("status") != "ok").alias("errors"))
     longest = F.coalesce(streak.scalar(), F.lit(0))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ranklab.functions.lexicon import RELEVANCE_THRESHOLD
-from ranklab.operators.ordering import linear_bins, mid_ranks, prefix_sum
+from ranklab.operators.ordering import mid_ranks, prefix_sum
 
 
 def _log2_discount(rank: Column) -> Column:
@@ -186,7 +186,7 @@ def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFr
     score before the running sum."""
     by = list(by)
     counts = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    upto = prefix_sum(linear_bins(counts, score), by, "_bin", [F.col(score)], F.col("neg"), "neg_upto")
+    upto = prefix_sum(counts, by, [F.col(score)], F.col("neg"), "neg_upto")
     wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") + F.col("neg") * 0.5))
     n_pos, n_neg = F.sum("pos"), F.sum("neg")
     aggs = [n_pos.alias("n_pos"), n_neg.alias("n_neg"), wins.alias("wins")]
@@ -235,14 +235,27 @@ def complementarity(scores: DataFrame, dense: DataFrame, fused: DataFrame, k: in
 
 
 def embedding_spread(vectors: DataFrame, vec: str = "vec", collapse_at: float = 0.95) -> DataFrame:
-    """Mean pairwise cosine of all vectors in one pass: (|sum u|^2 - sum |u|^2) / (n (n - 1)) over unit vectors u, so no pair is ever formed.
-    Sums per dimension are combined map-side; NaN components are counted."""
-    dims = vectors.select(F.posexplode(vec).alias("dim", "x"))
-    sums = dims.groupBy("dim").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"),
-                                   F.count_if(F.isnan("x")).alias("n_nan"), F.sum(F.col("x") * F.col("x")).alias("sq"))
-    total = sums.agg(F.sum(F.col("s") * F.col("s")).alias("norm2"), F.max("n").alias("n"),
-                     F.sum("n_nan").alias("n_nan"), F.sum("sq").alias("sq"))
+    """Mean pairwise cosine of all vectors in one pass: (|sum u|^2 - sum |u|^2) / (n (n - 1)) over unit vectors u, so no
+    pair is ever formed. A vector is divided by its norm inside the row; sums per dimension are combined map-side; NaN
+    components are counted, and a vector that has one, or no direction, is left out."""
+    squares = F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
+    rows = vectors.select(F.col(vec).alias("_v"), F.sqrt(squares).alias("_norm"), F.size(F.filter(vec, F.isnan)).alias("_nan"))
+    bad = rows.agg(F.sum("_nan").alias("n_nan")).scalar()
+    dims = rows.where((F.col("_nan") == 0) & (F.col("_norm") > 0)).select("_norm", F.posexplode("_v").alias("dim", "x"))
+    unit = F.col("x") / F.col("_norm")
+    sums = dims.groupBy("dim").agg(F.sum(unit).alias("s"), F.count(F.lit(1)).alias("n"), F.sum(unit * unit).alias("sq"))
+    total = sums.agg(F.sum(F.col("s") * F.col("s")).alias("norm2"), F.max("n").alias("n"), F.sum("sq").alias("sq"))
     n = F.col("n").cast("double")
     spread = (F.col("norm2") - F.col("sq")) / (n * (n - 1))
-    return total.select("n", "n_nan", F.round(spread, 6).alias("mean_pairwise_cosine"),
+    return total.select("n", F.coalesce(bad, F.lit(0)).cast("bigint").alias("n_nan"), F.round(spread, 6).alias("mean_pairwise_cosine"),
                         (spread > collapse_at).alias("collapsed"))
+
+
+def positive_cosine(pairs: DataFrame, vectors: DataFrame, dims: Sequence[int], id_col: str = "doc_id", vec: str = "vec") -> DataFrame:
+    """(dim, n_pairs, mean_cosine) of pairs(anchor, positive), with the vectors cut to each of `dims` first."""
+    left = vectors.select(F.col(id_col).alias("anchor"), F.col(vec).alias("_a"))
+    right = vectors.select(F.col(id_col).alias("positive"), F.col(vec).alias("_p"))
+    both = pairs.select("anchor", "positive").join(left, "anchor").join(right, "positive").withColumn("dim", F.explode(F.array(*[F.lit(int(d)) for d in dims])))
+    dot = lambda x, y: F.aggregate(F.zip_with(F.slice(x, F.lit(1), F.col("dim")), F.slice(y, F.lit(1), F.col("dim")), lambda p, q: p.cast("double") * q), F.lit(0.0), lambda acc, x: acc + x)
+    cosine = dot("_a", "_p") / F.sqrt(dot("_a", "_a") * dot("_p", "_p"))
+    return both.groupBy("dim").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(cosine), 6).alias("mean_cosine"))

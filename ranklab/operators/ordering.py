@@ -1,8 +1,8 @@
 """Ranks and running sums that never put an unbounded group into one task.
 
-A plain `row_number() OVER (ORDER BY x)` sends every row to a single task. Here rows are cut into bins by an
-order-preserving function of the sort key; a window runs inside each bin, and the bin totals (one small row per
-bin) supply the offsets."""
+A plain `row_number() OVER (ORDER BY x)` sends every row to a single task. Here rows are range-partitioned by the sort
+key, so each partition holds its share of the rows whatever the values are spread like; a window runs inside each
+partition, and the partition totals (one small row each) supply the offsets."""
 
 from __future__ import annotations
 
@@ -10,51 +10,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ranklab.functions.keys import key_bin
+from ranklab.session import checkpoint
 
-N_BINS = 1024
 
+def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str) -> DataFrame:
+    """Inclusive running sum of `value` within `keys`, ordered by `order` (which tells all rows of a key apart).
 
-def prefix_sum(df: DataFrame, keys: Sequence[str], bin_col: str, order: Sequence[Column], value: Column,
-               out: str) -> DataFrame:
-    """Inclusive running sum of `value` within `keys`, ordered by `order`; `bin_col` must be monotone in it."""
+    Spark samples the keys for the range borders, so there are as many ranges as shuffle partitions and a long list of
+    one key is cut like the rest. The ranges are written once, since a second sampling could draw other borders."""
     keys = list(keys)
-    totals = df.groupBy(*keys, bin_col).agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(*keys).orderBy(bin_col).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, bin_col, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, bin_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (df.withColumn("_inside", F.sum(value).over(inside))
-            .join(offsets, keys + [bin_col])
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_bin", F.spark_partition_id()).withColumn("_value", value)
+    ranged = checkpoint(ranged)
+    totals = ranged.groupBy(*keys, "_bin").agg(F.sum("_value").alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_bin", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (ranged.withColumn("_inside", F.sum("_value").over(inside))
+            .join(offsets, keys + ["_bin"])
             .withColumn(out, F.col("_inside") + F.col("_offset"))
-            .drop("_inside", "_offset"))
+            .drop("_inside", "_offset", "_bin", "_value"))
 
 
-def linear_bins(df: DataFrame, col: str, out: str = "_bin", n_bins: int = N_BINS,
-                bounds: tuple[float, float] | None = None, descending: bool = False) -> DataFrame:
-    """Equal-width bins of a numeric column. Bounds come from one aggregate row unless given."""
-    value = F.col(col).cast("double")
-    if bounds is None:
-        edge = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("edge")).scalar()
-        df = df.withColumn("_edge", edge)
-        lo, hi = F.col("_edge.lo"), F.col("_edge.hi")
-    else:
-        lo, hi = F.lit(float(bounds[0])), F.lit(float(bounds[1]))
-    width = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    distance = (hi - value) if descending else (value - lo)
-    position = F.floor(distance / width * F.lit(n_bins))
-    df = df.withColumn(out, F.least(F.greatest(position, F.lit(0)), F.lit(n_bins - 1)).cast("int"))
-    return df.drop("_edge") if bounds is None else df
-
-
-def global_rank(df: DataFrame, order_col: str, out: str, hashed: bool = False) -> DataFrame:
-    """Unique 1-based position of every row by `order_col` (unique, ascending).
-
-    `hashed=True` for md5 keys, which bin evenly; numeric columns use equal-width bins."""
-    if hashed:
-        binned = df.withColumn("_bin", key_bin(F.col(order_col)))
-    else:
-        binned = linear_bins(df, order_col)
-    return prefix_sum(binned, [], "_bin", [F.col(order_col)], F.lit(1), out).drop("_bin")
+def global_rank(df: DataFrame, order_col: str, out: str) -> DataFrame:
+    """Unique 1-based position of every row by `order_col` (unique, ascending)."""
+    return prefix_sum(df, [], [F.col(order_col)], F.lit(1), out)
 
 
 def rank_list(df: DataFrame, k: int | None = None, keys: Sequence[str] = ("query_id",), score: str = "score",
@@ -68,12 +47,9 @@ def rank_list(df: DataFrame, k: int | None = None, keys: Sequence[str] = ("query
 
 
 def rank_deep(df: DataFrame, keys: Sequence[str] = ("query_id",), score: str = "score",
-              tie: Sequence[str] = ("doc_id",), out: str = "rank",
-              bounds: tuple[float, float] | None = None) -> DataFrame:
-    """The same ranks for lists as long as the corpus: each list is split into score bins."""
-    binned = linear_bins(df, score, bounds=bounds, descending=True)
-    order = [F.col(score).desc(), *[F.col(t).asc() for t in tie]]
-    return prefix_sum(binned, keys, "_bin", order, F.lit(1), out).drop("_bin")
+              tie: Sequence[str] = ("doc_id",), out: str = "rank") -> DataFrame:
+    """The same ranks for lists as long as the corpus."""
+    return prefix_sum(df, keys, [F.col(score).desc(), *[F.col(t).asc() for t in tie]], F.lit(1), out)
 
 
 def mid_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "mid_rank") -> DataFrame:
@@ -83,7 +59,7 @@ def mid_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "m
     running sum instead of one overloaded task."""
     keys = list(keys)
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    running = prefix_sum(linear_bins(counts, value), keys, "_bin", [F.col(value)], F.col("_n"), "_upto")
+    running = prefix_sum(counts, keys, [F.col(value)], F.col("_n"), "_upto")
     ranks = running.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(out))
     return df.join(ranks, keys + [value])
 
@@ -93,7 +69,7 @@ def upper_median(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "
     count of distinct values, so no task holds a whole group's values."""
     by = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    running = prefix_sum(linear_bins(counts, value), by, "_bin", [F.col(value)], F.col("_n"), "_upto")
+    running = prefix_sum(counts, by, [F.col(value)], F.col("_n"), "_upto")
     if by:
         running = running.join(counts.groupBy(*by).agg(F.sum("_n").alias("_all")), by)
     else:

@@ -29,7 +29,7 @@ def random_outside_pool(queries: DataFrame, docs: DataFrame, pool: DataFrame, r:
 
     Documents get one global random order; a query reads it from its own seeded offset and takes the first r
     documents outside its pool. Only r + pool-size positions per query are looked at, never queries x documents."""
-    order = global_rank(docs.select("doc_id").distinct().withColumn("key", seeded_key(seed, "outside/docs", "doc_id")), "key", "position", hashed=True)
+    order = global_rank(docs.select("doc_id").distinct().withColumn("key", seeded_key(seed, "outside/docs", "doc_id")), "key", "position")
     n_docs = docs.select("doc_id").distinct().agg(F.count(F.lit(1))).scalar()
     sizes = pool.select(*PAIR).distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("pooled"))
     start = key_to_long(seeded_key(seed, "outside/start", "query_id"))
@@ -68,7 +68,7 @@ def compared_pool(lists: Sequence[DataFrame], queries: DataFrame, top: int = 10)
 def halves(units: DataFrame, unit_col: str, seed: int, purpose: str, first: str = "dev", second: str = "test") -> DataFrame:
     """(unit, split): a seeded permutation cut in half; the first half has floor(n / 2) units."""
     keyed = units.select(unit_col).distinct().withColumn("key", seeded_key(seed, purpose, unit_col))
-    placed = global_rank(keyed, "key", "position", hashed=True).withColumn("n", keyed.agg(F.count(F.lit(1))).scalar())
+    placed = global_rank(keyed, "key", "position").withColumn("n", keyed.agg(F.count(F.lit(1))).scalar())
     return placed.select(unit_col, F.when(F.col("position") <= F.floor(F.col("n") / 2), first).otherwise(second).alias("split"))
 
 
@@ -137,7 +137,7 @@ def query_sampler(classes: DataFrame, class_tags: DataFrame, track_tags: DataFra
     near = (noisy.where("near").join(siblings, "class_id").withColumn("key", wkey)
             .withColumn("pos", F.row_number().over(Window.partitionBy(*by_query).orderBy("key")))
             .where(F.col("pos") <= F.col("n_wrong")))
-    order = global_rank(vocab.select("tag_id").distinct().withColumn("key", seeded_key(seed, "vocab", "tag_id")), "key", "position", hashed=True)
+    order = global_rank(vocab.select("tag_id").distinct().withColumn("key", seeded_key(seed, "vocab", "tag_id")), "key", "position")
     n_vocab = vocab.select("tag_id").distinct().agg(F.count(F.lit(1))).scalar()
     start = key_to_long(seeded_key(seed, "wrong/start", "condition", "class_id", "draw"))
     far = (noisy.where(~F.col("near")).withColumn("n_vocab", n_vocab)
@@ -156,7 +156,7 @@ def permuted_control(query_tags: DataFrame, seed: int = 7) -> DataFrame:
     """Each query gets the tags of another one: query number i by id takes those of number i by hash."""
     ids = query_tags.select("query_id").distinct()
     by_id = global_rank(ids, "query_id", "position")
-    by_hash = global_rank(ids.withColumn("key", seeded_key(seed, "permute", "query_id")), "key", "position", hashed=True)
+    by_hash = global_rank(ids.withColumn("key", seeded_key(seed, "permute", "query_id")), "key", "position")
     mapping = by_id.join(by_hash.select("position", F.col("query_id").alias("donor")), "position")
     return mapping.join(query_tags.select(F.col("query_id").alias("donor"), "tag_id"), "donor").select("query_id", "tag_id")
 
@@ -196,8 +196,8 @@ def stratified_audit_sample(records: DataFrame, strata: Sequence[tuple[str, Colu
         short = [f"{n}: {have.get(i, 0)} of {q}" for i, (n, _, q) in enumerate(strata) if have.get(i, 0) < q]
         if short:
             raise ValueError("short strata - " + "; ".join(short))
-    placed = global_rank(picked.withColumn("shuffle", seeded_key(seed, "audit/items", *PAIR)), "shuffle", "item_no", hashed=True)
-    return placed.select(F.concat(F.lit(prefix), F.lpad(F.col("item_no").cast("string"), 3, "0")).alias("item"), *PAIR,
+    placed = global_rank(picked.withColumn("shuffle", seeded_key(seed, "audit/items", *PAIR)), "shuffle", "item_no")
+    return placed.select(F.format_string(f"{prefix}%03d", F.col("item_no")).alias("item"), *PAIR,
                          F.element_at(names, F.col("no") + 1).alias("stratum"), "grade")
 
 
@@ -227,9 +227,8 @@ def hard_negative_triplets(queries: DataFrame, docs: DataFrame, gains: DataFrame
     barred = excluded.join(docs.select("doc_id", "category"), "doc_id").join(
         queries.select("query_id", "category"), ["query_id", "category"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("barred"))
     keyed = docs.select("doc_id", "category").withColumn("key", seeded_key(seed, "negatives", "doc_id"))
-    from ranklab.functions.keys import key_bin
     from ranklab.operators.ordering import prefix_sum
-    order = prefix_sum(keyed.withColumn("_bin", key_bin(F.col("key"))), ["category"], "_bin", [F.col("key")], F.lit(1), "position").drop("_bin")
+    order = prefix_sum(keyed, ["category"], [F.col("key")], F.lit(1), "position")
     sizes = docs.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     start = key_to_long(seeded_key(seed, "negatives/start", "query_id"))
     walk = (anchors.join(barred, "query_id", "left").join(sizes, "category", "left")
@@ -248,7 +247,7 @@ def hard_negative_triplets(queries: DataFrame, docs: DataFrame, gains: DataFrame
 def _other_category(anchors: DataFrame, keyed: DataFrame, sizes: DataFrame, start: Column) -> DataFrame:
     """A seeded document outside the anchor's category: categories laid end to end, the anchor's own skipped."""
     order = global_rank(keyed.withColumn("ckey", F.md5(F.col("category"))).withColumn(
-        "okey", F.concat(F.col("ckey"), F.col("key"))), "okey", "position", hashed=True)
+        "okey", F.concat(F.col("ckey"), F.col("key"))), "okey", "position")
     spans = order.groupBy("category").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n")).scalar()
     rows = anchors.join(spans, "category", "left").withColumn("total", total)
@@ -262,6 +261,6 @@ def _other_category(anchors: DataFrame, keyed: DataFrame, sizes: DataFrame, star
 def train_eval_split(rows: DataFrame, id_col: str, seed: int = 7, share: float = 0.15) -> DataFrame:
     """(id, split): a seeded shuffle; the first share (at least one row) is held out."""
     keyed = rows.select(id_col).withColumn("key", seeded_key(seed, "train/eval", id_col))
-    placed = global_rank(keyed, "key", "position", hashed=True).withColumn("n", keyed.agg(F.count(F.lit(1))).scalar())
+    placed = global_rank(keyed, "key", "position").withColumn("n", keyed.agg(F.count(F.lit(1))).scalar())
     held = F.greatest(F.floor(F.col("n") * F.lit(share)), F.lit(1))
     return placed.select(id_col, F.when(F.col("position") <= held, "eval").otherwise("train").alias("split"))

@@ -68,6 +68,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` as Parquet to the shared folder and read it from there: lineage ends, and later reads prune columns
+    and skip row groups."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -55,8 +55,9 @@ def incremental_embed(texts: DataFrame, store: DataFrame, compute: Compute, stor
     none), so a later failure does not encode them again."""
     new = encode(missing_texts(texts, store, text_col), compute)
     if store_path:
-        known = store.select("text_key", F.col("vec").alias("old"))
-        known = checkpoint(known)
+        # Only the vectors that these texts need are kept from the store before it is appended to.
+        wanted = texts.select(text_key(text_col).alias("text_key")).distinct()
+        known = checkpoint(store.select("text_key", F.col("vec").alias("old")).join(wanted, "text_key", "left_semi"))
         new = checkpoint(new)
         new.write.mode("append").parquet(store_path)
         vectors = union_all([known.select("text_key", F.col("old").alias("vec")), new])

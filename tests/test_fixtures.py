@@ -245,3 +245,64 @@ def test_bm25_zero_scores(spark):
     gigs = spark.createDataFrame([(1, "", "fox"), (2, "", "zebra")], "query_id bigint, title string, body string")
     out = bm25_rank(docs, gigs, 3, refined=False).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.doc_id) for r in out] == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]
+
+
+def test_ranges_of_skewed_values_are_bounded(spark):
+    """Nine in ten values within a thousandth of the range: positions are exact and no range holds much over its share."""
+    from ranklab.operators import ordering
+    from ranklab.session import checkpoint
+    rows = [(i, i * 1e-6 if i % 10 else i * 1e3) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id bigint, x double").repartition(8)
+    got = {r.id: r.pos for r in ordering.global_rank(df, "x", "pos").collect()}
+    assert got == {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: r[1]), start=1)}
+    ranges = checkpoint(df.repartitionByRange(8, "x").withColumn("bin", F.spark_partition_id()))
+    assert max(r["count"] for r in ranges.groupBy("bin").count().collect()) < 2 * 20_000 / 8
+
+
+def test_audit_item_ids_do_not_collide(spark):
+    from ranklab.operators.pools import stratified_audit_sample
+    records = spark.range(1500).select(F.col("id").alias("query_id"), F.col("id").alias("doc_id"), F.lit(2).alias("grade"))
+    items = [r.item for r in stratified_audit_sample(records, [("all", F.col("grade") >= 0, 1500)]).collect()]
+    assert len(set(items)) == 1500 and {"A001", "A999", "A1000", "A1500"} <= set(items)
+
+
+def test_run_stats_on_the_readers_log(spark, tmp_path):
+    from ranklab.operators.labels import run_stats
+    from ranklab.sources import readers as rd, sinks as sk
+    marks = ["ok", "error", "error", "ok", "error"]
+    log = spark.createDataFrame([(str(i), str(i), m) for i, m in enumerate(marks)], "hire_id string, provider_id string, status string").coalesce(1)
+    sk.sink_log(log, str(tmp_path / "log"))
+    read = rd.read_judgment_log(spark, str(tmp_path / "log"))
+    wanted = spark.createDataFrame([(0, 0), (9, 9)], "query_id bigint, doc_id bigint")
+    row = run_stats(wanted, read, read, abort_after=2).first()
+    assert (row.requested, row.already_done, row.graded, row.errors, row.longest_error_streak, row.aborted) == (2, 1, 2, 3, 2, True)
+
+
+def test_nan_does_not_poison_a_query(spark):
+    from ranklab.operators.features import normalize_by_query
+    rows = spark.createDataFrame([(1, 1.0), (1, 3.0), (1, float("nan")), (2, 5.0)], "query_id bigint, x double")
+    got = sorted(((r.query_id, r.x) for r in normalize_by_query(rows, ["x"]).collect()), key=repr)
+    assert got == sorted([(1, -1.0), (1, 1.0), (1, None), (2, 5.0)], key=repr)
+
+
+def test_spread_uses_directions_only(spark):
+    from ranklab.operators.metrics import embedding_spread, positive_cosine
+    vectors = spark.createDataFrame([(1, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 0.0]), (4, [float("nan"), 1.0])], "doc_id bigint, vec array<double>")
+    row = embedding_spread(vectors).first()
+    assert (row.n, row.n_nan, row.mean_pairwise_cosine, row.collapsed) == (2, 1, 1.0, True)
+    pair = spark.createDataFrame([(1, 2)], "anchor bigint, positive bigint")
+    assert [tuple(r) for r in positive_cosine(pair, vectors, (2, 1)).orderBy("dim").collect()] == [(1, 1, 1.0), (2, 1, 1.0)]
+
+
+def test_numbers_print_with_six_significant_digits(spark):
+    from ranklab.operators.features import _number
+    values = [0.0, 1.0, 12.5, 1234567.0, 999999.5, 0.0001, 0.00001234, 123456.0, -2.5, 1e10, 0.12345678, 100000.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(_number(F.col("x"))).collect()]
+    assert got == ["%g" % v for v in values]
+
+
+def test_scores_in_answers(spark):
+    from ranklab.operators.labels import score_from_text
+    cases = {"0.5": .5, "v1.2.3 then .75": .75, "12 0.1": .1, "1.5": None, "1": 1.0, "1.": None, "none": None, "": None, None: None, "a.b 0": 0.0}
+    rows = spark.createDataFrame([(k,) for k in cases], "x string")
+    assert {r.x: r.s for r in rows.select("x", score_from_text(F.col("x")).alias("s")).collect()} == cases

@@ -14,7 +14,7 @@ load_all()
 SMALL = "/root/testdata/sf0.001"
 
 
-def test_ranker_learns_what_the_fused_order_misses(spark):
+def test_boosted_trees_learn_what_the_fused_order_misses(spark):
     import random
     rng = random.Random(5)
     rows, gains = [], []
