@@ -312,14 +312,14 @@ def _dense_sql(dim, k):
     return f"""SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(list_cosine_similarity(q.vec[1:{dim}], v.vec[1:{dim}]), 9) + 0.0 AS score FROM doc_vecs v, gig_vecs q) QUALIFY rank <= {k}"""
 
 
-fragment("dense50", _dense_sql(64, 50), ("doc_vecs", "gig_vecs"))
+fragment("dense_full", _dense_sql(64, 1_000_000_000), ("doc_vecs", "gig_vecs"))
 _SWEEP = ", ".join(f"('{n}', {k}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE)" for n, (k, a, b) in zip(sweep_names(), ((10, 1, 1), (60, 1, 1), (100, 1, 1), (60, 1.0, 1.0), (60, 1.0, 1.5), (60, 0.7, 1.3), (60, 1.5, 1.0))))
 
 
 @query("stage1_sweep", f"""SELECT 'bm25_baseline' AS system, query_id, doc_id, rank FROM plain_bm25 WHERE rank <= 20 UNION ALL SELECT 'bm25_refined', query_id, doc_id, rank FROM bm25 WHERE rank <= 20
-  UNION ALL SELECT 'dense_64', query_id, doc_id, rank FROM dense50 WHERE rank <= 20 UNION ALL SELECT 'dense_16', * FROM ({_dense_sql(16, 20)})
+  UNION ALL SELECT 'dense_64', query_id, doc_id, rank FROM dense_full WHERE rank <= 20 UNION ALL SELECT 'dense_16', * FROM ({_dense_sql(16, 20)})
   UNION ALL SELECT system, query_id, doc_id, row_number() OVER (PARTITION BY system, query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT system, query_id, doc_id, round(coalesce(wa / (k + a.rank), 0) + coalesce(wb / (k + b.rank), 0), 12) AS score
-    FROM (bm25 a FULL JOIN dense50 b USING (query_id, doc_id)), (VALUES {_SWEEP}) s(system, k, wa, wb)) QUALIFY rank <= 20""", ("plain_bm25", "bm25", "dense50", "doc_vecs", "gig_vecs"))
+    FROM (bm25_full a FULL JOIN dense_full b USING (query_id, doc_id)), (VALUES {_SWEEP}) s(system, k, wa, wb)) QUALIFY rank <= 20""", ("plain_bm25", "bm25", "bm25_full", "dense_full", "doc_vecs", "gig_vecs"))
 def stage1(spark, d):
     docs, gigs = text_vectors(spark, d)
     return stage1_sweep(t.docs(spark, d), t.gigs(spark, d), docs, gigs, (64, 16), top=20)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ranklab.catalog.registry import fragment
 from ranklab.functions.lexicon import STOPWORDS, SUFFIX_RULES, SYNONYMS, MIN_STEM
-from ranklab.functions.text import tokenize_corpus
+from ranklab.functions.text import token_table, tokenize_corpus
 from ranklab.operators.agreement import band_grade
 from ranklab.operators.labels import gains_from_grades
 from ranklab.operators.ordering import rank_list
@@ -94,17 +94,17 @@ fragment("bm25_scores", sql_bm25("doc_terms", "doc_len", "idf", "gig_terms"), ("
 fragment("plain_bm25_scores", sql_bm25("plain_doc_terms", "plain_doc_len", "plain_idf", "plain_gig_terms"),
          ("plain_doc_terms", "plain_doc_len", "plain_idf", "plain_gig_terms"))
 for _name in ("bm25", "plain_bm25"):
-    fragment(_name, f"""SELECT query_id, doc_id, coalesce(score, 0.0::DOUBLE) AS score,
+    fragment(f"{_name}_full", f"""SELECT query_id, doc_id, coalesce(score, 0.0::DOUBLE) AS score,
       row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0.0::DOUBLE) DESC, doc_id) AS rank
-      FROM (SELECT query_id, doc_id FROM gigs, docs) LEFT JOIN {_name}_scores USING (query_id, doc_id)
-      QUALIFY rank <= 50""", ("gigs", "docs", f"{_name}_scores"))
+      FROM (SELECT query_id, doc_id FROM gigs, docs) LEFT JOIN {_name}_scores USING (query_id, doc_id)""", ("gigs", "docs", f"{_name}_scores"))
+    fragment(_name, f"SELECT * FROM {_name}_full WHERE rank <= 50", (f"{_name}_full",))
 
 
-def text_grades(spark: SparkSession, d: str) -> DataFrame:
+def text_grades(spark: SparkSession, d: str, tokens: DataFrame | None = None) -> DataFrame:
     """Formula labels of (item, document) pairs sharing a term: the share of the item's distinct terms the document
     has, cut at .95 / .6 / .35."""
     q = tokenize_corpus(gigs(spark, d), "query_id", F.col("text")).select("query_id", "term")
-    t = tokenize_corpus(docs(spark, d), "doc_id", F.col("text")).select("doc_id", "term")
+    t = (token_table(docs(spark, d)) if tokens is None else tokens).select("doc_id", F.col("word").alias("term"))
     size = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     common = t.join(q, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("m")).join(size, "query_id")
     share = F.col("m") / F.col("n")

@@ -1,6 +1,7 @@
 """Hand-checked inputs with known answers."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -306,3 +307,46 @@ def test_scores_in_answers(spark):
     cases = {"0.5": .5, "v1.2.3 then .75": .75, "12 0.1": .1, "1.5": None, "1": 1.0, "1.": None, "none": None, "": None, None: None, "a.b 0": 0.0}
     rows = spark.createDataFrame([(k,) for k in cases], "x string")
     assert {r.x: r.s for r in rows.select("x", score_from_text(F.col("x")).alias("s")).collect()} == cases
+
+
+def test_bm25_ranks_of_negative_and_zero_scores(spark):
+    """A full list is positive scores, then documents at 0 by id, then negative scores; heads and single ranks agree."""
+    from ranklab.operators.bm25 import text_ranks, text_top
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(3 * i,) for i in range(30)], "doc_id bigint")
+    queries = spark.createDataFrame([(q,) for q in range(4)], "query_id bigint")
+    score = {(q, 3 * i): round(rng.choice([-2.0, -1.0, 0.0, 1.0, 2.0]), 9) for q in range(3) for i in rng.sample(range(30), 10 + 6 * q)}
+    table = spark.createDataFrame([(q, d, s) for (q, d), s in score.items()], "query_id bigint, doc_id bigint, score double")
+    full = {q: sorted((3 * i for i in range(30)), key=lambda d: (-score.get((q, d), 0.0), d)) for q in range(4)}
+    for k in (3, 12, 30):
+        got = sorted((r.query_id, r.rank, r.doc_id) for r in text_top(table, queries, docs, k).collect())
+        assert got == [(q, r, d) for q in range(4) for r, d in enumerate(full[q][:k], start=1)]
+    pairs = spark.createDataFrame([(q, d) for q in range(4) for d in range(0, 90, 6)], "query_id bigint, doc_id bigint")
+    assert {(r.query_id, r.doc_id): r.rank for r in text_ranks(table, docs, pairs).collect()} == {(q, d): full[q].index(d) + 1 for q in range(4) for d in range(0, 90, 6)}
+
+
+def test_dense_ranks_of_pairs(spark):
+    from ranklab.operators.similarity import ranks_of_pairs
+    rng = random.Random(5)
+    vec = lambda: [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)] + [1.0]
+    left, right = {i: vec() for i in range(60)}, {q: vec() for q in range(5)}
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), 9)
+    asked = [(d, q) for q in range(5) for d in range(q, 60, 3)]
+    frame = lambda rows, name: spark.createDataFrame(list(rows.items()), f"{name} bigint, vec array<double>").repartition(3)
+    got = ranks_of_pairs(frame(left, "doc_id"), frame(right, "query_id"), spark.createDataFrame(asked, "doc_id bigint, query_id bigint"), "doc_id", "query_id")
+    full = {q: sorted(left, key=lambda d: (-cos(left[d], right[q]), d)) for q in right}
+    assert {(r.doc_id, r.query_id): r.rank for r in got.collect()} == {(d, q): full[q].index(d) + 1 for d, q in asked}
+
+
+def test_fusion_uses_ranks_below_the_head(spark):
+    """A document at rank 60 of one list and 1 of the other gets both ranks, though the heads are 50 deep."""
+    from ranklab.plans.stage1 import complete_lists
+    order = list(range(1, 101))
+    other = [60] + [d for d in order if d != 60]
+    full = [{d: r for r, d in enumerate(o, start=1)} for o in (order, other)]
+    head = lambda ranks: spark.createDataFrame([(1, d, r) for d, r in ranks.items() if r <= 50], "query_id bigint, doc_id bigint, rank bigint")
+    lookup = lambda ranks: lambda pairs: pairs.join(spark.createDataFrame([(1, d, r) for d, r in ranks.items()], "query_id bigint, doc_id bigint, rank bigint"), ["query_id", "doc_id"])
+    a, b = complete_lists([head(r) for r in full], [lookup(r) for r in full])
+    got = fu.rrf_fuse2(a, b, top=3).orderBy("rank").collect()
+    want = sorted(order, key=lambda d: (-round(1 / (60 + full[0][d]) + 1 / (60 + full[1][d]), 12), d))
+    assert [r.doc_id for r in got] == want[:3] and a.where("doc_id = 60").first()["rank"] == 60
