@@ -40,7 +40,7 @@ def find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
-@query("op3_url_filter")
+@query("op3_url_filter", url_filter.oracle(URL_RULES))
 def judge_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -50,7 +50,7 @@ def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-@query("op5_decontaminate")
+@query("op5_decontaminate", decontaminate.ORACLE)
 def find_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -145,3 +145,19 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
                         is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+WITH b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT DISTINCT item, n, array_to_string(w[k + 1:k + n], ' ') AS words
+      FROM (SELECT *, least({WINDOW}, len(w)) AS n FROM b WHERE len(w) > 0), unnest(range(len(w) - n + 1)) AS u(k)),
+d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+g AS (SELECT doc_id, n, k, array_to_string(w[k + 1:k + n], ' ') AS words FROM d, (SELECT DISTINCT n FROM p), unnest(range(greatest(0, len(w) - n + 1))) AS u(k)),
+h AS (SELECT doc_id, n, k, item FROM g JOIN p USING (n, words)),
+c AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM (SELECT DISTINCT doc_id, n, k FROM h), unnest(range(n)) AS u(j) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+"""

@@ -17,7 +17,6 @@ from ranklab.session import union_all
 DAMPING = 0.85
 ROUNDS = 20
 ROUNDS_AT_ONCE = 5
-TOLERANCE = 1e-9
 #: A host is a seed if more than this share of its pages has one rule verdict, and is blocked if its distrust is more
 #: than THRESHOLD of its trust and distrust together.
 SEED_SHARE = 0.5
@@ -70,11 +69,11 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return found.groupBy("src", "dst").agg(F.count("*").cast("double").alias("links"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """Personalised PageRank, both kinds at once: (kind, host, rank), `trust` along links and `distrust` against them.
 
     `seeds` is (kind, host). Ranks of a kind start at its seeds and add to at most 1; what reaches a host without
-    further links leaves. Every few rounds ranks are written and the change is measured; no links, and the seeds stay.
+    further links leaves. Ranks are written every few rounds; without links the seeds keep their start.
     """
     both = union_all([links.select(F.lit("trust").alias("kind"), "src", "dst", "links"),
                       links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links")])
@@ -91,12 +90,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
             sent = new.join(share, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
             back = start.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))
             new = union_all([sent, back]).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        new = written(new, "ranks")
-        old = rank.withColumnRenamed("rank", "old")
-        change = new.join(old, ["kind", "host"], "full").agg(F.max(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        rank = new
-        if change is None or change < tolerance:
-            break
+        rank = written(new, "ranks")
     return rank
 
 
@@ -120,3 +114,35 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...], id_col: str = "page
     bad = F.col("distrust") > (F.col("trust") + F.col("distrust")) * THRESHOLD
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(bad, "block").otherwise("allow"))
     return judged.select(id_col, "host", "path", F.col("_rule.pattern").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
+
+
+def oracle(rules: tuple[UrlRule, ...]) -> str:
+    """The same in SQL, every round written out; for tables whose ranks have settled by the last round."""
+    lower = f"translate({{}}, '{UPPER}', '{LOWER}')"
+    host = lambda url: lower.format(f"regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1)")
+    fits = " ".join(f"WHEN (host = '{r.host}' OR suffix(host, '.{r.host}')) AND prefix(path, '{r.path}') THEN '{r.pattern}'"
+                    for r in sorted(rules, key=lambda r: -len(r.pattern)))
+    verdict = " ".join(f"WHEN '{r.pattern}' THEN '{r.verdict}'" for r in rules)
+    rounds = ""
+    for k in range(1, ROUNDS + 1):
+        rounds += f""",
+r{k} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM (SELECT kind, host, rank * {1 - DAMPING} AS rank FROM r0
+  UNION ALL SELECT e.kind, e.dst, r.rank * e.links / t.total * {DAMPING} FROM r{k - 1} r JOIN e ON e.kind = r.kind AND e.src = r.host JOIN t ON t.kind = e.kind AND t.src = e.src) GROUP BY ALL)"""
+    return f"""
+WITH p AS (SELECT page_id, html, coalesce({host('url')}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+j AS (SELECT *, CASE {fits} END AS rule FROM p),
+v AS (SELECT *, CASE rule {verdict} END AS said FROM j),
+s AS (SELECT host, count(*) AS n, count(*) FILTER (said = 'allow') AS allow, count(*) FILTER (said = 'block') AS block FROM v WHERE host <> '' GROUP BY host),
+q AS (SELECT 'trust' AS kind, host FROM s WHERE allow > n * {SEED_SHARE} UNION ALL SELECT 'distrust', host FROM s WHERE block > n * {SEED_SHARE}),
+l AS (SELECT host AS src, {host("CASE WHEN prefix(x, '//') THEN 'http:' || x ELSE x END")} AS dst
+      FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*((?:https?:)?//[^"''\s>]+)', 1)) AS x FROM p)),
+c AS (SELECT src, dst, count(*)::DOUBLE AS links FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+e AS (SELECT 'trust' AS kind, * FROM c UNION ALL SELECT 'distrust', dst, src, links FROM c),
+t AS (SELECT kind, src, sum(links) AS total FROM e GROUP BY ALL),
+r0 AS MATERIALIZED (SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS rank FROM q){rounds},
+f AS (SELECT host, round(coalesce(sum(rank) FILTER (kind = 'trust'), 0), 12) AS trust, round(coalesce(sum(rank) FILTER (kind = 'distrust'), 0), 12) AS distrust
+      FROM (SELECT * FROM {{ranks}}) GROUP BY host)
+SELECT page_id, v.host, path, rule, coalesce(said, CASE WHEN coalesce(distrust, 0) > (coalesce(trust, 0) + coalesce(distrust, 0)) * {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(trust, 0.0) AS trust, coalesce(distrust, 0.0) AS distrust
+FROM v LEFT JOIN f ON f.host = v.host
+""".replace("{ranks}", f"r{ROUNDS} WHERE (SELECT count(*) FROM c) > 0 UNION ALL SELECT * FROM r0 WHERE (SELECT count(*) FROM c) = 0")
