@@ -135,7 +135,7 @@ v AS (SELECT *, CASE rule {verdict} END AS said FROM j),
 s AS (SELECT host, count(*) AS n, count(*) FILTER (said = 'allow') AS allow, count(*) FILTER (said = 'block') AS block FROM v WHERE host <> '' GROUP BY host),
 q AS (SELECT 'trust' AS kind, host FROM s WHERE allow > n * {SEED_SHARE} UNION ALL SELECT 'distrust', host FROM s WHERE block > n * {SEED_SHARE}),
 l AS (SELECT host AS src, {host("CASE WHEN prefix(x, '//') THEN 'http:' || x ELSE x END")} AS dst
-      FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*((?:https?:)?//[^"''\s>]+)', 1)) AS x FROM p)),
+      FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*["'']?\\s*((?:https?:)?//[^"''\\s>]+)', 1)) AS x FROM p)),
 c AS (SELECT src, dst, count(*)::DOUBLE AS links FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
 e AS (SELECT 'trust' AS kind, * FROM c UNION ALL SELECT 'distrust', dst, src, links FROM c),
 t AS (SELECT kind, src, sum(links) AS total FROM e GROUP BY ALL),

@@ -266,3 +266,20 @@ def test_records_of_a_file_cut_short():
     whole = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\ncontent-length: 5\r\n\r\nab"
     assert [whole[a:b] for a, b in warc.record_spans(whole)] == [whole[:34], whole[38:]]
     assert list(warc.record_spans(b"")) == []
+
+
+def test_url_oracle_agrees_on_linked_hosts(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(11)
+    hosts = [f"h{i}.com" for i in range(8)] + ["a.example.net", "b.net"]
+    rows = [(i, f"http://{h}/{'en' if h[0] == 'a' else 'x'}/{i}", "".join(f"<a href='https://{rng.choice(hosts)}/'>x</a>" for _ in range(3))) for i, h in enumerate(hosts * 2)]
+    pages = pages_of(spark, rows)
+    pages.write.parquet(f"{tmp_path}/pages")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    columns = ["page_id", "host", "path", "rule", "verdict", "trust", "distrust"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({url_filter.oracle(catalog.URL_RULES)}) ORDER BY page_id").fetchall()
+    got = [tuple(r[c] for c in columns) for r in url_filter.judge_urls(pages, catalog.URL_RULES).orderBy("page_id").collect()]
+    assert [g[:5] for g in got] == [w[:5] for w in want] and max(r[6] for r in got) > 0
+    assert [g[5:] for g in got] == [pytest.approx(w[5:], abs=1e-9) for w in want]
