@@ -6,7 +6,6 @@ from ranklab.catalog import tables as t
 from ranklab.catalog.registry import fragment, query, shown6, shown9
 from ranklab.operators import hubness as hb
 from ranklab.operators import tags as tg
-from ranklab.operators.hubness import top_tags
 from ranklab.operators.similarity import top_k_cosine
 
 TOP = "row_number() OVER (PARTITION BY text_id ORDER BY score DESC, tag_id) AS rank"
@@ -42,47 +41,45 @@ fragment("pooled", """SELECT text_id, tag_id, round(c / CASE WHEN sd > 0 THEN sd
 
 @query("hubness_center", f"SELECT text_id, tag_id, round(score + 2.5e-10, 6) + 0.0 AS score, {TOP} FROM centered QUALIFY rank <= 20", ("centered",))
 def center(spark, d):
-    s = t.sims(spark, d)
-    return ranked6(top_tags(hb.hubness_center(s, hb.hubness_stats(s)), 20))
+    return ranked6(hb.tag_corrected(t.texts(spark, d), t.tag_titles(spark, d), "center", 20))
 
 
 @query("hubness_z", f"SELECT text_id, tag_id, round(score + 2.5e-10, 6) + 0.0 AS score, {TOP} FROM zscored QUALIFY rank <= 20", ("zscored",))
 def zscore(spark, d):
-    s = t.sims(spark, d)
-    return ranked6(top_tags(hb.hubness_z(s, hb.hubness_stats(s)), 20))
+    return ranked6(hb.tag_corrected(t.texts(spark, d), t.tag_titles(spark, d), "z", 20))
 
 
-@query("hubness_pooled_unit", "SELECT text_id, tag_id, round(score + 2.5e-10, 6) + 0.0 AS score FROM pooled", ("pooled",))
+@query("hubness_pooled_unit", f"SELECT text_id, tag_id, round(score + 2.5e-10, 6) + 0.0 AS score, {TOP} FROM pooled QUALIFY rank <= 20", ("pooled",))
 def pooled(spark, d):
-    return r6(hb.hubness_pooled_unit(t.sims(spark, d)))
+    return ranked6(hb.tag_corrected(t.texts(spark, d), t.tag_titles(spark, d), "pooled", 20))
 
 
-@query("hubness_csls", """SELECT text_id, tag_id, round(round(score - 0.5::DOUBLE * r, 12) + 2.5e-13, 9) + 0.0 AS score FROM sims JOIN (SELECT tag_id, avg(score) AS r FROM (
-  SELECT *, row_number() OVER (PARTITION BY tag_id ORDER BY score DESC, text_id) AS p FROM sims) WHERE p <= 10 GROUP BY 1) USING (tag_id)""", ("sims",))
+@query("hubness_csls", f"""SELECT text_id, tag_id, round(score + 2.5e-13, 9) + 0.0 AS score, {TOP} FROM (SELECT text_id, tag_id, round(score - 0.5::DOUBLE * r, 12) AS score FROM sims JOIN (SELECT tag_id, avg(score) AS r FROM (
+  SELECT *, row_number() OVER (PARTITION BY tag_id ORDER BY score DESC, text_id) AS p FROM sims) WHERE p <= 10 GROUP BY 1) USING (tag_id)) QUALIFY rank <= 20""", ("sims",))
 def csls(spark, d):
-    return hb.hubness_csls(t.sims(spark, d)).withColumn("score", shown9("score"))
+    out = hb.tag_corrected(t.texts(spark, d), t.tag_titles(spark, d), "csls", 20)
+    return out.select("text_id", "tag_id", shown9("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("hubness_dsm", """WITH tt AS (SELECT stddev_pop(score - mean) AS t FROM sims JOIN stats USING (tag_id)),
+@query("hubness_dsm", f"""WITH tt AS (SELECT stddev_pop(score - mean) AS t FROM sims JOIN stats USING (tag_id)),
   l AS (SELECT tag_id, max(score) AS peak, any_value(t) AS t, ln(avg(exp((score - pk) / t))) AS lme FROM (SELECT *, max(score) OVER (PARTITION BY tag_id) AS pk FROM sims), tt GROUP BY 1)
-  SELECT text_id, tag_id, round(round(score - peak - t * lme, 9) + 2.5e-10, 6) + 0.0 AS score FROM sims JOIN l USING (tag_id)""", ("sims", "stats"))
+  SELECT text_id, tag_id, round(score + 2.5e-10, 6) + 0.0 AS score, {TOP} FROM (SELECT text_id, tag_id, round(score - peak - t * lme, 9) AS score FROM sims JOIN l USING (tag_id)) QUALIFY rank <= 20""", ("sims", "stats"))
 def dsm(spark, d):
-    return r6(hb.hubness_dsm(t.sims(spark, d), 1.0))
+    return ranked6(hb.tag_corrected(t.texts(spark, d), t.tag_titles(spark, d), "dsm", 20))
 
 
-@query("global_unit", "SELECT text_id, tag_id, round(round((score - m) / sd, 9) + 2.5e-10, 6) + 0.0 AS score FROM sims, (SELECT avg(score) AS m, stddev_pop(score) AS sd FROM sims)", ("sims",))
+@query("global_unit", f"SELECT text_id, tag_id, round(score + 2.5e-10, 6) + 0.0 AS score, {TOP} FROM (SELECT text_id, tag_id, round((score - m) / sd, 9) AS score FROM sims, (SELECT avg(score) AS m, stddev_pop(score) AS sd FROM sims)) QUALIFY rank <= 20", ("sims",))
 def global_unit(spark, d):
-    return r6(hb.global_unit(t.sims(spark, d)))
+    return ranked6(hb.tag_corrected(t.texts(spark, d), t.tag_titles(spark, d), "global", 20))
 
 
 fragment("ensemble", """SELECT text_id, tag_id, round(s / sd, 9) AS score FROM (SELECT text_id, tag_id, 0.75::DOUBLE * p.score + 0.25::DOUBLE * z.score AS s FROM pooled p JOIN zscored z USING (text_id, tag_id)),
   (SELECT stddev_pop(0.75::DOUBLE * p.score + 0.25::DOUBLE * z.score) AS sd FROM pooled p JOIN zscored z USING (text_id, tag_id))""", ("pooled", "zscored"))
 
 
-@query("score_ensemble", "SELECT text_id, tag_id, round(score + 2.5e-10, 6) + 0.0 AS score FROM ensemble", ("ensemble",))
+@query("score_ensemble", f"SELECT text_id, tag_id, round(score + 2.5e-10, 6) + 0.0 AS score, {TOP} FROM ensemble QUALIFY rank <= 20", ("ensemble",))
 def ensemble(spark, d):
-    s = t.sims(spark, d)
-    return r6(hb.score_ensemble([hb.hubness_pooled_unit(s), hb.hubness_z(s, hb.hubness_stats(s))], [3.0, 1.0]))
+    return ranked6(hb.tag_corrected(t.texts(spark, d), t.tag_titles(spark, d), "mix", 20, weights=(3.0, 1.0)))
 
 
 def role_vectors(spark, d):
@@ -128,7 +125,7 @@ def role_knn(spark, d):
 
 @query("weighted_tag_vectors", f"SELECT text_id, tag_id, round(score - 1.0::DOUBLE + 2.5e-10, 6) + 0.0 AS weight FROM (SELECT *, {TOP} FROM pooled QUALIFY rank <= 20) WHERE score > 1.0", ("pooled",))
 def weighted_vectors(spark, d):
-    return r6(tg.weighted_tag_vectors(hb.hubness_pooled_unit(t.sims(spark, d)), "text_id", 20, 1.0), "weight")
+    return r6(tg.weighted_tag_vectors(hb.tag_corrected(t.texts(spark, d), t.tag_titles(spark, d), "pooled", 20), "text_id", 20, 1.0), "weight")
 
 
 fragment("pair_cos", f"""SELECT a.query_id, b.text_id AS doc_id, round(sum(a.w * b.w) / (qn * dn), 9) AS score FROM
@@ -142,9 +139,9 @@ fragment("gig_pooled", """SELECT query_id, tag_id, round(c / sd, 9) AS score FRO
 
 def side_weights(spark, d):
     """Weighted tag vectors of both sides; each side is corrected with its own statistics."""
-    docs = tg.weighted_tag_vectors(hb.hubness_pooled_unit(t.sims(spark, d)), "text_id", 20, 1.0).withColumnRenamed("text_id", "doc_id")
+    docs = tg.weighted_tag_vectors(hb.tag_corrected(t.texts(spark, d), t.tag_titles(spark, d), "pooled", 20), "text_id", 20, 1.0).withColumnRenamed("text_id", "doc_id")
     gigs = t.centroids(spark, d).withColumnRenamed("query_id", "text_id")
-    gig_scores = hb.hubness_pooled_unit(hb.tag_similarities(gigs, t.tag_titles(spark, d)))
+    gig_scores = hb.tag_corrected(gigs, t.tag_titles(spark, d), "pooled", 20)
     return docs, tg.weighted_tag_vectors(gig_scores, "text_id", 20, 1.0).withColumnRenamed("text_id", "query_id")
 
 
@@ -170,8 +167,7 @@ def gold(spark, d):
   FROM (SELECT doc_id AS text_id, m FROM vecs, (VALUES (5), (10), (20), (30)) t(m)) f JOIN (SELECT text_id, count(*) AS n FROM vec_gold GROUP BY 1) s USING (text_id)
   JOIN (SELECT text_id, tag_id, {TOP} FROM centered) p ON p.text_id = f.text_id AND p.rank <= f.m LEFT JOIN vec_gold g ON g.text_id = p.text_id AND g.tag_id = p.tag_id GROUP BY 1, 2""", ("centered", "vec_gold", "vecs"))
 def gold_metrics(spark, d):
-    s = t.sims(spark, d)
-    best = top_tags(hb.hubness_center(s, hb.hubness_stats(s)), 30)
+    best = hb.tag_corrected(t.texts(spark, d), t.tag_titles(spark, d), "center", 30)
     return r6(hb.gold_tag_metrics(best, gold(spark, d), t.texts(spark, d)), "precision", "recall")
 
 
@@ -191,9 +187,10 @@ def new_query(spark, d):
     """Centroid queries that are in no tag table, corrected with the stored statistics of the corpus. Every text
     keeps 10 tags, so the length factor of the scorer is 1."""
     from ranklab.operators.new_query import rank_new_queries
-    s = t.sims(spark, d)
-    st = hb.hubness_stats(s).withColumn("sd", F.lit(1.0))
-    doc_tags = top_tags(hb.hubness_center(s, st), 10).select(F.col("text_id").alias("doc_id"), "tag_id", "score", "rank")
+    texts, titles = t.texts(spark, d), t.tag_titles(spark, d)
+    means = hb.correction(texts, titles, "center")
+    st = means.select("tag_id", F.col("p")[0].alias("mean"), F.lit(1.0).alias("sd"))
+    doc_tags = hb.corrected_top(texts, titles, means, "center", 10).select(F.col("text_id").alias("doc_id"), "tag_id", "score", "rank")
     out = rank_new_queries(t.centroids(spark, d), t.tag_titles(spark, d), st, doc_tags, t.vectors(spark, d).select("doc_id"), m=10, k=20)
     return out.select("query_id", "doc_id", shown6("score"), F.col("rank").cast("bigint").alias("rank"))
 

@@ -1,7 +1,9 @@
 """Tagging texts by embedding similarity and correcting for hub tags.
 
-sims(text_id, tag_id, score[, side]) is the long cosine table: texts x vocabulary. `hubness_stats_blocked` gets
-the per-tag moments without materialising it."""
+Every correction changes a score by a few numbers of its tag. `correction` finds these numbers with sums over blocks of
+the product, and `corrected_top` applies them inside the product and returns the best tags of every text, so texts x tags
+is never a table. The functions over sims(text_id, tag_id, score[, side]) are the same corrections for a table that
+already exists, such as scores from elsewhere."""
 
 from __future__ import annotations
 
@@ -11,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ranklab.operators.ordering import rank_list
-from ranklab.operators.similarity import all_cosines, block_products, top_k_cosine
-from ranklab.session import union_all
+from ranklab.operators.similarity import all_cosines, block_products, carried_products, top_k_cosine, top_per_row
+from ranklab.session import checkpoint, union_all
 
 SIGMA_FLOOR = 1e-6
 
@@ -44,6 +46,105 @@ def hubness_stats_blocked(texts: DataFrame, tags: DataFrame) -> DataFrame:
         F.sqrt(F.greatest(F.col("sq") / F.col("n") - mean * mean, F.lit(0.0))), F.lit(SIGMA_FLOOR)).alias("sd"))
 
 
+def _moments(texts: DataFrame, tags: DataFrame) -> DataFrame:
+    """(tag_id, n, s, sq, peak, mean, sd) of the rounded scores, one row per tag and block before the shuffle."""
+    def emit(l, r, s):
+        s = np.round(s, 9) + 0.0
+        return pd.DataFrame({"tag_id": r, "n": len(l), "s": s.sum(axis=0), "sq": (s * s).sum(axis=0), "peak": s.max(axis=0)})
+    parts = block_products(texts, tags, emit, "tag_id long, n long, s double, sq double, peak double", "text_id", "tag_id")
+    total = parts.groupBy("tag_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("sq").alias("sq"), F.max("peak").alias("peak"))
+    mean = F.col("s") / F.col("n")
+    return total.withColumn("mean", mean).withColumn("sd", F.greatest(F.sqrt(F.greatest(F.col("sq") / F.col("n") - mean * mean, F.lit(0.0))), F.lit(SIGMA_FLOOR)))
+
+
+def _pooled(moments: DataFrame):
+    """The deviation of all scores around the means of their tags, as a scalar."""
+    return moments.agg(F.sqrt(F.greatest(F.sum(F.col("sq") - F.col("n") * F.col("mean") * F.col("mean")) / F.sum("n"), F.lit(0.0)))).scalar()
+
+
+def _apply(how: str, s: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Corrected scores [text, tag] from cosines and the numbers [number, tag] of `correction`."""
+    if how == "raw":
+        return s
+    if how == "center":
+        return np.round(s - p[0], 9)
+    if how in ("z", "pooled", "global"):
+        return np.round((s - p[0]) / p[1], 9)
+    if how == "csls":
+        return np.round(s - p[0] * 0.5, 12)
+    if how == "dsm":
+        return np.round(np.where(p[1] > 0, s - p[0] - p[1] * p[2], s), 9)
+    if how in ("mix", "mix-sum"):
+        mixed = p[3] * np.round((s - p[0]) / p[1], 9) + p[4] * np.round((s - p[0]) / p[2], 9)
+        return np.round(mixed / p[5], 9) if how == "mix" else mixed
+    raise ValueError(f"unknown correction {how!r}")
+
+
+def correction(texts: DataFrame, tags: DataFrame, how: str, k: int = 10, arg: float = 1.0, weights: Sequence[float] = (1.0, 1.0)) -> DataFrame:
+    """(tag_id, p): the numbers of a correction for every tag. `center`, `z`: the tag's mean and deviation; `pooled`: its
+    mean and one pooled deviation; `global`: one mean and deviation; `csls`: the mean of its `k` highest cosines; `dsm`:
+    its log-mean-exp at `arg` pooled deviations; `mix`: the weighted mean of pooled and z, rescaled to unit deviation.
+    The result is written: one row per tag."""
+    one = lambda sd: F.when(sd > 0, sd).otherwise(F.lit(1.0))
+    if how == "csls":
+        k = max(int(k), 1)
+
+        def emit(l, r, s):
+            tag, text, score = top_per_row(r, l, s.T, k)
+            return pd.DataFrame({"tag_id": tag, "text_id": text, "score": score})
+        best = rank_list(block_products(texts, tags, emit, "tag_id long, text_id long, score double", "text_id", "tag_id"), k, keys=("tag_id",), tie=("text_id",))
+        return checkpoint(best.groupBy("tag_id").agg(F.array(F.avg("score")).alias("p")))
+    stats = checkpoint(_moments(texts, tags))
+    if how == "raw":
+        return stats.select("tag_id", F.array().cast("array<double>").alias("p"))
+    if how == "center":
+        return stats.select("tag_id", F.array("mean").alias("p"))
+    if how == "z":
+        return stats.select("tag_id", F.array("mean", "sd").alias("p"))
+    if how == "global":
+        total = stats.agg(F.struct((F.sum("s") / F.sum("n")).alias("m"), (F.sum("sq") / F.sum("n")).alias("q"))).scalar()
+        rows = stats.withColumn("t", total)
+        return rows.select("tag_id", F.array("t.m", one(F.sqrt(F.greatest(F.col("t.q") - F.col("t.m") * F.col("t.m"), F.lit(0.0))))).alias("p"))
+    rows = stats.withColumn("pooled", _pooled(stats))
+    if how == "pooled":
+        return rows.select("tag_id", F.array("mean", one(F.col("pooled"))).alias("p"))
+    if how == "dsm":
+        scaled = rows.select("tag_id", F.array(F.col("peak"), F.col("pooled") * F.lit(float(arg))).alias("p"))
+
+        def soft(l, r, s, p):
+            t = np.where(p[:, 1] > 0, p[:, 1], np.inf)
+            return pd.DataFrame({"tag_id": r, "n": len(l), "e": np.exp((s - p[:, 0]) / t).sum(axis=0)})
+        parts = carried_products(texts, tags, scaled, soft, "tag_id long, n long, e double", "text_id", "tag_id")
+        lme = parts.groupBy("tag_id").agg(F.log(F.sum("e") / F.sum("n")).alias("lme"))
+        return checkpoint(scaled.join(lme, "tag_id").select("tag_id", F.array(F.col("p")[0], F.col("p")[1], F.col("lme")).alias("p")))
+    if how == "mix":
+        a, b = (float(w) / float(sum(weights)) for w in weights)
+        parts = rows.select("tag_id", F.array(F.col("mean"), one(F.col("pooled")), F.col("sd"), F.lit(a), F.lit(b)).alias("p"))
+
+        def sums(l, r, s, p):
+            mixed = _apply("mix-sum", s, p.T)
+            return pd.DataFrame({"n": [mixed.size], "s": [mixed.sum()], "sq": [(mixed * mixed).sum()]})
+        total = carried_products(texts, tags, parts, sums, "n long, s double, sq double", "text_id", "tag_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("sq").alias("sq"))
+        sd = total.select(F.sqrt(F.greatest(F.col("sq") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0)))).scalar()
+        return checkpoint(parts.withColumn("sd", sd).select("tag_id", F.concat("p", F.array(one(F.col("sd")))).alias("p")))
+    raise ValueError(f"unknown correction {how!r}")
+
+
+def corrected_top(texts: DataFrame, tags: DataFrame, numbers: DataFrame, how: str, m: int) -> DataFrame:
+    """(text_id, tag_id, score, rank): the m best tags of every text after a correction; ties keep tag order. Each block
+    returns m rows per text at most."""
+    def emit(l, r, s, p):
+        text, tag, score = top_per_row(l, r, _apply(how, s, p.T), m, 12)
+        return pd.DataFrame({"text_id": text, "tag_id": tag, "score": score})
+    partial = carried_products(texts, tags, numbers, emit, "text_id long, tag_id long, score double", "text_id", "tag_id")
+    return rank_list(partial, m, keys=("text_id",), tie=("tag_id",))
+
+
+def tag_corrected(texts: DataFrame, tags: DataFrame, how: str, m: int, **settings) -> DataFrame:
+    """`corrected_top` with the numbers of these very texts."""
+    return corrected_top(texts, tags, correction(texts, tags, how, **settings), how, m)
+
+
 def _with_stats(sims: DataFrame, stats: DataFrame) -> DataFrame:
     keys = [c for c in ("side", "tag_id") if c in sims.columns and c in stats.columns]
     return sims.join(stats, keys)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ranklab.operators.hubness import hubness_z, tag_prototypes, tag_similarities, top_tags
+from ranklab.operators.hubness import corrected_top, tag_prototypes, tag_text_corpus
 from ranklab.operators.ordering import rank_list
 from ranklab.operators.pools import halves
 from ranklab.operators.similarity import all_cosines
@@ -26,10 +26,12 @@ def rank_new_queries(queries: DataFrame, tags: DataFrame, stats: DataFrame | Non
                      b: float = 0.75) -> DataFrame:
     """ranked(query_id, doc_id, score, rank) for query vectors: cosine to the tag vectors, the stored per-tag
     correction (None for raw tags), the best m tags, then the tag scorer."""
-    sims = tag_similarities(queries.select(F.col("query_id").alias("text_id"), "vec"), tags)
-    if stats is not None:
-        sims = hubness_z(sims, checked_stats(stats, tags))
-    best = top_tags(sims, m).select(F.col("text_id").alias("query_id"), "tag_id", F.col("score").alias("weight"))
+    texts = queries.select(F.col("query_id").alias("text_id"), "vec")
+    if stats is None:
+        ranked = tag_text_corpus(texts, tags, m)
+    else:
+        ranked = corrected_top(texts, tags, checked_stats(stats, tags).select("tag_id", F.array("mean", "sd").alias("p")), "z", m)
+    best = ranked.select(F.col("text_id").alias("query_id"), "tag_id", F.col("score").alias("weight"))
     if scorer == "wcos":
         weights = doc_tags.select("doc_id", "tag_id", F.col("score").alias("weight"))
         return rank_list(tag_weighted_cosine(weights, best, tau), k)

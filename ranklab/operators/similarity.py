@@ -123,6 +123,29 @@ def top_k_cosine(left: DataFrame, right: DataFrame, k: int, left_id: str, right_
     return rank_list(partial, k, keys=(owner,), tie=(partner,))
 
 
+def carried_products(left: DataFrame, right: DataFrame, carried: DataFrame, emit, schema: str, left_id: str, right_id: str,
+                     left_vec: str = "vec", right_vec: str = "vec") -> DataFrame:
+    """`emit(left_ids, right_ids, cosines, numbers)` on every pair of blocks: each right row brings the numbers that
+    `carried(right_id, p)` has for it (arrays of one length), so what is done to a score is done inside the product.
+    Cosines are rounded to 9 decimals."""
+    rows = right.select(F.col(right_id).alias("r"), F.col(right_vec).alias("rv")).join(carried.select(F.col(right_id).alias("r"), "p"), "r")
+    head = rows.agg(F.max(F.size("rv")).alias("d"), F.max(F.size("p")).alias("w"), F.count(F.lit(1)).alias("n")).first()
+    dim, width = head["d"] or 1, head["w"] or 0
+    both = rows.select("r", F.concat(F.col("rv").cast("array<double>"), F.col("p").cast("array<double>")).alias("v"))
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                left_ids, a = _unpack(row, "l")
+                right_ids, b = _unpack(row, "r")
+                length = np.sqrt((b[:, :dim] ** 2).sum(axis=1))
+                cosines = a @ (b[:, :dim] / np.where(length == 0, 1.0, length)[:, None]).T
+                yield emit(left_ids, right_ids, np.round(cosines, 9) + 0.0, b[:, dim:])
+
+    pairs = _block_pairs(pack_blocks(left, left_id, left_vec), pack_blocks(both, "r", "v", False), head["n"], dim + width)
+    return pairs.mapInPandas(multiply, schema)
+
+
 def ranks_of_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, left_id: str, right_id: str, left_vec: str = "vec",
                    right_vec: str = "vec") -> DataFrame:
     """(right_id, left_id, rank): where the given left rows stand in the list of all left rows of a right row, by cosine
@@ -130,39 +153,31 @@ def ranks_of_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, left_id:
 
     The scores of a right row's pairs travel with its vector, so one product of blocks counts for all of them what
     stands before; a block returns one count for each pair. A right row has as many pairs as its list is deep."""
-    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, y: acc + y * y)))
-    lhs = left.select(F.col(left_id).alias("l"), unit(F.col(left_vec)).alias("lv"))
-    rhs = right.select(F.col(right_id).alias("r"), unit(F.col(right_vec)).alias("rv"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+    lhs = left.select(F.col(left_id).alias("l"), F.col(left_vec).cast("array<double>").alias("lv"))
+    rhs = right.select(F.col(right_id).alias("r"), F.col(right_vec).cast("array<double>").alias("rv"))
     joined = pairs.select(F.col(left_id).alias("l"), F.col(right_id).alias("r")).distinct().join(lhs, "l").join(rhs, "r")
-    dot = F.aggregate(F.zip_with("lv", "rv", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    marks = joined.groupBy("r").agg(F.sort_array(F.collect_list(F.struct((F.round(dot, 9) + F.lit(0.0)).alias("s"), F.col("l").alias("l")))).alias("marks"))
-    asked = rhs.join(marks, "r")
-    head = asked.agg(F.max(F.size("marks")).alias("m"), F.max(F.size("rv")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    width, dim, n_right = head["m"] or 1, head["d"] or 1, head["n"]
-    pad = lambda field: F.concat(F.transform("marks", lambda x: x[field].cast("double")), F.array_repeat(F.lit(float("nan")), F.lit(width) - F.size("marks")))
-    carried = asked.select("r", F.concat("rv", pad("s"), pad("l")).alias("v"))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                ids, a = _unpack(row, "l")
-                right_ids, b = _unpack(row, "r")
-                scores = np.round(a @ b[:, :dim].T, 9) + 0.0
-                out = []
-                for j, r in enumerate(right_ids):
-                    marks = b[j, dim:dim + width]
-                    n = int((~np.isnan(marks)).sum())
-                    marks, owners = marks[:n], b[j, dim + width:dim + width + n]
-                    order = np.lexsort((ids, -scores[:, j]))
-                    falling, by_id = -scores[order, j], ids[order]
-                    low, high = np.searchsorted(falling, -marks, side="left"), np.searchsorted(falling, -marks, side="right")
-                    before = [lo + int(np.searchsorted(by_id[lo:hi], int(o))) for lo, hi, o in zip(low, high, owners)]
-                    out.append(pd.DataFrame({"r": r, "l": owners.astype(np.int64), "n": before}))
-                yield pd.concat(out) if out else pd.DataFrame({"r": [], "l": [], "n": []})
-
-    blocks = _block_pairs(pack_blocks(lhs, "l", "lv", False), pack_blocks(carried, "r", "v", False), n_right, dim + 2 * width)
-    counted = blocks.mapInPandas(count, "r long, l long, n long").groupBy("r", "l").agg((F.sum("n") + 1).alias("rank"))
-    return counted.select(F.col("r").alias(right_id), F.col("l").alias(left_id), "rank")
+    length = F.sqrt(dot("lv", "lv")) * F.sqrt(dot("rv", "rv"))
+    cosine = F.round(F.when(length > 0, dot("lv", "rv") / length).otherwise(F.lit(0.0)), 9) + F.lit(0.0)
+    marks = joined.groupBy("r").agg(F.collect_list(F.struct(cosine.alias("s"), F.col("l").cast("double").alias("l"))).alias("marks"))
+    width = marks.agg(F.max(F.size("marks"))).first()[0] or 1
+    pad = lambda field: F.concat(F.col(f"marks.{field}"), F.array_repeat(F.lit(float("nan")), F.lit(width) - F.size("marks")))
+    carried = marks.select(F.col("r").alias(right_id), F.concat(pad("s"), pad("l")).alias("p"))
+
+    def emit(ids, right_ids, scores, numbers):
+        out = []
+        for j, r in enumerate(right_ids):
+            n = int((~np.isnan(numbers[j, :width])).sum())
+            wanted, owners = numbers[j, :n], numbers[j, width:width + n]
+            order = np.lexsort((ids, -scores[:, j]))
+            falling, by_id = -scores[order, j], ids[order]
+            low, high = np.searchsorted(falling, -wanted, side="left"), np.searchsorted(falling, -wanted, side="right")
+            before = [lo + int(np.searchsorted(by_id[lo:hi], int(o))) for lo, hi, o in zip(low, high, owners)]
+            out.append(pd.DataFrame({"r": r, "l": owners.astype(np.int64), "n": before}))
+        return pd.concat(out) if out else pd.DataFrame({"r": [], "l": [], "n": []})
+
+    counted = carried_products(left, right, carried, emit, "r long, l long, n long", left_id, right_id, left_vec, right_vec)
+    return counted.groupBy("r", "l").agg((F.sum("n") + 1).alias("rank")).select(F.col("r").alias(right_id), F.col("l").alias(left_id), "rank")
 
 
 def all_cosines(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vec: str = "vec",

@@ -125,8 +125,9 @@ def tag_channel_rank(doc_tags: DataFrame, query_tags: DataFrame, docs: DataFrame
 
 
 def weighted_tag_vectors(scores: DataFrame, owner: str, m: int = 30, tau: float = 1.0) -> DataFrame:
-    """(owner, tag_id, weight): relu(score - tau) over the top-m tags; zero weights are not stored."""
-    top = rank_list(scores, m, keys=(owner,), tie=("tag_id",))
+    """(owner, tag_id, weight): relu(score - tau) over the top-m tags; zero weights are not stored. `scores` may already
+    be cut to the m best."""
+    top = rank_list(scores.drop("rank"), m, keys=(owner,), tie=("tag_id",))
     return top.select(owner, "tag_id", (F.col("score") - F.lit(tau)).alias("weight")).where(F.col("weight") > 0)
 
 
