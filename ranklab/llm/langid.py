@@ -7,6 +7,7 @@ cosine gives the language, and a text farther from it than any training vector,
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +20,11 @@ UNKNOWN = "und"
 DIMS = 4096
 GRAMS = (1, 2, 3)
 CENTROIDS = 3
-#: The fit reads about this many training texts of each language (drawn by a hash of id and text), of at most so many.
+#: The fit reads about this many training texts of each language, drawn by a hash of id and text; less if there are so
+#: many languages that MAX_SAMPLE texts (DIMS floats each on the driver) would not do.
 SAMPLE_PER_LANG = 1500
 MAX_LANGS = 500
-MAX_SAMPLE = 60_000
+MAX_SAMPLE = 12_000
 #: A text is rejected below this share of the smallest cosine that a training text has to its centroid.
 MARGIN = 0.5
 
@@ -65,8 +67,11 @@ class Model:
     floor: np.ndarray
 
     def vectors(self, tf: np.ndarray) -> np.ndarray:
-        weighted = np.log1p(tf) * self.idf
-        return weighted / np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-30)
+        """Vectors of length one, made in place of the counts."""
+        np.log1p(tf, out=tf)
+        tf *= self.idf
+        tf /= np.maximum(np.sqrt(np.einsum("ij,ij->i", tf, tf)), 1e-30)[:, None]
+        return tf
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, cosine and rejection of each text; of equal cosines the first language wins."""
@@ -122,20 +127,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not sizes:
         return empty
     draw = F.shiftrightunsigned(F.xxhash64("_id", "_text"), 11).cast("double") / float(1 << 53)
+    per_lang = min(per_lang, 0.8 * MAX_SAMPLE / len(sizes))
     wanted = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_lang / n))])
     sample = rows.withColumn("_draw", draw).filter(F.col("_draw") < wanted[F.col("_lang")])
 
     def work(batch: pa.RecordBatch) -> dict:
         texts = batch.column("_text").to_pylist()
-        return {"tf": [counts(t).astype("<u2" if len(t) < 60_000 else "<f4").tobytes() if _has_letter(t) else None for t in texts]}
+        return {"tf": [zlib.compress(counts(t).astype("<f4").tobytes(), 1) if _has_letter(t) else None for t in texts]}
 
     vectors = per_batch(sample, ["_lang", "_draw", "_text"], "_lang string, _draw double, tf binary", work, keep=["_lang", "_draw"])
     got = bounded_rows(vectors.filter("tf is not null"), MAX_SAMPLE, "training sample")
     got.sort(key=lambda r: (r["_lang"], r["_draw"]))
     if not got:
         return empty
-    tf = np.stack([np.frombuffer(r["tf"], dtype="<u2" if len(r["tf"]) == 2 * DIMS else "<f4").astype(np.float32) for r in got])
     label = np.array([r["_lang"] for r in got], dtype=object)
+    tf = np.zeros((len(got), DIMS), dtype=np.float32)
+    for i, row in enumerate(got):
+        tf[i] = np.frombuffer(zlib.decompress(row["tf"]), dtype="<f4")
+    del got
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
     x = Model(idf, empty.centroids, (), empty.floor).vectors(tf)
     found, names, floor = [], [], []
