@@ -8,13 +8,18 @@ from ranklab.operators import ingest as ig
 from ranklab.session import scratch_path
 from ranklab.sources import embedding_store as es
 from ranklab.sources import readers as rd
+from ranklab.sources import schemas
 from ranklab.sources import sinks as sk
 from ranklab.streaming import judgments as sj
 
 
 @query("src_entities", "SELECT query_id, round(budget_lo, 6) AS budget_lo, round(budget_hi, 6) AS budget_hi, seniority_needed, strftime(start_date, '%Y-%m-%d') AS start_by, commitment FROM gig_struct", ("gig_struct",))
 def entities(spark, d):
+    """Written as JSON lines and read back with the schema of the entity."""
     g = t.gig_struct(spark, d).withColumn("start_by", F.when(F.col("start_by") == "asap", "2000-01-01").otherwise(F.col("start_by")))
+    path = scratch_path(spark, "gigs")
+    g.select(F.col("query_id").alias("hire_id"), "budget_lo", "budget_hi", "seniority_needed", "start_by", "commitment").write.json(path)
+    g = rd.read_entities(spark, path, schemas.GIGS).withColumnRenamed("hire_id", "query_id")
     return g.select("query_id", F.round("budget_lo", 6).alias("budget_lo"), F.round("budget_hi", 6).alias("budget_hi"), "seniority_needed", "start_by", "commitment")
 
 
@@ -30,14 +35,18 @@ def candidates_csv(spark, d):
     ok = F.col("status") == "ok"
     cell = lambda c: F.when(ok, F.col(c).cast("string")).otherwise(F.lit(" "))
     raw = t.ev_log(spark, d).select(F.col("query_id").cast("string").alias("hire_id"), F.col("doc_id").cast("string").alias("provider_id"), cell("grade").alias("label"), cell("score").alias("score"))
-    return rd.type_candidates(raw, ["score", "tag_score"])
+    path = scratch_path(spark, "candidates")
+    raw.write.option("header", True).csv(path)
+    return rd.read_candidates_csv(spark, path, ["score", "tag_score"])
 
 
 @query("sink_features", "SELECT 'events' AS dataset, 'base' AS variant, label IS NOT NULL AS judged, query_id, doc_id, label FROM candidates", ("candidates",))
 def feature_sink(spark, d):
     from ranklab.catalog.pairs import candidates
     rows = candidates(spark, d).select("query_id", "doc_id", "label")
-    return sk.feature_rows(rows, "events").select("dataset", "variant", "judged", "query_id", "doc_id", "label")
+    path = scratch_path(spark, "features")
+    sk.sink_features(rows, path, "events")
+    return sk.read_features(spark, path, "events").select("dataset", "variant", F.col("judged").cast("boolean").alias("judged"), "query_id", "doc_id", "label")
 
 
 @query("incremental_embed", """SELECT sha1(text) AS text_key, length(text) AS n_chars FROM (SELECT DISTINCT text FROM conversations) WHERE sha1(text) NOT IN (SELECT sha1(text) FROM conversations WHERE role = 'user')""")

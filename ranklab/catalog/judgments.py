@@ -8,6 +8,9 @@ from ranklab.catalog.pooling import pool, sql_key
 from ranklab.catalog.registry import fragment, query
 from ranklab.operators import labels as lb
 from ranklab.operators.agreement import band_grade
+from ranklab.session import scratch_path
+from ranklab.sources import readers as rd
+from ranklab.sources import sinks as sk
 
 
 def logprob_records(spark, d):
@@ -56,7 +59,12 @@ def bands(spark, d):
 
 @query("src_judgment_log", "SELECT seq, query_id, doc_id, status, score, grade FROM ev_log WHERE status = 'ok'", ("ev_log",))
 def read_log(spark, d):
-    return lb.ok_records(t.ev_log(spark, d)).select("seq", "query_id", "doc_id", "status", "score", "grade")
+    """The log appended as JSON lines and read back; its time stamp carries the number of the event."""
+    path = scratch_path(spark, "log")
+    sk.sink_log(t.ev_log(spark, d).select(F.col("query_id").cast("string").alias("hire_id"), F.col("doc_id").cast("string").alias("provider_id"),
+                                          F.col("seq").cast("string").alias("timestamp"), "status", "score", "grade"), path)
+    rows = lb.ok_records(rd.read_judgment_log(spark, path))
+    return rows.select(F.col("timestamp").cast("bigint").alias("seq"), "query_id", "doc_id", "status", "score", F.col("grade").cast("int").alias("grade"))
 
 
 @query("pending_pairs", f"SELECT query_id, doc_id, {sql_key(7, 'pending', 'query_id', 'doc_id')} AS order_key FROM pool ANTI JOIN (SELECT * FROM ev_log WHERE status = 'ok') USING (query_id, doc_id)".replace("ANTI JOIN (SELECT * FROM ev_log WHERE status = 'ok')", "ANTI JOIN (SELECT query_id, doc_id FROM log_b)"), ("pool", "log_b"))

@@ -6,7 +6,8 @@ from ranklab.catalog import tables as t
 from ranklab.catalog.channels import shown
 from ranklab.catalog.registry import fragment, query, shown9
 from ranklab.operators import fusion as fu
-from ranklab.sources.sinks import ranked_as_lists
+from ranklab.session import scratch_path
+from ranklab.sources.sinks import sink_ranked_lists
 
 SQL_RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank"
 
@@ -149,4 +150,8 @@ def list_overlap(spark, d):
 
 @query("sink_ranked_lists", "SELECT channel, query_id, list(doc_id ORDER BY rank) AS ids FROM ev_lists GROUP BY 1, 2", ("ev_lists",))
 def ranked_lists(spark, d):
-    return ranked_as_lists(t.ev_lists(spark, d), ("channel",))
+    """Every channel written to its own folder and read back from there."""
+    path = scratch_path(spark, "lists")
+    for channel in ("click", "view", "purchase"):
+        sink_ranked_lists(t.ev_list(spark, d, channel), path, channel)
+    return spark.read.schema("query_id bigint, ids array<bigint>, system string").json(path).withColumnRenamed("system", "channel")

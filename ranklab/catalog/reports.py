@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ranklab.catalog import hubs as hu
 from ranklab.catalog import tables as t
 from ranklab.catalog.judgments import truths
+from ranklab.operators.labels import RELEVANCE
 from ranklab.catalog.lists import rrf2, rrf3
 from ranklab.catalog.pooling import sampler, split, sql_key
 from ranklab.catalog.raters import COMPARISONS, N_BOOT, audit_rows, comparison_table, plus0, sql_ci
@@ -201,7 +202,7 @@ def provider_bench(spark, d):
 # --- compared lists, one grader -------------------------------------------------------------------------------
 
 fragment("cut_lists", "SELECT * FROM ev_systems WHERE rank <= 10 AND query_id IN (SELECT query_id FROM test_q)", ("ev_systems", "test_q"))
-DEFINITIONS = ("repro", "p60", "term", "s70")
+DEFINITIONS = tuple(name for name, *_ in RELEVANCE)
 _VAR = " UNION ALL ".join(f"""SELECT '{n}' AS relevance, * FROM ({sql_metrics('cut_lists', f"(SELECT query_id, doc_id, gain FROM truths WHERE relevance = '{n}')", by='system', queries='(SELECT DISTINCT system, q.query_id FROM ev_systems, test_q q)')})""" for n in DEFINITIONS)
 fragment("var_metrics", _VAR, ("cut_lists", "truths", "ev_systems", "test_q"))
 fragment("var_long", f"SELECT relevance, system, query_id, unnest([{', '.join(chr(39) + c + chr(39) for c in columns((5, 10)))}]) AS metric, unnest([{', '.join(columns((5, 10)))}]) AS value FROM var_metrics", ("var_metrics",))
@@ -211,7 +212,7 @@ fragment("var_diff", "SELECT label, x.relevance, x.metric, x.query_id, x.value -
 
 
 def chosen_truths(spark, d):
-    return checkpoint(truths(spark, d).where(F.col("relevance").isin(*DEFINITIONS)))
+    return checkpoint(truths(spark, d))
 
 
 @query("compared_lists_report", "SELECT *, lo > 0 OR hi < 0 AS significant FROM (" + sql_ci("var_diff", "label, relevance, metric").replace("JOIN draws", "JOIN var_draws") + ")", ("var_diff", "var_draws"))
@@ -262,13 +263,9 @@ def _gold_sql(table):
 @query("tagger_bench", " UNION ALL ".join(f"SELECT '{n}' AS variant, m, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit FROM {_gold_sql(tb)} GROUP BY m" for n, tb in (("raw", "sims"), ("center", "centered"), ("z", "zscored"))),
        ("sims", "centered", "zscored", "vec_gold"))
 def tagger_bench(spark, d):
-    s = checkpoint(t.sims(spark, d))
-    st = hb.hubness_stats(s)
-    gold, texts = hu.gold(spark, d), t.texts(spark, d)
-    quality = {n: hb.gold_tag_metrics(hb.top_tags(x, 30), gold, texts) for n, x in (("raw", s), ("center", hb.hubness_center(s, st)), ("z", hb.hubness_z(s, st)))}
-    tags, _ = be.encoder_bench(quality, {"none": spark.createDataFrame([], "query_id bigint, doc_id bigint, score double")},
-                               spark.createDataFrame([], "query_id bigint, doc_id bigint, grade int, tie string"), spark.createDataFrame([], "query_id bigint, doc_id bigint, gain double"))
-    return tags.withColumnRenamed("candidate", "variant")
+    gold, texts, titles = hu.gold(spark, d), t.texts(spark, d), t.tag_titles(spark, d)
+    quality = {how: hb.gold_tag_metrics(hb.tag_corrected(texts, titles, how, 30), gold, texts) for how in ("raw", "center", "z")}
+    return be.tag_quality(quality).withColumnRenamed("candidate", "variant")
 
 
 fragment("vec_pool", f"SELECT query_id, doc_id, CASE WHEN label = query_id THEN 3 ELSE 0 END AS grade, {sql_key(7, 'tie', 'doc_id')} AS tie FROM (SELECT * FROM vecs) v, (SELECT query_id FROM centroids) c WHERE label = query_id OR label = (query_id + 1) % 10", ("vecs", "centroids"))
@@ -286,11 +283,10 @@ def encoder_bench(spark, d):
     pool = t.vectors(spark, d).select("doc_id", F.col("label").cast("bigint").alias("label")).join(near, "label").select(
         "query_id", "doc_id", F.when(F.col("label") == F.col("query_id"), 3).otherwise(0).alias("grade"), seeded_key(7, "tie", "doc_id").alias("tie"))
     gains = pool.where("grade = 3").select("query_id", "doc_id", F.lit(100.0).alias("gain"))
-    from ranklab.operators.similarity import all_cosines
-    dense = all_cosines(t.vectors(spark, d), t.centroids(spark, d), "doc_id", "query_id")
-    s = checkpoint(t.sims(spark, d))
-    quality = {"tags": hb.gold_tag_metrics(hb.top_tags(hb.hubness_pooled_unit(s), 30), hu.gold(spark, d), t.texts(spark, d))}
-    _, pools = be.encoder_bench(quality, {"tags": hu.pair_scores(spark, d), "dense": dense}, pool, gains)
+    from ranklab.operators.similarity import pair_cosines
+    pool = checkpoint(pool)
+    dense = pair_cosines(pool, t.vectors(spark, d), t.centroids(spark, d), "doc_id", "query_id")
+    pools = be.pool_quality({"tags": hu.pair_scores(spark, d), "dense": dense}, pool, gains)
     return pools.select("candidate", "query_id", *[F.round(c, 6).alias(c) for c in ("ndcg_5", "ndcg_10", "auc")])
 
 

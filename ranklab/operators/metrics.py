@@ -118,9 +118,11 @@ def condensed_lists(ranked: DataFrame, judged: DataFrame, by: Sequence[str] = ()
 
 def judged_share(ranked: DataFrame, judged: DataFrame, ks: Sequence[int], queries: DataFrame,
                  by: Sequence[str] = ()) -> DataFrame:
-    """Mean over queries of the share of the top-k with a grade; an empty list counts as 1."""
-    flags = judged.select("query_id", "doc_id").distinct().withColumn("judged", F.lit(1))
-    joined = ranked.where(F.col("rank") <= max(ks)).join(flags, ["query_id", "doc_id"], "left")
+    """Mean over queries of the share of the top-k with a grade; an empty list counts as 1. A key of `by` that `judged`
+    has, too, such as a label set, is part of the pair."""
+    pair = [*(c for c in by if c in judged.columns), "query_id", "doc_id"]
+    flags = judged.select(*pair).distinct().withColumn("judged", F.lit(1))
+    joined = ranked.where(F.col("rank") <= max(ks)).join(flags, pair, "left")
     per = joined.groupBy(*by, "query_id").agg(*[
         F.avg(F.when(F.col("rank") <= k, F.coalesce("judged", F.lit(0)).cast("double"))).alias(f"k{k}") for k in ks])
     full = queries.select(*by, "query_id").distinct().join(per, [*by, "query_id"], "left")

@@ -146,6 +146,17 @@ def carried_products(left: DataFrame, right: DataFrame, carried: DataFrame, emit
     return pairs.mapInPandas(multiply, schema)
 
 
+def pair_cosines(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vec: str = "vec",
+                 right_vec: str = "vec") -> DataFrame:
+    """(left_id, right_id, score) of the given pairs only, by two joins; 9 decimals, 0 if a vector has no direction."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+    lhs = left.select(F.col(left_id), F.col(left_vec).cast("array<double>").alias("lv"))
+    rhs = right.select(F.col(right_id), F.col(right_vec).cast("array<double>").alias("rv"))
+    joined = pairs.select(left_id, right_id).distinct().join(lhs, left_id).join(rhs, right_id)
+    length = F.sqrt(dot("lv", "lv")) * F.sqrt(dot("rv", "rv"))
+    return joined.select(left_id, right_id, (F.round(F.when(length > 0, dot("lv", "rv") / length).otherwise(F.lit(0.0)), 9) + F.lit(0.0)).alias("score"))
+
+
 def ranks_of_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, left_id: str, right_id: str, left_vec: str = "vec",
                    right_vec: str = "vec") -> DataFrame:
     """(right_id, left_id, rank): where the given left rows stand in the list of all left rows of a right row, by cosine
@@ -153,13 +164,8 @@ def ranks_of_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, left_id:
 
     The scores of a right row's pairs travel with its vector, so one product of blocks counts for all of them what
     stands before; a block returns one count for each pair. A right row has as many pairs as its list is deep."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    lhs = left.select(F.col(left_id).alias("l"), F.col(left_vec).cast("array<double>").alias("lv"))
-    rhs = right.select(F.col(right_id).alias("r"), F.col(right_vec).cast("array<double>").alias("rv"))
-    joined = pairs.select(F.col(left_id).alias("l"), F.col(right_id).alias("r")).distinct().join(lhs, "l").join(rhs, "r")
-    length = F.sqrt(dot("lv", "lv")) * F.sqrt(dot("rv", "rv"))
-    cosine = F.round(F.when(length > 0, dot("lv", "rv") / length).otherwise(F.lit(0.0)), 9) + F.lit(0.0)
-    marks = joined.groupBy("r").agg(F.collect_list(F.struct(cosine.alias("s"), F.col("l").cast("double").alias("l"))).alias("marks"))
+    scored = pair_cosines(pairs, left, right, left_id, right_id, left_vec, right_vec)
+    marks = scored.groupBy(F.col(right_id).alias("r")).agg(F.collect_list(F.struct(F.col("score").alias("s"), F.col(left_id).cast("double").alias("l"))).alias("marks"))
     width = marks.agg(F.max(F.size("marks"))).first()[0] or 1
     pad = lambda field: F.concat(F.col(f"marks.{field}"), F.array_repeat(F.lit(float("nan")), F.lit(width) - F.size("marks")))
     carried = marks.select(F.col("r").alias(right_id), F.concat(pad("s"), pad("l")).alias("p"))

@@ -113,13 +113,20 @@ def samegrader_report(lists: DataFrame, grades: DataFrame, gains: DataFrame, que
     return complete, means, diffs
 
 
-def encoder_bench(gold: dict[str, DataFrame], pair_scores: dict[str, DataFrame], pool: DataFrame, gains: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """({candidate, m: gold-tag means}, {candidate, query: pool metrics}) for several tag score tables: what every
-    candidate's tags recover, and how well its pair scores order a graded pool."""
-    tags = union_all([df.withColumn("candidate", F.lit(n)) for n, df in gold.items()]).groupBy("candidate", "m").agg(
+def tag_quality(gold: dict[str, DataFrame]) -> DataFrame:
+    """(candidate, m, precision, recall, hit): what the tags of several candidates recover, from their gold-tag rows."""
+    return union_all([df.withColumn("candidate", F.lit(n)) for n, df in gold.items()]).groupBy("candidate", "m").agg(
         *[F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "hit")])
-    pools = union_all([pool_metrics(s, pool, gains).withColumn("candidate", F.lit(n)) for n, s in pair_scores.items()])
-    return tags, pools
+
+
+def pool_quality(pair_scores: dict[str, DataFrame], pool: DataFrame, gains: DataFrame) -> DataFrame:
+    """(candidate, query_id, metrics...): how well the pair scores of several candidates order a graded pool."""
+    return union_all([pool_metrics(s, pool, gains).withColumn("candidate", F.lit(n)) for n, s in pair_scores.items()])
+
+
+def encoder_bench(gold: dict[str, DataFrame], pair_scores: dict[str, DataFrame], pool: DataFrame, gains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables of an encoder comparison."""
+    return tag_quality(gold), pool_quality(pair_scores, pool, gains)
 
 
 def calibrated_gain(lists: DataFrame, records: DataFrame, audit: DataFrame, k: int = 10) -> DataFrame:

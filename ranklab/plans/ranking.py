@@ -39,13 +39,13 @@ def stack_systems(lists: dict[str, DataFrame]) -> DataFrame:
 
 def downstream_ablation(systems: DataFrame, label_sets: DataFrame, gains: DataFrame, queries: DataFrame, n_boot: int = 2000,
                         stages: Sequence[str] = ("rrf", "linz", "noce", "fused")) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(means, paired differences, judged share) over every system x label set x {standard, condensed}.
+    """(means, paired differences, judged share of the fused lists) over every system x label set x {standard, condensed}.
 
     `systems(system, query_id, doc_id, rank)` holds base_<stage> and tag_<stage>; `label_sets(labels, query_id,
     doc_id)` the judged pairs and `gains(labels, query_id, doc_id, gain)` their gains. One long table and one
     metric pass cover all combinations."""
-    names = [r["labels"] for r in label_sets.select("labels").distinct().collect()]
-    spread = systems.withColumn("labels", F.explode(F.array(*[F.lit(n) for n in sorted(names)])))
+    names = label_sets.agg(F.sort_array(F.collect_set("labels"))).scalar()
+    spread = systems.withColumn("labels", F.explode(names))
     standard = spread.withColumn("treatment", F.lit("standard"))
     judged = condensed_lists(spread, label_sets, ["labels", "system"]).withColumn("treatment", F.lit("condensed"))
     by = ["labels", "treatment", "system"]
@@ -60,6 +60,6 @@ def downstream_ablation(systems: DataFrame, label_sets: DataFrame, gains: DataFr
         "value", F.col("tag") - F.col("base"))
     draws = boot_draws(queries, "query_id", n_boot, purpose="downstream/boot")
     out = bootstrap_ci(diff, draws, ["labels", "treatment", "stage", "metric"])
-    share = judged_share(spread.where(F.col("system").endswith("_fused")), label_sets.where(F.col("labels") == sorted(names)[0]), (10,), 
-                         spread.where(F.col("system").endswith("_fused")).select("system", "query_id").distinct(), ["system"])
+    fused = spread.where(F.col("system").endswith("_fused"))
+    share = judged_share(fused, label_sets, (10,), fused.select("labels", "system", "query_id").distinct(), ["labels", "system"])
     return means, out.withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0)), share
