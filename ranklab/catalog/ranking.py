@@ -84,7 +84,7 @@ def ablation(spark, d):
     extended = overlay_labels_last_wins(latest_ok_grade(t.ev_log_half(spark, d, True)), original)
     label_sets = union_all([g.select(F.lit(n).alias("labels"), "query_id", "doc_id") for n, g in (("original", original), ("extended", extended))])
     gains = union_all([gains_from_grades(g).withColumn("labels", F.lit(n)) for n, g in (("original", original), ("extended", extended))])
-    _, diffs, _ = downstream_ablation(checkpoint(stack_systems(lists)), label_sets, gains, t.ev_queries(spark, d), n_boot=100)
+    _, diffs, _ = downstream_ablation(checkpoint(stack_systems(lists)), label_sets, gains, t.ev_queries(spark, d))
     return diffs
 
 

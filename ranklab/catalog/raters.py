@@ -10,7 +10,7 @@ from ranklab.operators import agreement as ag
 from ranklab.operators import bootstrap as bs
 from ranklab.operators import metrics as m
 
-N_BOOT = 200
+N_BOOT = 2000
 fragment("draws", f"""SELECT boot, query_id, count(*) AS times FROM (SELECT boot, ('0x' || substr(md5(concat_ws('|', '7', 'boot', boot::VARCHAR, slot::VARCHAR)), 1, 15))::UBIGINT::BIGINT % n + 1 AS pos
   FROM (SELECT count(*) AS n FROM ev_queries), unnest(range(1, {N_BOOT + 1})) b(boot), unnest(range(1, n + 1)) s(slot)) JOIN (SELECT query_id, row_number() OVER (ORDER BY query_id) AS pos FROM ev_queries) USING (pos) GROUP BY 1, 2""", ("ev_queries",))
 fragment("ev_long", """SELECT system, query_id, unnest(['p_10', 'r_10', 'ndcg_10', 'mrr']) AS metric, unnest([p_10, r_10, ndcg_10, mrr]) AS value FROM ev_metrics""", ("ev_metrics",))

@@ -98,7 +98,7 @@ def class_means(spark, d):
 
 
 fragment("class_draws", f"""SELECT split, boot, class_id, count(*) AS times FROM (SELECT split, boot, ('0x' || substr(md5(concat_ws('|', '7', 'boot/' || split, boot::VARCHAR, slot::VARCHAR)), 1, 15))::UBIGINT::BIGINT % n + 1 AS pos
-  FROM (SELECT split, count(*) AS n FROM class_halves GROUP BY 1), unnest(range(1, 51)) b(boot), unnest(range(1, n + 1)) s(slot)) JOIN (SELECT split, class_id, row_number() OVER (PARTITION BY split ORDER BY class_id) AS pos FROM class_halves) USING (split, pos) GROUP BY 1, 2, 3""", ("class_halves",))
+  FROM (SELECT split, count(*) AS n FROM class_halves GROUP BY 1), unnest(range(1, 2001)) b(boot), unnest(range(1, n + 1)) s(slot)) JOIN (SELECT split, class_id, row_number() OVER (PARTITION BY split ORDER BY class_id) AS pos FROM class_halves) USING (split, pos) GROUP BY 1, 2, 3""", ("class_halves",))
 
 
 @query("role_bench", f"""WITH l AS (SELECT method, condition, split, class_id, unnest([{', '.join("'" + m + "'" for m in M5)}]) AS metric, unnest([{', '.join(M5)}]) AS value FROM role_means)
@@ -106,7 +106,7 @@ fragment("class_draws", f"""SELECT split, boot, class_id, count(*) AS times FROM
     SELECT split, method, condition, metric, boot, sum(value * times) / sum(times) AS mm FROM l JOIN class_draws USING (split, class_id) GROUP BY ALL)
   JOIN (SELECT split, method, condition, metric, count(*) AS n, avg(value) AS mean FROM l GROUP BY ALL) USING (split, method, condition, metric) GROUP BY split, method, condition, metric, n, mean""", ("role_means", "class_draws"))
 def role_bench(spark, d):
-    summary = be.role_bench_summary(role_means(spark, d), n_boot=50)
+    summary = be.role_bench_summary(role_means(spark, d), n_boot=2000)
     return plus0(summary.where(F.col("metric").isin(*M5)), "mean", "lo", "hi")
 
 

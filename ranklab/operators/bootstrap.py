@@ -7,11 +7,18 @@ are paired. Draws are hashed on the executors; no random stream lives on the dri
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ranklab.functions.keys import key_to_long, seeded_key
 from ranklab.operators.ordering import global_rank
+from ranklab.session import checkpoint, union_all
+
+#: Report rows that share one join with the draws, and the most rows of a report.
+COLUMNS = 48
+MAX_COMBINATIONS = 5_000
 
 
 def boot_draws(units: DataFrame, unit_col: str, n_boot: int, seed: int = 7, purpose: str = "boot") -> DataFrame:
@@ -32,14 +39,32 @@ def boot_draws(units: DataFrame, unit_col: str, n_boot: int, seed: int = 7, purp
 def bootstrap_ci(values: DataFrame, draws: DataFrame, by: Sequence[str], unit_col: str = "query_id",
                  value: str = "value", decimals: int = 6) -> DataFrame:
     """(by..., n, mean, lo, hi): the mean and the 2.5 / 97.5 percentiles (linear interpolation) of the resampled
-    means. NULL values are skipped in every resample."""
+    means. NULL values are skipped in every resample.
+
+    The combinations of `by` are the rows of a report, few enough to be read by the driver. Their values stand side by
+    side in one row per unit, so the draws are joined once for COLUMNS of them and grouped by resample alone."""
     by = list(by)
-    defined = values.where(F.col(value).isNotNull()).select(*by, F.col(unit_col).alias("unit"), F.col(value).alias("v"))
-    means = defined.join(draws, "unit").groupBy(*by, "boot").agg(
-        (F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
-    spread = means.groupBy(*by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    defined = checkpoint(values.where(F.col(value).isNotNull()).select(*by, F.col(unit_col).alias("unit"), F.col(value).alias("v")))
     point = defined.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
-    out = point.join(spread, by)
+    keys = checkpoint(point.select(*by).withColumn("_key", F.row_number().over(Window.orderBy(*by)) - 1))
+    n_keys = keys.count()
+    if n_keys > MAX_COMBINATIONS:
+        raise ValueError(f"{n_keys} combinations of {by}: bootstrap a report of at most {MAX_COMBINATIONS}")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"k.{c}")) for c in by]
+    keyed = defined.alias("d").join(keys.alias("k"), reduce(and_, same)).select("unit", "v", "_key") if by else defined.select("unit", "v", F.lit(0).alias("_key"))
+    draws = checkpoint(draws)
+    parts = []
+    for low in range(0, n_keys, COLUMNS):
+        some = range(low, min(low + COLUMNS, n_keys))
+        wide = keyed.where(F.col("_key").between(some[0], some[-1])).groupBy("unit").agg(
+            *[f(F.when(F.col("_key") == k, F.col("v"))).alias(f"{name}{k}") for k in some for name, f in (("s", F.sum), ("c", F.count))])
+        sums = wide.join(draws, "unit").groupBy("boot").agg(*[(F.sum(F.col(f"s{k}") * F.col("times")) / F.nullif(F.sum(F.col(f"c{k}") * F.col("times")), F.lit(0))).alias(f"m{k}") for k in some])
+        quantiles = sums.agg(*[F.percentile(f"m{k}", F.array(F.lit(0.025), F.lit(0.975))).alias(f"q{k}") for k in some])
+        parts.append(quantiles.select(F.explode(F.array(*[F.struct(F.lit(k).alias("_key"), F.col(f"q{k}").alias("q")) for k in some])).alias("x")).select("x.*"))
+    if not parts:
+        return point.select(*by, "n", "mean", F.col("mean").alias("lo"), F.col("mean").alias("hi"))
+    spread = union_all(parts).join(keys, "_key")
+    out = spread.alias("d").join(point.alias("k"), reduce(and_, same)).select(*[F.col(f"k.{c}").alias(c) for c in by], "n", "mean", "q") if by else spread.crossJoin(point)
     return out.select(*by, "n", F.round("mean", decimals).alias("mean"),
                       F.round(F.col("q")[0], decimals).alias("lo"), F.round(F.col("q")[1], decimals).alias("hi"))
 
