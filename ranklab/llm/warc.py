@@ -97,12 +97,13 @@ def leaf_digest(offset: Column, length: Column, sha: Column) -> Column:
 
 
 def merkle_levels(leaf_rows: DataFrame, levels: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """Nodes (archive, node, digest) of every level, leaves first; a node hashes the digests of its children in order."""
+    """Nodes (archive, node, digest) of every level, leaves first; a node hashes the digests of its children in order.
+    Levels are written, each from the one below, so none is made twice."""
     out = [leaf_rows.select("archive", F.col("ordinal").alias("node"), "digest")]
     for _ in range(levels):
         children = out[-1].groupBy("archive", F.floor(F.col("node") / fanout).cast("long").alias("node")).agg(
             F.sort_array(F.collect_list(F.struct("node", "digest"))).alias("children"))
-        out.append(children.select("archive", "node", F.sha2(F.array_join("children.digest", "").cast("binary"), 256).alias("digest")))
+        out.append(written(children.select("archive", "node", F.sha2(F.array_join("children.digest", "").cast("binary"), 256).alias("digest")), "nodes"))
     return out
 
 
@@ -124,7 +125,7 @@ def audit(manifest: list[DataFrame], replica: list[DataFrame], fanout: int = FAN
             parent = F.floor(F.col("node") / fanout).cast("long")
             sides = [s.withColumn("parent", parent).join(suspect.withColumnRenamed("node", "parent"), ["archive", "parent"], "left_semi").drop("parent") for s in sides]
         other = sides[1].withColumnRenamed("digest", "_theirs")
-        suspect = sides[0].join(other, ["archive", "node"], "full").filter(~F.col("digest").eqNullSafe(F.col("_theirs"))).select("archive", "node")
+        suspect = written(sides[0].join(other, ["archive", "node"], "full").filter(~F.col("digest").eqNullSafe(F.col("_theirs"))).select("archive", "node"), "suspects")
     return suspect.withColumnRenamed("node", "ordinal")
 
 
