@@ -160,14 +160,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(idf, np.stack(found).astype(np.float32), tuple(names), np.array(floor))
 
 
+def _shared(docs: DataFrame, model: Model):
+    """The model by way of a broadcast of plain values (a few centroids of DIMS numbers per language), so that workers
+    need not have this package to read it."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.langs, model.floor))
+    return lambda: Model(*shared.value)
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, `held_out`, `lang_pred` (a learned language, or `und` if the text is null or has no letter), `score`
     (cosine to the nearest centroid, 0 to 1) and `rejected` (`und`, or too far from every centroid). Only the text is
     read for a prediction; null or repeated ids come back row by row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    predictor = _shared(docs, model)
 
     def work(batch: pa.RecordBatch) -> dict:
-        langs, scores, rejected = shared.value.predict(batch.column("_text").to_pylist())
+        langs, scores, rejected = predictor().predict(batch.column("_text").to_pylist())
         return {"lang_pred": langs, "score": scores, "rejected": rejected}
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -178,8 +185,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose language is known."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return keep_rows(docs, text_col, lambda batch: [not r for r in shared.value.predict(batch.column(text_col).to_pylist())[2]])
+    predictor = _shared(docs, model)
+    return keep_rows(docs, text_col, lambda batch: [not r for r in predictor().predict(batch.column(text_col).to_pylist())[2]])
 
 
 def digest(docs: DataFrame) -> DataFrame:

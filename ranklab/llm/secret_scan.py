@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 from itertools import product
 from re import _constants as op, _parser as tree
 
@@ -198,12 +198,13 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col:
     Within one kind matches are the leftmost that do not overlap; kinds may overlap. Null and empty texts have none.
     Ids may be null or repeated: rows are scanned one by one and all come back.
     """
-    shared = docs.sparkSession.sparkContext.broadcast({"rules": rules})
+    # Plain values: workers need not have this package to read a broadcast.
+    shared = docs.sparkSession.sparkContext.broadcast({"rules": [astuple(r) for r in rules]})
 
     def work(batch):
         state = shared.value
         if "scanner" not in state:
-            state["scanner"] = Scanner(state["rules"])
+            state["scanner"] = Scanner(tuple(Rule(*r) for r in state["rules"]))
         scanner = state["scanner"]
         texts = [t or "" for t in batch.column("_text").to_pylist()]
         return {"secrets": [[{"kind": scanner.rules[k].kind, "start": a, "end": b} for a, k, b in found] for found in scanner.scan(texts)]}
