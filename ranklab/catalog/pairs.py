@@ -140,10 +140,10 @@ def maps(spark, d):
     return g.withColumn("grade_back", ft.grade_of_score(F.col("score"))).withColumn("kept", F.col("grade") > 0)
 
 
-# Layouts of the three prompt forms; the rubric texts themselves are supplied by the caller.
-FORMS = (("repro", "RUBRIC", "=== GIG ===\n", "=== PROVIDER PROFILE ===\n", "Grade (0, 1, 2 or 3):"),
-         ("orig", "RUBRIC", "Gig: ", "Provider profile: ", "Output only a single integer between 0 and 3 inclusive."),
-         ("cont", "RUBRIC", "Gig: ", "Provider profile: ", "Output only the score, as a decimal number between 0 and 1."))
+# Heads and closings of the three prompt forms, as a caller supplies them with its rubric texts.
+FORMS = (("repro", "RUBRIC", "Wanted:\n", "Offered:\n", "Answer with one of 0, 1, 2, 3."),
+         ("orig", "RUBRIC", "Wanted: ", "Offered: ", "Answer with a whole number from 0 to 3."),
+         ("cont", "RUBRIC", "Wanted: ", "Offered: ", "Answer with a number from 0 to 1."))
 
 
 def _g(c):
@@ -154,11 +154,11 @@ def _g(c):
 _DAYS = "{0}::VARCHAR || CASE WHEN {0} = 1 THEN ' day a week' ELSE ' days a week' END"
 
 
-@query("grading_requests", f"""SELECT query_id, doc_id, 'rubric_0_3.v2-repro' AS prompt_version, md5(array_to_string(list_filter(['RUBRIC', '', '=== GIG ===' || chr(10) || 'order ' || query_id::VARCHAR,
+@query("grading_requests", f"""SELECT query_id, doc_id, 'rubric_0_3.v2-repro' AS prompt_version, md5(array_to_string(list_filter(['RUBRIC', '', 'Wanted:' || chr(10) || 'order ' || query_id::VARCHAR,
     'Budget: S$' || {_g('round(budget_lo, 2)')} || '-' || {_g('round(budget_hi, 2)')} || ' per hour', 'Seniority needed: ' || seniority_needed, 'Start date: ' || strftime(start_date, '%-d %b %Y'), 'Commitment: ' || {_DAYS.format('commitment')},
-    '', '=== PROVIDER PROFILE ===' || chr(10) || 'part ' || doc_id::VARCHAR, 'Rate: S$' || {_g('rate_per_hour')} || ' per hour', 'Seniority: ' || seniority,
+    '', 'Offered:' || chr(10) || 'part ' || doc_id::VARCHAR, 'Rate: S$' || {_g('rate_per_hour')} || ' per hour', 'Seniority: ' || seniority,
     CASE WHEN avail_date IS NULL THEN 'Availability: ' || CASE phrase_score WHEN 1.0 THEN 'Free immediately' WHEN 0.6 THEN 'Weekday evenings' WHEN 0.2 THEN '2 weeks'' notice' ELSE 'By arrangement' END
-      ELSE 'Availability: from ' || strftime(avail_date, '%-d %b %Y') || ', ' || {_DAYS.format('capacity')} END, '', 'Grade (0, 1, 2 or 3):'], lambda x: x IS NOT NULL), chr(10))) AS prompt_md5 FROM term_pairs""", ("term_pairs",))
+      ELSE 'Availability: from ' || strftime(avail_date, '%-d %b %Y') || ', ' || {_DAYS.format('capacity')} END, '', 'Answer with one of 0, 1, 2, 3.'], lambda x: x IS NOT NULL), chr(10))) AS prompt_md5 FROM term_pairs""", ("term_pairs",))
 def requests(spark, d):
     rubrics = spark.createDataFrame(FORMS, "variant string, rubric string, gig_head string, provider_head string, closing string")
     money = lambda c: F.round(c, 2).alias(c)

@@ -159,7 +159,7 @@ def grading_requests(pairs: DataFrame, gigs: DataFrame, providers: DataFrame, ru
     rubrics(variant, rubric, gig_head, provider_head, closing) has one row per prompt form; gigs and providers
     carry `text` and their terms."""
     if variant not in PROMPT_VERSIONS:
-        raise ValueError(f"variant must be one of {sorted(PROMPT_VERSIONS)}, got {variant!r}")
+        raise ValueError(f"no prompt form {variant!r}; there are {', '.join(PROMPT_VERSIONS)}")
     as_of = F.lit("2026-10-01").cast("date") if as_of is None else as_of
     g = gigs.select("query_id", F.col("text").alias("gig_text"), gig_terms(as_of).alias("gig_terms"))
     p = providers.select("doc_id", F.col("text").alias("provider_text"), provider_terms(as_of).alias("provider_terms"))

@@ -24,7 +24,7 @@ FINAL = -1
 
 @dataclass(frozen=True)
 class Params:
-    """The reference values are 300 trees at rate 0.05; fewer trees at a higher rate suit a first look."""
+    """Full size is 300 trees of depth 4 at rate 0.05; fewer trees at a higher rate suit a first look."""
     trees: int = 300
     depth: int = 4
     rate: float = 0.05
