@@ -12,7 +12,7 @@ from ranklab.session import build_session  # noqa: E402
 
 HEADLINE = ("tokenize_corpus", "bm25_refined", "bm25_baseline", "dense_rank", "tag_bm25", "tag_weighted_cosine", "hubness_center",
             "equivalence_classes", "rrf_fuse_n", "evaluate_all", "judging_pool", "merge_labels_first_wins", "normalize_by_query",
-            "candidate_features", "cohen_kappa", "auc", "bootstrap_ci", "budget_fit", "text_retrieval_quality", "role_bench", "provider_bench",
+            "candidate_features", "cohen_kappa", "auc", "bootstrap_ci", "budget_fit", "text_retrieval_quality", "provider_bench",
             "tagger_bench")
 
 
