@@ -4,7 +4,7 @@ Pages of a host stand in the order of their paths; each is paired with the neigh
 beginning, the two sequences of text blocks are aligned by longest common subsequence, and what both share is template.
 Articles do repeat lines of their neighbours, and menus or adverts do differ between pages, so structure has the last
 word where it speaks: blocks of an article stay, blocks of menus, footers, forms and the like go, and all others stay
-unless they are shared.
+unless they are shared. A name of several words, like `share-prices`, only raises a doubt, which sharing confirms.
 
 Neighbours are exact however the pages are partitioned: the first pass learns the border pages of a range partitioning,
 and a border page is also sent to the partition next door.
@@ -30,6 +30,9 @@ SILENT_WORDS = frozenset((
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer "
     "footer form header login masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related "
     "replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar complementary contentinfo").split())
+#: Of these, those whose text is new on every page, so that no neighbour could confirm it.
+OWN_WORDS = frozenset("ad ads advert advertisement adverts comment comments commentlist promo promoted promotion related replies reply sponsor sponsored".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK = frozenset((
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul").split())
@@ -37,21 +40,39 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An opening tag ends an open element of these kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S)
-NAMES = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+NAMES = re.compile(r"""(?i)(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 WORD = re.compile(r"[a-z]+")
-GONE, OPEN, MAIN = 0, 1, 2
+#: What structure says of a block. LIKELY and DOUBT are named like template and go if the neighbour shares them; with no
+#: neighbour to ask, LIKELY goes and DOUBT stays.
+GONE, OPEN, MAIN, LIKELY, DOUBT = 0, 1, 2, 3, 4
+_WORST = (GONE, LIKELY, DOUBT)
 
 
-def _silent(tag: str, attributes: str) -> bool:
+def _named(tag: str, attributes: str, article: bool) -> int | None:
+    """What an element and its names say: GONE, LIKELY, DOUBT, or None. Ids of headings and sections are titles."""
     if tag in SILENT:
-        return True
+        return GONE
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    return any(not SILENT_WORDS.isdisjoint(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(m)).lower())) for m in NAMES.findall(attributes))
+        return None
+    found = set()
+    for m in NAMES.finditer(attributes):
+        if m.group(1).lower() == "id" and (tag in HEADINGS or tag == "section"):
+            continue
+        for token in "".join(x or "" for x in m.groups()[1:]).split():
+            words = WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+            if SILENT_WORDS.isdisjoint(words):
+                continue
+            if tag in HEADINGS:
+                found.add(DOUBT)
+            elif SILENT_WORDS.issuperset(words) and not (article and OWN_WORDS.isdisjoint(words)):
+                found.add(GONE)
+            else:
+                found.add(LIKELY if words[-1] in SILENT_WORDS else DOUBT)
+    return next((k for k in _WORST if k in found), None)
 
 
 def blocks_of(html: str) -> tuple[list[str], list[int]]:
-    """Text blocks of a page in order, and for each whether structure says GONE, OPEN (nothing) or MAIN (article)."""
+    """Text blocks of a page in order, and for each whether structure says GONE, LIKELY, DOUBT, OPEN (nothing) or MAIN (article)."""
     texts: list[str] = []
     zones: list[int] = []
     parts: list[str] = []
@@ -99,7 +120,8 @@ def blocks_of(html: str) -> tuple[list[str], list[int]]:
                 zone = stack.pop()[1]
         if tag in VOID or m.group(3).endswith("/") and tag not in BLOCK:
             continue
-        inner = GONE if zone == GONE or _silent(tag, m.group(3)) else MAIN if tag == "article" else zone
+        named = _named(tag, m.group(3), any(s[0] == "article" for s in stack)) if zone != GONE else None
+        inner = next((k for k in _WORST if k in (zone, named)), MAIN if tag == "article" else zone)
         if inner != zone:
             flush()
         stack.append((tag, zone))
@@ -141,10 +163,11 @@ def shared_blocks(a: list, b: list) -> set[int]:
     return shared
 
 
-def main_text(texts: list[str], zones: list[int], shared: set[int]) -> str:
-    """Blocks of the article if there is one, else the open blocks that are not shared."""
-    wanted = MAIN if MAIN in zones else OPEN
-    return "\n\n".join(t for i, (t, z) in enumerate(zip(texts, zones)) if z == wanted and (z == MAIN or i not in shared))
+def main_text(texts: list[str], zones: list[int], shared: set[int], compared: bool = False) -> str:
+    """Blocks of articles, and of the others those that are not shared. `compared` says that there was a neighbour; if
+    there was none, LIKELY blocks go."""
+    wanted = (OPEN, DOUBT, LIKELY) if compared else (OPEN, DOUBT)
+    return "\n\n".join(t for i, (t, z) in enumerate(zip(texts, zones)) if z == MAIN or z in wanted and i not in shared)
 
 
 def _common(a: str, b: str) -> int:
@@ -202,7 +225,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             near = [x for x in (before, after) if x is not None and x[0] == page[0] and x[2] == page[2]]
             best = max(near, key=lambda x: _common(x[3], page[3]), default=None)
             shared = shared_blocks(page[6], best[6]) if best else set()
-            return page[4], page[5], main_text(page[6], list(page[7]), shared), len(shared)
+            return page[4], page[5], main_text(page[6], list(page[7]), shared, best is not None), len(shared)
 
         before = page = None
         for batch in batches:

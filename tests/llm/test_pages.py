@@ -154,6 +154,20 @@ def test_nearest_page_differencing(spark, partitions):
     assert got[103][0] == "Welcome to the site" and got[101][0] == ""
 
 
+def test_names_of_several_words_need_a_neighbour_that_shares_them(spark):
+    names = ('<section id="related-work"><p>{0} related work</p></section><h2 id="search-methods">{0} methods</h2><h2 class="header">{0} title</h2>'
+             '<div class="share-prices">{0} prices</div><div class="menu">{0} dishes</div><div class="ad-slot">Buy now</div><div class="notice">We use them</div>'
+             '<div class="ad">{0} advert</div><aside>{0} aside</aside><div data-id="share">{0} data</div>')
+    page = f'<div class="search-page"><p>{{0}} lead</p></div><div class="ad">{{0}} top</div><p>Site</p><article>{names}</article><p>{{0}} tail</p>'
+    rows = [(i, f"http://a.com/{i}", page.format(x)) for i, x in enumerate(("one", "two"))]
+    rows.append((2, "http://alone.com/", page.format("three")))
+    got = {r.page_id: r.text.split("\n\n") for r in html_extract.extract_text(pages_of(spark, rows)).collect()}
+    kept = ("lead", "related work", "methods", "title", "prices", "dishes", "data", "tail")
+    for i, x in enumerate(("one", "two")):
+        assert got[i] == [f"{x} {k}" for k in kept]
+    assert got[2] == ["three lead", "Site", "three related work", "three methods", "three title", "three prices", "Buy now", "three data", "three tail"]
+
+
 def test_html_of_empty_and_repeated_pages(spark):
     same = [(1, "http://a.com/x", "<p>same</p>")] * 5
     got = html_extract.digest(pages_of(spark, same)).collect()
