@@ -21,6 +21,8 @@ ROUNDS_AT_ONCE = 5
 #: than THRESHOLD of its trust and distrust together.
 SEED_SHARE = 0.5
 THRESHOLD = 0.5
+#: Ranks whose relative difference is less are equal; sums in another order differ by less.
+TIE = 1e-11
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -109,11 +111,13 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...], id_col: str = "page
     seeds = union_all([hosts.filter(F.col("allow") > F.col("n") * SEED_SHARE).select(F.lit("trust").alias("kind"), "host"),
                        hosts.filter(F.col("block") > F.col("n") * SEED_SHARE).select(F.lit("distrust").alias("kind"), "host")])
     ranks = propagate(host_links(pages, url_col, html_col), seeds)
-    ranks = ranks.groupBy("host").agg(*[F.round(F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)), 12).alias(k) for k in ("trust", "distrust")])
+    ranks = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
     judged = rows.join(ranks, "host", "left").fillna(0.0, ["trust", "distrust"])
-    bad = F.col("distrust") > (F.col("trust") + F.col("distrust")) * THRESHOLD
+    # Ranks shrink with the number of seeds and with every degree on the way, so only what is shown is rounded.
+    bad = F.col("distrust") > (F.col("trust") + F.col("distrust")) * (THRESHOLD * (1 + TIE))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(bad, "block").otherwise("allow"))
-    return judged.select(id_col, "host", "path", F.col("_rule.pattern").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
+    return judged.select(id_col, "host", "path", F.col("_rule.pattern").alias("rule"), verdict.alias("verdict"),
+                         *[F.round(k, 12).alias(k) for k in ("trust", "distrust")])
 
 
 def oracle(rules: tuple[UrlRule, ...]) -> str:

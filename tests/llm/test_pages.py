@@ -74,6 +74,14 @@ def test_trust_and_distrust_spread_over_links(spark):
     assert {got[h].verdict for h in hosts if h.endswith(".com")} == {"allow", "block"}
 
 
+def test_small_distrust_decides(spark):
+    chain = ["bad.net", *(f"h{i}.com" for i in range(5))]
+    rows = [(i, f"http://{h}/x", f"<a href='http://{chain[i - 1]}/'>x</a>" if i else None) for i, h in enumerate(chain)]
+    rows.append((9, "http://fat.com/x", "".join(f"<a href='http://{h}/'>x</a>" for h in chain for _ in range(999))))
+    got = {r.host: r for r in url_filter.judge_urls(pages_of(spark, rows), catalog.URL_RULES).collect()}
+    assert got["h4.com"].distrust == 0.0 and {got[h].verdict for h in chain} == {"block"}
+
+
 # --- HTML ---
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{x:"</p>"}</style><script>var t="</article>";</script></head><body class="header">
