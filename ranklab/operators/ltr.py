@@ -3,8 +3,8 @@
 A query's candidates are one row (a top-K pool, so its size is bounded and checked). One pass per tree level
 computes gradients and per-task histograms with numpy and lets Spark add them up; only the summed histogram
 (models x nodes x features x bins) reaches the driver, which picks the splits. All folds and the final model grow
-in the same passes. Scores are recomputed from the small trees, so no state lives on executors between passes and
-a lost task is simply run again. A missing feature has its own bin and each split learns where to send it."""
+in the same passes. Scores so far and bin codes stand in a table that is written anew every few trees, so a pass adds
+only the trees since, no state lives on executors between passes, and a lost task is simply run again. A missing feature has its own bin and each split learns where to send it."""
 
 from __future__ import annotations
 
@@ -17,9 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ranklab.operators.ordering import global_rank
-from ranklab.session import checkpoint
+from ranklab.session import checkpoint, scratch_path
 
 FINAL = -1
+#: Trees whose scores a pass computes before they are written.
+TREES_AT_ONCE = 10
 
 
 @dataclass(frozen=True)
@@ -111,8 +113,8 @@ def _walk(tree: dict, codes: np.ndarray) -> np.ndarray:
     return node
 
 
-def _predict(trees: list[dict], codes: np.ndarray) -> np.ndarray:
-    score = np.zeros(len(codes))
+def _predict(trees: list[dict], codes: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    score = np.zeros(len(codes)) if start is None else start.copy()
     for tree in trees:
         node = _walk(tree, codes)
         for leaf, value in tree["leaves"].items():
@@ -142,24 +144,60 @@ def _unpack(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(row["labels"], dtype=np.int64), x
 
 
-def _histograms(packed: DataFrame, model: Model, growing: dict[int, dict], folds: Sequence[int], params: Params) -> DataFrame:
-    """(model, node, feature, bin, g, h) summed over the training rows of every model."""
-    width, n_codes = len(model.features), params.bins + 1
-    edges, trees, linear = model.edges, model.trees, params.linear_gain
+STATE = "fold int, labels array<int>, codes array<int>, scores array<double>"
+
+
+def _start(packed: DataFrame, edges: list[list[float]], models: int) -> DataFrame:
+    """(fold, labels, codes, scores) of the judged candidates of every query that has some: bin codes row by row, and
+    the scores of all models, 0 so far, model by model."""
+    width = len(edges)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
+            out = []
             for row in batch.to_dict("records"):
                 labels, x = _unpack(row, width)
                 judged = labels >= 0
-                if not judged.any():
-                    continue
-                labels, codes = labels[judged], _codes(x[judged], edges)
-                for f in folds:
+                if judged.any():
+                    out.append((row["fold"], labels[judged], _codes(x[judged], edges).ravel(), np.zeros(models * judged.sum())))
+            yield pd.DataFrame(out, columns=["fold", "labels", "codes", "scores"])
+
+    return packed.mapInPandas(run, STATE)
+
+
+def _state(row: dict, width: int, models: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.asarray(row["labels"], dtype=np.int64), np.asarray(row["codes"], dtype=np.int64).reshape(-1, width), np.asarray(row["scores"]).reshape(models, -1)
+
+
+def _advance(state: DataFrame, trees: dict[int, list[dict]], width: int) -> DataFrame:
+    """`state` with `trees` added to the scores."""
+    names = list(trees)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            scores = []
+            for row in batch.to_dict("records"):
+                _, codes, score = _state(row, width, len(names))
+                scores.append(np.concatenate([_predict(trees[f], codes, score[i]) for i, f in enumerate(names)]))
+            yield batch.assign(scores=scores)
+
+    return state.mapInPandas(run, STATE)
+
+
+def _histograms(state: DataFrame, trees: dict[int, list[dict]], growing: dict[int, dict], width: int, params: Params) -> DataFrame:
+    """(model, node, feature, bin, g, h) summed over the training rows of every model; `trees` are those whose scores
+    are not in `state` yet."""
+    names, n_codes, linear = list(trees), params.bins + 1, params.linear_gain
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                labels, codes, score = _state(row, width, len(names))
+                for i, f in enumerate(names):
                     if f == row["fold"]:
                         continue
-                    g, h = _lambdas(labels, _predict(trees[f], codes), linear)
+                    g, h = _lambdas(labels, _predict(trees[f], codes, score[i]), linear)
                     node = _walk(growing[f], codes)
                     for n in np.unique(node):
                         here = node == n
@@ -171,7 +209,7 @@ def _histograms(packed: DataFrame, model: Model, growing: dict[int, dict], folds
             feature, code = np.nonzero((acc[0] != 0) | (acc[1] != 0))
             yield pd.DataFrame({"model": f, "node": n, "feature": feature, "bin": code, "g": acc[0, feature, code], "h": acc[1, feature, code]})
 
-    parts = packed.mapInPandas(run, "model int, node int, feature int, bin int, g double, h double")
+    parts = state.mapInPandas(run, "model int, node int, feature int, bin int, g double, h double")
     return parts.groupBy("model", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
 
 
@@ -196,17 +234,30 @@ def _best_split(hist: np.ndarray, params: Params) -> tuple[float, tuple[int, int
 def fit(rows: DataFrame, folds: DataFrame, features: Sequence[str], params: Params = Params(), k: int = 5,
         with_final: bool = True) -> tuple[Model, DataFrame]:
     """Train one model per fold (on the other folds' judged rows) and the final model on all of them. Returns the
-    models and the packed candidates, which are checkpointed once and read by every pass."""
-    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    models and the packed candidates, which are checkpointed once. The table that the passes read has two folders, of
+    which the one not being read is overwritten."""
+    spark = rows.sparkSession
+    tasks = spark.sparkContext.defaultParallelism
     packed = checkpoint(pack_queries(rows, folds, features, params.max_group).repartition(tasks, "query_id"))
     names = list(range(k)) + ([FINAL] if with_final else [])
     model = Model(tuple(features), bin_edges(rows, features, params.bins), {f: [] for f in names}, {f: {} for f in names})
     width, n_codes = len(features), params.bins + 1
-    for _ in range(params.trees):
+    paths = [scratch_path(spark, "scores") for _ in range(2)]
+
+    def kept(state: DataFrame, n: int) -> DataFrame:
+        state.write.mode("overwrite").parquet(paths[n % 2])
+        return spark.read.schema(STATE).parquet(paths[n % 2])
+
+    state = kept(_start(packed, model.edges, len(names)), 0)
+    written = 0
+    for n in range(params.trees):
+        if n - written == TREES_AT_ONCE:
+            state, written = kept(_advance(state, {f: model.trees[f][written:] for f in names}, width), n // TREES_AT_ONCE), n
+        pending = {f: model.trees[f][written:] for f in names}
         growing = {f: {"splits": {}, "leaves": {}} for f in names}
         for level in range(params.depth + 1):
             sums: dict[tuple[int, int], np.ndarray] = {}
-            for r in _histograms(packed, model, growing, names, params).toLocalIterator():
+            for r in _histograms(state, pending, growing, width, params).toLocalIterator():
                 sums.setdefault((r["model"], r["node"]), np.zeros((2, width, n_codes)))[:, r["feature"], r["bin"]] = (r["g"], r["h"])
             grew = False
             for (f, node), hist in sums.items():

@@ -36,6 +36,25 @@ def test_boosted_trees_learn_what_the_fused_order_misses(spark):
     assert scores.count() == len(rows)
 
 
+def test_late_trees_do_not_score_the_early_ones_again(spark, monkeypatch):
+    import random
+    rng = random.Random(6)
+    rows = [(q, r, rng.choice([None, 0, 1, 3]), rng.random(), float(r)) for q in range(12) for r in range(1, 9)]
+    table = spark.createDataFrame(rows, "query_id bigint, doc_id bigint, label int, good double, rrf double")
+    passes, plain = [], ltr._histograms
+    monkeypatch.setattr(ltr, "_histograms", lambda state, trees, *rest: passes.append(max(map(len, trees.values()))) or plain(state, trees, *rest))
+
+    def run(at_once):
+        passes.clear()
+        monkeypatch.setattr(ltr, "TREES_AT_ONCE", at_once)
+        scores, _ = ltr.ltr_oof(table, ["good", "rrf"], ltr.Params(trees=5, depth=2, rate=.5, min_child_weight=.01), k=3, with_final=True)
+        return {(r.query_id, r.doc_id): (r.oof_score, r.final_score) for r in scores.collect()}, max(passes)
+
+    (often, few), (once, all_but_last) = run(2), run(100)
+    assert (few, all_but_last) == (1, 4) and len(often) == len(rows)
+    assert all(often[k] == pytest.approx(once[k], abs=1e-9) for k in once)
+
+
 def test_blocked_top_k_over_a_grid(spark, monkeypatch):
     """The shuffled grid of blocks gives the same lists as the broadcast form."""
     import numpy as np
