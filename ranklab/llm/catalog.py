@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ranklab.llm import bpe, decontaminate, embed_dedup, html_extract, langid, line_dedup, secret_scan, simhash, url_filter, warc
+from ranklab.llm import (bpe, decontaminate, embed_dedup, fill_middle, html_extract, langid, line_dedup, secret_scan, sharding, simhash, spelling,
+                         url_filter, warc)
 from ranklab.llm.common import table
 from ranklab.session import scratch_path, settle
 
@@ -89,3 +90,18 @@ def audit_replica(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_warc(damaged(records), path)
     return warc.audit_records(records, warc.read_warc(spark, path))
+
+
+@query("op11_sharding", sharding.ORACLE)
+def deal_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op12_fill_middle", fill_middle.ORACLE)
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants", spelling.ORACLE)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(table(spark, sf_dir, "documents"))

@@ -67,3 +67,15 @@ def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     if len(rows) > most:
         raise ValueError(f"{what}: more than {most} rows")
     return rows
+
+
+#: For oracles: DuckDB has no CRC-32, so `crc_table` (a list `t` of 256 numbers) is made by rule. Needs WITH RECURSIVE.
+CRC_TABLE_SQL = """poly(b, k, v) AS (SELECT b, 0, b::BIGINT FROM range(256) AS r(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM poly WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY b) AS t FROM poly WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a text that is not null, beside `crc_table`."""
+    return (f"xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: ('0x' || p)::BIGINT), "
+            "lambda h, b: xor(h // 256, t[xor(h, b) % 256 + 1]), 4294967295))")
