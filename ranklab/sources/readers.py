@@ -5,17 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.errors import AnalysisException
 
 from ranklab.functions.text import match_text
-from ranklab.sources import schemas
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target) is not None \
-        and len(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)) > 0
+from ranklab.sources import judgment_log, schemas
 
 
 def read_entities(spark: SparkSession, path: str, schema: str, fmt: str = "json", multi_line: bool = False) -> DataFrame:
@@ -38,19 +30,13 @@ def taxonomy_overlay(entities: DataFrame, overlay: DataFrame | None, id_col: str
     return joined.select(*[F.coalesce(f"o_{c}", c).alias(c) if c in cols else F.col(c) for c in entities.columns])
 
 
-def read_judgment_log(spark: SparkSession, path: str) -> DataFrame:
-    """Append-only JSONL log; a missing path is an empty log and blank lines are skipped. `seq` orders records by
-    file modification time, file and position in the file: append order as long as files are appended or added."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], f"seq STRING, query_id BIGINT, doc_id BIGINT, {schemas.JUDGMENTS}").drop("hire_id", "provider_id")
-    meta = F.col("_metadata")
-    raw = spark.read.schema(schemas.JUDGMENTS + ", _corrupt STRING").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    seq = F.concat(F.lpad(F.unix_millis(meta["file_modification_time"]).cast("string"), 15, "0"), F.lit("|"), meta["file_name"],
-                   F.lit("|"), F.lpad(meta["file_block_start"].cast("string"), 15, "0"), F.lit("|"),
-                   F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
-    rows = raw.select("*", seq.alias("seq")).where(F.col("hire_id").isNotNull())
-    return rows.select("seq", F.col("hire_id").cast("bigint").alias("query_id"), F.col("provider_id").cast("bigint").alias("doc_id"),
-                       *[c for c in raw.columns if c not in ("hire_id", "provider_id", "_corrupt")])
+def read_judgment_log(spark: SparkSession, path: str, register: bool = True, ledger: str | None = None) -> DataFrame:
+    """Append-only JSONL log; a missing path is an empty log and blank lines are skipped. `seq` is the number a record got
+    when it was first seen (`judgment_log`); lines not seen before are numbered first unless `register` is off, as it
+    must be for a log that this job may not write beside."""
+    if register:
+        judgment_log.register(spark, path, ledger)
+    return judgment_log.registered(spark, path, ledger)
 
 
 def read_candidates_csv(spark: SparkSession, path: str, features: Sequence[str]) -> DataFrame:
