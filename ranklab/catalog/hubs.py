@@ -87,13 +87,13 @@ def role_vectors(spark, d):
     the tags of its members."""
     sign = lambda i: F.when(F.col("vec")[i] > 0, 1).otherwise(0)
     rows = t.with_tag_id(t.vectors(spark, d)).withColumn("role_id", (F.col("label") * 8 + sign(31) * 4 + sign(32) * 2 + sign(33)).cast("bigint"))
-    bridge = rows.groupBy("role_id", "tag_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("role_id", "tag_id")
+    bridge = rows.select("role_id", "tag_id").distinct()
     return t.mean_vectors(rows, "role_id"), bridge
 
 
 fragment("role_rows", """SELECT *, (label * 8 + CASE WHEN vec[32] > 0 THEN 4 ELSE 0 END + CASE WHEN vec[33] > 0 THEN 2 ELSE 0 END + CASE WHEN vec[34] > 0 THEN 1 ELSE 0 END)::BIGINT AS role_id FROM tagged_vecs""", ("tagged_vecs",))
 fragment("vec_roles", """SELECT role_id, list(x ORDER BY dim) AS vec FROM (SELECT role_id, dim, avg(x) AS x FROM (SELECT role_id, unnest(vec) AS x, unnest(range(1, len(vec) + 1)) AS dim FROM role_rows) GROUP BY 1, 2) GROUP BY 1""", ("role_rows",))
-fragment("vec_bridge", "SELECT role_id, tag_id FROM role_rows GROUP BY 1, 2 HAVING count(*) > 1", ("role_rows",))
+fragment("vec_bridge", "SELECT DISTINCT role_id, tag_id FROM role_rows", ("role_rows",))
 
 
 def sql_unit(v):

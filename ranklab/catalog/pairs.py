@@ -66,10 +66,10 @@ fragment("candidates", f"""SELECT r.query_id, r.doc_id, gr.grade AS label, (gr.g
     ELSE coalesce(rate_per_hour, 0) - coalesce(budget_hi, 0) END) / greatest(coalesce(budget_hi, 0) - coalesce(budget_lo, 0), 1)), 4) END::DOUBLE AS budget_fit,
   {SQL_SENIORITY}::DOUBLE AS seniority_fit, coalesce(phrase_score, 0.5)::DOUBLE AS avail_immediacy
   FROM rrf2 r LEFT JOIN ev_click c USING (query_id, doc_id) LEFT JOIN ev_view v USING (query_id, doc_id) LEFT JOIN gig_struct g USING (query_id)
-  LEFT JOIN provider_struct p USING (doc_id) LEFT JOIN ev_grades gr USING (query_id, doc_id) WHERE r.rank <= 20""", ("rrf2", "ev_click", "ev_view", "gig_struct", "provider_struct", "ev_grades"))
+  LEFT JOIN provider_struct p USING (doc_id) LEFT JOIN ev_grades gr USING (query_id, doc_id) WHERE r.rank <= 50""", ("rrf2", "ev_click", "ev_view", "gig_struct", "provider_struct", "ev_grades"))
 
 
-def candidates(spark, d, top=20, fused=None):
+def candidates(spark, d, top=50, fused=None):
     """Users are gigs (with the terms of the order of the same number), event documents are providers."""
     providers = t.provider_struct(spark, d).withColumn("available_from", F.lit(None).cast("string"))
     return fe.candidate_features(rrf2(spark, d, top=top) if fused is None else fused, t.ev_list(spark, d, "click"), t.ev_list(spark, d, "view"),

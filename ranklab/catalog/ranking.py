@@ -8,15 +8,11 @@ from ranklab.catalog.pairs import candidates
 from ranklab.catalog.registry import query
 from ranklab.catalog.scores import columns, sql_metrics, sql_round, systems
 from ranklab.operators import ltr
-from ranklab.operators.features import DEFAULT_FEATURES
+from ranklab.operators.features import DEFAULT_FEATURES, tag_features
 from ranklab.operators.metrics import evaluate_all
-from ranklab.plans.ranking import downstream_ablation, recipe_lists, stack_systems
+from ranklab.plans.ranking import downstream_ablation, recipe_lists, stack_systems, zscored
 from ranklab.session import checkpoint, union_all
 
-# Few shallow trees keep the registered query short; the library's defaults are the full-size values.
-QUICK = ltr.Params(trees=4, depth=3, rate=0.3, min_child_weight=0.1)
-
-
 @query("group_kfold", "SELECT query_id, ((row_number() OVER (ORDER BY query_id) - 1) % 5)::INT AS fold FROM ev_queries", ("ev_queries",))
 def kfold(spark, d):
     return ltr.group_kfold(t.ev_queries(spark, d))
@@ -26,28 +22,62 @@ def rows(spark, d):
     return checkpoint(candidates(spark, d))
 
 
+def tagged_rows(spark, d):
+    return checkpoint(tag_features(candidates(spark, d, fused=rrf3(spark, d, top=50)), t.ev_list(spark, d, "purchase"), raw=False))
+
+
+TAGGED = (*DEFAULT_FEATURES, "tag_score", "tag_rank")
+SPECS = {"noce": ltr.Spec("raw", DEFAULT_FEATURES), "linear": ltr.Spec("raw", DEFAULT_FEATURES, True), "linz": ltr.Spec("z", DEFAULT_FEATURES, True),
+         "tag_noce": ltr.Spec("tag_raw", TAGGED), "tag_linz": ltr.Spec("tag_z", TAGGED, True)}
+#: Models and scores by session and folder: all queries of this module read the recipes of one training.
+FITTED = {}
+
+
+def _key(spark, d):
+    return spark.sparkContext.applicationId, d
+
+
+def trained(spark, d):
+    """{recipe: scores}, every recipe at full size: both gain forms, both score scales, with and without the tag channel,
+    five folds and the final model of each, grown in the same passes. Scores are written once."""
+    if _key(spark, d) not in FITTED:
+        raw, tag = rows(spark, d), tagged_rows(spark, d)
+        tables = {"raw": raw, "z": zscored(raw, DEFAULT_FEATURES), "tag_raw": tag, "tag_z": zscored(tag, TAGGED)}
+        folds = ltr.group_kfold(union_all([x.select("query_id") for x in (raw, tag)]))
+        models, packed = ltr.fit_all(tables, SPECS, folds)
+        FITTED[_key(spark, d)] = models, {n: checkpoint(s) for n, s in ltr.scores_of(models, packed, SPECS).items()}
+    return FITTED[_key(spark, d)][1]
+
+
 @query("ltr_oof")
 def oof(spark, d):
-    scores, _ = ltr.ltr_oof(rows(spark, d), DEFAULT_FEATURES, QUICK)
-    return scores.select("query_id", "doc_id", "fold", F.round("oof_score", 6).alias("oof_score"))
+    return trained(spark, d)["noce"].select("query_id", "doc_id", "fold", F.round("oof_score", 6).alias("oof_score"))
+
+
+@query("ltr_fold_metrics")
+def folds_held_out(spark, d):
+    """Metrics of the held-out queries of every fold, of the learned and of the fused order."""
+    scores = trained(spark, d)["noce"]
+    table = rows(spark, d)
+    folds, gains = scores.select("query_id", "fold").distinct(), t.ev_gains(spark, d)
+    lists = {"fused": table.select("query_id", "doc_id", F.col("rrf_rank").alias("rank")), "learned": ltr.rank_by_score(scores, table)}
+    return union_all([ltr.fold_metrics(df, folds, gains).withColumn("system", F.lit(n)) for n, df in lists.items()])
 
 
 @query("ltr_gain_mode")
 def gain_mode(spark, d):
     """Mean metrics of both gain forms, out of fold, beside the fused order."""
-    from dataclasses import replace
-    table = rows(spark, d)
-    lists = {"rrf": table.select("query_id", "doc_id", F.col("rrf_rank").alias("rank"))}
-    for name, linear in (("linear", True), ("exponential", False)):
-        scores, _ = ltr.ltr_oof(table, DEFAULT_FEATURES, replace(QUICK, linear_gain=linear))
-        lists[name] = ltr.rank_by_score(scores, table)
+    table, scores = rows(spark, d), trained(spark, d)
+    lists = {"rrf": table.select("query_id", "doc_id", F.col("rrf_rank").alias("rank")), "linear": ltr.rank_by_score(scores["linear"], table),
+             "exponential": ltr.rank_by_score(scores["noce"], table)}
     return evaluate_all(stack_systems(lists), t.ev_gains(spark, d), by=["system"])
 
 
 @query("ltr_importances")
 def importances(spark, d):
-    _, model = ltr.ltr_oof(rows(spark, d), DEFAULT_FEATURES, QUICK)
-    return spark.createDataFrame(sorted(model.importances().items()), "feature string, importance double")
+    trained(spark, d)
+    found = [(name, f, x) for name, model in FITTED[_key(spark, d)][0].items() for f, x in sorted(model.importances().items())]
+    return spark.createDataFrame(found, "recipe string, feature string, importance double")
 
 
 @query("ltr_final_and_export", """SELECT query_id, doc_id, round(100.0::DOUBLE * (rrf_score - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END, 2) AS semantic_score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS rank
@@ -60,32 +90,43 @@ def export(spark, d):
 
 @query("ltr_final_scores")
 def final_scores(spark, d):
-    scores, _ = ltr.ltr_oof(rows(spark, d), DEFAULT_FEATURES, QUICK, with_final=True)
-    return ltr.export_scores(scores, "final_score")
+    return ltr.export_scores(trained(spark, d)["noce"], "final_score")
 
 
 @query("ltr_recipes_and_fusion")
 def recipes(spark, d):
-    table = rows(spark, d)
-    return evaluate_all(stack_systems(recipe_lists(table, DEFAULT_FEATURES, QUICK)), t.ev_gains(spark, d), by=["system"])
+    scores = trained(spark, d)
+    return evaluate_all(stack_systems(recipe_lists(rows(spark, d), scores["linz"], scores["noce"])), t.ev_gains(spark, d), by=["system"])
 
 
-@query("downstream_ablation")
-def ablation(spark, d):
+def ablation_parts(spark, d):
     """Base candidates against candidates with the purchase channel as the tag channel, under the original labels
     (signup and error events) and the labels extended by the second grader."""
-    from ranklab.operators.features import tag_features
     from ranklab.operators.labels import gains_from_grades, latest_ok_grade, overlay_labels_last_wins
-    base = rows(spark, d)
-    tagged = checkpoint(tag_features(candidates(spark, d, fused=rrf3(spark, d, top=20)), t.ev_list(spark, d, "purchase"), raw=False))
-    lists = {f"base_{n}": df for n, df in recipe_lists(base, DEFAULT_FEATURES, QUICK).items()}
-    lists.update({f"tag_{n}": df for n, df in recipe_lists(tagged, (*DEFAULT_FEATURES, "tag_score", "tag_rank"), QUICK).items()})
+    scores = trained(spark, d)
+    lists = {f"base_{n}": df for n, df in recipe_lists(rows(spark, d), scores["linz"], scores["noce"]).items()}
+    lists.update({f"tag_{n}": df for n, df in recipe_lists(tagged_rows(spark, d), scores["tag_linz"], scores["tag_noce"]).items()})
     original = t.ev_grades(spark, d)
     extended = overlay_labels_last_wins(latest_ok_grade(t.ev_log_half(spark, d, True)), original)
     label_sets = union_all([g.select(F.lit(n).alias("labels"), "query_id", "doc_id") for n, g in (("original", original), ("extended", extended))])
     gains = union_all([gains_from_grades(g).withColumn("labels", F.lit(n)) for n, g in (("original", original), ("extended", extended))])
-    _, diffs, _ = downstream_ablation(checkpoint(stack_systems(lists)), label_sets, gains, t.ev_queries(spark, d))
-    return diffs
+    return downstream_ablation(checkpoint(stack_systems(lists)), label_sets, gains, t.ev_queries(spark, d))
+
+
+@query("downstream_ablation")
+def ablation(spark, d):
+    return ablation_parts(spark, d)[1]
+
+
+@query("downstream_ablation_means")
+def ablation_means(spark, d):
+    """Mean metrics of every system under both label sets, as lists are and condensed."""
+    return ablation_parts(spark, d)[0]
+
+
+@query("downstream_ablation_judged_share")
+def ablation_share(spark, d):
+    return ablation_parts(spark, d)[2]
 
 
 @query("ranking_ablation_table", f"""SELECT {sql_round(columns((5, 10)), 'system')} FROM ({sql_metrics("(SELECT 'rrf' AS system, query_id, doc_id, rrf_rank AS rank FROM candidates UNION ALL SELECT 'external', query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, rrf_rank) FROM candidates LEFT JOIN ev_purchase USING (query_id, doc_id))", 'ev_gains', by='system')}) GROUP BY 1""",
@@ -95,3 +136,15 @@ def ablation_table(spark, d):
     table = candidates(spark, d)
     lists = {"rrf": table.select("query_id", "doc_id", F.col("rrf_rank").alias("rank")), "external": rerank_by_external_score(table, t.ev_list(spark, d, "purchase"))}
     return evaluate_all(stack_systems(lists), t.ev_gains(spark, d), by=["system"])
+
+
+@query("ranking_ablation_learned")
+def ablation_learned(spark, d):
+    """The table with the learned rows: fused order, external score, learned order out of fold, and both recipes fused;
+    each head goes on with the rest of the fused list."""
+    from ranklab.operators.fusion import head_plus_tail, rerank_by_external_score
+    table, scores = rows(spark, d), trained(spark, d)
+    lists = {"rrf": table.select("query_id", "doc_id", F.col("rrf_rank").alias("rank")), "external": rerank_by_external_score(table, t.ev_list(spark, d, "purchase")),
+             "learned": ltr.rank_by_score(scores["noce"], table), "recipes_fused": recipe_lists(table, scores["linz"], scores["noce"])["fused"]}
+    whole = rrf2(spark, d)
+    return evaluate_all(stack_systems({n: head_plus_tail(df, whole) for n, df in lists.items()}), t.ev_gains(spark, d), by=["system"])

@@ -247,13 +247,13 @@ def market_roles(spark: SparkSession, d: str) -> DataFrame:
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
-def market_bridge(spark: SparkSession, d: str, m: int = 12) -> DataFrame:
-    """(role_id, tag_id, level): a role's m most bought tags; level = the tag's rank in the role."""
+def market_bridge(spark: SparkSession, d: str) -> DataFrame:
+    """(role_id, tag_id, level): all tags a role has bought; level = the tag's rank in the role."""
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     bought = (li.groupBy("l_orderkey", (F.col("l_partkey") % 300).alias("tag_id")).agg(F.count(F.lit(1)).alias("n"))
               .join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
               .join(market_roles(spark, d), "o_custkey").groupBy("role_id", "tag_id").agg(F.sum("n").cast("double").alias("score")))
-    return rank_list(bought, m, keys=("role_id",), tie=("tag_id",), out="level").select("role_id", "tag_id", "level")
+    return rank_list(bought, keys=("role_id",), tie=("tag_id",), out="level").select("role_id", "tag_id", "level")
 
 
 _SEG_CASE = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SEGMENTS))
@@ -262,7 +262,7 @@ fragment("market_customers", f"""SELECT c_custkey AS o_custkey, c_nationkey::BIG
 fragment("market_roles", "SELECT DISTINCT role_id, track_id FROM market_customers", ("market_customers",))
 fragment("market_bridge", """SELECT role_id, tag_id, row_number() OVER (PARTITION BY role_id ORDER BY n DESC, tag_id) AS level
   FROM (SELECT role_id, l_partkey % 300 AS tag_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    JOIN market_customers USING (o_custkey) GROUP BY 1, 2) QUALIFY level <= 12""", ("market_customers",))
+    JOIN market_customers USING (o_custkey) GROUP BY 1, 2)""", ("market_customers",))
 
 
 # --- events: channels, grades, log ------------------------------------------------------------------------------

@@ -1,40 +1,59 @@
 """Query-wise boosted ranking (LambdaMART) as Spark passes over packed queries.
 
-A query's candidates are one row (a top-K pool, so its size is bounded and checked). One pass per tree level
-computes gradients and per-task histograms with numpy and lets Spark add them up; only the summed histogram
-(models x nodes x features x bins) reaches the driver, which picks the splits. All folds and the final model grow
-in the same passes. Scores so far and bin codes stand in a table that is written anew every few trees, so a pass adds
-only the trees since, no state lives on executors between passes, and a lost task is simply run again. A missing feature has its own bin and each split learns where to send it."""
+A query's candidates are one row (a top-K pool, so its size is bounded and checked); queries are bundled, one bundle per
+task, as arrays of bin codes, labels and scores. A pass per tree level adds up histograms with numpy; only their sum
+(models x nodes x features x bins) reaches the driver, which picks the splits. All models grow in the same passes: every
+fold and the final model, of every recipe (`Spec`) over every candidate table. Of two sister nodes only the lighter one is
+counted, the other is the rest of its parent; leaves come from the sums of the last split, so a tree of depth d is d passes.
+
+Gradients are made once per tree and stay beside the scores with the executors that made them, in memory or on disk. A
+lost one is made again from the bundle before it, and every `KEEP_TREES` trees the bundles are written to the shared
+folder, so at most that many trees are replayed. Rows and columns drawn for a tree depend on seed, tree and row alone. A
+missing feature has its own bin and each split learns where to send it."""
 
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ranklab.operators.ordering import global_rank
-from ranklab.session import checkpoint, scratch_path
+from ranklab.session import checkpoint, shared_folder, union_all
 
 FINAL = -1
-#: Trees whose scores a pass computes before they are written.
-TREES_AT_ONCE = 10
+#: Trees between two written states, and judged rows of a bundle.
+KEEP_TREES = 25
+BUNDLE_ROWS = 200_000
 
 
 @dataclass(frozen=True)
 class Params:
-    """Full size is 300 trees of depth 4 at rate 0.05; fewer trees at a higher rate suit a first look."""
+    """The full size is the default; `rows` and `columns` are the shares drawn for each tree."""
     trees: int = 300
     depth: int = 4
     rate: float = 0.05
     reg_lambda: float = 1.0
     min_child_weight: float = 2.0
+    rows: float = 0.9
+    columns: float = 0.9
     bins: int = 32
     linear_gain: bool = False
     max_group: int = 2_000
+    seed: int = 7
+
+
+@dataclass(frozen=True)
+class Spec:
+    """A recipe: which candidate table, which of its features, which gain in the loss."""
+    table: str
+    features: tuple[str, ...]
+    linear_gain: bool = False
 
 
 @dataclass
@@ -43,15 +62,15 @@ class Model:
     features: tuple[str, ...]
     edges: list[list[float]]
     trees: dict[int, list[dict]] = field(default_factory=dict)
-    gains: dict[int, dict[int, float]] = field(default_factory=dict)
+    gains: dict[int, dict[int, list[float]]] = field(default_factory=dict)
 
     def importances(self) -> dict[str, float]:
-        """Mean share of the split gain over the fold models."""
+        """Mean over the fold models of each feature's mean gain per split, as a share of all."""
         total = np.zeros(len(self.features))
         folds = [f for f in self.gains if f != FINAL] or list(self.gains)
         for f in folds:
-            share = np.array([self.gains[f].get(i, 0.0) for i in range(len(self.features))])
-            total += share / share.sum() if share.sum() > 0 else share
+            mean = np.array([np.mean(self.gains[f].get(i, [0.0])) for i in range(len(self.features))])
+            total += mean / mean.sum() if mean.sum() > 0 else mean
         return dict(zip(self.features, (total / max(len(folds), 1)).tolist()))
 
     def dumps(self) -> str:
@@ -80,63 +99,100 @@ def bin_edges(rows: DataFrame, features: Sequence[str], bins: int) -> list[list[
 
 
 def pack_queries(rows: DataFrame, folds: DataFrame, features: Sequence[str], max_group: int) -> DataFrame:
-    """(query_id, fold, docs, labels, x): one row per query; label -1 = unjudged. A query beyond `max_group`
+    """(query_id, fold, docs, labels, keys, x): one row per query; label -1 = unjudged. A query beyond `max_group`
     candidates is an error, because a pool is a top-K list."""
-    entry = F.struct(F.col("doc_id"), F.coalesce("label", F.lit(-1)).cast("int").alias("label"),
+    entry = F.struct(F.col("doc_id"), F.xxhash64("query_id", "doc_id").alias("key"), F.coalesce("label", F.lit(-1)).cast("int").alias("label"),
                      F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
     sizes = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     guarded = rows.join(sizes, "query_id").where(F.when(
         F.col("n") > max_group, F.raise_error(F.lit("a query has more candidates than a pool may hold")).cast("boolean")).otherwise(F.lit(True)))
     packed = guarded.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("rows")).join(folds, "query_id")
     return packed.select("query_id", "fold", F.transform("rows", lambda r: r["doc_id"]).alias("docs"),
-                         F.transform("rows", lambda r: r["label"]).alias("labels"), F.flatten(F.transform("rows", lambda r: r["x"])).alias("x"))
+                         F.transform("rows", lambda r: r["label"]).alias("labels"), F.transform("rows", lambda r: r["key"]).alias("keys"), F.flatten(F.transform("rows", lambda r: r["x"])).alias("x"))
 
 
 def _codes(x: np.ndarray, edges: list[list[float]]) -> np.ndarray:
     """Bin codes; 0 is the missing bin."""
-    out = np.zeros(x.shape, dtype=np.int64)
+    out = np.zeros(x.shape, dtype=np.uint8)
     for j, cut in enumerate(edges):
         seen = ~np.isnan(x[:, j])
         out[seen, j] = 1 + np.searchsorted(np.asarray(cut), x[seen, j], side="left")
     return out
 
 
-def _walk(tree: dict, codes: np.ndarray) -> np.ndarray:
-    """The node every row ends in."""
-    node = np.ones(len(codes), dtype=np.int64)
-    for parent in sorted(tree["splits"]):
-        feature, cut, missing_left = tree["splits"][parent]
-        here = node == parent
-        c = codes[here, int(feature)]
-        left = np.where(c == 0, bool(missing_left), c <= cut)
-        node[here] = np.where(left, 2 * parent, 2 * parent + 1)
-    return node
-
+@dataclass
+class Flat:
+    """A tree as arrays over its nodes: feature (-1: none), last bin to the left, where missing goes, value."""
+    feature: np.ndarray
+    cut: np.ndarray
+    missing_left: np.ndarray
+    value: np.ndarray
 
-def _predict(trees: list[dict], codes: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-    score = np.zeros(len(codes)) if start is None else start.copy()
+    @staticmethod
+    def of(tree: dict, depth: int) -> "Flat":
+        n = 1 << (depth + 1)
+        flat = Flat(np.full(n, -1), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool), np.zeros(n))
+        for node, (j, cut, missing_left) in tree["splits"].items():
+            flat.feature[node], flat.cut[node], flat.missing_left[node] = j, cut, missing_left
+        for node, value in tree["leaves"].items():
+            flat.value[node] = value
+        return flat
+
+    def walk(self, codes: np.ndarray) -> np.ndarray:
+        """The node every row ends in."""
+        node, rows = np.ones(len(codes), dtype=np.int64), np.arange(len(codes))
+        for _ in range(len(self.feature).bit_length() - 2):
+            j = self.feature[node]
+            c = codes[rows, j]
+            left = np.where(c == 0, self.missing_left[node], c <= self.cut[node])
+            node = np.where(j >= 0, 2 * node + 1 - left, node)
+        return node
+
+
+def _depth(tree: dict) -> int:
+    return max([*tree["splits"], *tree["leaves"], 1]).bit_length() - 1
+
+
+def _predict(trees: list[dict], codes: np.ndarray) -> np.ndarray:
+    score = np.zeros(len(codes))
     for tree in trees:
-        node = _walk(tree, codes)
-        for leaf, value in tree["leaves"].items():
-            score[node == leaf] += value
+        flat = Flat.of(tree, _depth(tree))
+        score += flat.value[flat.walk(codes)]
     return score
 
 
 def _lambdas(labels: np.ndarray, score: np.ndarray, linear: bool) -> tuple[np.ndarray, np.ndarray]:
-    """First and second derivatives of the pairwise loss weighted by the NDCG change of swapping the pair."""
+    """First and second derivatives, per model and row of `score` (models x rows), of the pairwise loss weighted by the
+    NDCG change of swapping the pair."""
     gain = labels.astype(float) if linear else np.power(2.0, labels) - 1.0
-    ideal = np.sort(gain)[::-1]
-    best = (ideal / np.log2(np.arange(2, len(gain) + 2))).sum()
+    best = (np.sort(gain)[::-1] / np.log2(np.arange(2, len(gain) + 2))).sum()
+    first, second = np.zeros(score.shape), np.zeros(score.shape)
     if best <= 0 or gain.min() == gain.max():
-        return np.zeros(len(gain)), np.zeros(len(gain))
-    rank = np.empty(len(gain))
-    rank[np.argsort(-score, kind="stable")] = np.arange(1, len(gain) + 1)
-    discount = 1.0 / np.log2(rank + 1)
-    better = labels[:, None] > labels[None, :]
-    delta = np.abs(gain[:, None] - gain[None, :]) * np.abs(discount[:, None] - discount[None, :]) / best * better
-    rho = 1.0 / (1.0 + np.exp(np.clip(score[:, None] - score[None, :], -50, 50)))
-    first, second = rho * delta, rho * (1.0 - rho) * delta
-    return first.sum(axis=0) - first.sum(axis=1), second.sum(axis=0) + second.sum(axis=1)
+        return first, second
+    weight = np.abs(gain[:, None] - gain[None, :]) / best * (labels[:, None] > labels[None, :])
+    at_once = max(1, (1 << 21) // len(gain) ** 2)
+    for low in range(0, len(score), at_once):
+        s = score[low:low + at_once]
+        rank = np.empty(s.shape)
+        np.put_along_axis(rank, np.argsort(-s, axis=1, kind="stable"), np.arange(1.0, len(gain) + 1)[None, :], axis=1)
+        discount = 1.0 / np.log2(rank + 1)
+        delta = weight * np.abs(discount[:, :, None] - discount[:, None, :])
+        rho = 1.0 / (1.0 + np.exp(np.clip(s[:, :, None] - s[:, None, :], -50, 50)))
+        one = rho * delta
+        two = one * (1.0 - rho)
+        first[low:low + at_once] = one.sum(axis=1) - one.sum(axis=2)
+        second[low:low + at_once] = two.sum(axis=1) + two.sum(axis=2)
+    return first, second
+
+
+def _drawn(keys: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
+    """Rows drawn for a tree: a hash of row, seed and tree below the share."""
+    with np.errstate(over="ignore"):
+        z = keys.astype(np.uint64) + np.uint64((seed * 1_000_003 + tree + 1) % (1 << 63)) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return (z >> np.uint64(11)) * 2.0 ** -53 < share
 
 
 def _unpack(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,155 +200,218 @@ def _unpack(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(row["labels"], dtype=np.int64), x
 
 
-STATE = "fold int, labels array<int>, codes array<int>, scores array<double>"
-
+@dataclass(frozen=True)
+class _Grown:
+    """One model in training: recipe number, table number, the columns it may look at, and the fold it must not see."""
+    spec: int
+    table: int
+    columns: tuple[int, ...]
+    fold: int
+    linear: bool
 
-def _start(packed: DataFrame, edges: list[list[float]], models: int) -> DataFrame:
-    """(fold, labels, codes, scores) of the judged candidates of every query that has some: bin codes row by row, and
-    the scores of all models, 0 so far, model by model."""
-    width = len(edges)
 
+def _bundles(packed: DataFrame, edges: list[list[list[float]]]) -> DataFrame:
+    """One row per task: judged candidates of its queries, table by table."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: dict[int, list] = {}
         for batch in batches:
-            out = []
             for row in batch.to_dict("records"):
-                labels, x = _unpack(row, width)
+                labels, x = _unpack(row, len(edges[row["part"]]))
                 judged = labels >= 0
                 if judged.any():
-                    out.append((row["fold"], labels[judged], _codes(x[judged], edges).ravel(), np.zeros(models * judged.sum())))
-            yield pd.DataFrame(out, columns=["fold", "labels", "codes", "scores"])
-
-    return packed.mapInPandas(run, STATE)
-
-
-def _state(row: dict, width: int, models: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.asarray(row["labels"], dtype=np.int64), np.asarray(row["codes"], dtype=np.int64).reshape(-1, width), np.asarray(row["scores"]).reshape(models, -1)
-
-
-def _advance(state: DataFrame, trees: dict[int, list[dict]], width: int) -> DataFrame:
-    """`state` with `trees` added to the scores."""
-    names = list(trees)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            scores = []
-            for row in batch.to_dict("records"):
-                _, codes, score = _state(row, width, len(names))
-                scores.append(np.concatenate([_predict(trees[f], codes, score[i]) for i, f in enumerate(names)]))
-            yield batch.assign(scores=scores)
+                    parts.setdefault(row["part"], []).append((labels[judged], _codes(x[judged], edges[row["part"]]), np.asarray(row["keys"], dtype=np.int64)[judged], row["fold"]))
+        bundle = {}
+        for part, rows in sorted(parts.items()):
+            bundle[part] = {"labels": np.concatenate([r[0] for r in rows]), "codes": np.concatenate([r[1] for r in rows]), "keys": np.concatenate([r[2] for r in rows]),
+                            "stops": np.cumsum([len(r[0]) for r in rows]), "folds": np.array([r[3] for r in rows])}
+        yield pd.DataFrame({"bundle": [pickle.dumps(bundle, protocol=5)]})
+
+    return packed.mapInPandas(run, "bundle binary")
+
+
+def _step(bundle: dict, models: list[_Grown], trees: list[dict] | None, params: Params, tree: int) -> dict:
+    """`bundle` with `trees`, one per model, added to its scores (0 at first), and with the gradients of the next tree."""
+    out = {}
+    for part, b in bundle.items():
+        mine = [i for i, m in enumerate(models) if m.table == part]
+        scores = b["scores"].copy() if "scores" in b else np.zeros((len(mine), len(b["labels"])))
+        if trees is not None:
+            for k, i in enumerate(mine):
+                flat = Flat.of(trees[i], params.depth)
+                scores[k] += flat.value[flat.walk(b["codes"][:, models[i].columns])]
+        g, h = np.zeros(scores.shape), np.zeros(scores.shape)
+        start = 0
+        for stop, fold in zip(b["stops"].tolist(), b["folds"].tolist()):
+            for linear in (False, True):
+                at = [k for k, i in enumerate(mine) if models[i].linear == linear and models[i].fold != fold]
+                if at:
+                    g[at, start:stop], h[at, start:stop] = _lambdas(b["labels"][start:stop], scores[at, start:stop], linear)
+            start = stop
+        left_out = ~_drawn(b["keys"], params.seed, tree, params.rows)
+        g[:, left_out] = h[:, left_out] = 0.0
+        out[part] = b | {"scores": scores, "g": g, "h": h}
+    return out
 
-    return state.mapInPandas(run, STATE)
 
+def _histograms(bundle: dict, models: list[_Grown], growing: list[dict], wanted: list[list[int]], params: Params) -> dict[tuple[int, int], np.ndarray]:
+    """(model, node) -> (2, features, bins): sums of both derivatives over the rows now in the node."""
+    n_codes = params.bins + 1
+    out = {}
+    for part, b in bundle.items():
+        for k, i in enumerate(i for i, m in enumerate(models) if m.table == part):
+            if not wanted[i]:
+                continue
+            codes = b["codes"][:, models[i].columns]
+            width = codes.shape[1]
+            place = np.full(1 << (params.depth + 1), -1)
+            place[wanted[i]] = np.arange(len(wanted[i]))
+            node = place[Flat.of(growing[i], params.depth).walk(codes)]
+            rows = np.flatnonzero((node >= 0) & (b["h"][k] != 0))
+            at = ((node[rows, None] * width + np.arange(width)) * n_codes + codes[rows]).ravel()
+            sums = [np.bincount(at, np.repeat(b[d][k, rows], width), len(wanted[i]) * width * n_codes).reshape(len(wanted[i]), width, n_codes) for d in ("g", "h")]
+            for p, n in enumerate(wanted[i]):
+                out[i, n] = np.stack((sums[0][p], sums[1][p]))
+    return out
 
-def _histograms(state: DataFrame, trees: dict[int, list[dict]], growing: dict[int, dict], width: int, params: Params) -> DataFrame:
-    """(model, node, feature, bin, g, h) summed over the training rows of every model; `trees` are those whose scores
-    are not in `state` yet."""
-    names, n_codes, linear = list(trees), params.bins + 1, params.linear_gain
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                labels, codes, score = _state(row, width, len(names))
-                for i, f in enumerate(names):
-                    if f == row["fold"]:
-                        continue
-                    g, h = _lambdas(labels, _predict(trees[f], codes, score[i]), linear)
-                    node = _walk(growing[f], codes)
-                    for n in np.unique(node):
-                        here = node == n
-                        acc = sums.setdefault((f, int(n)), np.zeros((2, width, n_codes)))
-                        for j in range(width):
-                            acc[0, j] += np.bincount(codes[here, j], g[here], n_codes)
-                            acc[1, j] += np.bincount(codes[here, j], h[here], n_codes)
-        for (f, n), acc in sums.items():
-            feature, code = np.nonzero((acc[0] != 0) | (acc[1] != 0))
-            yield pd.DataFrame({"model": f, "node": n, "feature": feature, "bin": code, "g": acc[0, feature, code], "h": acc[1, feature, code]})
-
-    parts = state.mapInPandas(run, "model int, node int, feature int, bin int, g double, h double")
-    return parts.groupBy("model", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-
-
-def _best_split(hist: np.ndarray, params: Params) -> tuple[float, tuple[int, int, bool]] | None:
-    """The split of one node with the largest gain; `hist` is (2, features, bins), bin 0 = missing."""
-    g_all, h_all = hist[0, 0].sum(), hist[1, 0].sum()
-    value = lambda g, h: g * g / (h + params.reg_lambda)
-    best = None
-    for j in range(hist.shape[1]):
-        g, h = np.cumsum(hist[0, j, 1:]), np.cumsum(hist[1, j, 1:])
-        for missing_left in (True, False):
-            gl = g + (hist[0, j, 0] if missing_left else 0.0)
-            hl = h + (hist[1, j, 0] if missing_left else 0.0)
-            gain = value(gl, hl) + value(g_all - gl, h_all - hl) - value(g_all, h_all)
-            gain[(hl < params.min_child_weight) | (h_all - hl < params.min_child_weight)] = -np.inf
-            at = int(np.argmax(gain[:-1])) if len(gain) > 1 else 0
-            if len(gain) > 1 and gain[at] > 1e-12 and (best is None or gain[at] > best[0]):
-                best = (float(gain[at]), (j, at + 1, missing_left))
-    return best
+def _summed(parts: RDD, tasks: int) -> dict[tuple[int, int], np.ndarray]:
+    """Histograms of all tasks added up: by the driver if they are few, else first by executors."""
+    def add(a: dict, b: dict) -> dict:
+        for key, value in b.items():
+            a[key] = a[key] + value if key in a else value
+        return a
+
+    if tasks > 64:
+        return parts.treeReduce(add, depth=2)
+    total: dict = {}
+    for part in parts.collect():
+        add(total, part)
+    return total
+
+
+def _best_split(hist: np.ndarray, allowed: np.ndarray, params: Params) -> tuple[float, tuple[int, int, bool], np.ndarray] | None:
+    """(gain, (feature, bin, missing_left), left sums) of the split of a node with the largest gain; `hist` is (2,
+    features, bins), bin 0 = missing."""
+    total = hist[:, 0].sum(axis=1)
+    value = lambda s: s[0] * s[0] / (s[1] + params.reg_lambda)
+    left = np.cumsum(hist[:, :, 1:], axis=2)[:, :, None, :] + np.stack((hist[:, :, 0], np.zeros_like(hist[:, :, 0])), axis=2)[..., None]
+    right = total[:, None, None, None] - left
+    # Rounded, so that sums added up in another order give the same split of several that are equally good.
+    gain = np.round(value(left) + value(right) - value(total), 9)
+    gain[(left[1] < params.min_child_weight) | (right[1] < params.min_child_weight)] = -np.inf
+    gain[~allowed] = -np.inf
+    gain[:, :, -1] = -np.inf
+    at = int(np.argmax(gain))
+    j, miss, cut = np.unravel_index(at, gain.shape)
+    if not gain[j, miss, cut] > 0:
+        return None
+    return float(gain[j, miss, cut]), (int(j), int(cut) + 1, bool(miss == 0)), left[:, j, miss, cut]
+
+
+def _grow(state: RDD, tasks: int, models: list[_Grown], params: Params, tree: int, found: list[dict[int, list[float]]]) -> list[dict]:
+    """One tree for every model."""
+    growing = [{"splits": {}, "leaves": {}} for _ in models]
+    draws = [np.random.default_rng((params.seed, tree, m.spec, m.fold + 1)) for m in models]
+    allowed = []
+    for m, draw in zip(models, draws):
+        n = len(m.columns)
+        mask = np.zeros(n, dtype=bool)
+        mask[draw.permutation(n)[:max(1, round(params.columns * n))]] = True
+        allowed.append(mask)
+    leaf = lambda s: float(-params.rate * s[0] / (s[1] + params.reg_lambda))
+    open_nodes = [{1: None} for _ in models]            # node -> (parent's histogram, sister counted instead) or None
+    for level in range(params.depth):
+        wanted = [[n for n, rest in nodes.items() if rest is None] for nodes in open_nodes]
+        if not any(wanted):
+            break
+        sums = _summed(state.map(lambda b, g=growing, w=wanted: _histograms(b, models, g, w, params)), tasks)
+        coming = [{} for _ in models]
+        for i, nodes in enumerate(open_nodes):
+            empty = np.zeros((2, len(models[i].columns), params.bins + 1))
+            for node in sorted(nodes, key=lambda n: nodes[n] is not None):
+                hist = sums.get((i, node), empty) if nodes[node] is None else nodes[node][0] - sums.get((i, nodes[node][1]), empty)
+                split = _best_split(hist, allowed[i], params)
+                if split is None:
+                    growing[i]["leaves"][node] = leaf(hist[:, 0].sum(axis=1))
+                    continue
+                gain, growing[i]["splits"][node], left = split
+                found[i].setdefault(growing[i]["splits"][node][0], []).append(gain)
+                right = hist[:, 0].sum(axis=1) - left
+                if level + 1 == params.depth:
+                    growing[i]["leaves"] |= {2 * node: leaf(left), 2 * node + 1: leaf(right)}
+                    continue
+                light, heavy = (2 * node, 2 * node + 1) if left[1] <= right[1] else (2 * node + 1, 2 * node)
+                coming[i] |= {light: None, heavy: (hist, light)}
+        open_nodes = coming
+    return growing
+
+
+def fit_all(tables: dict[str, DataFrame], specs: dict[str, Spec], folds: DataFrame, params: Params = Params(), k: int = 5,
+            with_final: bool = True) -> tuple[dict[str, Model], dict[str, DataFrame]]:
+    """Train every recipe in `specs`, one model per fold (on the other folds' judged rows) and, if asked, one on all of
+    them, in common passes. Returns the models, and per table the packed candidates, written once."""
+    names = list(tables)
+    used = [tuple(dict.fromkeys(f for s in specs.values() if s.table == n for f in s.features)) for n in names]
+    packed = {n: checkpoint(pack_queries(tables[n], folds, cols, params.max_group)) for n, cols in zip(names, used)}
+    edges = [bin_edges(tables[n], cols, params.bins) for n, cols in zip(names, used)]
+    models = [_Grown(i, names.index(s.table), tuple(used[names.index(s.table)].index(f) for f in s.features), f, s.linear_gain)
+              for i, s in enumerate(specs.values()) for f in [*range(k), *([FINAL] if with_final else [])]]
+    out = {n: Model(s.features, [edges[names.index(s.table)][used[names.index(s.table)].index(f)] for f in s.features], {}, {}) for n, s in specs.items()}
+
+    both = union_all([packed[n].select(F.lit(i).alias("part"), "query_id", "fold", "labels", "keys", "x") for i, n in enumerate(names)])
+    judged, queries = both.agg(F.sum(F.size(F.filter("labels", lambda v: v >= 0))), F.count("*")).first()
+    sc = both.sparkSession.sparkContext
+    tasks = max(1, -(-(judged or 0) // BUNDLE_ROWS), min(sc.defaultParallelism, queries))
+    shared_folder(both.sparkSession)                   # sets the folder that checkpoints go to
+    state = checkpoint(_bundles(both.repartition(tasks, "query_id"), edges)).rdd.map(lambda r: pickle.loads(bytes(r.bundle)))
+    found: list[dict[int, list[float]]] = [{} for _ in models]
+    trees: list[dict] | None = None
+    grown: list[list[dict]] = []
+    for n in range(params.trees):
+        before, state = state, state.map(lambda b, t=trees, n=n: _step(b, models, t, params, n)).persist(StorageLevel.MEMORY_AND_DISK)
+        if n and n % KEEP_TREES == 0:
+            state.checkpoint()
+        trees = _grow(state, tasks, models, params, n, found)
+        grown.append(trees)
+        if n:
+            before.unpersist()
+    state.unpersist()
+    for i, m in enumerate(models):
+        model = out[list(specs)[m.spec]]
+        model.trees[m.fold], model.gains[m.fold] = [t[i] for t in grown], found[i]
+    return out, packed
 
 
 def fit(rows: DataFrame, folds: DataFrame, features: Sequence[str], params: Params = Params(), k: int = 5,
         with_final: bool = True) -> tuple[Model, DataFrame]:
-    """Train one model per fold (on the other folds' judged rows) and the final model on all of them. Returns the
-    models and the packed candidates, which are checkpointed once. The table that the passes read has two folders, of
-    which the one not being read is overwritten."""
-    spark = rows.sparkSession
-    tasks = spark.sparkContext.defaultParallelism
-    packed = checkpoint(pack_queries(rows, folds, features, params.max_group).repartition(tasks, "query_id"))
-    names = list(range(k)) + ([FINAL] if with_final else [])
-    model = Model(tuple(features), bin_edges(rows, features, params.bins), {f: [] for f in names}, {f: {} for f in names})
-    width, n_codes = len(features), params.bins + 1
-    paths = [scratch_path(spark, "scores") for _ in range(2)]
-
-    def kept(state: DataFrame, n: int) -> DataFrame:
-        state.write.mode("overwrite").parquet(paths[n % 2])
-        return spark.read.schema(STATE).parquet(paths[n % 2])
-
-    state = kept(_start(packed, model.edges, len(names)), 0)
-    written = 0
-    for n in range(params.trees):
-        if n - written == TREES_AT_ONCE:
-            state, written = kept(_advance(state, {f: model.trees[f][written:] for f in names}, width), n // TREES_AT_ONCE), n
-        pending = {f: model.trees[f][written:] for f in names}
-        growing = {f: {"splits": {}, "leaves": {}} for f in names}
-        for level in range(params.depth + 1):
-            sums: dict[tuple[int, int], np.ndarray] = {}
-            for r in _histograms(state, pending, growing, width, params).toLocalIterator():
-                sums.setdefault((r["model"], r["node"]), np.zeros((2, width, n_codes)))[:, r["feature"], r["bin"]] = (r["g"], r["h"])
-            grew = False
-            for (f, node), hist in sums.items():
-                if node < 2 ** level:                      # a leaf closed on an earlier level
-                    continue
-                split = _best_split(hist, params) if level < params.depth else None
-                if split is None:
-                    g, h = hist[0, 0].sum(), hist[1, 0].sum()
-                    growing[f]["leaves"][node] = float(-params.rate * g / (h + params.reg_lambda))
-                else:
-                    gain, growing[f]["splits"][node] = split
-                    model.gains[f][split[1][0]] = model.gains[f].get(split[1][0], 0.0) + gain
-                    grew = True
-            if not grew:
-                break
-        for f in names:
-            model.trees[f].append(growing[f])
-    return model, packed
-
-
-def score(packed: DataFrame, model: Model) -> DataFrame:
+    """One recipe over one table: its models and the packed candidates."""
+    models, packed = fit_all({"rows": rows}, {"model": Spec("rows", tuple(features), params.linear_gain)}, folds, params, k, with_final)
+    return models["model"], packed["rows"]
+
+
+def score(packed: DataFrame, model: Model, columns: Sequence[str] | None = None) -> DataFrame:
     """(query_id, doc_id, fold, oof_score, final_score): every candidate by the model that never saw its query, and
-    by the final model (NULL when there is none)."""
-    width, edges, trees = len(model.features), model.edges, model.trees
+    by the final model (NULL when there is none). `columns` names the packed features if the model has only some."""
+    packed_cols = list(columns or model.features)
+    take = [packed_cols.index(f) for f in model.features]
+    width, edges, trees = len(packed_cols), model.edges, model.trees
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
                 _, x = _unpack(row, width)
-                codes = _codes(x, edges)
+                codes = _codes(x[:, take], edges)
                 final = _predict(trees[FINAL], codes) if FINAL in trees else np.full(len(codes), np.nan)
                 yield pd.DataFrame({"query_id": row["query_id"], "doc_id": np.asarray(row["docs"], dtype=np.int64), "fold": row["fold"],
                                     "oof_score": _predict(trees[row["fold"]], codes), "final_score": final})
 
-    return packed.mapInPandas(run, "query_id long, doc_id long, fold int, oof_score double, final_score double")
+    return packed.select("query_id", "fold", "docs", "labels", "x").mapInPandas(run, "query_id long, doc_id long, fold int, oof_score double, final_score double")
+
+
+def scores_of(models: dict[str, Model], packed: dict[str, DataFrame], specs: dict[str, Spec]) -> dict[str, DataFrame]:
+    """Scores of every recipe of `fit_all`."""
+    used = {n: tuple(dict.fromkeys(f for s in specs.values() if s.table == n for f in s.features)) for n in packed}
+    return {n: score(packed[s.table], models[n], used[s.table]) for n, s in specs.items()}
 
 
 def ltr_oof(rows: DataFrame, features: Sequence[str], params: Params = Params(), k: int = 5, with_final: bool = False) -> tuple[DataFrame, Model]:
@@ -302,6 +421,14 @@ def ltr_oof(rows: DataFrame, features: Sequence[str], params: Params = Params(),
     return score(packed, model), model
 
 
+def fold_metrics(ranked: DataFrame, folds: DataFrame, gains: DataFrame, ks: Sequence[int] = (10,)) -> DataFrame:
+    """Means of the metrics over the held-out queries of every fold: (fold, n_queries, metrics)."""
+    from ranklab.operators.metrics import metric_columns, metrics_per_query
+    per = metrics_per_query(ranked, gains, ks).join(folds.select("query_id", "fold"), "query_id")
+    names = [c for c in metric_columns(per) if c != "fold"]
+    return per.groupBy("fold").agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c), 6).alias(c) for c in names])
+
+
 def rank_by_score(scores: DataFrame, rows: DataFrame, column: str = "oof_score") -> DataFrame:
     """ranked(query_id, doc_id, score, rank); equal scores keep the fused order."""
     joined = scores.select("query_id", "doc_id", F.col(column).alias("score")).join(rows.select("query_id", "doc_id", "rrf_rank"), ["query_id", "doc_id"])

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
 from ranklab.operators.bootstrap import bootstrap_ci, boot_draws
 from ranklab.operators.features import SCORE_FEATURES, normalize_by_query
 from ranklab.operators.fusion import fuse_systems, order_by_feature
-from ranklab.operators.ltr import Params, ltr_oof, rank_by_score
+from ranklab.operators.ltr import rank_by_score
 from ranklab.operators.metrics import condensed_lists, judged_share, mean_metrics, metrics_per_query, to_long
 from ranklab.session import union_all
 
@@ -18,15 +17,15 @@ from ranklab.session import union_all
 FUSE_WEIGHTS = {"linz": 0.7, "noce": 0.3}
 
 
-def recipe_lists(rows: DataFrame, features: Sequence[str], params: Params = Params(), k: int = 5) -> dict[str, DataFrame]:
+def zscored(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The table of the linz recipe: score features z-scored within each query."""
+    return normalize_by_query(rows, [f for f in (*SCORE_FEATURES, "tag_score") if f in features], "zscore")
+
+
+def recipe_lists(rows: DataFrame, linz: DataFrame, noce: DataFrame) -> dict[str, DataFrame]:
     """{system: ranked}: the fused order, linz (linear gain, z-scored score features), noce (exponential gain, raw
-    features), and their weighted fusion."""
-    lists = {"rrf": order_by_feature(rows, "rrf_rank", descending=False)}
-    scored = [f for f in (*SCORE_FEATURES, "tag_score") if f in features]
-    z = normalize_by_query(rows, scored, "zscore")
-    for name, table, linear in (("linz", z, True), ("noce", rows, False)):
-        scores, _ = ltr_oof(table, features, replace(params, linear_gain=linear), k)
-        lists[name] = rank_by_score(scores, rows)
+    features), both given by their out-of-fold scores, and their weighted fusion."""
+    lists = {"rrf": order_by_feature(rows, "rrf_rank", descending=False), "linz": rank_by_score(linz, rows), "noce": rank_by_score(noce, rows)}
     lists["fused"] = fuse_systems([lists["linz"], lists["noce"]], [FUSE_WEIGHTS["linz"], FUSE_WEIGHTS["noce"]])
     return lists
 

@@ -36,23 +36,83 @@ def test_boosted_trees_learn_what_the_fused_order_misses(spark):
     assert scores.count() == len(rows)
 
 
-def test_late_trees_do_not_score_the_early_ones_again(spark, monkeypatch):
+def ranking_table(spark, seed=6, n_queries=12):
     import random
-    rng = random.Random(6)
-    rows = [(q, r, rng.choice([None, 0, 1, 3]), rng.random(), float(r)) for q in range(12) for r in range(1, 9)]
-    table = spark.createDataFrame(rows, "query_id bigint, doc_id bigint, label int, good double, rrf double")
-    passes, plain = [], ltr._histograms
-    monkeypatch.setattr(ltr, "_histograms", lambda state, trees, *rest: passes.append(max(map(len, trees.values()))) or plain(state, trees, *rest))
-
-    def run(at_once):
-        passes.clear()
-        monkeypatch.setattr(ltr, "TREES_AT_ONCE", at_once)
-        scores, _ = ltr.ltr_oof(table, ["good", "rrf"], ltr.Params(trees=5, depth=2, rate=.5, min_child_weight=.01), k=3, with_final=True)
-        return {(r.query_id, r.doc_id): (r.oof_score, r.final_score) for r in scores.collect()}, max(passes)
-
-    (often, few), (once, all_but_last) = run(2), run(100)
-    assert (few, all_but_last) == (1, 4) and len(often) == len(rows)
-    assert all(often[k] == pytest.approx(once[k], abs=1e-9) for k in once)
+    rng = random.Random(seed)
+    rows = [(q, r, rng.choice([None, 0, 1, 3]), rng.choice([None, rng.random()]), float(r)) for q in range(n_queries) for r in range(1, 9)]
+    return spark.createDataFrame(rows, "query_id bigint, doc_id bigint, label int, good double, rrf double")
+
+
+def test_recipes_grown_together_equal_each_alone(spark, monkeypatch):
+    """Common passes, written states and the number of tasks change no model."""
+    table, other = ranking_table(spark), ranking_table(spark, 7, 9)
+    params = ltr.Params(trees=5, depth=3, rate=.5, min_child_weight=.01)
+    specs = {"exp": ltr.Spec("a", ("good", "rrf")), "lin": ltr.Spec("a", ("rrf",), True), "b": ltr.Spec("b", ("rrf", "good"))}
+    folds = ltr.group_kfold(table, 3)
+    monkeypatch.setattr(ltr, "KEEP_TREES", 2)
+    together, packed = ltr.fit_all({"a": table, "b": other}, specs, folds, params, 3)
+    monkeypatch.setattr(ltr, "BUNDLE_ROWS", 5)
+    alone, _ = ltr.fit_all({"a": table}, {"exp": specs["exp"]}, folds, params, 3)
+    scores = {n: df.collect() for n, df in ltr.scores_of(together, packed, specs).items()}
+    mine = {(r.query_id, r.doc_id): (r.oof_score, r.final_score) for r in ltr.score(packed["a"], alone["exp"]).collect()}
+    assert len(scores["exp"]) == len(mine) == 96 and len(scores["b"]) == 72
+    assert all((r.oof_score, r.final_score) == pytest.approx(mine[r.query_id, r.doc_id], abs=1e-9) for r in scores["exp"])
+    assert {len(ts) for m in together.values() for ts in m.trees.values()} == {5}
+    assert all(set(t["splits"]) <= set(range(1, 8)) for ts in together["exp"].trees.values() for t in ts)
+
+
+def slow_lambdas(labels, scores, linear):
+    import math
+    gain = [float(x) if linear else 2.0 ** x - 1 for x in labels]
+    order = sorted(range(len(labels)), key=lambda i: -scores[i])
+    discount = {i: 1 / math.log2(r + 2) for r, i in enumerate(order)}
+    ideal = sum(g / math.log2(r + 2) for r, g in enumerate(sorted(gain, reverse=True)))
+    g, h = [0.0] * len(labels), [0.0] * len(labels)
+    for i in range(len(labels)):
+        for j in range(len(labels)):
+            if labels[i] > labels[j]:
+                rho = 1 / (1 + math.exp(scores[i] - scores[j]))
+                delta = abs((gain[i] - gain[j]) * (discount[i] - discount[j])) / ideal
+                g[i] -= rho * delta
+                g[j] += rho * delta
+                h[i] += rho * (1 - rho) * delta
+                h[j] += rho * (1 - rho) * delta
+    return g, h
+
+
+def test_gradients_and_first_split_by_hand(spark):
+    import numpy as np
+    labels, scores = np.array([0, 3, 1, 0]), np.array([[.3, -.2, 1.0, 0.0], [0.0, 0.0, 0.0, 0.0]])
+    for linear in (True, False):
+        g, h = ltr._lambdas(labels, scores, linear)
+        for m in range(2):
+            want = slow_lambdas(labels.tolist(), scores[m].tolist(), linear)
+            assert g[m] == pytest.approx(want[0]) and h[m] == pytest.approx(want[1])
+    table = ranking_table(spark)
+    model, _ = ltr.fit(table, ltr.group_kfold(table, 3), ["good", "rrf"], ltr.Params(trees=1, depth=1, rate=1.0, min_child_weight=.01, rows=1.0, columns=1.0), 3)
+    rows, best = [], (0.0, None)
+    for q, some in __import__("itertools").groupby(sorted((r for r in table.collect() if r.label is not None), key=lambda r: r.query_id), key=lambda r: r.query_id):
+        some = list(some)
+        rows += zip(some, *slow_lambdas([r.label for r in some], [0.0] * len(some), False))
+    for j, name in enumerate(("good", "rrf")):
+        for cut in range(1, len(model.edges[j]) + 1):
+            for missing_left in (True, False):
+                side = [missing_left if r[name] is None else r[name] <= model.edges[j][cut - 1] for r, _, _ in rows]
+                (gl, hl), (gr, hr) = ([sum(x[k] for x, s in zip(rows, side) if s == left) for k in (1, 2)] for left in (True, False))
+                if min(hl, hr) >= .01:
+                    gain = gl * gl / (hl + 1) + gr * gr / (hr + 1) - (gl + gr) ** 2 / (hl + hr + 1)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (j, cut, missing_left), {2: -gl / (hl + 1), 3: -gr / (hr + 1)})
+    tree = model.trees[ltr.FINAL][0]
+    assert tree["splits"] == {1: best[1]} and tree["leaves"] == pytest.approx(best[2])
+
+
+def test_draws_follow_seed_tree_and_row():
+    import numpy as np
+    keys = np.random.default_rng(1).integers(-2 ** 62, 2 ** 62, 50_000)
+    one, two = ltr._drawn(keys, 7, 0, .9), ltr._drawn(keys, 7, 1, .9)
+    assert abs(one.mean() - .9) < .01 and abs((one & two).mean() - .81) < .01
+    assert (ltr._drawn(keys[::-1], 7, 0, .9) == one[::-1]).all() and ltr._drawn(keys, 7, 0, 1.0).all()
 
 
 def test_blocked_top_k_over_a_grid(spark, monkeypatch):
