@@ -207,11 +207,31 @@ def cross_half(spark, d):
     return out.select("role_id", "half", "tag_id", shown6("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+LSA_DIMS = (4, 8, 16, 32, 64, 128, 300)
+
+
+def lsa_lists(spark, d):
+    from ranklab.operators.lsa import lsa_sweep
+    docs = t.table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
+    return lsa_sweep(t.customer_tags(spark, d), docs, t.nation_queries(spark, d), LSA_DIMS, k=20)
+
+
 @query("lsa_rank")
 def lsa(spark, d):
-    """Latent ranking of the roles' tag sets for the nations' tags, by projection on the leading singular vectors."""
-    from ranklab.catalog.taxonomies import market
-    from ranklab.operators.lsa import lsa_rank
-    roles, bridge = market(spark, d)
-    out = lsa_rank(bridge.withColumnRenamed("role_id", "doc_id"), roles.select(F.col("role_id").alias("doc_id")), t.nation_queries(spark, d), rank=32, k=20)
-    return out.select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+    """Latent ranking of the customers' tag sets for the nations' tags at seven ranks of one basis."""
+    return lsa_lists(spark, d).select("dim", "query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+
+
+@query("lsa_rank_full", """WITH w AS (SELECT doc_id, tag_id, idf FROM customer_tags JOIN tag_idf USING (tag_id)), q AS (SELECT query_id, tag_id, idf FROM nation_queries JOIN tag_idf USING (tag_id)),
+  s AS (SELECT query_id, doc_id, sum(w.idf * q.idf) AS dot FROM w JOIN q USING (tag_id) GROUP BY 1, 2), dn AS (SELECT doc_id, sqrt(sum(idf * idf)) AS n FROM w GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(idf * idf)) AS n FROM q GROUP BY 1)
+  SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+  FROM (SELECT query_id, doc_id, round(dot / (dn.n * qn.n) + 2.5e-10, 6) + 0.0 AS score FROM s JOIN dn USING (doc_id) JOIN qn USING (query_id)) QUALIFY rank <= 10""", ("customer_tags", "tag_idf", "nation_queries"))
+def lsa_full(spark, d):
+    """The rank of the whole vocabulary truncates nothing: every axis' sign cancels, and scores are plain cosines."""
+    from ranklab.operators.lsa import lsa_vectors
+    from ranklab.operators.ordering import rank_list
+    docs = t.table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
+    dv, qv = lsa_vectors(t.customer_tags(spark, d), docs, t.nation_queries(spark, d), LSA_DIMS[-1])
+    from ranklab.operators.similarity import top_k_cosine
+    wide = top_k_cosine(dv, qv, 40, "doc_id", "query_id", best_of="left").select("query_id", "doc_id", shown6("score"))
+    return rank_list(wide, 10).select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))

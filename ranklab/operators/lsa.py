@@ -1,49 +1,116 @@
-"""Latent ranking of tag sets by truncated SVD of the idf-weighted document x tag matrix."""
+"""Latent ranking of tag sets by truncated SVD of the idf-weighted document x tag matrix.
+
+The matrix stays a table of (document, tag) pairs. Block subspace iteration multiplies it with a tall table of vectors,
+one per tag, by a join and a sum per document, and back by a join and a sum per tag. Tall tables are made orthonormal by
+their Gram matrix (rank x rank, the only thing that the driver sees), after each half step, so condition numbers are not
+squared twice. One basis serves all smaller ranks: its axes come in the order of their singular values."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from ranklab.operators.dense import dense_rank
-from ranklab.operators.ordering import global_rank
 from ranklab.operators.tags import tag_idf
-from ranklab.session import checkpoint
-
-MAX_VOCABULARY = 4_096
-
-
-def lsa_basis(doc_tags: DataFrame, docs: DataFrame, rank: int) -> DataFrame:
-    """(tag_id, idf, axis): each tag's coordinates on the leading right singular vectors.
-
-    Spark adds up the tag x tag Gram matrix over the distributed rows; its eigenvectors are the right singular
-    vectors. The matrix is small because the vocabulary is a fixed taxonomy (checked), and an exact eigensolver on
-    it is deterministic at every rank."""
-    pairs = checkpoint(doc_tags.select("doc_id", "tag_id").distinct())
-    vocab = checkpoint(global_rank(tag_idf(pairs, docs), "tag_id", "col"))
-    size = vocab.count()
-    if size > MAX_VOCABULARY:
-        raise ValueError(f"{size} tags: latent ranking needs a taxonomy of at most {MAX_VOCABULARY}")
-    entries = pairs.join(vocab, "tag_id").groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct((F.col("col") - 1).alias("i"), F.col("idf").alias("v")))).alias("e"))
-    rows = entries.select("e").rdd.map(lambda r: Vectors.sparse(size, [(x["i"], x["v"]) for x in r["e"]]))
-    gram = RowMatrix(rows, numCols=size).computeGramianMatrix().toArray()
-    values, vectors = np.linalg.eigh(gram)
-    keep = np.argsort(-values, kind="stable")[:min(rank, size)]
-    basis = vectors[:, keep[values[keep] > 1e-9 * values.max()]]
-    spark = doc_tags.sparkSession
-    axes = spark.createDataFrame([(i + 1, [float(x) for x in row]) for i, row in enumerate(basis)], "col bigint, axis array<double>")
-    return vocab.join(axes, "col").select("tag_id", "idf", "axis")
+from ranklab.session import checkpoint, union_all
+
+#: Directions iterated beyond those asked for, which speeds up convergence of the last ones.
+OVERSAMPLE = 10
+SEED = 7
+
+
+def _start(tags: DataFrame, width: int, seed: int) -> DataFrame:
+    """(tag_id, vec): Gaussian vectors drawn from seed and tag alone."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"tag_id": batch["tag_id"], "vec": [np.random.default_rng((seed, int(t) & (1 << 63) - 1)).standard_normal(width) for t in batch["tag_id"]]})
+
+    return tags.select("tag_id").mapInPandas(run, "tag_id long, vec array<double>")
+
+
+def _times(pairs: DataFrame, vectors: DataFrame, key: str, to: str) -> DataFrame:
+    """(to, vec): per `to` the weighted sum of the vectors of its `key`s, combined before the shuffle."""
+    weighted = pairs.join(vectors, key).select(to, array_to_vector(F.transform("vec", lambda x: x * F.col("weight"))).alias("v"))
+    return weighted.groupBy(to).agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("vec"))
+
+
+def _gram(vectors: DataFrame, width: int) -> np.ndarray:
+    """Sum of the outer products of all vectors: every task adds up its own, rows of the sums meet in a shuffle."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            if len(batch):
+                block = np.stack(batch["vec"].to_numpy())
+                total += block.T @ block
+        yield pd.DataFrame({"i": np.arange(width), "row": list(total)})
+
+    rows = vectors.select("vec").mapInPandas(run, "i int, row array<double>")
+    summed = rows.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
+    out = np.zeros((width, width))
+    for r in summed.toLocalIterator():
+        out[r.i] = r.row
+    return (out + out.T) / 2
+
+
+def _turned(vectors: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
+    """Every vector times a rank x rank matrix."""
+    kind = vectors.schema[key].dataType.simpleString()
+    shared = vectors.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({key: batch[key], "vec": list(np.stack(batch["vec"].to_numpy()) @ shared.value)})
+
+    return vectors.select(key, "vec").mapInPandas(run, f"{key} {kind}, vec array<double>")
+
+
+def _whitening(gram: np.ndarray) -> np.ndarray:
+    """M so that vectors times M are orthonormal; directions without weight go."""
+    values, axes = np.linalg.eigh(gram)
+    keep = values > 1e-13 * max(values.max(), 0.0)
+    return axes[:, keep] / np.sqrt(values[keep])
+
+
+def lsa_basis(doc_tags: DataFrame, docs: DataFrame, rank: int, tolerance: float = 1e-7, max_rounds: int = 60, seed: int = SEED) -> DataFrame:
+    """(tag_id, idf, axis): each tag's coordinates on the leading right singular vectors, by descending singular value.
+
+    Rounds go on until no leading squared singular value moves by more than `tolerance` of the largest, or
+    `max_rounds`; a rank at or above that of the matrix is exact after one. There are fewer axes than `rank` if the matrix
+    has no more. Vocabulary and documents may be of any size; no tags, no rows."""
+    pairs = doc_tags.select("doc_id", "tag_id").distinct()
+    idf = checkpoint(tag_idf(pairs, docs))
+    pairs = checkpoint(pairs.join(idf, "tag_id").select("doc_id", "tag_id", F.col("idf").alias("weight")))
+    n_tags = idf.count()
+    width = min(rank + OVERSAMPLE, n_tags)
+    basis, settled = checkpoint(_start(idf, max(width, 1), seed)), None
+    for _ in range(max_rounds if n_tags else 0):
+        image = checkpoint(_times(pairs, basis, "tag_id", "doc_id"))
+        gram = _gram(image, width)
+        values = np.linalg.eigvalsh(gram)[::-1][:rank]
+        if settled is not None and len(values) == len(settled) and np.abs(values - settled).max() <= tolerance * values[0]:
+            break
+        settled = values
+        # From the second round on the basis is orthonormal, so `values` are squared singular values.
+        white = _whitening(gram)
+        back = checkpoint(_times(pairs, _turned(image, "doc_id", white), "doc_id", "tag_id"))
+        white = _whitening(_gram(back, white.shape[1]))
+        basis, width = checkpoint(_turned(back, "tag_id", white)), white.shape[1]
+    if n_tags:
+        # The last image tells how the basis must be turned for its axes to be singular vectors, the largest first.
+        _, axes = np.linalg.eigh(_gram(_times(pairs, basis, "tag_id", "doc_id"), width))
+        basis = _turned(basis, "tag_id", axes[:, ::-1][:, :rank])
+    return checkpoint(basis.join(idf, "tag_id").select("tag_id", "idf", F.col("vec").alias("axis")))
 
 
 def _project(pairs: DataFrame, owner: str, basis: DataFrame) -> DataFrame:
-    """(owner, vec): sum of idf x tag coordinates, combined per (owner, dimension)."""
-    parts = pairs.select(owner, "tag_id").distinct().join(basis, "tag_id").select(
-        owner, F.posexplode(F.transform("axis", lambda x: x * F.col("idf"))).alias("dim", "x"))
-    sums = parts.groupBy(owner, "dim").agg(F.sum("x").alias("x"))
-    return sums.groupBy(owner).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vec"))
+    """(owner, vec): sum of idf x tag coordinates."""
+    return _times(pairs.select(owner, "tag_id").distinct(), basis.select("tag_id", F.col("idf").alias("weight"), F.col("axis").alias("vec")), "tag_id", owner)
 
 
 def lsa_vectors(doc_tags: DataFrame, docs: DataFrame, query_tags: DataFrame, rank: int) -> tuple[DataFrame, DataFrame]:
@@ -55,3 +122,10 @@ def lsa_rank(doc_tags: DataFrame, docs: DataFrame, query_tags: DataFrame, rank:
     """ranked(query_id, doc_id, score, rank) by cosine in the latent space; signs of the axes cancel."""
     d, q = lsa_vectors(doc_tags, docs, query_tags, rank)
     return dense_rank(d, q, k)
+
+
+def lsa_sweep(doc_tags: DataFrame, docs: DataFrame, query_tags: DataFrame, ranks: Sequence[int], k: int = 50) -> DataFrame:
+    """ranked(dim, query_id, doc_id, score, rank) at several ranks from one basis. A rank beyond that of the matrix
+    truncates nothing."""
+    d, q = (checkpoint(x) for x in lsa_vectors(doc_tags, docs, query_tags, max(ranks)))
+    return union_all([dense_rank(d, q, k, r).withColumn("dim", F.lit(r)) for r in ranks])
