@@ -142,6 +142,69 @@ def grid_select(spark, d):
     return ro.grid_select(value, "value", [F.abs(F.col("b") - 0.75)]).select("b", F.round("value", 6).alias("value"))
 
 
+K1_GRID = (0.5, 1.2, 2.0, 3.0)
+LSA_DIMS = (4, 8, 16, 32, 64, 128, 300)
+CELLS = [(k1, b) for k1 in K1_GRID for b in B_GRID]
+fragment("sweep_sums", """SELECT draw, query_id, role_id, sum(idf) AS s, dl, avgdl FROM role_q JOIN market_idf USING (tag_id) JOIN market_bridge USING (tag_id) JOIN (SELECT role_id, count(*) AS dl FROM market_bridge GROUP BY 1) USING (role_id),
+  (SELECT (SELECT count(*) FROM market_bridge)::DOUBLE / count(*) AS avgdl FROM market_roles) WHERE condition = 'default_5' GROUP BY draw, query_id, role_id, dl, avgdl""", ("role_q", "market_idf", "market_bridge", "market_roles"))
+fragment("sweep_scores", f"""SELECT k1, b, draw, query_id, role_id, round((k1 + 1) / (1 + k1 * (1 - b + b * dl / avgdl)) * s, 9) AS score FROM sweep_sums, (VALUES {', '.join(f'({k1}::DOUBLE, {b}::DOUBLE)' for k1, b in CELLS)}) c(k1, b)""", ("sweep_sums",))
+fragment("sweep_hits", f"""SELECT k1, b, draw, query_id, {', '.join(f'CASE WHEN st > 1e-9 THEN least(greatest(({k} - gt) / ties::DOUBLE, 0), 1) ELSE 0 END AS role_{k}' for k in (1, 5, 10))} FROM (
+  SELECT k1, b, draw, query_id, st, count(*) FILTER (score > st + 1e-9) AS gt, greatest(count(*) FILTER (abs(score - st) <= 1e-9), 1) AS ties FROM sweep_scores
+  JOIN (SELECT k1, b, draw, query_id, max(CASE WHEN role_id = query_id THEN score ELSE 0 END) AS st FROM sweep_scores GROUP BY 1, 2, 3, 4) USING (k1, b, draw, query_id) GROUP BY 1, 2, 3, 4, 5)""", ("sweep_scores",))
+
+
+def primary_queries(spark, d):
+    return role_queries(spark, d).where("condition = 'default_5'")
+
+
+@query("role_bench_sweep", f"""SELECT k1, b, split, {', '.join(f'round(avg(role_{k}), 6) AS role_{k}' for k in (1, 5, 10))} FROM (
+  SELECT k1, b, query_id AS class_id, avg(role_1) AS role_1, avg(role_5) AS role_5, avg(role_10) AS role_10 FROM sweep_hits GROUP BY 1, 2, 3) JOIN class_halves USING (class_id) GROUP BY 1, 2, 3""", ("sweep_hits", "class_halves"))
+def role_sweep(spark, d):
+    """Every cell of k1 x b, from one scored join, over the classes of both halves."""
+    roles, bridge, classes = world(spark, d)
+    methods = [(f"{k1}|{b}", "bm25", k1, b) for k1, b in CELLS]
+    means = be.role_bench(bridge, roles, classes, t.tracks(spark, d), primary_queries(spark, d), class_halves(spark, d), methods)
+    part = lambda i: F.split_part("method", F.lit("|"), F.lit(i)).cast("double")
+    return means.groupBy(part(1).alias("k1"), part(2).alias("b"), "split").agg(*[F.round(F.avg(f"role_{k}"), 6).alias(f"role_{k}") for k in (1, 5, 10)])
+
+
+TUNED = {}
+
+
+def tuned(spark, d):
+    """The tuned bench of the primary condition, once per session and folder."""
+    key = spark.sparkContext.applicationId, d
+    if key not in TUNED:
+        roles, bridge, classes = world(spark, d)
+        TUNED[key] = be.tuned_role_bench(bridge, roles, classes, t.tracks(spark, d), primary_queries(spark, d), class_halves(spark, d), B_GRID, K1_GRID, LSA_DIMS)
+    return TUNED[key]
+
+
+@query("role_bench_selection")
+def role_selection(spark, d):
+    """b and the latent rank chosen on the dev half."""
+    return tuned(spark, d)[0].select("parameter", "number", F.round("value", 6).alias("value"))
+
+
+@query("role_bench_selected_b", """WITH v AS (SELECT b, avg((role_1 + role_5 + role_10) / 3) AS value FROM (SELECT b, query_id AS class_id, avg(role_1) AS role_1, avg(role_5) AS role_5, avg(role_10) AS role_10 FROM sweep_hits WHERE k1 = 1.2 GROUP BY 1, 2)
+  JOIN class_halves USING (class_id) WHERE split = 'dev' GROUP BY 1) SELECT b, round(value, 6) AS value FROM v ORDER BY round(value, 12) DESC, abs(b - 0.75), b LIMIT 1""", ("sweep_hits", "class_halves"))
+def role_selected_b(spark, d):
+    return tuned(spark, d)[0].where("parameter = 'b'").select(F.col("number").alias("b"), F.round("value", 6).alias("value"))
+
+
+@query("role_bench_test")
+def role_test(spark, d):
+    """The test half under what dev has chosen, with intervals."""
+    return plus0(be.role_bench_summary(tuned(spark, d)[1], 2000, splits=("test",)), "mean", "lo", "hi")
+
+
+@query("role_bench_differences")
+def role_diffs(spark, d):
+    """bm25 minus each other method, and every b minus 0.75, paired over the test classes."""
+    pairs = [("bm25", m) for m in ("idf_overlap", "coverage", "sum_levels", "lsa", "bm25+lsa")] + [(f"b={b}", "b=0.75") for b in B_GRID if b != 0.75]
+    return plus0(be.role_differences(tuned(spark, d)[1], pairs), "mean", "lo", "hi")
+
+
 @query("track_first_funnel", """WITH q AS (SELECT * FROM role_q WHERE condition = 'default_5'), tt AS (SELECT DISTINCT track_id, tag_id FROM market_bridge JOIN market_roles USING (role_id)),
   ti AS (SELECT tag_id, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM (SELECT tag_id, count(*) AS df FROM tt GROUP BY 1), (SELECT count(DISTINCT track_id) AS n FROM market_roles)),
   ts AS (SELECT condition, draw, query_id, track_id, round(2.2::DOUBLE / (1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) * sum(idf), 9) AS score FROM q JOIN ti USING (tag_id) JOIN tt USING (tag_id) JOIN (SELECT track_id, count(*) AS dl FROM tt GROUP BY 1) USING (track_id),

@@ -5,25 +5,73 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ranklab.operators.bootstrap import boot_draws, bootstrap_ci, paired_diff_ci
 from ranklab.operators.fusion import rrf_fuse_n
 from ranklab.operators.metrics import (condensed_lists, mean_metrics, metrics_per_query, pool_metrics, to_long, unique_positive_summary)
-from ranklab.operators.roles import class_means, class_scores, tie_aware_hits, track_hits
-from ranklab.operators.tags import tag_scores
+from ranklab.operators.lsa import lsa_sweep
+from ranklab.operators.ordering import global_rank
+from ranklab.operators.roles import class_means, class_scores, grid_select, tie_aware_hits, track_hits
+from ranklab.operators.tags import TAG_METHODS, tag_idf
 from ranklab.session import checkpoint, union_all
 
 ROLE_KEYS = ("condition", "draw", "query_id")
 
 
+def role_sums(bridge: DataFrame, roles: DataFrame, query_tags: DataFrame) -> DataFrame:
+    """(condition, draw, query_id, doc_id, s, hits, levels, n_known, dl, avgdl): all that any scorer of binary tags needs
+    of a query and a role it shares tags with. Neither the idf sum nor the number of shared tags depends on k1 or b, so
+    one join serves every parameter."""
+    pairs = bridge.groupBy("role_id", "tag_id").agg(F.max("level").cast("double").alias("level")).withColumnRenamed("role_id", "doc_id")
+    docs = roles.select(F.col("role_id").alias("doc_id")).distinct()
+    idf = tag_idf(pairs, docs).select("tag_id", "idf")
+    wanted = query_tags.select(*ROLE_KEYS, "tag_id").distinct().join(idf, "tag_id")
+    known = wanted.groupBy(*ROLE_KEYS).agg(F.count(F.lit(1)).alias("n_known"))
+    lengths = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("dl"))
+    average = pairs.agg(F.count(F.lit(1))).scalar() / docs.agg(F.count(F.lit(1))).scalar()
+    sums = pairs.join(wanted, "tag_id").groupBy(*ROLE_KEYS, "doc_id").agg(F.sum("idf").alias("s"), F.count(F.lit(1)).alias("hits"), F.sum("level").alias("levels"))
+    return sums.join(lengths, "doc_id").join(known, list(ROLE_KEYS)).withColumn("avgdl", average)
+
+
+def scored(sums: DataFrame, methods: Sequence[tuple[str, str, float, float]]) -> DataFrame:
+    """(method, condition, draw, query_id, doc_id, score) of every (name, scorer, k1, b): parameters are factors of the
+    sums. Scores that are not positive go."""
+    for name, scorer, k1, b in methods:
+        if scorer not in TAG_METHODS or k1 < 0 or not 0.0 <= b <= 1.0:
+            raise ValueError(f"{name}: unknown scorer {scorer!r} or parameters out of range (k1={k1}, b={b})")
+    every = F.array(*[F.struct(F.lit(n).alias("method"), F.lit(m).alias("scorer"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b")) for n, m, k1, b in methods])
+    k1, b = F.col("m.k1"), F.col("m.b")
+    bm25 = (k1 + 1.0) / (1.0 + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl"))) * F.col("s")
+    score = (F.when(F.col("m.scorer") == "bm25", bm25).when(F.col("m.scorer") == "idf_overlap", F.col("s"))
+             .when(F.col("m.scorer") == "coverage", F.col("hits") / F.col("n_known")).otherwise(F.col("levels")))
+    return sums.withColumn("m", F.explode(every)).select("m.method", *ROLE_KEYS, "doc_id", F.round(score, 9).alias("score")).where(F.col("score") > 0)
+
+
 def role_scores(bridge: DataFrame, roles: DataFrame, query_tags: DataFrame, methods: Sequence[tuple[str, str, float, float]]) -> DataFrame:
-    """(method, condition, draw, query_id, doc_id, score) of every (name, scorer, k1, b)."""
-    docs = roles.select(F.col("role_id").alias("doc_id"))
-    doc_tags = bridge.withColumnRenamed("role_id", "doc_id")
-    parts = [tag_scores(doc_tags, docs, query_tags, scorer, k1, b, ("condition", "draw")).withColumn("method", F.lit(name))
-             for name, scorer, k1, b in methods]
-    return union_all(parts)
+    """(method, condition, draw, query_id, doc_id, score) of every (name, scorer, k1, b), from one join."""
+    return scored(role_sums(bridge, roles, query_tags), methods)
+
+
+def latent_role_scores(bridge: DataFrame, roles: DataFrame, query_tags: DataFrame, dims: Sequence[int]) -> DataFrame:
+    """The same rows for latent ranking, method `lsa_<rank>`, every role scored: all ranks from one basis."""
+    docs = roles.select(F.col("role_id").alias("doc_id")).distinct()
+    numbered = checkpoint(global_rank(query_tags.select(F.concat_ws("|", *ROLE_KEYS).alias("_k"), *ROLE_KEYS).distinct(), "_k", "number"))
+    tags = query_tags.join(numbered, list(ROLE_KEYS)).select(F.col("number").alias("query_id"), "tag_id")
+    ranked = lsa_sweep(bridge.select(F.col("role_id").alias("doc_id"), "tag_id"), docs, tags, dims, docs.count())
+    return ranked.select(F.concat(F.lit("lsa_"), F.col("dim").cast("string")).alias("method"), F.col("query_id").alias("number"), "doc_id", "score").join(
+        numbered.select("number", *ROLE_KEYS), "number").select("method", *ROLE_KEYS, "doc_id", "score")
+
+
+def bench_scores(scores: DataFrame, query_tags: DataFrame, roles: DataFrame, classes: DataFrame, tracks: DataFrame, split: DataFrame,
+                 methods: Sequence[str], drop_nonpositive: bool = True) -> DataFrame:
+    """Class means (see `role_bench`) of given scores(method, condition, draw, query_id, doc_id, score)."""
+    keys = ("method", *ROLE_KEYS)
+    truth = query_tags.select(*ROLE_KEYS).distinct().withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods]))).withColumn("class_id", F.col("query_id"))
+    n = classes.select("class_id").distinct().agg(F.count(F.lit(1)))
+    hits = tie_aware_hits(class_scores(scores, classes, keys), truth, n, keys=keys, drop_nonpositive=drop_nonpositive)
+    per_query = hits.join(track_hits(scores, truth, roles, classes, tracks, keys), [*keys, "class_id"])
+    return class_means(per_query, ["method", "condition"]).join(split, "class_id")
 
 
 def role_bench(bridge: DataFrame, roles: DataFrame, classes: DataFrame, tracks: DataFrame, query_tags: DataFrame, split: DataFrame,
@@ -31,30 +79,69 @@ def role_bench(bridge: DataFrame, roles: DataFrame, classes: DataFrame, tracks:
     """(method, condition, split, class_id, role_k..., track_k...): class means of every method under every query
     condition. query_tags(condition, draw, query_id = class, tag_id); split(class_id, split). Sweeps over b or k1
     are further methods; selection on dev and intervals on test read this table."""
-    keys = ("method", *ROLE_KEYS)
     query_tags = checkpoint(query_tags)
     scores = checkpoint(role_scores(bridge, roles, query_tags, methods))
-    names = F.array(*[F.lit(m[0]) for m in methods])
-    truth = query_tags.select(*ROLE_KEYS).distinct().withColumn("method", F.explode(names)).withColumn("class_id", F.col("query_id"))
-    n = classes.select("class_id").distinct().agg(F.count(F.lit(1)))
-    hits = tie_aware_hits(class_scores(scores, classes, keys), truth, n, keys=keys)
-    on_track = track_hits(scores, truth, roles, classes, tracks, keys)
-    per_query = hits.join(on_track, [*keys, "class_id"])
-    return checkpoint(class_means(per_query, ["method", "condition"]).join(split, "class_id"))
+    return checkpoint(bench_scores(scores, query_tags, roles, classes, tracks, split, [m[0] for m in methods]))
+
+
+def selection_values(means: DataFrame) -> DataFrame:
+    """(method, value): the tuning target of the dev half, the mean of role@1, @5 and @10 over its classes."""
+    return means.where(F.col("split") == "dev").groupBy("method").agg(F.avg((F.col("role_1") + F.col("role_5") + F.col("role_10")) / 3).alias("value"))
+
 
+def tuned_role_bench(bridge: DataFrame, roles: DataFrame, classes: DataFrame, tracks: DataFrame, query_tags: DataFrame, split: DataFrame,
+                     bs: Sequence[float], k1s: Sequence[float], dims: Sequence[int], k1: float = 1.2) -> tuple[DataFrame, DataFrame]:
+    """(selection, means) of one query condition. b (at `k1`) and the latent rank are chosen on dev: the largest mean of
+    role@1/5/10, ties to the b nearest 0.75 and to the smaller rank. Means hold the test half under the chosen b and
+    rank: bm25, the other scorers, latent ranking, its fusion with bm25, the whole sweep over b, and k1 at the chosen b.
 
-def role_bench_summary(means: DataFrame, n_boot: int = 2000, seed: int = 7) -> DataFrame:
+    Tag scores come from one join, latent scores from one basis; the driver sees the two chosen values only."""
+    query_tags = checkpoint(query_tags)
+    sums = checkpoint(role_sums(bridge, roles, query_tags))
+    named = {f"b={b}": (f"b={b}", "bm25", k1, b) for b in bs}
+    args = (query_tags, roles, classes, tracks, split)
+    swept = checkpoint(bench_scores(checkpoint(scored(sums, list(named.values()))), *args, list(named)))
+    latent = checkpoint(latent_role_scores(bridge, roles, query_tags, dims))
+    latent_means = checkpoint(bench_scores(latent, *args, [f"lsa_{x}" for x in dims], False))
+    number = F.regexp_extract("method", "[0-9.]+$", 0).cast("double")
+    best_b = grid_select(selection_values(swept).withColumn("number", number), "value", [F.abs(F.col("number") - 0.75), F.col("number")], decimals=12)
+    best_dim = grid_select(selection_values(latent_means).withColumn("number", number), "value", [F.col("number")], decimals=12)
+    selection = checkpoint(union_all([best_b.withColumn("parameter", F.lit("b")), best_dim.withColumn("parameter", F.lit("lsa_rank"))]).select("parameter", "number", "value"))
+    chosen = {r.parameter: r.number for r in selection.collect()}
+
+    others = [("bm25", "bm25", k1, chosen["b"]), *((m, m, k1, chosen["b"]) for m in TAG_METHODS if m != "bm25"), *((f"k1={x}", "bm25", x, chosen["b"]) for x in k1s)]
+    tag = checkpoint(scored(sums, others))
+    own = latent.where(F.col("method") == f"lsa_{int(chosen['lsa_rank'])}")
+    # Ties share the best rank in a fusion of scores, and only positive tag scores give a vote.
+    ranks = lambda df: df.withColumn("r", F.rank().over(Window.partitionBy(*ROLE_KEYS).orderBy(F.col("score").desc()))).select(*ROLE_KEYS, "doc_id", (1.0 / (60 + F.col("r"))).alias("score"))
+    both = union_all([ranks(tag.where(F.col("method") == "bm25")), ranks(own)]).groupBy(*ROLE_KEYS, "doc_id").agg(F.round(F.sum("score"), 12).alias("score")).withColumn("method", F.lit("bm25+lsa"))
+    rest = bench_scores(union_all([tag, both.select(*tag.columns)]), *args, [*(m[0] for m in others), "bm25+lsa"])
+    shown = latent_means.where(F.col("method") == f"lsa_{int(chosen['lsa_rank'])}").withColumn("method", F.lit("lsa"))
+    return selection, checkpoint(union_all([swept, rest, shown]).where(F.col("split") == "test"))
+
+
+def role_bench_summary(means: DataFrame, n_boot: int = 2000, seed: int = 7, splits: Sequence[str] = ("dev", "test")) -> DataFrame:
     """(method, condition, metric, n, mean, lo, hi) over the classes of each split; one set of draws per split."""
     metrics = [c for c in means.columns if c.startswith(("role_", "track_"))]
     long = means.unpivot(["method", "condition", "split", "class_id"], metrics, "metric", "value")
     parts = []
-    for name in ("dev", "test"):
+    for name in splits:
         rows = long.where(F.col("split") == name)
         draws = boot_draws(means.where(F.col("split") == name).select("class_id"), "class_id", n_boot, seed, f"boot/{name}")
         parts.append(bootstrap_ci(rows, draws, ["split", "method", "condition", "metric"], "class_id"))
     return union_all(parts)
 
 
+def role_differences(means: DataFrame, pairs: Sequence[tuple[str, str]], n_boot: int = 2000, seed: int = 7) -> DataFrame:
+    """(label, metric, n, mean, lo, hi, significant): paired differences of methods over the test classes, with the draws
+    of `role_bench_summary`."""
+    metrics = [c for c in means.columns if c.startswith(("role_", "track_"))]
+    long = means.unpivot(["method", "class_id"], metrics, "metric", "value")
+    draws = boot_draws(means.select("class_id"), "class_id", n_boot, seed, "boot/test")
+    wanted = means.sparkSession.createDataFrame([(f"{a} - {b}", a, b) for a, b in pairs], "label string, a string, b string")
+    return paired_diff_ci(long, draws, wanted, "method", ("metric",), "class_id")
+
+
 def provider_bench(channels: dict[str, DataFrame], label_sets: dict[str, tuple[DataFrame, DataFrame]], queries: DataFrame,
                    tag: str = "tag", others: tuple[str, str] = ("bm25", "dense"), weights: Sequence[float] = (1.0, 0.5)) -> DataFrame:
     """(labels, treatment, system, query_id, metrics...) of every channel, the two-list fusion 'rrf2' and the
