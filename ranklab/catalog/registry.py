@@ -14,7 +14,7 @@ ORACLES: dict[str, str] = {}
 PENDING: dict[str, tuple[tuple[str, ...], str]] = {}
 FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {}
 MODULES = ("ingestion", "taxonomies", "texts", "channels", "hubs", "lists", "pooling", "pairs", "judgments", "scores",
-           "raters", "ranking", "flagship", "reports")
+           "raters", "ranking", "flagship", "reports", "providers")
 
 
 def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
