@@ -7,6 +7,7 @@ from ranklab.catalog.registry import fragment, query, shown6, shown9
 from ranklab.operators import hubness as hb
 from ranklab.operators import tags as tg
 from ranklab.operators.similarity import top_k_cosine
+from ranklab.session import scratch_path
 
 TOP = "row_number() OVER (PARTITION BY text_id ORDER BY score DESC, tag_id) AS rank"
 
@@ -178,23 +179,46 @@ def slots(spark, d):
     return tg.tag_slot_stats(hb.tag_text_corpus(t.texts(spark, d), titles, 5), titles, 5, 10)
 
 
-@query("tag_rank_new_query", f"""WITH q AS (SELECT query_id, tag_id, score - mean AS w FROM (SELECT query_id, tag_id, round(score - mean, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score - mean, 9) DESC, tag_id) AS rk, 0 AS mean FROM gig_sims JOIN stats USING (tag_id)) WHERE rk <= 10),
+NEW_QUERY_SQL = f"""WITH q AS (SELECT query_id, tag_id, score - mean AS w FROM (SELECT query_id, tag_id, round(score - mean, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score - mean, 9) DESC, tag_id) AS rk, 0 AS mean FROM gig_sims JOIN stats USING (tag_id)) WHERE rk <= 10),
   dt AS (SELECT text_id AS doc_id, tag_id FROM (SELECT *, {TOP} FROM centered QUALIFY rank <= 10)),
   i AS (SELECT tag_id, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM (SELECT tag_id, count(*) AS df FROM dt GROUP BY 1), (SELECT count(*) AS n FROM vecs))
   SELECT query_id, doc_id, round(score + 2.5e-10, 6) + 0.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-    SELECT query_id, doc_id, round(sum(idf), 9) AS score FROM q JOIN i USING (tag_id) JOIN dt USING (tag_id) GROUP BY 1, 2) QUALIFY rank <= 20""", ("gig_sims", "stats", "centered", "vecs"))
-def new_query(spark, d):
-    """Centroid queries that are in no tag table, corrected with the stored statistics of the corpus. Every text
-    keeps 10 tags, so the length factor of the scorer is 1."""
-    from ranklab.operators.new_query import rank_new_queries
+    SELECT query_id, doc_id, round(sum(idf), 9) AS score FROM q JOIN i USING (tag_id) JOIN dt USING (tag_id) GROUP BY 1, 2) QUALIFY rank <= 20"""
+NEW_QUERY_NEEDS = ("gig_sims", "stats", "centered", "vecs")
+
+
+def new_query_tables(spark, d):
+    """Tag vectors, their statistics and the texts' tags. Every text keeps 10 tags, so the length factor of the scorer is 1."""
     texts, titles = t.texts(spark, d), t.tag_titles(spark, d)
     means = hb.correction(texts, titles, "center")
     st = means.select("tag_id", F.col("p")[0].alias("mean"), F.lit(1.0).alias("sd"))
     doc_tags = hb.corrected_top(texts, titles, means, "center", 10).select(F.col("text_id").alias("doc_id"), "tag_id", "score", "rank")
-    out = rank_new_queries(t.centroids(spark, d), t.tag_titles(spark, d), st, doc_tags, t.vectors(spark, d).select("doc_id"), m=10, k=20)
+    return titles, st, doc_tags, t.vectors(spark, d).select("doc_id")
+
+
+@query("tag_rank_new_query", NEW_QUERY_SQL, NEW_QUERY_NEEDS)
+def new_query(spark, d):
+    """Centroid queries that are in no tag table, corrected with the stored statistics of the corpus."""
+    from ranklab.operators.new_query import rank_new_queries
+    out = rank_new_queries(t.centroids(spark, d), *new_query_tables(spark, d), m=10, k=20)
     return out.select("query_id", "doc_id", shown6("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("tag_rank_new_query_stream", NEW_QUERY_SQL, NEW_QUERY_NEEDS)
+def new_query_streamed(spark, d):
+    """The same queries as a stream of files, one a batch, against published tables."""
+    from ranklab.streaming import new_queries as nq
+    tables, inbox, path = (scratch_path(spark, n) for n in ("tag-tables", "queries", "ranked"))
+    nq.publish(tables, *new_query_tables(spark, d))
+    t.centroids(spark, d).repartition(3, "query_id").write.parquet(inbox)
+    stream = spark.readStream.schema("query_id BIGINT, vec ARRAY<DOUBLE>").option("maxFilesPerTrigger", 1).parquet(inbox)
+    running = nq.new_query_stream(stream, tables, path, scratch_path(spark, "ranked-ckpt"), available_now=True, m=10, k=20)
+    running.awaitTermination()
+    if running.exception() is not None:
+        raise running.exception()
+    return spark.read.parquet(path).select("query_id", "doc_id", shown6("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("cross_half_recipe", f"""WITH h AS (SELECT role_id, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('|', '7', 'halves', role_id::VARCHAR))) <= count(*) OVER () // 2 THEN 'dev' ELSE 'test' END AS half FROM vec_roles),
   p AS (SELECT 'dev' AS trained, * FROM ({sql_proto("role_id IN (SELECT role_id FROM h WHERE half = 'dev')")}) UNION ALL SELECT 'test', * FROM ({sql_proto("role_id IN (SELECT role_id FROM h WHERE half = 'test')")})),
   pv AS (SELECT trained, tag_id, list(x ORDER BY dim) AS vec FROM p GROUP BY 1, 2)
