@@ -231,6 +231,24 @@ def cross_half(spark, d):
     return out.select("role_id", "half", "tag_id", shown6("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("cross_half_knn_and_mix", """WITH h AS (SELECT role_id, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('|', '7', 'halves', role_id::VARCHAR))) <= count(*) OVER () // 2 THEN 'dev' ELSE 'test' END AS half FROM vec_roles),
+  s AS (SELECT v.role_id AS text_id, half AS trained, r.role_id, round(list_cosine_similarity(v.vec, r.vec), 9) / 0.05::DOUBLE AS z FROM vec_roles v, vec_roles r JOIN h USING (role_id)),
+  w AS (SELECT text_id, trained, role_id, exp(z - mz) / sum(exp(z - mz)) OVER (PARTITION BY text_id, trained) AS w FROM (SELECT *, max(z) OVER (PARTITION BY text_id, trained) AS mz FROM s)),
+  k AS (SELECT trained, text_id, tag_id, round(sum(w), 9) AS score FROM w JOIN vec_bridge USING (role_id) GROUP BY 1, 2, 3),
+  f AS (SELECT trained, x.text_id, x.tag_id, coalesce(k.score, 0) AS knn, title FROM (SELECT role_id AS text_id, tag_id, round(list_cosine_similarity(r.vec, t.vec), 9) AS title, trained FROM vec_roles r, titles t, (VALUES ('dev'), ('test')) tr(trained)) x LEFT JOIN k USING (trained, text_id, tag_id)),
+  c AS (SELECT *, knn - avg(knn) OVER (PARTITION BY trained, tag_id) AS ck, title - avg(title) OVER (PARTITION BY trained, tag_id) AS ct FROM f),
+  u AS (SELECT trained, text_id, tag_id, round(ck / stddev_pop(ck) OVER (PARTITION BY trained), 9) AS uk, round(ct / stddev_pop(ct) OVER (PARTITION BY trained), 9) AS ut FROM c),
+  m AS (SELECT trained, text_id, tag_id, uk, (ut + 0.5::DOUBLE * uk) / 1.5::DOUBLE AS mm FROM u),
+  a AS (SELECT 'knn' AS recipe, trained, text_id, tag_id, uk AS score FROM m UNION ALL SELECT 'mix', trained, text_id, tag_id, round(mm / stddev_pop(mm) OVER (PARTITION BY trained), 9) FROM m)
+  SELECT recipe, role_id, half, tag_id, round(score + 2.5e-10, 6) + 0.0 AS score FROM (SELECT recipe, text_id AS role_id, half, tag_id, score, row_number() OVER (PARTITION BY recipe, text_id ORDER BY score DESC, tag_id) AS rank
+    FROM a JOIN h ON h.role_id = text_id WHERE trained <> half) WHERE rank <= 10""", ("vec_roles", "vec_bridge", "titles"))
+def cross_half_more(spark, d):
+    from ranklab.operators.new_query import cross_half_recipes
+    roles, bridge = role_vectors(spark, d)
+    out = cross_half_recipes(t.tag_titles(spark, d), roles, bridge, 0.05, 0.5, m=10)
+    return out.select("recipe", "role_id", "half", "tag_id", shown6("score"))
+
+
 LSA_DIMS = (4, 8, 16, 32, 64, 128, 300)
 
 

@@ -250,14 +250,44 @@ def tag_prototypes(titles: DataFrame, roles: DataFrame, bridge: DataFrame, a: fl
 
 
 def role_knn_tags(texts: DataFrame, roles: DataFrame, bridge: DataFrame, tau: float) -> DataFrame:
-    """(text_id, tag_id, score): softmax(cosine to the roles / tau) pushed through the role-tag bridge."""
-    sims = all_cosines(texts, roles, "text_id", "role_id").withColumn("z", F.col("score") / F.lit(tau))
-    peak = sims.groupBy("text_id").agg(F.max("z").alias("peak"))
-    mass = sims.join(peak, "text_id").withColumn("e", F.exp(F.col("z") - F.col("peak")))
-    total = mass.groupBy("text_id").agg(F.sum("e").alias("total"))
-    weights = mass.join(total, "text_id").select("text_id", "role_id", (F.col("e") / F.col("total")).alias("w"))
-    return weights.join(bridge.select("role_id", "tag_id").distinct(), "role_id").groupBy("text_id", "tag_id").agg(
-        F.round(F.sum("w"), 9).alias("score"))
+    """(text_id, tag_id, score): softmax(cosine to the roles / tau) pushed through the role-tag bridge; tags without weight
+    have no row.
+
+    A role brings its tags into the block product. A pair of blocks gives, per text, the largest exponent it saw, the sum
+    of its weights and their sums per tag; blocks are then put on the scale of the text's largest exponent and added up. So
+    no text meets a role in a row of its own."""
+    tags = bridge.select("role_id", "tag_id").distinct().groupBy("role_id").agg(F.sort_array(F.collect_set(F.col("tag_id").cast("double"))).alias("t"))
+    held = roles.select("role_id", "vec").join(tags, "role_id", "left").withColumn("t", F.coalesce("t", F.array().cast("array<double>")))
+    width = held.agg(F.max(F.size("t"))).first()[0] or 0
+    # Tag ids as numbers, filled up to one length with what no tag is.
+    carried = held.select("role_id", F.concat("t", F.array_repeat(F.lit(float("nan")), F.lit(width) - F.size("t"))).alias("p"))
+
+    def emit(text_ids, role_ids, cosines, numbers):
+        z = cosines / tau
+        peak = z.max(axis=1)
+        weights = np.exp(z - peak[:, None])
+        role, slot = np.nonzero(~np.isnan(numbers))
+        names, place = np.unique(numbers[role, slot], return_inverse=True)
+        carries = np.zeros((len(role_ids), len(names) + 1))
+        carries[role, place] = 1.0
+        carries[:, -1] = 1.0                                    # the last column adds up all weights
+        sums = weights @ carries
+        return pd.DataFrame({"text_id": np.repeat(text_ids, sums.shape[1]), "tag_id": pd.array([*names.astype(np.int64), None] * len(text_ids), dtype="Int64"),
+                             "peak": np.repeat(peak, sums.shape[1]), "mass": sums.ravel()})
+
+    parts = checkpoint(carried_products(texts.select("text_id", "vec"), held.select("role_id", "vec"), carried, emit, "text_id long, tag_id long, peak double, mass double", "text_id", "role_id"))
+    top = parts.where(F.col("tag_id").isNull()).groupBy("text_id").agg(F.max("peak").alias("top"))
+    sums = parts.join(top, "text_id").groupBy("text_id", "tag_id").agg(F.sum(F.col("mass") * F.exp(F.col("peak") - F.col("top"))).alias("mass"))
+    total = sums.where(F.col("tag_id").isNull()).select("text_id", F.col("mass").alias("total"))
+    return sums.where(F.col("tag_id").isNotNull()).join(total, "text_id").select("text_id", "tag_id", F.round(F.col("mass") / F.col("total"), 9).alias("score"))
+
+
+def centred_unit(scores: DataFrame) -> DataFrame:
+    """A full (text_id, tag_id, score) table with every tag's mean taken off, over the deviation of all that is left."""
+    means = scores.groupBy("tag_id").agg(F.avg("score").alias("mean"))
+    centred = scores.join(means, "tag_id").select("text_id", "tag_id", (F.col("score") - F.col("mean")).alias("c"))
+    sd = centred.agg(F.stddev_pop("c")).scalar()
+    return centred.withColumn("sd", sd).select("text_id", "tag_id", F.round(F.col("c") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0)), 9).alias("score"))
 
 
 def gold_tag_metrics(predicted: DataFrame, gold: DataFrame, texts: DataFrame, ms: Sequence[int] = (5, 10, 20, 30)) -> DataFrame:

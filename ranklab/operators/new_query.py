@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ranklab.operators.hubness import corrected_top, tag_prototypes, tag_text_corpus
+from ranklab.operators.hubness import centred_unit, corrected_top, role_knn_tags, score_ensemble, tag_prototypes, tag_text_corpus
 from ranklab.operators.ordering import rank_list
 from ranklab.operators.pools import halves
 from ranklab.operators.similarity import all_cosines
 from ranklab.operators.tags import tag_rank, tag_weighted_cosine
-from ranklab.session import union_all
+from ranklab.session import checkpoint, union_all
 
 
 def checked_stats(stats: DataFrame, tags: DataFrame) -> DataFrame:
@@ -50,3 +50,23 @@ def cross_half_prototypes(titles: DataFrame, roles: DataFrame, bridge: DataFrame
         proto = trained.where(F.col("trained") == other).select("tag_id", "vec")
         parts.append(all_cosines(mine, proto, "role_id", "tag_id").withColumn("half", F.lit(half)))
     return rank_list(union_all(parts), m, keys=("role_id", "half"), tie=("tag_id",))
+
+
+def cross_half_recipes(titles: DataFrame, roles: DataFrame, bridge: DataFrame, tau: float, lam: float, m: int = 30, seed: int = 7) -> DataFrame:
+    """(recipe, role_id, half, tag_id, score, rank): roles tagged by neighbouring roles of the other half (`knn`: softmax at
+    `tau`, centred per tag), and by the mean of that and of the centred cosines to the titles at weights lam and 1 (`mix`).
+    Centring is over all roles, whatever half has trained; the result holds each role's m best tags."""
+    split = checkpoint(halves(roles, "role_id", seed, "halves").withColumnRenamed("split", "half"))
+    titled = checkpoint(all_cosines(roles, titles, "role_id", "tag_id").withColumnRenamed("role_id", "text_id"))
+    plain = checkpoint(centred_unit(titled))
+    texts = roles.select(F.col("role_id").alias("text_id"), "vec")
+    parts = []
+    for trained, half in (("dev", "test"), ("test", "dev")):
+        teachers = split.where(F.col("half") == trained).select("role_id")
+        found = role_knn_tags(texts, roles.join(teachers, "role_id"), bridge.join(teachers, "role_id"), tau)
+        full = titled.select("text_id", "tag_id").join(found, ["text_id", "tag_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        knn = checkpoint(centred_unit(full))
+        mine = split.where(F.col("half") == half).select(F.col("role_id").alias("text_id"), "half")
+        parts += [df.join(mine, "text_id").withColumn("recipe", F.lit(n)) for n, df in (("knn", knn), ("mix", score_ensemble([plain, knn], [1.0, lam])))]
+    both = union_all([p.select("recipe", F.col("text_id").alias("role_id"), "half", "tag_id", "score") for p in parts])
+    return rank_list(both, m, keys=("recipe", "role_id", "half"), tie=("tag_id",))
