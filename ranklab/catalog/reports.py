@@ -121,6 +121,19 @@ def condition_effect(spark, d):
     return effect.groupBy("label", "metric").agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("value"), 6) + 0.0).alias("mean"))
 
 
+@query("condition_effect_ci", f"""WITH l AS (SELECT noisy || ' - ' || clean AS label, x.class_id, unnest(['role_1', 'role_5', 'track_1']) AS metric, unnest([x.role_1 - y.role_1, x.role_5 - y.role_5, x.track_1 - y.track_1]) AS value
+    FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in TWINS)}) w(noisy, clean) JOIN role_means x ON x.condition = noisy AND x.method = 'bm25_b0.75' JOIN role_means y ON y.condition = clean AND y.method = x.method AND y.class_id = x.class_id WHERE x.split = 'test')
+  SELECT label, metric, n, round(mean, 6) + 0.0 AS mean, round(quantile_cont(mm, 0.025), 6) + 0.0 AS lo, round(quantile_cont(mm, 0.975), 6) + 0.0 AS hi FROM (
+    SELECT label, metric, boot, sum(value * times) / sum(times) AS mm FROM l JOIN class_draws USING (class_id) WHERE split = 'test' GROUP BY ALL)
+  JOIN (SELECT label, metric, count(*) AS n, avg(value) AS mean FROM l GROUP BY ALL) USING (label, metric) GROUP BY label, metric, n, mean""", ("role_means", "class_draws"))
+def condition_effect_ci(spark, d):
+    """What wrong tags cost on the test half: each noisy condition minus its clean twin, paired over classes."""
+    from ranklab.operators.bootstrap import boot_draws, bootstrap_ci
+    means = role_means(spark, d, METHODS[1:2]).where("split = 'test'")
+    effect = ro.condition_effect(means, TWINS, ("role_1", "role_5", "track_1"))
+    return plus0(bootstrap_ci(effect, boot_draws(means.select("class_id"), "class_id", 2000, 7, "boot/test"), ["label", "metric"], "class_id"), "mean", "lo", "hi")
+
+
 B_GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 _GRID_SQL = " UNION ALL ".join(f"""SELECT {b}::DOUBLE AS b, query_id, role_id, round(2.2::DOUBLE / (1 + 1.2::DOUBLE * (1 - {b}::DOUBLE + {b}::DOUBLE * dl / avgdl)) * s, 9) AS score FROM grid_sums""" for b in B_GRID)
 
