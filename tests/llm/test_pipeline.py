@@ -39,7 +39,7 @@ def test_stages_are_registered_in_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_near_dedup", "decontamination", "byte_bpe"]
     assert "pipeline" in __spark_entry__.queries() and "pipeline" not in __spark_entry__.oracle_sql()
     ours = sorted(int(name[2:].split("_")[0]) for name in __spark_entry__.queries() if name.startswith("op"))
-    assert ours == list(range(1, 11))
+    assert ours == list(range(1, 14))
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
