@@ -134,12 +134,29 @@ def calibration_sample(spark, d):
     return po.stratified_calibration_sample(t.ev_grades(spark, d), 75)
 
 
-@query("stratified_audit_sample")
+def _audit_sql():
+    """The serial draw, stratum by stratum."""
+    strata = (("borderline", "score BETWEEN 0.35 AND 0.65", "n * 2 // 15"), ("confident_pos", "score > 0.9", "n // 10"), ("confident_neg", "score < 0.05", "n // 10"))
+    head = f"""r AS (SELECT *, {sql_key(8, 'audit', 'query_id', 'doc_id')} AS key FROM (SELECT query_id, doc_id, arg_max(grade, seq) AS grade, arg_max(score, seq) AS score FROM ev_log WHERE status = 'ok' GROUP BY 1, 2)
+      ANTI JOIN (SELECT query_id, doc_id FROM ev_grades QUALIFY row_number() OVER (PARTITION BY grade ORDER BY {sql_key(7, 'calibration', 'query_id', 'doc_id')}) <= 20) USING (query_id, doc_id)),
+    c AS (SELECT count(DISTINCT query_id) AS n FROM ev_log)"""
+    steps = []
+    for i, (name, keep, quota) in enumerate(strata):
+        free = "".join(f" AND query_id NOT IN (SELECT query_id FROM s{j})" for j in range(i))
+        steps.append(f"""s{i} AS (SELECT query_id, doc_id, grade, '{name}' AS stratum FROM (SELECT *, row_number() OVER (ORDER BY key) AS pos FROM (SELECT * FROM r WHERE {keep}{free} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY key) = 1)), c WHERE pos <= {quota})""")
+    picked = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(len(strata)))
+    return f"WITH {', '.join([head, *steps])} SELECT printf('A%03d', row_number() OVER (ORDER BY {sql_key(8, 'audit/items', 'query_id', 'doc_id')})) AS item, query_id, doc_id, stratum, grade FROM ({picked})"
+
+
+@query("stratified_audit_sample", _audit_sql(), ("ev_log", "ev_grades"))
 def audit_sample(spark, d):
-    strata = (("borderline", F.col("score").between(0.35, 0.65), 20), ("confident_pos", F.col("score") > 0.9, 15), ("confident_neg", F.col("score") < 0.05, 15))
+    """Borderline and confident grades, quotas in proportion to the queries of the log; a short stratum is an error."""
     from ranklab.operators.labels import latest_ok
+    log = t.ev_log(spark, d)
+    n = log.agg(F.count_distinct("query_id")).first()[0]
+    strata = (("borderline", F.col("score").between(0.35, 0.65), n * 2 // 15), ("confident_pos", F.col("score") > 0.9, n // 10), ("confident_neg", F.col("score") < 0.05, n // 10))
     used = po.stratified_calibration_sample(t.ev_grades(spark, d), 20)
-    return po.stratified_audit_sample(latest_ok(t.ev_log(spark, d), "grade", "score"), strata, used, seed=8, strict=False)
+    return po.stratified_audit_sample(latest_ok(log, "grade", "score"), strata, used, seed=8)
 
 
 @query("matched_pair_sample", f"""WITH rows2 AS (SELECT query_id, doc_id, side, grade, {sql_key(10, 'matched', 'query_id', 'doc_id')} AS key FROM diff JOIN ev_grades USING (query_id, doc_id)),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ranklab.functions.keys import key_to_long, seeded_key
 from ranklab.operators.ordering import global_rank
-from ranklab.session import union_all
+from ranklab.session import checkpoint, union_all
 
 PAIR = ["query_id", "doc_id"]
 
@@ -176,29 +176,31 @@ def stratified_calibration_sample(labels: DataFrame, n: int, seed: int = 7) -> D
 def stratified_audit_sample(records: DataFrame, strata: Sequence[tuple[str, Column, int]], used: DataFrame | None = None,
                             seed: int = 7, prefix: str = "A", strict: bool = True) -> DataFrame:
     """(item, query_id, doc_id, stratum, grade): per-stratum quotas, no pair of an earlier round, at most one pair
-    per query over all strata. A query belongs to the first stratum any of its pairs qualifies for and offers its
-    smallest-hash pair there; quotas then take the smallest hashes. (A greedy serial draw would fill strata one
-    after another; this draws the same kind of sample without an order over the strata.) A short stratum is an
-    error when `strict`."""
+    per query over all strata.
+
+    Strata are filled one after another, each in seeded order of its pairs: a pair whose query has been taken is passed
+    over, so a query that a full stratum has refused may still serve a later one. Within a stratum that serial draw is
+    every free query's first pair, and of these the first `quota`; only the strata are a loop. A quota bounds what a
+    stratum's draw brings together. A short stratum is an error when `strict`."""
     rows = records if used is None else records.join(used.select(*PAIR), PAIR, "left_anti")
-    which = None
-    for i, (_, keep, _) in enumerate(strata):
-        which = F.when(keep, F.lit(i)) if which is None else which.when(keep, F.lit(i))
-    keyed = rows.withColumn("no", which).where(F.col("no").isNotNull()).withColumn("key", seeded_key(seed, "audit", *PAIR))
-    one = keyed.groupBy("query_id").agg(F.min_by(F.struct("no", "doc_id", "grade", "key"), F.struct("no", "key")).alias("r")).select("query_id", "r.*")
-    names = F.array(*[F.lit(n) for n, _, _ in strata])
-    quotas = F.array(*[F.lit(q) for _, _, q in strata])
-    w = Window.partitionBy("no").orderBy("key")
-    picked = one.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= F.lit(max(q for _, _, q in strata)))
-    picked = picked.where(F.col("pos") <= F.element_at(quotas, F.col("no") + 1))
-    if strict:
-        have = {r["no"]: r["n"] for r in picked.groupBy("no").agg(F.count(F.lit(1)).alias("n")).collect()}
-        short = [f"{n}: {have.get(i, 0)} of {q}" for i, (n, _, q) in enumerate(strata) if have.get(i, 0) < q]
-        if short:
-            raise ValueError("short strata - " + "; ".join(short))
-    placed = global_rank(picked.withColumn("shuffle", seeded_key(seed, "audit/items", *PAIR)), "shuffle", "item_no")
-    return placed.select(F.format_string(f"{prefix}%03d", F.col("item_no")).alias("item"), *PAIR,
-                         F.element_at(names, F.col("no") + 1).alias("stratum"), "grade")
+    keyed = checkpoint(rows.select(*PAIR, "grade", F.array(*[F.coalesce(keep, F.lit(False)) for _, keep, _ in strata]).alias("fits"))
+                       .where(F.exists("fits", lambda x: x)).withColumn("key", seeded_key(seed, "audit", *PAIR)))
+    taken: list[DataFrame] = []
+    short = []
+    for i, (name, _, quota) in enumerate(strata):
+        free = keyed.where(F.col("fits")[i])
+        if taken:
+            free = free.join(union_all(taken).select("query_id"), "query_id", "left_anti")
+        first = free.groupBy("query_id").agg(F.min_by(F.struct("doc_id", "grade", "key"), "key").alias("r")).select("query_id", "r.*")
+        picked = checkpoint(first.orderBy("key").limit(quota).select(*PAIR, "grade", F.lit(name).alias("stratum")))
+        n = picked.count()
+        if n < quota:
+            short.append(f"{name}: {n} of {quota}")
+        taken.append(picked)
+    if strict and short:
+        raise ValueError("short strata - " + "; ".join(short))
+    placed = global_rank(union_all(taken).withColumn("shuffle", seeded_key(seed, "audit/items", *PAIR)), "shuffle", "item_no")
+    return placed.select(F.format_string(f"{prefix}%03d", F.col("item_no")).alias("item"), *PAIR, "stratum", "grade")
 
 
 def matched_pair_sample(diff: DataFrame, graded: DataFrame, n: int, used: DataFrame | None = None, seed: int = 10) -> DataFrame:

@@ -267,6 +267,31 @@ def test_audit_item_ids_do_not_collide(spark):
     assert len(set(items)) == 1500 and {"A001", "A999", "A1000", "A1500"} <= set(items)
 
 
+def test_audit_strata_are_filled_one_after_another(spark):
+    import hashlib
+    import random
+    from ranklab.operators.pools import stratified_audit_sample
+    rng = random.Random(2)
+    rows = list({(rng.randrange(30), rng.randrange(40)): rng.random() for _ in range(400)}.items())
+    table = spark.createDataFrame([(q, d, 2, s) for (q, d), s in rows] + [(99, 1, 2, None)], "query_id bigint, doc_id bigint, grade int, score double")
+    strata = [("low", lambda s: s < .5, 12), ("high", lambda s: s > .3, 11), ("any", lambda s: True, 4)]
+    used = {p for p, _ in rows[::7]}
+    taken, want = set(), set()
+    for name, keep, quota in strata:
+        left = sorted((hashlib.md5(f"7|audit|{q}|{d}".encode()).hexdigest(), q, d) for (q, d), s in rows if keep(s) and (q, d) not in used)
+        for _, q, d in left:
+            if quota and q not in taken:
+                taken.add(q)
+                want.add((q, d, name))
+                quota -= 1
+    columns = [("low", F.col("score") < .5, 12), ("high", F.col("score") > .3, 11), ("any", F.col("score") >= 0, 4)]
+    before = spark.createDataFrame(list(used), "query_id bigint, doc_id bigint")
+    got = {(r.query_id, r.doc_id, r.stratum) for r in stratified_audit_sample(table, columns, before).collect()}
+    assert got == want and len(got) == 27
+    with pytest.raises(ValueError, match="any: 7 of 9"):
+        stratified_audit_sample(table, [*columns[:2], ("any", F.col("score") >= 0, 9)], before)
+
+
 def test_run_stats_on_the_readers_log(spark, tmp_path):
     from ranklab.operators.labels import run_stats
     from ranklab.sources import readers as rd, sinks as sk
