@@ -55,7 +55,7 @@ def path_of(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
     """The longest rule that fits (a struct of pattern and verdict), or null. Of equally long ones the first wins."""
     out = F.lit(None).cast("struct<pattern: string, verdict: string>")
-    for rule in sorted(rules, key=lambda r: len(r.pattern)):
+    for rule in sorted(reversed(rules), key=lambda r: len(r.pattern)):
         fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
         out = F.when(fits, F.struct(F.lit(rule.pattern).alias("pattern"), F.lit(rule.verdict).alias("verdict"))).otherwise(out)
     return out

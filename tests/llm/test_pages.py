@@ -35,6 +35,13 @@ def test_hosts_paths_and_rules(spark):
     assert by[None] == by[0] and url_filter.judge_urls(pages_of(spark, rows).limit(0), catalog.URL_RULES).count() == 0
 
 
+def test_the_first_of_equally_long_rules_wins(spark):
+    pages = pages_of(spark, [(1, "http://a.b/xx", None), (2, "http://z.a.b/x", None)])
+    for kinds in (("allow", "block"), ("block", "allow")):
+        rules = (url_filter.UrlRule(kinds[0], "a.b/x"), url_filter.UrlRule(kinds[1], "a.b/x"), url_filter.UrlRule(kinds[1], "a.b/"))
+        assert {(r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()} == {("a.b/x", kinds[0])}
+
+
 def brute_ranks(links, trusted, blocked, rounds=20, d=0.85):
     out = []
     for seeds, edges in ((trusted, links), (blocked, [(b, a, n) for a, b, n in links])):
