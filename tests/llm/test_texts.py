@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import re
 import zlib
 
 import numpy as np
@@ -248,24 +249,51 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def brute_words(lines):
+    return sum(len(re.split(" +", x.strip(" "))) for x in lines)
+
+
+def brute_chunks(lines):
+    """(start, end) of the chunks of a text."""
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    long = [brute_words([x]) > 50 for x in lines] + [False]
+    start, out = 0, []
+    for i in range(len(lines)):
+        rolled = (h[i] + line_dedup.BASE * (h[i - 1] if i else 0)) % line_dedup.MODULUS
+        if rolled % line_dedup.DIVISOR == 0 or i == len(lines) - 1 or long[i] or long[i + 1]:
+            out.append((start, i + 1))
+            start = i + 1
+    return out
+
+
 def brute_lines(docs):
     """Texts after removal, by (id, text)."""
     first, cut = {}, {}
     for key in sorted({(d is not None, d if d is not None else 0, t or "") for d, t in docs}):
-        lines = key[2].split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        start, chunks = 0, []
-        for i in range(len(lines)):
-            if (h[i] + line_dedup.BASE * (h[i - 1] if i else 0)) % line_dedup.MODULUS % line_dedup.DIVISOR == 0 or i == len(lines) - 1:
-                chunks.append("\n".join(lines[start:i + 1]))
-                start = i + 1
-        out = []
-        for c in chunks:
-            if "\n" in c and c.strip(" "):
-                if first.setdefault(c, (key, len(out))) != (key, len(out)):
-                    continue
-            out.append(c)
-        cut[key] = "\n".join(out)
+        lines, gone = key[2].split("\n"), set()
+        chunks = brute_chunks(lines)
+        units = []
+        for n, (a, b) in enumerate(chunks):
+            around = chunks[max(0, n - 3)][0], chunks[n + 3][1] if n + 3 < len(chunks) else len(lines)
+            if b - a > 1 or brute_words(lines[a:b]) > 50:
+                units.append((a, b, False, *around))
+            units += [(j - 1, j + 1, True, *around) for j in range(max(a, 1), b)
+                      if (j == b - 1 or brute_words(lines[j - 1:j + 1]) > 50) and (j - 1, j + 1) != (a, b)]
+        for a, b, pair, low, high in sorted(units):
+            chunk = "\n".join(lines[a:b])
+            if not chunk.strip(" "):
+                continue
+            there, at, floor, top = first.setdefault(chunk, (lines, a, low, high))
+            if there is lines and at == a:
+                continue
+            up = down = 0
+            while a - up > 0 and at - up > floor and lines[a - up - 1] == there[at - up - 1]:
+                up += 1
+            while b + down < len(lines) and at + b - a + down < top and lines[b + down] == there[at + b - a + down]:
+                down += 1
+            if not pair or brute_words(lines[a - up:b + down]) > 50:
+                gone.update(range(a - up, b + down))
+        cut[key] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return cut
 
 
@@ -273,6 +301,8 @@ def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(2)
     lines = [f"line {i} " + rng.choice(WORDS) for i in range(30)]
     passage = lines[:9]
+    lines[4] += " word" * 50
+    lines[25] += "  two  blanks" * 25
     docs = [(1, None), (2, ""), (3, "\n"), (4, "one line"), (5, "\n".join(passage)), (6, "\n".join(["new"] + passage + ["end", ""])), (7, "\n".join(passage + passage)),
             (8, "\n".join(passage)), (8, "\n".join(passage)), (None, "\n".join(lines[3:20])), (9, "\n".join(lines[5:25])), (10, " \n " * 5), (11, " \n " * 5), (12, "é\n" * 400)]
     docs += [(20 + k, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 40)))) for k in range(30)]
@@ -285,6 +315,33 @@ def test_line_dedup_equals_brute_force(spark):
     assert sum(len(x[2] or "") for x in got) < sum(len(t or "") for _, t in docs)
 
 
+def test_line_dedup_finds_planted_passages(spark):
+    """Passages of over 50 words in 1 to 9 lines between lines of their own: nine of ten lines go from the later documents,
+    all where a line or two neighbours are long; nothing else does, and the first document stays."""
+    rng = random.Random(8)
+
+    def line(n):
+        return " ".join(f"{rng.choice(WORDS)}{rng.randrange(10 ** 6)}" for _ in range(n))
+
+    passages = [[line(60)] for _ in range(10)] + [[line(12), line(55), *[line(9) for _ in range(k)]] for k in (0, 1, 2)] + [[line(30), line(30), *[line(9) for _ in range(k)]] for k in (0, 1, 2)]
+    sure = len(passages)
+    passages += [[line(20) for _ in range(k)] for k in (3, 4, 5) for _ in range(10)] + [[line(rng.randint(9, 14)) for _ in range(k)] for k in (6, 7, 9) for _ in range(10)]
+    docs, own = [], {}
+    for i, p in enumerate(passages):
+        for k in range(3):
+            head, tail = [line(8) for _ in range(rng.randint(1, 5))], [line(8) for _ in range(rng.randint(1, 5))]
+            docs.append((1000 * k + i, "\n".join(head + p + tail)))
+            own[1000 * k + i] = "\n".join(head + tail)
+    docs += [(5000, passages[0][0]), (5001, "a short line"), (5002, "a short line"), (5003, docs[30][1])]
+    got = {r.doc_id: (r.text, r.n) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), removed_col="n").collect()}
+    texts = dict(docs)
+    assert all(got[i] == (t, 0) for i, t in docs if i < 1000 or i in (5001, 5002)) and got[5000] == ("", 1) and got[5003][0] == ""
+    later = [(i, p) for k in (1, 2) for i, p in ((1000 * k + i, p) for i, p in enumerate(passages))]
+    assert all(got[i][0] == own[i] for i, p in later if i % 1000 < sure)
+    assert sum(got[i][1] for i, _ in later) >= 0.9 * sum(len(p) for _, p in later)
+    assert all(set(own[i].split("\n")) <= set(got[i][0].split("\n")) for i, _ in later) and all(got[i][0] in (own[i], texts[i]) for i, _ in later)
+
+
 def test_langid_learns_held_out_languages(spark):
     rng = random.Random(4)
     sounds = {"aa": ["tha", "ing", "ed", "ou"], "bb": ["sch", "ung", "ei", "öß"], "cc": ["que", "ción", "ar", "ñe"]}
