@@ -77,7 +77,7 @@ def _text(lines: Column, code: Column) -> Column:
 
 
 def _digests(lines: Column) -> Column:
-    return F.transform(lines, lambda x: F.sha2(x.cast("binary"), 256))
+    return F.transform(lines, lambda x: F.xxhash64(x))
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -86,8 +86,8 @@ def _common(a: Column, b: Column) -> Column:
                lambda at: F.when(at == 0, F.size(b)).otherwise(at - 1))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"), *more)
 
 
 def _anchors(lines: Column) -> Column:
@@ -113,7 +113,8 @@ def _anchors(lines: Column) -> Column:
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document with later occurrences, (`_id`, `_th`: hash of the text) and `found`: code of each such chunk, the
-    bytes of the first occurrence, and SHA-256 digests of the lines before (nearest first) and after that.
+    bytes of the first occurrence, and hashes of 64 bits of the lines before (nearest first) and after that, which are
+    compared only beside equal bytes.
 
     Hashes of all chunks are counted first, which shuffles a few bytes per chunk and combines common ones beforehand.
     Only chunks whose hash repeats have their text compared: the bytes are part of the grouping key.
@@ -153,34 +154,40 @@ def _gone(lines: Column, found: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(same, lambda x: let(stretch(_at(x["code"]), _at(x["code"]) + _n(x["code"]), x), lambda numbers: enough(numbers, x)))))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None,
+                lines_col: str | None = None) -> DataFrame:
     """`docs`, all rows and columns, with the repeated chunks and their rims taken out of the text.
 
     Lines end at \\n. Null and empty texts come back as they are; a text all of whose lines stand elsewhere becomes
     empty. Chunks of white space only go with a neighbour or not at all. Every line removed stands in an earlier place
     that stays. A document is its id together with its text: equal rows count as one document and get the same result;
-    documents with a null id come first in order. With `removed_col` the number of removed lines is added.
+    documents with a null id come first in order. With `removed_col` the number of removed lines is added, with `lines_col`
+    that of the lines before (0 for null).
     """
     found = repeated_chunks(docs, id_col, text_col).withColumnRenamed("found", "_found")
-    names = docs.columns
-    keyed = docs.withColumn("_th", F.xxhash64(text_col))
+    # Columns of the same form and order as in `repeated_chunks`: of a table of ids and texts one shuffle serves both.
+    names = {n: f"_c{i}" for i, n in enumerate(docs.columns) if n not in (id_col, text_col)}
+    keyed = _rows(docs, id_col, text_col, *[F.col(n).alias(c) for n, c in names.items()])
     both = keyed.join(found.withColumnRenamed("_id", "_i").withColumnRenamed("_th", "_h").hint("merge"),
-                      F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")), "left")
+                      F.col("_id").eqNullSafe(F.col("_i")) & (keyed["_th"] == F.col("_h")), "left")
 
     def cut(lines: Column) -> Column:
         return let(_gone(lines, F.col("_found")), lambda gone: F.struct(F.array_join(F.transform(
             F.array_except(F.sequence(F.lit(1), F.size(lines)), gone), lambda i: F.get(lines, i - 1)), "\n").alias("text"), F.size(gone).cast("long").alias("n")))
 
-    both = both.withColumn("_cut", F.when(F.col("_found").isNotNull(), let(lines_of(F.col(text_col)), cut)))
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.col("_cut.text"))
-    lost = F.coalesce(F.col("_cut.n"), F.lit(0).cast("long"))
-    return both.select(*[text.alias(n) if n == text_col else F.col(n) for n in names], *([lost.alias(removed_col)] if removed_col else []))
+    both = both.withColumn("_cut", F.when(F.col("_found").isNotNull(), let(lines_of(F.col("_text")), cut)))
+    text = F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(F.col("_cut.text"))
+    more = []
+    if removed_col:
+        more.append(F.coalesce(F.col("_cut.n"), F.lit(0).cast("long")).alias(removed_col))
+    if lines_col:
+        more.append(F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines_of(F.col("_text")))).cast("long").alias(lines_col))
+    return both.select(*[text.alias(n) if n == text_col else F.col("_id" if n == id_col else names[n]).alias(n) for n in docs.columns], *more)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Deduplicated text per document with its numbers of lines before and of lines removed."""
-    small = docs.select("doc_id", "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines_of(F.col("text")))).cast("long").alias("n_lines"))
-    return dedup_lines(small, removed_col="n_removed").select("doc_id", "text", "n_lines", "n_removed")
+    return dedup_lines(docs.select("doc_id", "text"), removed_col="n_removed", lines_col="n_lines").select("doc_id", "text", "n_lines", "n_removed")
 
 
 ORACLE = f"""
