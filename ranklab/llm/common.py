@@ -10,6 +10,10 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ranklab.session import scratch_path
 
+#: Bytes of files for one partition of a shuffle of whole rows, and the most partitions of one.
+PARTITION_BYTES = 64 << 20
+MAX_PARTITIONS = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,6 +60,14 @@ def keep_rows(df: DataFrame, text_col: str, work: Callable[[pa.RecordBatch], lis
     return df.mapInArrow(run, schema).filter(F.col(flag)).drop(flag)
 
 
+def partitions_for(df: DataFrame) -> int:
+    """Number of partitions for a shuffle of whole rows of `df`: that of the session, or more if its files, by the
+    optimizer's estimate, would give one more than PARTITION_BYTES. What has no estimate counts as small."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return usual if size >= 1 << 60 else max(usual, min(size // PARTITION_BYTES + 1, MAX_PARTITIONS))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a column as UTF-8 bytes; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -20,7 +20,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ranklab.llm.common import bounded_rows
+from ranklab.llm.common import bounded_rows, partitions_for
 from ranklab.llm.url_filter import host_of, path_of
 
 #: Elements whose text is never main text, and words of class, id and role attributes that say so.
@@ -39,8 +39,11 @@ BLOCK = frozenset((
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends an open element of these kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S)
-NAMES = re.compile(r"""(?i)(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+#: Attributes as HTML reads them: a quote counts only where a value starts, one that is never closed is a letter, and a
+#: stray quote belongs to a name. Without these a tag would run on beyond its `>`.
+VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))?"""
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?>" + VALUE.replace("([^", "(?:[^") + r")?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?>" + VALUE + ")?+")
 WORD = re.compile(r"[a-z]+")
 #: What structure says of a block. LIKELY and DOUBT are named like template and go if the neighbour shares them; with no
 #: neighbour to ask, LIKELY goes and DOUBT stays.
@@ -55,8 +58,9 @@ def _named(tag: str, attributes: str, article: bool) -> int | None:
     if not attributes or tag in ("html", "body", "article", "main"):
         return None
     found = set()
-    for m in NAMES.finditer(attributes):
-        if m.group(1).lower() == "id" and (tag in HEADINGS or tag == "section"):
+    for m in ATTRIBUTE.finditer(attributes):
+        name = m.group(1).lower()
+        if name not in ("class", "id", "role") or name == "id" and (tag in HEADINGS or tag == "section"):
             continue
         for token in "".join(x or "" for x in m.groups()[1:]).split():
             words = WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
@@ -76,7 +80,11 @@ def blocks_of(html: str) -> tuple[list[str], list[int]]:
     texts: list[str] = []
     zones: list[int] = []
     parts: list[str] = []
+    # Open elements with the zone around each, and the places in the stack of every tag and of the block elements: no
+    # tag looks through the stack, so depth costs nothing.
     stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {}
+    in_blocks: list[int] = []
     zone = OPEN
 
     def flush() -> None:
@@ -86,6 +94,13 @@ def blocks_of(html: str) -> tuple[list[str], list[int]]:
             texts.append(text)
             zones.append(zone)
 
+    def close() -> int:
+        tag, around = stack.pop()
+        places[tag].pop()
+        if tag in BLOCK:
+            in_blocks.pop()
+        return around
+
     at, n = 0, len(html)
     while at < n:
         m = TAG.search(html, at)
@@ -94,19 +109,17 @@ def blocks_of(html: str) -> tuple[list[str], list[int]]:
             break
         parts.append(html[at:m.start()])
         at = m.end()
-        if at == m.start():
-            at += 1
         tag = m.group(2)
         if tag is None:
             continue
         tag = tag.lower()
         if m.group(1):
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                if tag in BLOCK or any(s[0] in BLOCK for s in stack[depth:]) or stack[depth][1] != zone:
+            if places.get(tag):
+                depth = places[tag][-1]
+                if in_blocks and in_blocks[-1] >= depth or stack[depth][1] != zone:
                     flush()
-                zone = stack[depth][1]
-                del stack[depth:]
+                while len(stack) > depth:
+                    zone = close()
             elif tag in BLOCK:
                 flush()
             continue
@@ -115,15 +128,17 @@ def blocks_of(html: str) -> tuple[list[str], list[int]]:
         if tag in BLOCK:
             flush()
             ended = ENDS.get(tag, ())
-            while stack and (stack[-1][0] in ended or stack[-1][0] == "p" or stack[-1][0] not in BLOCK and any(s[0] == "p" for s in stack)
-                             and stack[-1][0] not in SILENT):
-                zone = stack.pop()[1]
+            while stack and (stack[-1][0] in ended or stack[-1][0] == "p" or stack[-1][0] not in BLOCK and places.get("p") and stack[-1][0] not in SILENT):
+                zone = close()
         if tag in VOID or m.group(3).endswith("/") and tag not in BLOCK:
             continue
-        named = _named(tag, m.group(3), any(s[0] == "article" for s in stack)) if zone != GONE else None
+        named = _named(tag, m.group(3), bool(places.get("article"))) if zone != GONE else None
         inner = next((k for k in _WORST if k in (zone, named)), MAIN if tag == "article" else zone)
         if inner != zone:
             flush()
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            in_blocks.append(len(stack))
         stack.append((tag, zone))
         zone = inner
         if tag in RAW:
@@ -192,8 +207,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("_host"),
                         path_of(F.col(url_col)).alias("_path"), F.col(html_col).alias("_html"))
     keys = rows.select("_host", "_path", "_id")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The borders: first and last page of each range. Their number is that of the partitions.
+    # The borders: first and last page of each range. Their number is that of the partitions, which grows with the bytes.
+    n = partitions_for(pages)
     ranges = bounded_rows(keys.repartitionByRange(n, "_host", "_path", F.col("_id").asc_nulls_first()).groupBy(F.spark_partition_id())
                           .agg(F.min(F.struct("_host", "_path", "_id")).alias("first"), F.max(F.struct("_host", "_path", "_id")).alias("last")), n, "ranges")
     order = sorted((_key(*r["first"]), _key(*r["last"])) for r in ranges)
@@ -239,7 +254,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             yield _batch([row], None)
 
     parsed = rows.mapInArrow(parse, f"part int, extra boolean, host string, path string, id {kind}, url string, texts array<string>, zones binary")
-    sorted_pages = parsed.repartition(n, "part").sortWithinPartitions("part", "host", "path", F.col("id").asc_nulls_first())
+    sorted_pages = parsed.repartitionById(len(firsts) or 1, F.col("part")).sortWithinPartitions("host", "path", F.col("id").asc_nulls_first())
     found = sorted_pages.mapInArrow(pair, f"id {kind}, url string, text string, n_shared long")
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_shared")
 

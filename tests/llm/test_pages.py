@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import time
 from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ranklab.llm import catalog, embed_dedup, html_extract, url_filter, warc
+from ranklab.llm import catalog, common, embed_dedup, html_extract, url_filter, warc
 from ranklab.session import scratch_path
 
 
@@ -107,6 +108,36 @@ def test_blocks_of_a_page():
     assert html_extract.blocks_of("a &lt;b&gt; c")[0] == ["a <b> c"]
 
 
+def page_text(html):
+    texts, zones = html_extract.blocks_of(html)
+    return html_extract.main_text(texts, zones, set()).split("\n\n")
+
+
+def test_odd_quotes_lose_no_text():
+    assert page_text('<article><p>one <a ">two</a> three</p><p>four <b title="x">five</b></p></article>') == ["one two three", "four five"]
+    assert page_text("<article><p>one <a x'y\" b='q>r'>two</a> three<p it's>four") == ["one two three", "four"]
+    # Never closed: a letter. Closed further on: the value goes up to there, as in HTML.
+    assert page_text('<article><p>one <a href="x>two</a> three</p><p>four') == ["one two three", "four"]
+    assert page_text('<article><p>one <a href="x>two</a> <a href="y">three') == ["one three"]
+    assert page_text("<article><p title='class=ad'>one<p data-class=ad>two<p class = 'ad' >no<p CLASS=ad>no</article>") == ["one", "two"]
+    assert page_text("<article><p a=>one<br/>two<p =\"x>three<p/ /a / b = c>four") == ["one two", "three", "four"]
+
+
+def test_depth_costs_nothing():
+    html = "<article>" + "<div><b>" * 30_000 + "x" + "</b></div>" * 30_000
+    start = time.perf_counter()
+    assert page_text(html) == ["x"] and time.perf_counter() - start < 5
+
+
+def test_partitions_grow_with_the_files(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).coalesce(1).write.parquet(path)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.partitions_for(spark.read.parquet(path)) == usual
+    monkeypatch.setattr(common, "PARTITION_BYTES", 10_000)
+    assert common.partitions_for(spark.read.parquet(path)) > max(usual, 50)
+
+
 def brute_lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
