@@ -74,7 +74,8 @@ def _demand(strings: Iterable[str]) -> Query:
 
 
 def _walk(parts) -> tuple[set[str] | None, Query]:
-    """Of a sequence: the lower-cased strings it is one of (None: it may be others), and the query of what was cut off."""
+    """Of a sequence: the lower-cased strings it is one of (None: it may be others), and the query of what was cut off.
+    A string has one character per UTF-8 byte, like the index."""
     run: set[str] = {""}
     asked: Query = None
     whole = True
@@ -91,16 +92,21 @@ def _walk(parts) -> tuple[set[str] | None, Query]:
     return (run, asked) if whole else (None, _both(asked, _demand(run)))
 
 
+def _letter(code: int) -> str:
+    """A literal as the index sees it: the bytes of its UTF-8 form, A-Z lowered, nothing else folded."""
+    return chr(code).encode("utf-8", "surrogatepass").lower().decode("latin-1")
+
+
 def _part(kind, value) -> tuple[set[str] | None, Query]:
     if kind is op.LITERAL:
-        return {chr(value).lower()}, None
+        return {_letter(value)}, None
     if kind is op.IN:
         members = set()
         for what, x in value:
             if what is op.LITERAL:
-                members.add(chr(x).lower())
+                members.add(_letter(x))
             elif what is op.RANGE and x[1] - x[0] < MAX_CLASS:
-                members.update(chr(c).lower() for c in range(x[0], x[1] + 1))
+                members.update(_letter(c) for c in range(x[0], x[1] + 1))
             else:
                 return None, None
         return (members, None) if len(members) <= MAX_CLASS else (None, None)
@@ -130,7 +136,7 @@ def _part(kind, value) -> tuple[set[str] | None, Query]:
 
 
 def trigram_query(pattern: str) -> Query:
-    """Boolean query over lower-cased trigrams that holds for every text with a match of `pattern`."""
+    """Boolean query over trigrams of UTF-8 bytes (A-Z lowered) that holds for every text with a match of `pattern`."""
     strings, asked = _walk(list(tree.parse(pattern)))
     return _both(asked, _demand(strings) if strings is not None else None)
 

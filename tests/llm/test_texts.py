@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-import re
 import zlib
 
 import numpy as np
@@ -115,6 +114,16 @@ def test_trigram_candidates_lose_nothing(texts):
         assert [(secret_scan.BASE[k].kind, a, b) for a, k, b in found] == [s for s in brute_secrets(text) if s[0] in ("assign", "access", "hex")]
 
 
+def test_rules_beyond_ascii(spark):
+    rules = (secret_scan.Rule("a", "café-[0-9]{6}"), secret_scan.Rule("b", "clé=[a-z]{4,}", any_case=True), secret_scan.Rule("c", "ключ[0-9]{3}"),
+             secret_scan.Rule("d", "[éè]t[àa]x"), secret_scan.Rule("e", "(?:€|Ⅷ)uro", any_case=True))
+    texts = ["x café-123456", "CLé=ABCD clé=abcd CLÉ=abcd", "🙂 ключ123 Ключ123", "étàx ètax Étàx", "€URO ⅷuro Ⅷuro", "", None]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in secret_scan.find_secrets(frame(spark, texts), rules).collect()}
+    want = [sorted((m.start(), r.kind, m.end()) for r in rules for m in re.finditer(r.pattern, t or "", re.ASCII | (re.I if r.any_case else 0))) for t in texts]
+    assert {i: got[i] for i in range(len(texts))} == {i: [(k, a, b) for a, k, b in w] for i, w in enumerate(want)}
+    assert all(want[:5])
+
+
 def test_secret_digest(spark):
     row = secret_scan.digest(frame(spark, [SECRETS[5], "é password=abcdef"])).filter("doc_id = 1").first()
     assert (row.n_assign, row.n_access, row.n_hex, row.spans) == (1, 0, 0, "assign:2:17")
