@@ -3,10 +3,15 @@
 Texts are normalised byte by byte (A-Z lowered, every ASCII byte that is no letter or digit a separator), so every word
 keeps its place in the original. Items are cut into windows of `window` words; all windows are the patterns of a single
 automaton. A hit is translated from the normalised text to word numbers and from there to offsets of the original.
+
+Windows are cut and counted by Spark. More of them than WINDOW_BYTES go into several groups, each with an automaton of its
+own that is read, used and given up before the next: a pass over the texts per group, and any number of items is exact
+within the memory of one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import ahocorasick
@@ -14,13 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ranklab.llm.common import bounded_rows, keep_rows, per_batch, utf8
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from ranklab.llm.common import utf8, written
 
 WINDOW = 13
-#: Most distinct windows of one automaton (about 1 GB of automaton at 80 letters each); more go to further automata.
-AUTOMATON_WINDOWS = 200_000
-#: Most benchmark items the driver reads.
-MAX_ITEMS = 2_000_000
+#: Bytes of distinct windows, with the ids of their items, in one automaton: about 60 times as much memory in a worker.
+WINDOW_BYTES = 16 << 20
 FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
 
@@ -32,35 +38,33 @@ def item_windows(text: str | None, window: int = WINDOW) -> list[tuple[bytes, in
 
 
 class Passages:
-    """The automata over all windows of the benchmark; built once per worker and kept with the broadcast."""
+    """The automaton over windows of the benchmark; built once per worker and kept with the broadcast."""
 
     def __init__(self, windows: list[tuple[bytes, int, tuple[str, ...]]]) -> None:
-        self.automata = []
-        for start in range(0, len(windows), AUTOMATON_WINDOWS):
-            automaton = ahocorasick.Automaton()
-            for words, n, items in windows[start:start + AUTOMATON_WINDOWS]:
-                automaton.add_word(f" {words.decode('latin-1')} ", (n, items))
-            automaton.make_automaton()
-            self.automata.append(automaton)
-
-    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[str]]:
-        """Number of words of a text, the merged runs of hit words (from, to) and the items found, as sorted strings."""
+        self.automaton = ahocorasick.Automaton() if windows else None
+        for words, n, items in windows:
+            self.automaton.add_word(f" {words.decode('latin-1')} ", (n, items))
+        if windows:
+            self.automaton.make_automaton()
+
+    def scan(self, text: bytes, runs: list[tuple[int, int]] = (), items: list[str] = ()) -> tuple[int, list[tuple[int, int]], list[str]]:
+        """Number of words of a text, the merged runs of hit words (from, to) and the items found, as sorted strings;
+        with what earlier automata found."""
         words = text.translate(FOLD).split()
-        if not words or not self.automata:
-            return len(words), [], []
-        line = f" {b' '.join(words).decode('latin-1')} "
-        hits = [(end, n, items) for automaton in self.automata for end, (n, items) in automaton.iter(line)]
+        hits = []
+        if words and self.automaton is not None:
+            hits = [(end, n, found) for end, (n, found) in self.automaton.iter(f" {b' '.join(words).decode('latin-1')} ")]
         if not hits:
-            return len(words), [], []
+            return len(words), list(runs), list(items)
         ends = np.fromiter(accumulate(len(w) + 1 for w in words), dtype=np.int64, count=len(words))
         last = np.searchsorted(ends, [end for end, _, _ in hits])
-        runs: list[tuple[int, int]] = []
-        for start, stop in sorted((int(k) + 1 - n, int(k) + 1) for k, (_, n, _) in zip(last, hits)):
-            if runs and start <= runs[-1][1]:
-                runs[-1] = (runs[-1][0], max(stop, runs[-1][1]))
+        merged: list[tuple[int, int]] = []
+        for start, stop in sorted([*((int(k) + 1 - n, int(k) + 1) for k, (_, n, _) in zip(last, hits)), *runs]):
+            if merged and start <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(stop, merged[-1][1]))
             else:
-                runs.append((start, stop))
-        return len(words), runs, sorted({item for _, _, items in hits for item in items})
+                merged.append((start, stop))
+        return len(words), merged, sorted({item for _, _, found in hits for item in found}.union(items))
 
 
 def original_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -73,53 +77,73 @@ def original_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
     return [(int(points[edge[2 * a]]), int(points[edge[2 * b - 1]])) for a, b in runs]
 
 
-def collect_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> list[tuple[bytes, int, tuple[str, ...]]]:
-    """Windows of all items with the items that contain each. The benchmark is a fixed test set: its distinct rows are
-    read by the driver, at most MAX_ITEMS of them, else an error."""
-    found: dict[tuple[bytes, int], dict[str, None]] = {}
-    rows = bounded_rows(benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).distinct(), MAX_ITEMS, "benchmark")
-    for item, text in sorted(((r.i, r.t) for r in rows if r.i is not None), key=lambda x: (x[0], x[1] or "")):
-        for key in item_windows(text, window):
-            found.setdefault(key, {})[item] = None
-    return [(words, n, tuple(items)) for (words, n), items in found.items()]
-
-
-def _scanner(df: DataFrame, windows):
-    shared = df.sparkSession.sparkContext.broadcast({"windows": windows})
-
-    def passages() -> Passages:
-        state = shared.value
-        if "passages" not in state:
-            state["passages"] = Passages(state["windows"])
-        return state["passages"]
-
-    return passages
+def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The distinct windows of all items: (words, n, items), the items that contain each as strings. An item without id
+    has windows, but no name to list."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found = item_windows(text, window)
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int32()),
+                                                  pa.array([item] * len(found), pa.string())], names=["words", "n", "item"])
+
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text is not null")
+    return items.mapInArrow(cut, "words binary, n int, item string").groupBy("words", "n").agg(F.collect_set("item").alias("items"))
+
+
+def _scanned(df: DataFrame, text_col: str, benchmark: DataFrame, window: int, fields: list[StructField],
+             finish: Callable[[pa.RecordBatch, list[tuple]], list], keep: list[str]) -> DataFrame:
+    """The columns `keep` of `df` and those of `fields`, which `finish` makes from a batch and its scans (number of words,
+    runs, items). One pass; with several groups of windows, all but the last write what they found beside the rows."""
+    spark = df.sparkSession
+    windows = written(benchmark_windows(benchmark, window=window), "benchmark-windows")
+    weight = F.length("words") + F.coalesce(F.aggregate("items", F.lit(0), lambda n, x: n + F.length(x) + 8), F.lit(0))
+    groups = (windows.agg(F.sum(weight.cast("long"))).first()[0] or 0) // WINDOW_BYTES + 1
+    found = "_found"
+    while found in df.columns:
+        found += "_"
+    kind = StructType.fromDDL(f"{found} struct<runs: array<struct<a: long, b: long>>, items: array<string>>")
+    for group in range(groups):
+        some = windows.filter(F.pmod(F.xxhash64("words"), F.lit(groups)) == group).collect()
+        shared = spark.sparkContext.broadcast({"windows": [(bytes(w.words), w.n, tuple(w["items"])) for w in some]})
+        last = group == groups - 1
+        kept = [df.schema[c] for c in (keep if last else [c for c in df.columns if c != found])]
+        schema = StructType([*kept, *(fields if last else kind.fields)])
+
+        def run(batches, shared=shared, arrow=to_arrow_schema(schema), last=last, names=[f.name for f in kept]):
+            state = shared.value
+            if "passages" not in state:
+                state["passages"] = Passages(state.pop("windows"))
+            scan = state["passages"].scan
+            for batch in batches:
+                before = batch.column(found).to_pylist() if found in batch.schema.names else [{"runs": [], "items": []}] * batch.num_rows
+                scans = [scan(text, [(r["a"], r["b"]) for r in old["runs"]], old["items"]) for text, old in zip(utf8(batch.column(text_col)), before)]
+                new = finish(batch, scans) if last else [[{"runs": [{"a": a, "b": b} for a, b in runs], "items": items} for _, runs, items in scans]]
+                columns = [batch.column(n).cast(arrow.field(n).type) for n in names]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, f.type) for v, f in zip(new, list(arrow)[len(names):]))], schema=arrow)
+
+        df = df.mapInArrow(run, schema)
+        if not last:
+            df = written(df, "scanned")
+            shared.unpersist()
+    return df
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row: id, `n_words`, `n_hit` (words inside any occurrence of a window), `items` (sorted as strings) and `spans`
     (hit runs as code-point offsets of the original text).
 
-    An item of fewer than `window` words is one window; items without words or id match nothing. A null text has no
-    words. Rows are scanned one by one, so null or repeated ids come back as they are.
+    An item of fewer than `window` words is one window; items without words match nothing, those without id are not listed
+    in `items`, but their words are hit. A null text has no words. Rows are scanned one by one, so null or repeated ids come back as they are.
     """
-    passages = _scanner(docs, collect_windows(benchmark, window=window))
-
-    def work(batch):
-        scan = passages().scan
-        out = {"n_words": [], "n_hit": [], "items": [], "spans": []}
-        for text in utf8(batch.column("_text")):
-            n, runs, items = scan(text)
-            out["n_words"].append(n)
-            out["n_hit"].append(sum(b - a for a, b in runs))
-            out["items"].append(items)
-            out["spans"].append([{"start": a, "end": b} for a, b in original_spans(text, runs)])
-        return out
+    def finish(batch: pa.RecordBatch, scans: list[tuple]) -> list:
+        spans = [[{"start": a, "end": b} for a, b in original_spans(text, runs)] for text, (_, runs, _) in zip(utf8(batch.column("_text")), scans)]
+        return [[n for n, _, _ in scans], [sum(b - a for a, b in runs) for _, runs, _ in scans], [items for _, _, items in scans], spans]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return per_batch(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), ["_id", "_text"],
-                     f"_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>",
-                     work).withColumnRenamed("_id", id_col)
+    fields = StructType.fromDDL("n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>").fields
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return _scanned(rows, "_text", benchmark, window, fields, finish, ["_id"]).withColumnRenamed("_id", id_col)
 
 
 def is_contaminated(n_hit, n_words):
@@ -129,14 +153,14 @@ def is_contaminated(n_hit, n_words):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of `docs`, all columns, that are not contaminated."""
-    passages = _scanner(docs, collect_windows(benchmark, window=window))
+    flag = "_clean"
+    while flag in docs.columns:
+        flag += "_"
 
-    def clean(batch: pa.RecordBatch) -> list[bool]:
-        scan = passages().scan
-        found = (scan(text)[:2] for text in utf8(batch.column(text_col)))
-        return [not is_contaminated(np.int64(sum(b - a for a, b in runs)), n) for n, runs in found]
+    def finish(batch: pa.RecordBatch, scans: list[tuple]) -> list:
+        return [[not is_contaminated(sum(b - a for a, b in runs), n) for n, runs, _ in scans]]
 
-    return keep_rows(docs, text_col, clean)
+    return _scanned(docs, text_col, benchmark, window, [StructField(flag, BooleanType())], finish, docs.columns).filter(F.col(flag)).drop(flag)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -149,14 +173,14 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE = f"""
-WITH b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
 p AS (SELECT DISTINCT item, n, array_to_string(w[k + 1:k + n], ' ') AS words
       FROM (SELECT *, least({WINDOW}, len(w)) AS n FROM b WHERE len(w) > 0), unnest(range(len(w) - n + 1)) AS u(k)),
 d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
 g AS (SELECT doc_id, n, k, array_to_string(w[k + 1:k + n], ' ') AS words FROM d, (SELECT DISTINCT n FROM p), unnest(range(greatest(0, len(w) - n + 1))) AS u(k)),
 h AS (SELECT doc_id, n, k, item FROM g JOIN p USING (n, words)),
 c AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM (SELECT DISTINCT doc_id, n, k FROM h), unnest(range(n)) AS u(j) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)

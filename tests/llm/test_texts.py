@@ -141,20 +141,23 @@ def brute_passages(text, items, window=13):
         for k in range(len(words) - n + 1 if n else 0):
             if tuple(words[k:k + n]) in windows:
                 hit.update(range(k, k + n))
-                found.add(str(item))
+                found.update([str(item)] if item is not None else [])
     return len(words), len(hit), sorted(found)
 
 
-def test_passages_equal_brute_force(spark):
+@pytest.mark.parametrize("budget", [1 << 24, 700])
+def test_passages_equal_brute_force(spark, budget, monkeypatch):
+    monkeypatch.setattr(decontaminate, "WINDOW_BYTES", budget)
     rng = random.Random(3)
     line = [rng.choice(WORDS) for _ in range(60)]
-    items = [(10, " ".join(line[:20])), (9, " ".join(line[5:25])), (2, "Élan vital"), (3, ""), (4, None), (5, "rain near rain near rain near rain near rain near rain near rain near"), (9, "another text one id")]
-    texts = sample_texts() + [" ".join(line), ", ".join(line[:19]).upper(), "Élan, vital élan VITAL?", "rain near " * 20, " ".join(WORDS * 3 + line[2:16]), "élan vital", "x" * 40 + " " + " ".join(line[1:14])]
+    items = [(10, " ".join(line[:20])), (9, " ".join(line[5:25])), (2, "Élan vital"), (3, ""), (4, None), (5, "rain near rain near rain near rain near rain near rain near rain near"), (9, "another text one id"), (None, "an item without id")]
+    texts = sample_texts() + [" ".join(line), ", ".join(line[:19]).upper(), "Élan, vital élan VITAL?", "rain near " * 20, " ".join(WORDS * 3 + line[2:16]), "élan vital", "x" * 40 + " " + " ".join(line[1:14]), "an item, without id: here"]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, n_words int")
     found = decontaminate.find_passages(frame(spark, texts), bench)
     got = {r.doc_id: r for r in found.collect()}
     for i, text in enumerate(texts):
         assert (got[i].n_words, got[i].n_hit, got[i].items) == brute_passages(text, items)
+    assert (got[len(texts) - 1].n_hit, got[len(texts) - 1].items) == (4, [])
     # Only A-Z are lowered, so the É of the item is another letter than é.
     assert [(s.start, s.end) for s in got[texts.index("Élan, vital élan VITAL?")].spans] == [(0, 11)]
     assert got[texts.index("élan vital")].spans == []
