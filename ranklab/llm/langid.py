@@ -20,7 +20,7 @@ UNKNOWN = "und"
 DIMS = 4096
 GRAMS = (1, 2, 3)
 CENTROIDS = 3
-#: The fit reads about this many training texts of each language, drawn by a hash of id and text; less if there are so
+#: The fit reads about this many different training texts of each language, drawn by a hash of the text; less if there are so
 #: many languages that MAX_SAMPLE texts (DIMS floats each on the driver) would not do.
 SAMPLE_PER_LANG = 1500
 MAX_LANGS = 500
@@ -116,20 +116,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         per_lang: int = SAMPLE_PER_LANG) -> Model:
     """A model of all languages among the labelled rows that are not held out.
 
-    Languages and their sizes come from all rows. Of each language about `per_lang` texts, chosen by a hash, are turned
-    into vectors on the executors; the driver gets DIMS small numbers of at most MAX_SAMPLE texts. Rows whose text or
-    language is null, or whose text has no letter, teach nothing; no rows give a model that knows no language.
+    Languages and their numbers of different texts (to a few per cent) come from all rows. Of each language about
+    `per_lang` different texts, chosen by a hash, are turned into vectors on the executors; the driver gets DIMS small
+    numbers of at most MAX_SAMPLE texts. However often a text is repeated, it counts once. Rows whose text or language is
+    null, or whose text has no letter, teach nothing; no rows give a model that knows no language.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     rows = rows.filter(~held_out("_id") & F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (F.col("_lang") != UNKNOWN))
-    sizes = {r["_lang"]: r["count"] for r in bounded_rows(rows.groupBy("_lang").count(), MAX_LANGS, "languages")}
+    sizes = {r["_lang"]: r["n"] for r in bounded_rows(rows.groupBy("_lang").agg(F.approx_count_distinct(F.xxhash64("_text")).alias("n")), MAX_LANGS, "languages")}
     empty = Model(np.ones(DIMS, dtype=np.float32), np.zeros((0, DIMS), dtype=np.float32), (), np.zeros(0))
     if not sizes:
         return empty
-    draw = F.shiftrightunsigned(F.xxhash64("_id", "_text"), 11).cast("double") / float(1 << 53)
+    draw = F.shiftrightunsigned(F.xxhash64("_lang", "_text"), 11).cast("double") / float(1 << 53)
     per_lang = min(per_lang, 0.8 * MAX_SAMPLE / len(sizes))
-    wanted = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_lang / n))])
+    wanted = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_lang / max(n, 1)))])
     sample = rows.withColumn("_draw", draw).filter(F.col("_draw") < wanted[F.col("_lang")])
+    # Copies of a drawn text meet inside their partition first, so a hot text is one row per partition in the shuffle.
+    sample = sample.groupBy("_lang", "_draw").agg(F.min("_text").alias("_text"))
 
     def work(batch: pa.RecordBatch) -> dict:
         texts = batch.column("_text").to_pylist()

@@ -376,6 +376,17 @@ def test_langid_learns_held_out_languages(spark):
     assert all(abs(again[i] - got[i].score) < 1e-6 for i in again)
 
 
+def test_langid_learns_from_repeated_rows(spark):
+    rows = [(k, "der schöne alte Wald steht still und schweigt", "de") for k in range(3000)] + [(3001, "the quiet old wood stands there", "en"), (3004, "the rain in the old town", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert set(model.langs) == {"de", "en"}
+    for k in (1, 2, 3, 4, 6):
+        assert set(langid.fit(docs.filter(f"doc_id in ({k}, 3001, 3004)")).langs) >= {"en"}
+    got = {r.lang_pred for r in langid.identify(docs.filter("doc_id < 9"), model).collect()}
+    assert got == {"de"}
+
+
 def test_langid_without_labels(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.digest(docs).collect()] == ["und"]
