@@ -15,8 +15,11 @@ from ranklab.llm.common import written
 from ranklab.session import union_all
 
 DAMPING = 0.85
+#: Ranks spread for ROUNDS rounds, and on by ROUNDS_AT_ONCE until those move less than SETTLED of all rank. What is still
+#: under way shrinks by DAMPING every round, so that ends whatever the graph.
 ROUNDS = 20
 ROUNDS_AT_ONCE = 5
+SETTLED = 1e-9
 #: A host is a seed if more than this share of its pages has one rule verdict, and is blocked if its distrust is more
 #: than THRESHOLD of its trust and distrust together.
 SEED_SHARE = 0.5
@@ -71,11 +74,12 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return found.groupBy("src", "dst").agg(F.count("*").cast("double").alias("links"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
     """Personalised PageRank, both kinds at once: (kind, host, rank), `trust` along links and `distrust` against them.
 
     `seeds` is (kind, host). Ranks of a kind start at its seeds and add to at most 1; what reaches a host without
-    further links leaves. Ranks are written every few rounds; without links the seeds keep their start.
+    further links leaves. Ranks are written every few rounds, and after `rounds` of them the rounds go on until a few move
+    the ranks of either kind by no more than `settled` in sum; without links the seeds keep their start.
     """
     both = union_all([links.select(F.lit("trust").alias("kind"), "src", "dst", "links"),
                       links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links")])
@@ -86,13 +90,19 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     if share.isEmpty():
         return start
     rank = start
-    for _ in range(0, rounds, ROUNDS_AT_ONCE):
+    done, moved = 0, float("inf")
+    while done < rounds or moved > settled:
         new = rank
         for _ in range(ROUNDS_AT_ONCE):
             sent = new.join(share, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
             back = start.select("kind", "host", (F.col("rank") * (1 - damping)).alias("rank"))
             new = union_all([sent, back]).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        rank = written(new, "ranks")
+        new = written(new, "ranks")
+        done += ROUNDS_AT_ONCE
+        if done >= rounds:
+            change = union_all([new, rank.select("kind", "host", (-F.col("rank")).alias("rank"))]).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("rank"))
+            moved = change.agg(F.sum("rank")).first()[0] or 0.0
+        rank = new
     return rank
 
 
@@ -120,7 +130,7 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...], id_col: str = "page
                          *[F.round(k, 12).alias(k) for k in ("trust", "distrust")])
 
 
-def oracle(rules: tuple[UrlRule, ...]) -> str:
+def oracle(rules: tuple[UrlRule, ...], n_rounds: int = ROUNDS) -> str:
     """The same in SQL, every round written out; for tables whose ranks have settled by the last round."""
     lower = f"translate({{}}, '{UPPER}', '{LOWER}')"
     host = lambda url: lower.format(f"regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1)")
@@ -128,7 +138,7 @@ def oracle(rules: tuple[UrlRule, ...]) -> str:
                     for r in sorted(rules, key=lambda r: -len(r.pattern)))
     verdict = " ".join(f"WHEN '{r.pattern}' THEN '{r.verdict}'" for r in rules)
     rounds = ""
-    for k in range(1, ROUNDS + 1):
+    for k in range(1, n_rounds + 1):
         rounds += f""",
 r{k} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM (SELECT kind, host, rank * {1 - DAMPING} AS rank FROM r0
   UNION ALL SELECT e.kind, e.dst, r.rank * e.links / t.total * {DAMPING} FROM r{k - 1} r JOIN e ON e.kind = r.kind AND e.src = r.host JOIN t ON t.kind = e.kind AND t.src = e.src) GROUP BY ALL)"""
@@ -149,4 +159,4 @@ f AS (SELECT host, round(coalesce(sum(rank) FILTER (kind = 'trust'), 0), 12) AS
 SELECT page_id, v.host, path, rule, coalesce(said, CASE WHEN coalesce(distrust, 0) > (coalesce(trust, 0) + coalesce(distrust, 0)) * {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(trust, 0.0) AS trust, coalesce(distrust, 0.0) AS distrust
 FROM v LEFT JOIN f ON f.host = v.host
-""".replace("{ranks}", f"r{ROUNDS} WHERE (SELECT count(*) FROM c) > 0 UNION ALL SELECT * FROM r0 WHERE (SELECT count(*) FROM c) = 0")
+""".replace("{ranks}", f"r{n_rounds} WHERE (SELECT count(*) FROM c) > 0 UNION ALL SELECT * FROM r0 WHERE (SELECT count(*) FROM c) = 0")

@@ -43,7 +43,7 @@ def test_the_first_of_equally_long_rules_wins(spark):
         assert {(r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()} == {("a.b/x", kinds[0])}
 
 
-def brute_ranks(links, trusted, blocked, rounds=20, d=0.85):
+def brute_ranks(links, trusted, blocked, rounds=200, d=0.85):
     out = []
     for seeds, edges in ((trusted, links), (blocked, [(b, a, n) for a, b, n in links])):
         total = {}
@@ -82,6 +82,16 @@ def test_trust_and_distrust_spread_over_links(spark):
     assert {got[h].verdict for h in hosts if h.endswith(".com")} == {"allow", "block"}
 
 
+def test_ranks_go_on_until_they_settle(spark):
+    # A chain of 30 hosts: the last is reached in round 30 only.
+    links = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(30)], "src string, dst string, links double")
+    seeds = spark.createDataFrame([("trust", "h0"), ("distrust", "h30")], "kind string, host string")
+    got = {(r["kind"], r.host): r["rank"] for r in url_filter.propagate(links, seeds).collect()}
+    for i in range(31):
+        want = 0.15 * 0.85 ** i
+        assert got["trust", f"h{i}"] == pytest.approx(want, rel=1e-9) and got["distrust", f"h{30 - i}"] == pytest.approx(want, rel=1e-9)
+
+
 def test_small_distrust_decides(spark):
     chain = ["bad.net", *(f"h{i}.com" for i in range(5))]
     rows = [(i, f"http://{h}/x", f"<a href='http://{chain[i - 1]}/'>x</a>" if i else None) for i, h in enumerate(chain)]
@@ -339,7 +349,7 @@ def test_url_oracle_agrees_on_linked_hosts(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
     columns = ["page_id", "host", "path", "rule", "verdict", "trust", "distrust"]
-    want = con.execute(f"SELECT {', '.join(columns)} FROM ({url_filter.oracle(catalog.URL_RULES)}) ORDER BY page_id").fetchall()
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({url_filter.oracle(catalog.URL_RULES, 120)}) ORDER BY page_id").fetchall()
     got = [tuple(r[c] for c in columns) for r in url_filter.judge_urls(pages, catalog.URL_RULES).orderBy("page_id").collect()]
     assert [g[:5] for g in got] == [w[:5] for w in want] and max(r[6] for r in got) > 0
     assert [g[5:] for g in got] == [pytest.approx(w[5:], abs=1e-9) for w in want]
