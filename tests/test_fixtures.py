@@ -375,3 +375,16 @@ def test_fusion_uses_ranks_below_the_head(spark):
     got = fu.rrf_fuse2(a, b, top=3).orderBy("rank").collect()
     want = sorted(order, key=lambda d: (-round(1 / (60 + full[0][d]) + 1 / (60 + full[1][d]), 12), d))
     assert [r.doc_id for r in got] == want[:3] and a.where("doc_id = 60").first()["rank"] == 60
+
+
+def test_draws_are_shared_by_tasks_and_never_broadcast(spark):
+    """The same draws as plain Python's, made by several tasks, and no join that holds them in the driver's memory."""
+    from collections import Counter
+    from hashlib import md5
+    from ranklab.operators import bootstrap as bs
+    n, n_boot = 50, 20
+    draws = bs.boot_draws(spark.range(100, 100 + n).withColumnRenamed("id", "unit"), "unit", n_boot, purpose="p")
+    want = Counter((b, 100 + int(md5(f"7|p|{b}|{s}".encode()).hexdigest()[:15], 16) % n) for b in range(1, n_boot + 1) for s in range(1, n + 1))
+    assert {(r.boot, r.unit): r.times for r in draws.collect()} == want
+    assert "Broadcast" not in draws._jdf.queryExecution().executedPlan().toString()
+    assert bs.draw_tasks(540_000, 2_000) >= 200
