@@ -30,6 +30,8 @@ FINAL = -1
 #: Trees between two written states, and judged rows of a bundle.
 KEEP_TREES = 25
 BUNDLE_ROWS = 200_000
+#: Candidates that trees are walked for at once.
+SCORE_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -153,36 +155,40 @@ def _depth(tree: dict) -> int:
     return max([*tree["splits"], *tree["leaves"], 1]).bit_length() - 1
 
 
-def _predict(trees: list[dict], codes: np.ndarray) -> np.ndarray:
+def _predict(trees: list[Flat], codes: np.ndarray) -> np.ndarray:
     score = np.zeros(len(codes))
-    for tree in trees:
-        flat = Flat.of(tree, _depth(tree))
+    for flat in trees:
         score += flat.value[flat.walk(codes)]
     return score
 
 
 def _lambdas(labels: np.ndarray, score: np.ndarray, linear: bool) -> tuple[np.ndarray, np.ndarray]:
-    """First and second derivatives, per model and row of `score` (models x rows), of the pairwise loss weighted by the
-    NDCG change of swapping the pair."""
+    """First and second derivatives, per model and row of `score` (models x rows, or models x queries x rows), of the
+    pairwise loss weighted by the NDCG change of swapping the pair. Queries of one length share the calls to numpy."""
+    shape, labels = score.shape, labels.reshape(-1, labels.shape[-1])
+    score = score.reshape(len(score), *labels.shape)
     gain = labels.astype(float) if linear else np.power(2.0, labels) - 1.0
-    best = (np.sort(gain)[::-1] / np.log2(np.arange(2, len(gain) + 2))).sum()
+    n = gain.shape[1]
+    best = (np.sort(gain, axis=1)[:, ::-1] / np.log2(np.arange(2, n + 2))).sum(axis=1)
     first, second = np.zeros(score.shape), np.zeros(score.shape)
-    if best <= 0 or gain.min() == gain.max():
-        return first, second
-    weight = np.abs(gain[:, None] - gain[None, :]) / best * (labels[:, None] > labels[None, :])
-    at_once = max(1, (1 << 21) // len(gain) ** 2)
-    for low in range(0, len(score), at_once):
-        s = score[low:low + at_once]
-        rank = np.empty(s.shape)
-        np.put_along_axis(rank, np.argsort(-s, axis=1, kind="stable"), np.arange(1.0, len(gain) + 1)[None, :], axis=1)
-        discount = 1.0 / np.log2(rank + 1)
-        delta = weight * np.abs(discount[:, :, None] - discount[:, None, :])
-        rho = 1.0 / (1.0 + np.exp(np.clip(s[:, :, None] - s[:, None, :], -50, 50)))
-        one = rho * delta
-        two = one * (1.0 - rho)
-        first[low:low + at_once] = one.sum(axis=1) - one.sum(axis=2)
-        second[low:low + at_once] = two.sum(axis=1) + two.sum(axis=2)
-    return first, second
+    useful = np.flatnonzero((best > 0) & (gain.min(axis=1) < gain.max(axis=1)))
+    queries_at_once = max(1, (1 << 21) // n ** 2)
+    for start in range(0, len(useful), queries_at_once):
+        q = useful[start:start + queries_at_once]
+        weight = np.abs(gain[q][:, :, None] - gain[q][:, None, :]) / best[q][:, None, None] * (labels[q][:, :, None] > labels[q][:, None, :])
+        at_once = max(1, (1 << 21) // (len(q) * n ** 2))
+        for low in range(0, len(score), at_once):
+            s = score[low:low + at_once, q]
+            rank = np.empty(s.shape)
+            np.put_along_axis(rank, np.argsort(-s, axis=2, kind="stable"), np.broadcast_to(np.arange(1.0, n + 1), s.shape), axis=2)
+            discount = 1.0 / np.log2(rank + 1)
+            delta = weight * np.abs(discount[:, :, :, None] - discount[:, :, None, :])
+            rho = 1.0 / (1.0 + np.exp(np.clip(s[:, :, :, None] - s[:, :, None, :], -50, 50)))
+            one = rho * delta
+            two = one * (1.0 - rho)
+            first[low:low + at_once, q] = one.sum(axis=2) - one.sum(axis=3)
+            second[low:low + at_once, q] = two.sum(axis=3) + two.sum(axis=2)
+    return first.reshape(shape), second.reshape(shape)
 
 
 def _drawn(keys: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
@@ -240,13 +246,18 @@ def _step(bundle: dict, models: list[_Grown], trees: list[dict] | None, params:
                 flat = Flat.of(trees[i], params.depth)
                 scores[k] += flat.value[flat.walk(b["codes"][:, models[i].columns])]
         g, h = np.zeros(scores.shape), np.zeros(scores.shape)
-        start = 0
-        for stop, fold in zip(b["stops"].tolist(), b["folds"].tolist()):
+        sizes = np.diff(b["stops"], prepend=0)
+        unseen = np.array([models[i].fold for i in mine])[:, None] != b["folds"]
+        for n in np.unique(sizes):
+            these = np.flatnonzero(sizes == n)
+            rows = (b["stops"][these] - n)[:, None] + np.arange(n)
             for linear in (False, True):
-                at = [k for k, i in enumerate(mine) if models[i].linear == linear and models[i].fold != fold]
-                if at:
-                    g[at, start:stop], h[at, start:stop] = _lambdas(b["labels"][start:stop], scores[at, start:stop], linear)
-            start = stop
+                at = np.array([k for k, i in enumerate(mine) if models[i].linear == linear], dtype=np.int64)
+                if len(at):
+                    place = at[:, None], rows.ravel()
+                    used = np.repeat(unseen[at][:, these], n, axis=1)
+                    one, two = _lambdas(b["labels"][rows], scores[place].reshape(len(at), *rows.shape), linear)
+                    g[place], h[place] = one.reshape(used.shape) * used, two.reshape(used.shape) * used
         left_out = ~_drawn(b["keys"], params.seed, tree, params.rows)
         g[:, left_out] = h[:, left_out] = 0.0
         out[part] = b | {"scores": scores, "g": g, "h": h}
@@ -396,16 +407,35 @@ def score(packed: DataFrame, model: Model, columns: Sequence[str] | None = None)
     take = [packed_cols.index(f) for f in model.features]
     width, edges, trees = len(packed_cols), model.edges, model.trees
 
+    def scored(rows: list[dict], flats: dict[int, list[Flat]]) -> pd.DataFrame:
+        sizes = [len(r["docs"]) for r in rows]
+        codes = _codes(np.concatenate([_unpack(r, width)[1] for r in rows])[:, take], edges)
+        fold = np.repeat([r["fold"] for r in rows], sizes)
+        oof = np.empty(len(codes))
+        for f in np.unique(fold):
+            oof[fold == f] = _predict(flats[f], codes[fold == f])
+        final = _predict(flats[FINAL], codes) if FINAL in flats else np.full(len(codes), np.nan)
+        return pd.DataFrame({"query_id": np.repeat([r["query_id"] for r in rows], sizes), "doc_id": np.concatenate([np.asarray(r["docs"], dtype=np.int64) for r in rows]),
+                             "fold": fold, "oof_score": oof, "final_score": final})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flats = {f: [Flat.of(t, _depth(t)) for t in ts] for f, ts in trees.items()}
         for batch in batches:
+            some: list[dict] = []
+            held = 0
             for row in batch.to_dict("records"):
-                _, x = _unpack(row, width)
-                codes = _codes(x[:, take], edges)
-                final = _predict(trees[FINAL], codes) if FINAL in trees else np.full(len(codes), np.nan)
-                yield pd.DataFrame({"query_id": row["query_id"], "doc_id": np.asarray(row["docs"], dtype=np.int64), "fold": row["fold"],
-                                    "oof_score": _predict(trees[row["fold"]], codes), "final_score": final})
-
-    return packed.select("query_id", "fold", "docs", "labels", "x").mapInPandas(run, "query_id long, doc_id long, fold int, oof_score double, final_score double")
+                some.append(row)
+                held += len(row["docs"])
+                if held >= SCORE_ROWS:
+                    yield scored(some, flats)
+                    some, held = [], 0
+            if some:
+                yield scored(some, flats)
+
+    # Candidates are few bytes and much work: left to the size of their files, one task would score them all.
+    tasks = max(packed.sparkSession.sparkContext.defaultParallelism, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = packed.select("query_id", "fold", "docs", "labels", "x").repartition(tasks, "query_id")
+    return spread.mapInPandas(run, "query_id long, doc_id long, fold int, oof_score double, final_score double")
 
 
 def scores_of(models: dict[str, Model], packed: dict[str, DataFrame], specs: dict[str, Spec]) -> dict[str, DataFrame]:

@@ -107,6 +107,52 @@ def test_gradients_and_first_split_by_hand(spark):
     assert tree["splits"] == {1: best[1]} and tree["leaves"] == pytest.approx(best[2])
 
 
+def test_gradients_of_queries_of_one_length_share_calls(monkeypatch):
+    """Queries of many lengths, some without a pair: a tree's gradients are those by hand, in one call per length and gain form."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    sizes, folds = rng.integers(1, 5, 60), rng.integers(0, 2, 60)
+    stops, labels = np.cumsum(sizes), rng.integers(0, 4, sizes.sum())
+    scores = rng.normal(size=(4, len(labels)))
+    models = [ltr._Grown(0, 0, (0,), f, linear) for f, linear in ((0, False), (ltr.FINAL, True), (1, False), (0, True))]
+    calls, real = [], ltr._lambdas
+    monkeypatch.setattr(ltr, "_lambdas", lambda *a: calls.append(1) or real(*a))
+    bundle = {0: {"labels": labels, "codes": np.zeros((len(labels), 1), dtype=np.uint8), "keys": np.arange(len(labels)), "stops": stops, "folds": folds, "scores": scores}}
+    out = ltr._step(bundle, models, None, ltr.Params(rows=1.0), 0)[0]
+    for n, fold, stop in zip(sizes, folds, stops):
+        for m, model in enumerate(models):
+            some = labels[stop - n:stop].tolist()
+            useful = model.fold != fold and len(set(some)) > 1
+            g, h = slow_lambdas(some, scores[m, stop - n:stop].tolist(), model.linear) if useful else ([0.0] * n, [0.0] * n)
+            assert out["g"][m, stop - n:stop] == pytest.approx(g) and out["h"][m, stop - n:stop] == pytest.approx(h)
+    assert len(calls) == 8
+
+
+def test_scoring_is_spread_and_lays_out_each_tree_once_per_task(spark):
+    """Scores by walking every tree by hand; one small file of candidates is scored by several tasks."""
+    import numpy as np
+    from ranklab.session import checkpoint
+    table = ranking_table(spark)
+    model, packed = ltr.fit(table, ltr.group_kfold(table, 3), ["good", "rrf"], ltr.Params(trees=4, depth=2, rate=.5, min_child_weight=.01), 3)
+    scores = ltr.score(checkpoint(packed.coalesce(1)), model)
+    assert scores.rdd.getNumPartitions() >= 4
+
+    def by_hand(tree, codes):
+        node = 1
+        while node in tree["splits"]:
+            j, cut, missing_left = tree["splits"][node]
+            node = 2 * node + (not (missing_left if codes[j] == 0 else codes[j] <= cut))
+        return tree["leaves"][node]
+
+    got = {(r.query_id, r.doc_id): (r.oof_score, r.final_score) for r in scores.collect()}
+    want = {}
+    for row in packed.collect():
+        codes = ltr._codes(np.array([np.nan if v is None else v for v in row.x], dtype=float).reshape(-1, 2), model.edges)
+        for doc, c in zip(row.docs, codes):
+            want[row.query_id, doc] = tuple(pytest.approx(sum(by_hand(t, c) for t in model.trees[f])) for f in (row.fold, ltr.FINAL))
+    assert got == want
+
+
 def test_draws_follow_seed_tree_and_row():
     import numpy as np
     keys = np.random.default_rng(1).integers(-2 ** 62, 2 ** 62, 50_000)
