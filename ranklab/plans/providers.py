@@ -42,7 +42,8 @@ def tag_grid(doc_tags: DataFrame, query_tags: DataFrame, docs: DataFrame, ms: Se
     averages = [F.greatest(d.agg(F.count_if(F.col("rd") <= a)).scalar() / n_docs, F.lit(1e-12)).alias(f"avg{a}") for a in cuts]
     every = F.array(*[F.struct(F.lit(a).alias("m_doc"), F.lit(c).alias("m_query"), F.col(f"s{a}_{c}").alias("s"), F.col(f"dl{a}").alias("dl"), F.col(f"avg{a}").alias("avg"))
                       for a, c in cells])
-    wide = sums.join(lengths, "doc_id").select("*", *averages)
+    # Rows meet by query before they become cells, so ranking the lists of the cells shuffles nothing more.
+    wide = sums.join(lengths, "doc_id").select("*", *averages).repartition("query_id")
     cell = wide.select("query_id", "doc_id", F.explode(F.filter(every, lambda x: x["s"].isNotNull())).alias("x")).select("query_id", "doc_id", "x.*").select("*", _each("b", [float(b) for b in bs]))
     factor = (k1 + 1.0) / (1.0 + k1 * (1.0 - F.col("b") + F.col("b") * F.col("dl") / F.col("avg")))
     return cell.select(*CELL, "query_id", "doc_id", F.round(factor * F.col("s"), 9).alias("score")).where(F.col("score") > 0)

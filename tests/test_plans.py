@@ -222,3 +222,13 @@ def test_registry_covers_the_inventory():
     ids = set(re.findall(r"^\| `([a-z0-9_]+)`", open(path, encoding="utf-8").read(), re.M))
     assert len(ids) > 150 and ids <= set(QUERIES), sorted(ids - set(QUERIES))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_cells_of_a_tag_grid_are_ranked_where_they_are_made(spark):
+    """Rows are shuffled by query before they are multiplied by the cells, not after."""
+    from ranklab.operators.ordering import rank_list
+    from ranklab.plans import providers as pr
+    tags = lambda name: spark.createDataFrame([(i, i * r % 7, r) for i in range(1, 7) for r in range(1, 4)], f"{name} bigint, tag_id bigint, rank int")
+    docs = tags("doc_id")
+    ranked = rank_list(pr.tag_grid(docs, tags("query_id"), docs.select("doc_id").distinct(), (1, 2, 3), (0.0, 1.0)), 2, keys=(*pr.CELL, "query_id"))
+    assert "hashpartitioning(m_doc" not in ranked._jdf.queryExecution().executedPlan().toString() and ranked.count()
