@@ -270,10 +270,8 @@ def lsa(spark, d):
   FROM (SELECT query_id, doc_id, round(dot / (dn.n * qn.n) + 2.5e-10, 6) + 0.0 AS score FROM s JOIN dn USING (doc_id) JOIN qn USING (query_id)) QUALIFY rank <= 10""", ("customer_tags", "tag_idf", "nation_queries"))
 def lsa_full(spark, d):
     """The rank of the whole vocabulary truncates nothing: every axis' sign cancels, and scores are plain cosines."""
-    from ranklab.operators.lsa import lsa_vectors
+    from ranklab.operators.lsa import lsa_rank
     from ranklab.operators.ordering import rank_list
     docs = t.table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
-    dv, qv = lsa_vectors(t.customer_tags(spark, d), docs, t.nation_queries(spark, d), LSA_DIMS[-1])
-    from ranklab.operators.similarity import top_k_cosine
-    wide = top_k_cosine(dv, qv, 40, "doc_id", "query_id", best_of="left").select("query_id", "doc_id", shown6("score"))
+    wide = lsa_rank(t.customer_tags(spark, d), docs, t.nation_queries(spark, d), LSA_DIMS[-1], 40).select("query_id", "doc_id", shown6("score"))
     return rank_list(wide, 10).select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))

@@ -54,3 +54,28 @@ def test_sweep_and_empty_tables(spark):
         want = sorted(cos, reverse=True)[:5]
         assert sorted((r.score for r in lists if r.dim == dim), reverse=True) == pytest.approx(want, abs=1e-5)
     assert lsa.lsa_basis(table.limit(0), docs, 5).count() == 0
+
+
+def test_iteration_and_direct_axes_give_the_same_lists(spark, monkeypatch):
+    pairs, table, docs = world(spark)
+    queries = spark.createDataFrame([(1, pairs[0][1]), (1, pairs[9][1]), (2, pairs[5][1]), (3, 10 ** 6)], "query_id bigint, tag_id bigint")
+    lists = lambda: sorted((r.dim, r.query_id, r["rank"], round(r.score, 5)) for r in lsa.lsa_sweep(table, docs, queries, (3, 90), 5).collect())
+    direct = lists()
+    monkeypatch.setattr(lsa, "QUERY_BYTES", 0)
+    assert direct == lists()
+    monkeypatch.setattr(lsa, "DIRECT_TAGS", 0)
+    assert direct == lists() and {r[1] for r in direct} == {1, 2}
+    tags, w = matrix(pairs, 64)
+    basis = {r.tag_id: r.axis for r in lsa.lsa_basis(table, docs, 4, tolerance=1e-10).collect()}
+    _, values, _ = np.linalg.svd(w, full_matrices=False)
+    assert np.allclose(np.linalg.norm(w @ np.array([basis[t] for t in tags]), axis=0), values[:4], atol=1e-6)
+
+
+def test_small_vocabularies_write_no_document_vectors(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(lsa, "checkpoint", lambda df, f=lsa.checkpoint: written.append(df.columns) or f(df))
+    pairs, table, docs = world(spark)
+    asked = table.selectExpr("doc_id AS query_id", "tag_id").where("query_id < 8")
+    d, _ = lsa.lsa_vectors(table, docs, asked, 90)
+    assert d.count() == len({p[0] for p in pairs}) and lsa.lsa_rank(table, docs, asked, 90).count() > 0
+    assert ["doc_id", "vec"] not in written
