@@ -5,6 +5,8 @@ task, as arrays of bin codes, labels and scores. A pass per tree level adds up h
 (models x nodes x features x bins) reaches the driver, which picks the splits. All models grow in the same passes: every
 fold and the final model, of every recipe (`Spec`) over every candidate table. Of two sister nodes only the lighter one is
 counted, the other is the rest of its parent; leaves come from the sums of the last split, so a tree of depth d is d passes.
+While the judged rows of a table are no more than a bundle may hold, passes are nearly all fixed cost: then every model gets
+the bundles of its table and grows in a task of its own, all of them in one job and by the same steps.
 
 Gradients are made once per tree and stay beside the scores with the executors that made them, in memory or on disk. A
 lost one is made again from the bundle before it, and every `KEEP_TREES` trees the bundles are written to the shared
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import json
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -217,7 +219,7 @@ class _Grown:
 
 
 def _bundles(packed: DataFrame, edges: list[list[list[float]]]) -> DataFrame:
-    """One row per task: judged candidates of its queries, table by table."""
+    """(part, bundle): one row per task and table, the judged candidates of its queries."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: dict[int, list] = {}
         for batch in batches:
@@ -226,13 +228,12 @@ def _bundles(packed: DataFrame, edges: list[list[list[float]]]) -> DataFrame:
                 judged = labels >= 0
                 if judged.any():
                     parts.setdefault(row["part"], []).append((labels[judged], _codes(x[judged], edges[row["part"]]), np.asarray(row["keys"], dtype=np.int64)[judged], row["fold"]))
-        bundle = {}
         for part, rows in sorted(parts.items()):
-            bundle[part] = {"labels": np.concatenate([r[0] for r in rows]), "codes": np.concatenate([r[1] for r in rows]), "keys": np.concatenate([r[2] for r in rows]),
-                            "stops": np.cumsum([len(r[0]) for r in rows]), "folds": np.array([r[3] for r in rows])}
-        yield pd.DataFrame({"bundle": [pickle.dumps(bundle, protocol=5)]})
+            bundle = {part: {"labels": np.concatenate([r[0] for r in rows]), "codes": np.concatenate([r[1] for r in rows]), "keys": np.concatenate([r[2] for r in rows]),
+                             "stops": np.cumsum([len(r[0]) for r in rows]), "folds": np.array([r[3] for r in rows])}}
+            yield pd.DataFrame({"part": [part], "bundle": [pickle.dumps(bundle, protocol=5)]})
 
-    return packed.mapInPandas(run, "bundle binary")
+    return packed.mapInPandas(run, "part int, bundle binary")
 
 
 def _step(bundle: dict, models: list[_Grown], trees: list[dict] | None, params: Params, tree: int) -> dict:
@@ -319,8 +320,9 @@ def _best_split(hist: np.ndarray, allowed: np.ndarray, params: Params) -> tuple[
     return float(gain[j, miss, cut]), (int(j), int(cut) + 1, bool(miss == 0)), left[:, j, miss, cut]
 
 
-def _grow(state: RDD, tasks: int, models: list[_Grown], params: Params, tree: int, found: list[dict[int, list[float]]]) -> list[dict]:
-    """One tree for every model."""
+def _grow(count: Callable[[list[dict], list[list[int]]], dict[tuple[int, int], np.ndarray]], models: list[_Grown], params: Params, tree: int,
+          found: list[dict[int, list[float]]]) -> list[dict]:
+    """One tree for every model; `count(growing, wanted)` gives the histograms of all rows."""
     growing = [{"splits": {}, "leaves": {}} for _ in models]
     draws = [np.random.default_rng((params.seed, tree, m.spec, m.fold + 1)) for m in models]
     allowed = []
@@ -335,7 +337,7 @@ def _grow(state: RDD, tasks: int, models: list[_Grown], params: Params, tree: in
         wanted = [[n for n, rest in nodes.items() if rest is None] for nodes in open_nodes]
         if not any(wanted):
             break
-        sums = _summed(state.map(lambda b, g=growing, w=wanted: _histograms(b, models, g, w, params)), tasks)
+        sums = count(growing, wanted)
         coming = [{} for _ in models]
         for i, nodes in enumerate(open_nodes):
             empty = np.zeros((2, len(models[i].columns), params.bins + 1))
@@ -357,10 +359,57 @@ def _grow(state: RDD, tasks: int, models: list[_Grown], params: Params, tree: in
     return growing
 
 
+def _joined(bundles: list[dict]) -> dict:
+    """Several bundles of one table as one."""
+    part, = bundles[0]
+    rows = [b[part] for b in bundles]
+    ends = np.cumsum([len(r["labels"]) for r in rows])
+    out = {c: np.concatenate([r[c] for r in rows]) for c in ("labels", "codes", "keys", "folds")}
+    return {part: out | {"stops": np.concatenate([r["stops"] + end - len(r["labels"]) for r, end in zip(rows, ends)])}}
+
+
+def _grown_apart(bundles: RDD, models: list[_Grown], params: Params) -> tuple[list[list[dict]], list[dict[int, list[float]]]]:
+    """(trees, gains) of every model, each model grown in its own task."""
+    def grow(item: tuple[int, list[bytes]]) -> tuple[int, list[dict], dict[int, list[float]]]:
+        i, parts = item
+        mine, found, trees = [models[i]], [{}], []
+        bundle = _joined([pickle.loads(p) for p in sorted(parts)])
+        for n in range(params.trees):
+            bundle = _step(bundle, mine, trees[-1:] or None, params, n)
+            trees += _grow(lambda growing, wanted, b=bundle: _histograms(b, mine, growing, wanted, params), mine, params, n, found)
+        return i, trees, found[0]
+
+    copies = bundles.flatMap(lambda r: [(i, bytes(r.bundle)) for i, m in enumerate(models) if m.table == r.part])
+    done = {i: (trees, found) for i, trees, found in copies.groupByKey(len(models)).map(grow).collect()}
+    # A table without judged rows has no bundle; its models are made of empty trees, as passes over nothing make them.
+    for i in set(range(len(models))) - set(done):
+        found: list[dict[int, list[float]]] = [{}]
+        done[i] = [_grow(lambda growing, wanted: {}, [models[i]], params, n, found)[0] for n in range(params.trees)], found[0]
+    return [done[i][0] for i in range(len(models))], [done[i][1] for i in range(len(models))]
+
+
+def _grown_together(bundles: RDD, tasks: int, models: list[_Grown], params: Params) -> tuple[list[list[dict]], list[dict[int, list[float]]]]:
+    """(trees, gains) of every model, all grown in common passes over the bundles."""
+    state = bundles.map(lambda r: pickle.loads(bytes(r.bundle)))
+    found: list[dict[int, list[float]]] = [{} for _ in models]
+    trees: list[dict] | None = None
+    grown: list[list[dict]] = []
+    for n in range(params.trees):
+        before, state = state, state.map(lambda b, t=trees, n=n: _step(b, models, t, params, n)).persist(StorageLevel.MEMORY_AND_DISK)
+        if n and n % KEEP_TREES == 0:
+            state.checkpoint()
+        trees = _grow(lambda growing, wanted, s=state: _summed(s.map(lambda b: _histograms(b, models, growing, wanted, params)), tasks), models, params, n, found)
+        grown.append(trees)
+        if n:
+            before.unpersist()
+    state.unpersist()
+    return [[trees[i] for trees in grown] for i in range(len(models))], found
+
+
 def fit_all(tables: dict[str, DataFrame], specs: dict[str, Spec], folds: DataFrame, params: Params = Params(), k: int = 5,
             with_final: bool = True) -> tuple[dict[str, Model], dict[str, DataFrame]]:
     """Train every recipe in `specs`, one model per fold (on the other folds' judged rows) and, if asked, one on all of
-    them, in common passes. Returns the models, and per table the packed candidates, written once."""
+    them. Returns the models, and per table the packed candidates, written once."""
     names = list(tables)
     used = [tuple(dict.fromkeys(f for s in specs.values() if s.table == n for f in s.features)) for n in names]
     packed = {n: checkpoint(pack_queries(tables[n], folds, cols, params.max_group)) for n, cols in zip(names, used)}
@@ -370,26 +419,18 @@ def fit_all(tables: dict[str, DataFrame], specs: dict[str, Spec], folds: DataFra
     out = {n: Model(s.features, [edges[names.index(s.table)][used[names.index(s.table)].index(f)] for f in s.features], {}, {}) for n, s in specs.items()}
 
     both = union_all([packed[n].select(F.lit(i).alias("part"), "query_id", "fold", "labels", "keys", "x") for i, n in enumerate(names)])
-    judged, queries = both.agg(F.sum(F.size(F.filter("labels", lambda v: v >= 0))), F.count("*")).first()
+    judged = {r.part: r.n for r in both.groupBy("part").agg(F.sum(F.size(F.filter("labels", lambda v: v >= 0))).alias("n")).collect()}
     sc = both.sparkSession.sparkContext
-    tasks = max(1, -(-(judged or 0) // BUNDLE_ROWS), min(sc.defaultParallelism, queries))
+    tasks = max(1, -(-sum(judged.values()) // BUNDLE_ROWS), min(sc.defaultParallelism, both.count()))
     shared_folder(both.sparkSession)                   # sets the folder that checkpoints go to
-    state = checkpoint(_bundles(both.repartition(tasks, "query_id"), edges)).rdd.map(lambda r: pickle.loads(bytes(r.bundle)))
-    found: list[dict[int, list[float]]] = [{} for _ in models]
-    trees: list[dict] | None = None
-    grown: list[list[dict]] = []
-    for n in range(params.trees):
-        before, state = state, state.map(lambda b, t=trees, n=n: _step(b, models, t, params, n)).persist(StorageLevel.MEMORY_AND_DISK)
-        if n and n % KEEP_TREES == 0:
-            state.checkpoint()
-        trees = _grow(state, tasks, models, params, n, found)
-        grown.append(trees)
-        if n:
-            before.unpersist()
-    state.unpersist()
+    bundles = checkpoint(_bundles(both.repartition(tasks, "query_id"), edges)).rdd
+    if max(judged.values(), default=0) <= BUNDLE_ROWS:
+        grown, found = _grown_apart(bundles, models, params)
+    else:
+        grown, found = _grown_together(bundles, tasks, models, params)
     for i, m in enumerate(models):
         model = out[list(specs)[m.spec]]
-        model.trees[m.fold], model.gains[m.fold] = [t[i] for t in grown], found[i]
+        model.trees[m.fold], model.gains[m.fold] = grown[i], found[i]
     return out, packed
 
 

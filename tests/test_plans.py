@@ -232,3 +232,17 @@ def test_cells_of_a_tag_grid_are_ranked_where_they_are_made(spark):
     docs = tags("doc_id")
     ranked = rank_list(pr.tag_grid(docs, tags("query_id"), docs.select("doc_id").distinct(), (1, 2, 3), (0.0, 1.0)), 2, keys=(*pr.CELL, "query_id"))
     assert "hashpartitioning(m_doc" not in ranked._jdf.queryExecution().executedPlan().toString() and ranked.count()
+
+
+def test_a_table_within_one_bundle_takes_as_many_jobs_for_many_trees_as_for_few(spark):
+    table = ranking_table(spark)
+    folds = ltr.group_kfold(table, 3)
+    jobs = []
+    for trees in (2, 9):
+        group = f"trees-{trees}"
+        spark.sparkContext.setJobGroup(group, group)
+        models, _ = ltr.fit_all({"a": table}, {"m": ltr.Spec("a", ("good", "rrf"))}, folds, ltr.Params(trees=trees, depth=3, min_child_weight=.01), 3)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        assert {len(ts) for ts in models["m"].trees.values()} == {trees}
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1] > 0
