@@ -246,3 +246,15 @@ def test_a_table_within_one_bundle_takes_as_many_jobs_for_many_trees_as_for_few(
         assert {len(ts) for ts in models["m"].trees.values()} == {trees}
     spark.sparkContext.setJobGroup("", "")
     assert jobs[0] == jobs[1] > 0
+
+
+def test_role_benches_write_their_market_once_and_choose_b_without_latent_ranks(spark, monkeypatch):
+    from ranklab.catalog import reports
+    from ranklab.plans import benches
+    calls, real = [], reports.market
+    monkeypatch.setattr(reports, "WORLDS", {})
+    monkeypatch.setattr(reports, "market", lambda *a: calls.append(a) or real(*a))
+    monkeypatch.setattr("ranklab.catalog.pooling.market", lambda *a: calls.append(a) or real(*a))
+    monkeypatch.setattr(benches, "latent_role_scores", lambda *a: pytest.fail("no latent rank is asked for"))
+    assert compare(QUERIES["role_bench_selected_b"](spark, SMALL), connect(SMALL), ORACLES["role_bench_selected_b"]) is None
+    assert len(calls) == 1
