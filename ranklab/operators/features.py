@@ -115,9 +115,10 @@ def _number(c: Column) -> Column:
     """A number as printed by %g: at most 6 significant digits, no trailing zeros."""
     science = F.format_string("%.5e", c)
     exponent = F.substring_index(science, "e", -1).cast("int")
-    plain = [F.format_string(f"%.{5 - e}f", c) for e in range(-4, 6)]
-    fixed = F.element_at(F.array(*plain), F.least(F.greatest(exponent, F.lit(-4)), F.lit(5)) + 5)
-    short = lambda x: F.when(F.contains(x, F.lit(".")), F.regexp_replace(F.regexp_replace(x, r"0+$", ""), r"\.$", "")).otherwise(x)
+    # one format and one pattern a number: an array of all formats would be made whole, and again wherever it is read
+    digits = F.lit(5) - F.least(F.greatest(exponent, F.lit(-4)), F.lit(5))
+    fixed = F.call_function("format_string", F.concat(F.lit("%."), digits.cast("string"), F.lit("f")), c)
+    short = lambda x: F.regexp_replace(x, r"\.0*$|(\.[0-9]*?)0+$", "$1")
     scientific = F.concat(short(F.substring_index(science, "e", 1)), F.lit("e"), F.substring_index(science, "e", -1))
     return F.when(c == 0, "0").when(exponent.between(-4, 5), short(fixed)).otherwise(scientific)
 
@@ -163,9 +164,14 @@ def grading_requests(pairs: DataFrame, gigs: DataFrame, providers: DataFrame, ru
     as_of = F.lit("2026-10-01").cast("date") if as_of is None else as_of
     g = gigs.select("query_id", F.col("text").alias("gig_text"), gig_terms(as_of).alias("gig_terms"))
     p = providers.select("doc_id", F.col("text").alias("provider_text"), provider_terms(as_of).alias("provider_terms"))
+    return prompts(pairs.select(*PAIR).join(g, "query_id").join(p, "doc_id"), rubrics, variant)
+
+
+def prompts(rows: DataFrame, rubrics: DataFrame, variant: str = "repro") -> DataFrame:
+    """The requests of rows(query_id, doc_id, gig_text, gig_terms, provider_text, provider_terms), which need no join."""
     form = rubrics.where(F.col("variant") == variant).select(
         F.struct("rubric", "gig_head", "provider_head", "closing")).scalar()
-    rows = pairs.select(*PAIR).join(g, "query_id").join(p, "doc_id").withColumn("form", form)
+    rows = rows.withColumn("form", form)
     lines = F.concat(
         F.array(F.col("form.rubric"), F.lit(""), F.concat(F.col("form.gig_head"), F.col("gig_text"))), F.col("gig_terms"),
         F.array(F.lit(""), F.concat(F.col("form.provider_head"), F.col("provider_text"))), F.col("provider_terms"),

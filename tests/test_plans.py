@@ -258,3 +258,13 @@ def test_role_benches_write_their_market_once_and_choose_b_without_latent_ranks(
     monkeypatch.setattr(benches, "latent_role_scores", lambda *a: pytest.fail("no latent rank is asked for"))
     assert compare(QUERIES["role_bench_selected_b"](spark, SMALL), connect(SMALL), ORACLES["role_bench_selected_b"]) is None
     assert len(calls) == 1
+
+
+def joins(frame):
+    return str(frame._jdf.queryExecution().optimizedPlan().toString()).count("Join ")
+
+
+def test_grading_requests_read_every_line_once(spark):
+    frame = QUERIES["grading_requests"](spark, SMALL)
+    assert joins(frame) == 2
+    assert compare(frame, connect(SMALL), ORACLES["grading_requests"]) is None
