@@ -268,3 +268,11 @@ def test_grading_requests_read_every_line_once(spark):
     frame = QUERIES["grading_requests"](spark, SMALL)
     assert joins(frame) == 2
     assert compare(frame, connect(SMALL), ORACLES["grading_requests"]) is None
+
+
+def test_triplets_read_written_gains(spark, monkeypatch):
+    from ranklab.catalog import pooling
+    seen, real = [], pooling.po.hard_negative_triplets
+    monkeypatch.setattr(pooling.po, "hard_negative_triplets", lambda q, d, gains: seen.append(gains) or real(q, d, gains))
+    pooling.triplets(spark, SMALL)
+    assert joins(seen[0]) == 0
