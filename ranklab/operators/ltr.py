@@ -144,14 +144,18 @@ class Flat:
 
     def walk(self, codes: np.ndarray) -> np.ndarray:
         """The node every row ends in."""
-        node, rows = np.ones(len(codes), dtype=np.int64), np.arange(len(codes))
+        node = np.ones(len(codes), dtype=np.int64)
         for _ in range(len(self.feature).bit_length() - 2):
-            j = self.feature[node]
-            c = codes[rows, j]
-            left = np.where(c == 0, self.missing_left[node], c <= self.cut[node])
-            node = np.where(j >= 0, 2 * node + 1 - left, node)
+            node = self.down(codes, node)
         return node
 
+    def down(self, codes: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The nodes one level below `node`; a row in a leaf stays."""
+        j = self.feature[node]
+        c = codes[np.arange(len(codes)), j]
+        left = np.where(c == 0, self.missing_left[node], c <= self.cut[node])
+        return np.where(j >= 0, 2 * node + 1 - left, node)
+
 
 def _depth(tree: dict) -> int:
     return max([*tree["splits"], *tree["leaves"], 1]).bit_length() - 1
@@ -236,6 +240,32 @@ def _bundles(packed: DataFrame, edges: list[list[list[float]]]) -> DataFrame:
     return packed.mapInPandas(run, "part int, bundle binary")
 
 
+def _columns(b: dict, model: _Grown) -> np.ndarray:
+    """The codes of the columns that a model may look at."""
+    every = model.columns == tuple(range(b["codes"].shape[1]))
+    return b["codes"] if every else b["codes"][:, model.columns]
+
+
+def _gradients(b: dict, mine: list[_Grown], scores: np.ndarray, params: Params, tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both derivatives, per model of `mine` and row: 0 in the fold a model must not see and in rows not drawn."""
+    g, h = np.zeros(scores.shape), np.zeros(scores.shape)
+    sizes = np.diff(b["stops"], prepend=0)
+    unseen = np.array([m.fold for m in mine])[:, None] != b["folds"]
+    for n in np.unique(sizes):
+        these = np.flatnonzero(sizes == n)
+        rows = (b["stops"][these] - n)[:, None] + np.arange(n)
+        for linear in (False, True):
+            at = np.array([k for k, m in enumerate(mine) if m.linear == linear], dtype=np.int64)
+            if len(at):
+                place = at[:, None], rows.ravel()
+                used = np.repeat(unseen[at][:, these], n, axis=1)
+                one, two = _lambdas(b["labels"][rows], scores[place].reshape(len(at), *rows.shape), linear)
+                g[place], h[place] = one.reshape(used.shape) * used, two.reshape(used.shape) * used
+    left_out = ~_drawn(b["keys"], params.seed, tree, params.rows)
+    g[:, left_out] = h[:, left_out] = 0.0
+    return g, h
+
+
 def _step(bundle: dict, models: list[_Grown], trees: list[dict] | None, params: Params, tree: int) -> dict:
     """`bundle` with `trees`, one per model, added to its scores (0 at first), and with the gradients of the next tree."""
     out = {}
@@ -245,44 +275,33 @@ def _step(bundle: dict, models: list[_Grown], trees: list[dict] | None, params:
         if trees is not None:
             for k, i in enumerate(mine):
                 flat = Flat.of(trees[i], params.depth)
-                scores[k] += flat.value[flat.walk(b["codes"][:, models[i].columns])]
-        g, h = np.zeros(scores.shape), np.zeros(scores.shape)
-        sizes = np.diff(b["stops"], prepend=0)
-        unseen = np.array([models[i].fold for i in mine])[:, None] != b["folds"]
-        for n in np.unique(sizes):
-            these = np.flatnonzero(sizes == n)
-            rows = (b["stops"][these] - n)[:, None] + np.arange(n)
-            for linear in (False, True):
-                at = np.array([k for k, i in enumerate(mine) if models[i].linear == linear], dtype=np.int64)
-                if len(at):
-                    place = at[:, None], rows.ravel()
-                    used = np.repeat(unseen[at][:, these], n, axis=1)
-                    one, two = _lambdas(b["labels"][rows], scores[place].reshape(len(at), *rows.shape), linear)
-                    g[place], h[place] = one.reshape(used.shape) * used, two.reshape(used.shape) * used
-        left_out = ~_drawn(b["keys"], params.seed, tree, params.rows)
-        g[:, left_out] = h[:, left_out] = 0.0
+                scores[k] += flat.value[flat.walk(_columns(b, models[i]))]
+        g, h = _gradients(b, [models[i] for i in mine], scores, params, tree)
         out[part] = b | {"scores": scores, "g": g, "h": h}
     return out
 
 
+def _node_sums(codes: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray, wanted: list[int], params: Params) -> list[np.ndarray]:
+    """(2, features, bins) of each wanted node: sums of both derivatives over its rows."""
+    n_codes, width = params.bins + 1, codes.shape[1]
+    place = np.full(1 << (params.depth + 1), -1)
+    place[wanted] = np.arange(len(wanted))
+    node = place[node]
+    rows = np.flatnonzero((node >= 0) & (h != 0))
+    at = ((node[rows, None] * width + np.arange(width)) * n_codes + codes[rows]).ravel()
+    sums = [np.bincount(at, np.repeat(d[rows], width), len(wanted) * width * n_codes).reshape(len(wanted), width, n_codes) for d in (g, h)]
+    return [np.stack((sums[0][p], sums[1][p])) for p in range(len(wanted))]
+
+
 def _histograms(bundle: dict, models: list[_Grown], growing: list[dict], wanted: list[list[int]], params: Params) -> dict[tuple[int, int], np.ndarray]:
     """(model, node) -> (2, features, bins): sums of both derivatives over the rows now in the node."""
-    n_codes = params.bins + 1
     out = {}
     for part, b in bundle.items():
         for k, i in enumerate(i for i, m in enumerate(models) if m.table == part):
-            if not wanted[i]:
-                continue
-            codes = b["codes"][:, models[i].columns]
-            width = codes.shape[1]
-            place = np.full(1 << (params.depth + 1), -1)
-            place[wanted[i]] = np.arange(len(wanted[i]))
-            node = place[Flat.of(growing[i], params.depth).walk(codes)]
-            rows = np.flatnonzero((node >= 0) & (b["h"][k] != 0))
-            at = ((node[rows, None] * width + np.arange(width)) * n_codes + codes[rows]).ravel()
-            sums = [np.bincount(at, np.repeat(b[d][k, rows], width), len(wanted[i]) * width * n_codes).reshape(len(wanted[i]), width, n_codes) for d in ("g", "h")]
-            for p, n in enumerate(wanted[i]):
-                out[i, n] = np.stack((sums[0][p], sums[1][p]))
+            if wanted[i]:
+                codes = _columns(b, models[i])
+                node = Flat.of(growing[i], params.depth).walk(codes)
+                out |= {(i, n): x for n, x in zip(wanted[i], _node_sums(codes, b["g"][k], b["h"][k], node, wanted[i], params))}
     return out
 
 
@@ -368,16 +387,41 @@ def _joined(bundles: list[dict]) -> dict:
     return {part: out | {"stops": np.concatenate([r["stops"] + end - len(r["labels"]) for r, end in zip(rows, ends)])}}
 
 
+def _outside(b: dict, model: _Grown) -> dict:
+    """What a model may see of a bundle: its columns, and the queries outside its fold."""
+    sizes = np.diff(b["stops"], prepend=0)
+    seen = b["folds"] != model.fold
+    rows = np.repeat(seen, sizes)
+    return {"labels": b["labels"][rows], "keys": b["keys"][rows], "codes": np.ascontiguousarray(_columns(b, model)[rows]),
+            "stops": np.cumsum(sizes[seen]), "folds": b["folds"][seen]}
+
+
+def _grown_alone(b: dict, model: _Grown, params: Params) -> tuple[list[dict], dict[int, list[float]]]:
+    """(trees, gains) of one model over the rows of one bundle. Rows keep their node from level to level, so that a tree
+    is walked once."""
+    b, found, trees = _outside(b, model), [{}], []
+    scores = np.zeros((1, len(b["labels"])))
+    for n in range(params.trees):
+        g, h = _gradients(b, [model], scores, params, n)
+        node = np.ones(len(b["labels"]), dtype=np.int64)
+
+        def count(growing: list[dict], wanted: list[list[int]]) -> dict[tuple[int, int], np.ndarray]:
+            nonlocal node
+            node = Flat.of(growing[0], params.depth).down(b["codes"], node)
+            return {(0, w): x for w, x in zip(wanted[0], _node_sums(b["codes"], g[0], h[0], node, wanted[0], params))}
+
+        trees += _grow(count, [model], params, n, found)
+        last = Flat.of(trees[-1], params.depth)
+        scores[0] += last.value[last.down(b["codes"], node)]
+    return trees, found[0]
+
+
 def _grown_apart(bundles: RDD, models: list[_Grown], params: Params) -> tuple[list[list[dict]], list[dict[int, list[float]]]]:
     """(trees, gains) of every model, each model grown in its own task."""
     def grow(item: tuple[int, list[bytes]]) -> tuple[int, list[dict], dict[int, list[float]]]:
         i, parts = item
-        mine, found, trees = [models[i]], [{}], []
-        bundle = _joined([pickle.loads(p) for p in sorted(parts)])
-        for n in range(params.trees):
-            bundle = _step(bundle, mine, trees[-1:] or None, params, n)
-            trees += _grow(lambda growing, wanted, b=bundle: _histograms(b, mine, growing, wanted, params), mine, params, n, found)
-        return i, trees, found[0]
+        bundle, = _joined([pickle.loads(p) for p in sorted(parts)]).values()
+        return i, *_grown_alone(bundle, models[i], params)
 
     copies = bundles.flatMap(lambda r: [(i, bytes(r.bundle)) for i, m in enumerate(models) if m.table == r.part])
     done = {i: (trees, found) for i, trees, found in copies.groupByKey(len(models)).map(grow).collect()}
@@ -406,32 +450,52 @@ def _grown_together(bundles: RDD, tasks: int, models: list[_Grown], params: Para
     return [[trees[i] for trees in grown] for i in range(len(models))], found
 
 
-def fit_all(tables: dict[str, DataFrame], specs: dict[str, Spec], folds: DataFrame, params: Params = Params(), k: int = 5,
-            with_final: bool = True) -> tuple[dict[str, Model], dict[str, DataFrame]]:
-    """Train every recipe in `specs`, one model per fold (on the other folds' judged rows) and, if asked, one on all of
-    them. Returns the models, and per table the packed candidates, written once."""
-    names = list(tables)
-    used = [tuple(dict.fromkeys(f for s in specs.values() if s.table == n for f in s.features)) for n in names]
-    packed = {n: checkpoint(pack_queries(tables[n], folds, cols, params.max_group)) for n, cols in zip(names, used)}
-    edges = [bin_edges(tables[n], cols, params.bins) for n, cols in zip(names, used)]
-    models = [_Grown(i, names.index(s.table), tuple(used[names.index(s.table)].index(f) for f in s.features), f, s.linear_gain)
-              for i, s in enumerate(specs.values()) for f in [*range(k), *([FINAL] if with_final else [])]]
-    out = {n: Model(s.features, [edges[names.index(s.table)][used[names.index(s.table)].index(f)] for f in s.features], {}, {}) for n, s in specs.items()}
-
-    both = union_all([packed[n].select(F.lit(i).alias("part"), "query_id", "fold", "labels", "keys", "x") for i, n in enumerate(names)])
+@dataclass(frozen=True)
+class Packed:
+    """A candidate table ready for training: its packed queries, written once, their features and the cut points of each."""
+    queries: DataFrame
+    features: tuple[str, ...]
+    edges: list[list[float]]
+
+
+def used_features(specs: dict[str, Spec], table: str) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(f for s in specs.values() if s.table == table for f in s.features))
+
+
+def pack(rows: DataFrame, folds: DataFrame, features: Sequence[str], params: Params = Params()) -> Packed:
+    return Packed(checkpoint(pack_queries(rows, folds, features, params.max_group)), tuple(features), bin_edges(rows, features, params.bins))
+
+
+def grow_models(packed: dict[str, Packed], specs: dict[str, Spec], wanted: Sequence[tuple[str, int]], params: Params = Params()) -> dict[str, Model]:
+    """The models (recipe, fold) of `wanted`. Draws depend on the recipe's place in `specs`, so a model is the same whichever
+    others are grown with it; `packed` needs only the tables of the wanted recipes."""
+    names = [n for n in packed if any(specs[r].table == n for r, _ in wanted)]
+    models = [_Grown(list(specs).index(r), names.index(specs[r].table), tuple(packed[specs[r].table].features.index(f) for f in specs[r].features), fold, specs[r].linear_gain)
+              for r, fold in wanted]
+    out = {r: Model(specs[r].features, [packed[specs[r].table].edges[packed[specs[r].table].features.index(f)] for f in specs[r].features], {}, {}) for r, _ in wanted}
+
+    both = union_all([packed[n].queries.select(F.lit(i).alias("part"), "query_id", "fold", "labels", "keys", "x") for i, n in enumerate(names)])
     judged = {r.part: r.n for r in both.groupBy("part").agg(F.sum(F.size(F.filter("labels", lambda v: v >= 0))).alias("n")).collect()}
     sc = both.sparkSession.sparkContext
     tasks = max(1, -(-sum(judged.values()) // BUNDLE_ROWS), min(sc.defaultParallelism, both.count()))
     shared_folder(both.sparkSession)                   # sets the folder that checkpoints go to
-    bundles = checkpoint(_bundles(both.repartition(tasks, "query_id"), edges)).rdd
+    bundles = checkpoint(_bundles(both.repartition(tasks, "query_id"), [packed[n].edges for n in names])).rdd
     if max(judged.values(), default=0) <= BUNDLE_ROWS:
         grown, found = _grown_apart(bundles, models, params)
     else:
         grown, found = _grown_together(bundles, tasks, models, params)
-    for i, m in enumerate(models):
-        model = out[list(specs)[m.spec]]
-        model.trees[m.fold], model.gains[m.fold] = grown[i], found[i]
-    return out, packed
+    for (r, fold), trees, gains in zip(wanted, grown, found):
+        out[r].trees[fold], out[r].gains[fold] = trees, gains
+    return out
+
+
+def fit_all(tables: dict[str, DataFrame], specs: dict[str, Spec], folds: DataFrame, params: Params = Params(), k: int = 5,
+            with_final: bool = True) -> tuple[dict[str, Model], dict[str, DataFrame]]:
+    """Train every recipe in `specs`, one model per fold (on the other folds' judged rows) and, if asked, one on all of
+    them. Returns the models, and per table the packed candidates, written once."""
+    packed = {n: pack(df, folds, used_features(specs, n), params) for n, df in tables.items()}
+    models = grow_models(packed, specs, [(r, f) for r in specs for f in [*range(k), *([FINAL] if with_final else [])]], params)
+    return models, {n: p.queries for n, p in packed.items()}
 
 
 def fit(rows: DataFrame, folds: DataFrame, features: Sequence[str], params: Params = Params(), k: int = 5,
@@ -443,7 +507,7 @@ def fit(rows: DataFrame, folds: DataFrame, features: Sequence[str], params: Para
 
 def score(packed: DataFrame, model: Model, columns: Sequence[str] | None = None) -> DataFrame:
     """(query_id, doc_id, fold, oof_score, final_score): every candidate by the model that never saw its query, and
-    by the final model (NULL when there is none). `columns` names the packed features if the model has only some."""
+    by the final model (NaN where there is no such model). `columns` names the packed features if the model has only some."""
     packed_cols = list(columns or model.features)
     take = [packed_cols.index(f) for f in model.features]
     width, edges, trees = len(packed_cols), model.edges, model.trees
@@ -452,8 +516,8 @@ def score(packed: DataFrame, model: Model, columns: Sequence[str] | None = None)
         sizes = [len(r["docs"]) for r in rows]
         codes = _codes(np.concatenate([_unpack(r, width)[1] for r in rows])[:, take], edges)
         fold = np.repeat([r["fold"] for r in rows], sizes)
-        oof = np.empty(len(codes))
-        for f in np.unique(fold):
+        oof = np.full(len(codes), np.nan)
+        for f in set(fold.tolist()) & set(flats):
             oof[fold == f] = _predict(flats[f], codes[fold == f])
         final = _predict(flats[FINAL], codes) if FINAL in flats else np.full(len(codes), np.nan)
         return pd.DataFrame({"query_id": np.repeat([r["query_id"] for r in rows], sizes), "doc_id": np.concatenate([np.asarray(r["docs"], dtype=np.int64) for r in rows]),
@@ -481,8 +545,7 @@ def score(packed: DataFrame, model: Model, columns: Sequence[str] | None = None)
 
 def scores_of(models: dict[str, Model], packed: dict[str, DataFrame], specs: dict[str, Spec]) -> dict[str, DataFrame]:
     """Scores of every recipe of `fit_all`."""
-    used = {n: tuple(dict.fromkeys(f for s in specs.values() if s.table == n for f in s.features)) for n in packed}
-    return {n: score(packed[s.table], models[n], used[s.table]) for n, s in specs.items()}
+    return {n: score(packed[s.table], models[n], used_features(specs, s.table)) for n, s in specs.items()}
 
 
 def ltr_oof(rows: DataFrame, features: Sequence[str], params: Params = Params(), k: int = 5, with_final: bool = False) -> tuple[DataFrame, Model]:

@@ -61,6 +61,29 @@ def test_recipes_grown_together_equal_each_alone(spark, monkeypatch):
     assert all(set(t["splits"]) <= set(range(1, 8)) for ts in together["exp"].trees.values() for t in ts)
 
 
+def test_some_models_alone_are_those_of_all(spark):
+    """A model is the same whichever others grow with it, in tasks of their own and in common passes."""
+    table, specs = ranking_table(spark), {"exp": ltr.Spec("a", ("good", "rrf")), "lin": ltr.Spec("a", ("rrf",), True)}
+    params, folds = ltr.Params(trees=5, depth=3, rate=.5, min_child_weight=.01), ltr.group_kfold(table, 3)
+    every, _ = ltr.fit_all({"a": table}, specs, folds, params, 3)
+    packed = {"a": ltr.pack(table, folds, ltr.used_features(specs, "a"), params)}
+    some = ltr.grow_models(packed, specs, [("lin", 1), ("exp", ltr.FINAL)], params)
+    assert {n: list(m.trees) for n, m in some.items()} == {"lin": [1], "exp": [ltr.FINAL]}
+    assert some["lin"].trees[1] == every["lin"].trees[1] and some["exp"].trees[ltr.FINAL] == every["exp"].trees[ltr.FINAL]
+    scores = ltr.score(packed["a"].queries, some["exp"]).toPandas()
+    assert scores.oof_score.isna().all() and scores.final_score.notna().all()
+
+
+def test_a_learning_query_grows_only_the_models_it_reads(spark, monkeypatch):
+    from ranklab.catalog import ranking
+    grown, grow = [], ltr.grow_models
+    monkeypatch.setattr(ranking, "MADE", {})
+    monkeypatch.setattr(ltr, "grow_models", lambda packed, specs, wanted, *a: grown.append((sorted(packed), list(wanted))) or grow(packed, specs, wanted, *a))
+    assert QUERIES["ltr_final_scores"](spark, SMALL).count() == QUERIES["ltr_oof"](spark, SMALL).count() > 0
+    QUERIES["ltr_fold_metrics"](spark, SMALL)
+    assert grown == [(["raw"], [("noce", ltr.FINAL)]), (["raw"], [("noce", f) for f in range(5)])]
+
+
 def slow_lambdas(labels, scores, linear):
     import math
     gain = [float(x) if linear else 2.0 ** x - 1 for x in labels]
