@@ -36,22 +36,30 @@ def stack_systems(lists: dict[str, DataFrame]) -> DataFrame:
                       for name, df in lists.items()])
 
 
-def downstream_ablation(systems: DataFrame, label_sets: DataFrame, gains: DataFrame, queries: DataFrame, n_boot: int = 2000,
-                        stages: Sequence[str] = ("rrf", "linz", "noce", "fused")) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(means, paired differences, judged share of the fused lists) over every system x label set x {standard, condensed}.
+ABLATION = ["labels", "treatment", "system"]
 
-    `systems(system, query_id, doc_id, rank)` holds base_<stage> and tag_<stage>; `label_sets(labels, query_id,
-    doc_id)` the judged pairs and `gains(labels, query_id, doc_id, gain)` their gains. One long table and one
-    metric pass cover all combinations."""
-    names = label_sets.agg(F.sort_array(F.collect_set("labels"))).scalar()
-    spread = systems.withColumn("labels", F.explode(names))
+
+def _under_labels(systems: DataFrame, label_sets: DataFrame) -> DataFrame:
+    return systems.withColumn("labels", F.explode(label_sets.agg(F.sort_array(F.collect_set("labels"))).scalar()))
+
+
+def ablation_metrics(systems: DataFrame, label_sets: DataFrame, gains: DataFrame) -> DataFrame:
+    """Metrics of every query under every system x label set x {standard, condensed}: one long table and one metric pass
+    cover all combinations. Inputs as in `downstream_ablation`."""
+    spread = _under_labels(systems, label_sets)
     standard = spread.withColumn("treatment", F.lit("standard"))
     judged = condensed_lists(spread, label_sets, ["labels", "system"]).withColumn("treatment", F.lit("condensed"))
-    by = ["labels", "treatment", "system"]
-    long = union_all([df.select(*by, "query_id", "doc_id", "rank") for df in (standard, judged)])
-    per = metrics_per_query(long, gains, (5, 10, 20), by=by)
-    means = mean_metrics(per, by)
-    values = to_long(per, by)
+    long = union_all([df.select(*ABLATION, "query_id", "doc_id", "rank") for df in (standard, judged)])
+    return metrics_per_query(long, gains, (5, 10, 20), by=ABLATION)
+
+
+def ablation_means(per: DataFrame) -> DataFrame:
+    return mean_metrics(per, ABLATION)
+
+
+def ablation_differences(per: DataFrame, queries: DataFrame, n_boot: int = 2000, stages: Sequence[str] = ("rrf", "linz", "noce", "fused")) -> DataFrame:
+    """Paired differences tag - base of every stage. Draws are made and written by the call."""
+    values = to_long(per, ABLATION)
     stage = F.array(*[F.lit(s) for s in stages])
     pairs = [values.where(F.col("system").startswith(f"{side}_")).select(
         "labels", "treatment", F.substring_index("system", "_", -1).alias("stage"), "query_id", "metric", F.col("value").alias(side)) for side in ("tag", "base")]
@@ -59,6 +67,21 @@ def downstream_ablation(systems: DataFrame, label_sets: DataFrame, gains: DataFr
         "value", F.col("tag") - F.col("base"))
     draws = boot_draws(queries, "query_id", n_boot, purpose="downstream/boot")
     out = bootstrap_ci(diff, draws, ["labels", "treatment", "stage", "metric"])
-    fused = spread.where(F.col("system").endswith("_fused"))
-    share = judged_share(fused, label_sets, (10,), fused.select("labels", "system", "query_id").distinct(), ["labels", "system"])
-    return means, out.withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0)), share
+    return out.withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
+
+
+def ablation_share(systems: DataFrame, label_sets: DataFrame) -> DataFrame:
+    """Judged share of the fused lists under every label set."""
+    fused = _under_labels(systems.where(F.col("system").endswith("_fused")), label_sets)
+    return judged_share(fused, label_sets, (10,), fused.select("labels", "system", "query_id").distinct(), ["labels", "system"])
+
+
+def downstream_ablation(systems: DataFrame, label_sets: DataFrame, gains: DataFrame, queries: DataFrame, n_boot: int = 2000,
+                        stages: Sequence[str] = ("rrf", "linz", "noce", "fused")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(means, paired differences, judged share of the fused lists) over every system x label set x {standard, condensed}.
+
+    `systems(system, query_id, doc_id, rank)` holds base_<stage> and tag_<stage>; `label_sets(labels, query_id,
+    doc_id)` the judged pairs and `gains(labels, query_id, doc_id, gain)` their gains. Who wants one of the three calls the
+    function that makes it."""
+    per = ablation_metrics(systems, label_sets, gains)
+    return ablation_means(per), ablation_differences(per, queries, n_boot, stages), ablation_share(systems, label_sets)

@@ -84,6 +84,16 @@ def test_a_learning_query_grows_only_the_models_it_reads(spark, monkeypatch):
     assert grown == [(["raw"], [("noce", ltr.FINAL)]), (["raw"], [("noce", f) for f in range(5)])]
 
 
+def test_means_of_the_ablation_draw_no_resamples(spark, monkeypatch):
+    from ranklab.catalog import ranking
+    from ranklab.plans import ranking as plan
+    monkeypatch.setattr(ranking, "MADE", {})
+    monkeypatch.setattr(ranking, "scored", lambda spark, d, recipes, folds=(): {r: ranking.candidate_table(spark, d, "raw").select("query_id", "doc_id", F.col("rrf_score").alias("oof_score")) for r in recipes})
+    monkeypatch.setattr(plan, "boot_draws", lambda *a, **k: pytest.fail("draws"))
+    assert QUERIES["downstream_ablation_means"](spark, SMALL).count() == 32
+    assert QUERIES["downstream_ablation_judged_share"](spark, SMALL).count() == 4
+
+
 def slow_lambdas(labels, scores, linear):
     import math
     gain = [float(x) if linear else 2.0 ** x - 1 for x in labels]
