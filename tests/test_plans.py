@@ -309,3 +309,13 @@ def test_triplets_read_written_gains(spark, monkeypatch):
     monkeypatch.setattr(pooling.po, "hard_negative_triplets", lambda q, d, gains: seen.append(gains) or real(q, d, gains))
     pooling.triplets(spark, SMALL)
     assert joins(seen[0]) == 0
+
+
+def test_customers_tags_are_grouped_by_tasks_that_grow_with_the_lines(spark, monkeypatch):
+    from ranklab.catalog import tables as t
+    few, rows = t.customer_tags(spark, SMALL).rdd.getNumPartitions(), sorted(t.customer_tags(spark, SMALL).collect())
+    monkeypatch.setattr(t, "LINE_BYTES", 1_000)
+    tags = t.customer_tags(spark, SMALL)
+    assert tags.rdd.getNumPartitions() > 2 * few and rows and sorted(tags.collect()) == rows
+    sums = tags.groupBy("doc_id").agg(F.sum("level"))._jdf.queryExecution().executedPlan().toString()
+    assert sums.count("Exchange hashpartitioning(o_custkey") == 1 and "Exchange hashpartitioning(doc_id" not in sums
