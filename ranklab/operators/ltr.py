@@ -5,8 +5,8 @@ task, as arrays of bin codes, labels and scores. A pass per tree level adds up h
 (models x nodes x features x bins) reaches the driver, which picks the splits. All models grow in the same passes: every
 fold and the final model, of every recipe (`Spec`) over every candidate table. Of two sister nodes only the lighter one is
 counted, the other is the rest of its parent; leaves come from the sums of the last split, so a tree of depth d is d passes.
-While the judged rows of a table are no more than a bundle may hold, passes are nearly all fixed cost: then every model gets
-the bundles of its table and grows in a task of its own, all of them in one job and by the same steps.
+While the judged rows of a table fit one task (`ALONE_BUNDLES`), passes are mostly fixed cost: then every model gets the
+bundles of its table and grows in a task of its own, all of them in one job and by the same steps.
 
 Gradients are made once per tree and stay beside the scores with the executors that made them, in memory or on disk. A
 lost one is made again from the bundle before it, and every `KEEP_TREES` trees the bundles are written to the shared
@@ -32,8 +32,15 @@ FINAL = -1
 #: Trees between two written states, and judged rows of a bundle.
 KEEP_TREES = 25
 BUNDLE_ROWS = 200_000
-#: Candidates that trees are walked for at once.
+#: Bundles of a table whose models still grow in a task each: 4 million judged rows of about 100 bytes.
+ALONE_BUNDLES = 20
+#: Candidates whose pairs are taken at once, so that they stay in the processor's cache; combinations of codes counted at once.
+PAIR_ROWS = 1 << 15
+JOINT_CELLS = 1 << 16
+#: Candidates that are scored at once; those whose codes stay in the processor's cache, and combinations of codes a tree has masks for.
 SCORE_ROWS = 50_000
+MASK_ROWS = 1 << 13
+MASK_CELLS = 1 << 11
 
 
 @dataclass(frozen=True)
@@ -161,39 +168,150 @@ def _depth(tree: dict) -> int:
     return max([*tree["splits"], *tree["leaves"], 1]).bit_length() - 1
 
 
-def _predict(trees: list[Flat], codes: np.ndarray) -> np.ndarray:
-    score = np.zeros(len(codes))
-    for flat in trees:
-        score += flat.value[flat.walk(codes)]
-    return score
+def _joint(cells: Sequence[int], most: int) -> list[list[int]]:
+    """Columns put together so that no group has more than `most` combinations of their codes; a column of more stands alone."""
+    groups: list[list[int]] = []
+    for j in sorted(range(len(cells)), key=lambda j: (-cells[j], j)):
+        for group in groups:
+            if cells[j] * int(np.prod([cells[i] for i in group])) <= most:
+                group.append(j)
+                break
+        else:
+            groups.append([j])
+    return groups
+
+
+def _joint_codes(columns: np.ndarray, cells: Sequence[int], group: Sequence[int]) -> np.ndarray:
+    """One code for the combination of the codes of a group's columns; `columns` is (columns, rows)."""
+    out = columns[group[0]].astype(np.int64)
+    for j in group[1:]:
+        out = out * cells[j] + columns[j]
+    return out
+
+
+#: Lowest bit set of every mask of 16 bits.
+_LOWEST = np.array([(m & -m).bit_length() - 1 for m in range(1 << 16)]).clip(0).astype(np.uint8)
+
+
+class _Forest:
+    """Trees of at most 16 leaves as masks. Every split forbids the leaves of the side a row does not take, so a column's
+    code says which leaves its splits leave open, and the one that all columns leave open is the row's leaf. Columns are read
+    a group at a time, by joint codes: what a tree costs is a lookup for each group, whatever its depth."""
+
+    def __init__(self, trees: list[Flat], cells: Sequence[int]):
+        self.trees, self.cells, self.groups = trees, cells, _joint(cells, MASK_CELLS)
+        self.masks = [self._masks(t) for t in trees] if all(len(t.feature) <= 32 for t in trees) else None
+
+    def _masks(self, tree: Flat) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+        """([(group, mask by joint code)], value by leaf)."""
+        n_leaves, value = len(tree.feature) // 2, np.zeros(16)
+        depth, open_ = n_leaves.bit_length() - 1, {}
+
+        def leaves(node: int) -> tuple[int, int]:
+            below = depth - (node.bit_length() - 1)
+            return (node << below) - n_leaves, ((node + 1) << below) - n_leaves
+
+        bits = lambda node: ((1 << leaves(node)[1]) - 1) ^ ((1 << leaves(node)[0]) - 1)
+        todo = [1]
+        while todo:
+            node = todo.pop()
+            j = int(tree.feature[node])
+            if j < 0:
+                value[slice(*leaves(node))] = tree.value[node]
+                continue
+            left = np.arange(self.cells[j]) <= tree.cut[node]
+            left[0] = tree.missing_left[node]
+            mask = open_.setdefault(j, np.full(self.cells[j], 0xFFFF, dtype=np.uint16))
+            mask &= np.where(left, 0xFFFF ^ bits(2 * node + 1), 0xFFFF ^ bits(2 * node)).astype(np.uint16)
+            todo += [2 * node, 2 * node + 1]
+        out = []
+        for i, group in enumerate(self.groups):
+            if any(j in open_ for j in group):
+                joint = np.full(1, 0xFFFF, dtype=np.uint16)
+                for j in group:
+                    joint = (joint[:, None] & open_.get(j, np.full(self.cells[j], 0xFFFF, dtype=np.uint16))).ravel()
+                out.append((i, joint))
+        return out, value
+
+    def score(self, codes: np.ndarray) -> np.ndarray:
+        score = np.zeros(len(codes))
+        if self.masks is None:
+            for tree in self.trees:
+                score += tree.value[tree.walk(codes)]
+            return score
+        for low in range(0, len(codes), MASK_ROWS):
+            columns = np.ascontiguousarray(codes[low:low + MASK_ROWS].T)
+            joint = [_joint_codes(columns, self.cells, g) for g in self.groups]
+            some = score[low:low + MASK_ROWS]
+            for masks, value in self.masks:
+                if masks:
+                    leaf = np.take(masks[0][1], joint[masks[0][0]])
+                    for i, mask in masks[1:]:
+                        leaf &= np.take(mask, joint[i])
+                    some += np.take(value, np.take(_LOWEST, leaf))
+                else:
+                    some += value[0]
+        return score
+
+
+def _gains(labels: np.ndarray, linear: bool) -> np.ndarray:
+    return labels.astype(float) if linear else np.power(2.0, labels) - 1.0
+
+
+def _ideal(gain: np.ndarray) -> np.ndarray:
+    """DCG of the best order of every query; `gain` is (candidates, queries)."""
+    return (-np.sort(-gain, axis=0) / np.log2(np.arange(2.0, len(gain) + 2))[:, None]).sum(axis=0)
+
+
+def _pair_sums(gain: np.ndarray, best: np.ndarray, s: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+    """Both derivatives of queries of one length into `first` and `second`; all but `best` are (candidates, queries), so
+    that a step of the loop meets one candidate with all after it, in all queries at once."""
+    n = len(s)
+    small = np.int8 if n <= 127 else np.int16
+    rank = np.zeros(s.shape, dtype=small)
+    for a in range(n - 1):                             # of equal scores the earlier candidate ranks higher
+        ahead = (s[a] >= s[a + 1:]).view(np.int8)
+        rank[a + 1:] += ahead
+        rank[a] += n - 1 - a - ahead.sum(axis=0, dtype=small)
+    discount = np.take(1.0 / np.log2(np.arange(2.0, n + 2)), rank)
+    first[:], second[:] = 0.0, 0.0
+    room = np.empty((3, max(n - 1, 0), s.shape[1]))
+    for a in range(n - 1):
+        one, rho, other = room[:, :n - 1 - a]
+        np.subtract(gain[a], gain[a + 1:], out=one)
+        np.sign(one, out=other)
+        np.subtract(s[a], s[a + 1:], out=rho)
+        rho *= other
+        np.exp(np.minimum(rho, 50.0, out=rho), out=rho)
+        np.divide(1.0, np.add(rho, 1.0, out=rho), out=rho)
+        one *= np.abs(np.subtract(discount[a], discount[a + 1:], out=other), out=other)
+        one *= rho                                     # signed: below 0 if the later candidate has the larger gain
+        first[a] -= one.sum(axis=0)
+        first[a + 1:] += one
+        np.abs(one, out=one)
+        one *= np.subtract(1.0, rho, out=rho)
+        second[a] += one.sum(axis=0)
+        second[a + 1:] += one
+    first /= best
+    second /= best
 
 
 def _lambdas(labels: np.ndarray, score: np.ndarray, linear: bool) -> tuple[np.ndarray, np.ndarray]:
     """First and second derivatives, per model and row of `score` (models x rows, or models x queries x rows), of the
     pairwise loss weighted by the NDCG change of swapping the pair. Queries of one length share the calls to numpy."""
-    shape, labels = score.shape, labels.reshape(-1, labels.shape[-1])
-    score = score.reshape(len(score), *labels.shape)
-    gain = labels.astype(float) if linear else np.power(2.0, labels) - 1.0
-    n = gain.shape[1]
-    best = (np.sort(gain, axis=1)[:, ::-1] / np.log2(np.arange(2, n + 2))).sum(axis=1)
+    shape, n = score.shape, labels.shape[-1]
+    gain = np.ascontiguousarray(_gains(labels.reshape(-1, n), linear).T)
+    score = score.reshape(len(score), -1, n)
     first, second = np.zeros(score.shape), np.zeros(score.shape)
-    useful = np.flatnonzero((best > 0) & (gain.min(axis=1) < gain.max(axis=1)))
-    queries_at_once = max(1, (1 << 21) // n ** 2)
-    for start in range(0, len(useful), queries_at_once):
-        q = useful[start:start + queries_at_once]
-        weight = np.abs(gain[q][:, :, None] - gain[q][:, None, :]) / best[q][:, None, None] * (labels[q][:, :, None] > labels[q][:, None, :])
-        at_once = max(1, (1 << 21) // (len(q) * n ** 2))
-        for low in range(0, len(score), at_once):
-            s = score[low:low + at_once, q]
-            rank = np.empty(s.shape)
-            np.put_along_axis(rank, np.argsort(-s, axis=2, kind="stable"), np.broadcast_to(np.arange(1.0, n + 1), s.shape), axis=2)
-            discount = 1.0 / np.log2(rank + 1)
-            delta = weight * np.abs(discount[:, :, :, None] - discount[:, :, None, :])
-            rho = 1.0 / (1.0 + np.exp(np.clip(s[:, :, :, None] - s[:, :, None, :], -50, 50)))
-            one = rho * delta
-            two = one * (1.0 - rho)
-            first[low:low + at_once, q] = one.sum(axis=2) - one.sum(axis=3)
-            second[low:low + at_once, q] = two.sum(axis=3) + two.sum(axis=2)
+    useful = np.flatnonzero(gain.min(axis=0) < gain.max(axis=0))
+    at_once = max(1, PAIR_ROWS // n)
+    for start in range(0, len(useful), at_once):
+        q = useful[start:start + at_once]
+        best = _ideal(gain[:, q])
+        for m in range(len(score)):
+            one, two = np.empty((2, n, len(q)))
+            _pair_sums(gain[:, q], best, np.ascontiguousarray(score[m, q].T), one, two)
+            first[m, q], second[m, q] = one.T, two.T
     return first.reshape(shape), second.reshape(shape)
 
 
@@ -208,8 +326,7 @@ def _drawn(keys: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
 
 
 def _unpack(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
-    x = np.array([np.nan if v is None else v for v in row["x"]], dtype=float).reshape(-1, width)
-    return np.asarray(row["labels"], dtype=np.int64), x
+    return np.asarray(row["labels"], dtype=np.int64), np.asarray(row["x"], dtype=float).reshape(-1, width)
 
 
 @dataclass(frozen=True)
@@ -231,9 +348,9 @@ def _bundles(packed: DataFrame, edges: list[list[list[float]]]) -> DataFrame:
                 labels, x = _unpack(row, len(edges[row["part"]]))
                 judged = labels >= 0
                 if judged.any():
-                    parts.setdefault(row["part"], []).append((labels[judged], _codes(x[judged], edges[row["part"]]), np.asarray(row["keys"], dtype=np.int64)[judged], row["fold"]))
+                    parts.setdefault(row["part"], []).append((labels[judged].astype(np.int8), x[judged], np.asarray(row["keys"], dtype=np.int64)[judged], row["fold"]))
         for part, rows in sorted(parts.items()):
-            bundle = {part: {"labels": np.concatenate([r[0] for r in rows]), "codes": np.concatenate([r[1] for r in rows]), "keys": np.concatenate([r[2] for r in rows]),
+            bundle = {part: {"labels": np.concatenate([r[0] for r in rows]), "codes": _codes(np.concatenate([r[1] for r in rows]), edges[part]), "keys": np.concatenate([r[2] for r in rows]),
                              "stops": np.cumsum([len(r[0]) for r in rows]), "folds": np.array([r[3] for r in rows])}}
             yield pd.DataFrame({"part": [part], "bundle": [pickle.dumps(bundle, protocol=5)]})
 
@@ -288,9 +405,13 @@ def _node_sums(codes: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray
     place[wanted] = np.arange(len(wanted))
     node = place[node]
     rows = np.flatnonzero((node >= 0) & (h != 0))
-    at = ((node[rows, None] * width + np.arange(width)) * n_codes + codes[rows]).ravel()
-    sums = [np.bincount(at, np.repeat(d[rows], width), len(wanted) * width * n_codes).reshape(len(wanted), width, n_codes) for d in (g, h)]
-    return [np.stack((sums[0][p], sums[1][p])) for p in range(len(wanted))]
+    base, weights = node[rows] * n_codes, (g[rows], h[rows])
+    sums = np.empty((len(wanted), 2, width, n_codes))
+    for j in range(width):
+        at = base + codes[rows, j]
+        for d in range(2):
+            sums[:, d, j] = np.bincount(at, weights[d], len(wanted) * n_codes).reshape(-1, n_codes)
+    return list(sums)
 
 
 def _histograms(bundle: dict, models: list[_Grown], growing: list[dict], wanted: list[list[int]], params: Params) -> dict[tuple[int, int], np.ndarray]:
@@ -387,44 +508,122 @@ def _joined(bundles: list[dict]) -> dict:
     return {part: out | {"stops": np.concatenate([r["stops"] + end - len(r["labels"]) for r, end in zip(rows, ends)])}}
 
 
-def _outside(b: dict, model: _Grown) -> dict:
-    """What a model may see of a bundle: its columns, and the queries outside its fold."""
-    sizes = np.diff(b["stops"], prepend=0)
-    seen = b["folds"] != model.fold
-    rows = np.repeat(seen, sizes)
-    return {"labels": b["labels"][rows], "keys": b["keys"][rows], "codes": np.ascontiguousarray(_columns(b, model)[rows]),
-            "stops": np.cumsum(sizes[seen]), "folds": b["folds"][seen]}
+class _Rows:
+    """What one model may see of a table, laid out for growing it: the queries outside its fold that have pairs (others have
+    no gradient), in blocks of one length with the candidates of a place side by side; codes by column, and joint codes of
+    columns, whose sums give those of each column."""
+
+    def __init__(self, b: dict, model: _Grown, params: Params):
+        sizes = np.diff(b["stops"], prepend=0)
+        starts = b["stops"] - sizes
+        gains, order, self.blocks = _gains(b["labels"], model.linear), [], []
+        low = 0
+        for n in np.unique(sizes[b["folds"] != model.fold]):
+            queries = np.flatnonzero((sizes == n) & (b["folds"] != model.fold))
+            at_once = max(1, PAIR_ROWS // n)
+            for start in range(0, len(queries), at_once):
+                rows = starts[queries[start:start + at_once]] + np.arange(n)[:, None]
+                gain = gains[rows]
+                useful = gain.min(axis=0) < gain.max(axis=0)
+                if useful.any():
+                    rows, gain = rows[:, useful], np.ascontiguousarray(gain[:, useful])
+                    order.append(rows.ravel())
+                    self.blocks.append((slice(low, low + rows.size), gain, _ideal(gain)))
+                    low += rows.size
+        order = np.concatenate(order) if order else np.zeros(0, dtype=np.int64)
+        self.keys = b["keys"][order]
+        self.columns = np.ascontiguousarray(b["codes"][order][:, list(model.columns)].T)
+        self.cells = [params.bins + 1] * len(model.columns)
+        if len(order):
+            self.cells = [int(c) + 1 for c in self.columns.max(axis=1)]
+        self.groups = _joint(self.cells, max(params.bins + 1, min(JOINT_CELLS, len(order) // 8)))
+        self.joint = [_joint_codes(self.columns, self.cells, g).astype(np.uint16) for g in self.groups]
+        self.g, self.h, self.score = (np.zeros(len(order)) for _ in range(3))
+        self.params = params
+
+    def gradients(self, tree: int) -> None:
+        for rows, gain, best in self.blocks:
+            shape = gain.shape
+            g, h = self.g[rows], self.h[rows]
+            _pair_sums(gain, best, self.score[rows].reshape(shape), g.reshape(shape), h.reshape(shape))
+            left_out = ~_drawn(self.keys[rows], self.params.seed, tree, self.params.rows)
+            g[left_out] = h[left_out] = 0.0
+        self.nodes = {1: None}                         # open node -> its rows (None: all)
+
+    def left(self, node: int, split: tuple[int, int, bool]) -> np.ndarray:
+        j, cut, missing_left = split
+        goes = np.arange(256) <= cut
+        goes[0] = missing_left
+        codes = self.columns[j]
+        return np.take(goes, codes if self.nodes[node] is None else np.take(codes, self.nodes[node]))
+
+    def down(self, splits: dict[int, tuple[int, int, bool]]) -> None:
+        """Rows of open nodes that have been split go to their children."""
+        for node in [n for n in self.nodes if n in splits]:
+            left = self.left(node, splits[node])
+            rows = self.nodes.pop(node)
+            for child, side in ((2 * node, left), (2 * node + 1, ~left)):
+                self.nodes[child] = np.flatnonzero(side) if rows is None else np.compress(side, rows)
+
+    def sums(self, node: int) -> np.ndarray:
+        """(2, columns, bins): both derivatives by column and code over the rows of an open node."""
+        rows = self.nodes[node]
+        out = np.zeros((2, len(self.columns), self.params.bins + 1))
+        weights = (self.g, self.h) if rows is None else (np.take(self.g, rows), np.take(self.h, rows))
+        for group, joint in zip(self.groups, self.joint):
+            at = (joint if rows is None else np.take(joint, rows)).astype(np.intp)
+            shape = [self.cells[j] for j in group]
+            for d in range(2):
+                rest = np.bincount(at, weights[d], int(np.prod(shape))).reshape(shape)
+                for j in group[::-1]:                  # the last column by itself, then it is summed away
+                    out[d, j, :self.cells[j]] = rest.reshape(-1, self.cells[j]).sum(axis=0)
+                    rest = rest.sum(axis=-1)
+        return out
+
+    def add(self, tree: dict) -> None:
+        """A tree's values to the scores of its rows, whose nodes are those before the last splits."""
+        for node, rows in self.nodes.items():
+            if node in tree["splits"]:
+                value = np.where(self.left(node, tree["splits"][node]), tree["leaves"][2 * node], tree["leaves"][2 * node + 1])
+            else:
+                value = tree["leaves"][node]
+            if rows is None:
+                self.score += value
+            else:
+                self.score[rows] += value
 
 
 def _grown_alone(b: dict, model: _Grown, params: Params) -> tuple[list[dict], dict[int, list[float]]]:
     """(trees, gains) of one model over the rows of one bundle. Rows keep their node from level to level, so that a tree
     is walked once."""
-    b, found, trees = _outside(b, model), [{}], []
-    scores = np.zeros((1, len(b["labels"])))
-    for n in range(params.trees):
-        g, h = _gradients(b, [model], scores, params, n)
-        node = np.ones(len(b["labels"]), dtype=np.int64)
+    rows, found, trees = _Rows(b, model, params), [{}], []
 
-        def count(growing: list[dict], wanted: list[list[int]]) -> dict[tuple[int, int], np.ndarray]:
-            nonlocal node
-            node = Flat.of(growing[0], params.depth).down(b["codes"], node)
-            return {(0, w): x for w, x in zip(wanted[0], _node_sums(b["codes"], g[0], h[0], node, wanted[0], params))}
+    def count(growing: list[dict], wanted: list[list[int]]) -> dict[tuple[int, int], np.ndarray]:
+        rows.down(growing[0]["splits"])
+        return {(0, n): rows.sums(n) for n in wanted[0]}
 
+    for n in range(params.trees):
+        rows.gradients(n)
         trees += _grow(count, [model], params, n, found)
-        last = Flat.of(trees[-1], params.depth)
-        scores[0] += last.value[last.down(b["codes"], node)]
+        rows.add(trees[-1])
     return trees, found[0]
 
 
-def _grown_apart(bundles: RDD, models: list[_Grown], params: Params) -> tuple[list[list[dict]], list[dict[int, list[float]]]]:
-    """(trees, gains) of every model, each model grown in its own task."""
-    def grow(item: tuple[int, list[bytes]]) -> tuple[int, list[dict], dict[int, list[float]]]:
-        i, parts = item
-        bundle, = _joined([pickle.loads(p) for p in sorted(parts)]).values()
-        return i, *_grown_alone(bundle, models[i], params)
+def _grown_apart(bundles: RDD, models: list[_Grown], judged: dict[int, int], params: Params) -> tuple[list[list[dict]], list[dict[int, list[float]]]]:
+    """(trees, gains) of every model, each model grown in its own task; those with most to count come first, so that none of
+    them is left over at the end. `judged` has the judged rows of every table."""
+    def grow(items: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, list[dict], dict[int, list[float]]]]:
+        parts: dict[int, list[bytes]] = {}
+        for i, part in items:
+            parts.setdefault(i, []).append(part)
+        for i in sorted(parts):
+            bundle, = _joined([pickle.loads(p) for p in sorted(parts.pop(i))]).values()
+            yield i, *_grown_alone(bundle, models[i], params)
 
+    order = sorted(range(len(models)), key=lambda i: -judged.get(models[i].table, 0) * len(models[i].columns))
+    task = {i: place for place, i in enumerate(order)}
     copies = bundles.flatMap(lambda r: [(i, bytes(r.bundle)) for i, m in enumerate(models) if m.table == r.part])
-    done = {i: (trees, found) for i, trees, found in copies.groupByKey(len(models)).map(grow).collect()}
+    done = {i: (trees, found) for i, trees, found in copies.partitionBy(len(models), task.__getitem__).mapPartitions(grow).collect()}
     # A table without judged rows has no bundle; its models are made of empty trees, as passes over nothing make them.
     for i in set(range(len(models))) - set(done):
         found: list[dict[int, list[float]]] = [{}]
@@ -480,8 +679,8 @@ def grow_models(packed: dict[str, Packed], specs: dict[str, Spec], wanted: Seque
     tasks = max(1, -(-sum(judged.values()) // BUNDLE_ROWS), min(sc.defaultParallelism, both.count()))
     shared_folder(both.sparkSession)                   # sets the folder that checkpoints go to
     bundles = checkpoint(_bundles(both.repartition(tasks, "query_id"), [packed[n].edges for n in names])).rdd
-    if max(judged.values(), default=0) <= BUNDLE_ROWS:
-        grown, found = _grown_apart(bundles, models, params)
+    if max(judged.values(), default=0) <= ALONE_BUNDLES * BUNDLE_ROWS:
+        grown, found = _grown_apart(bundles, models, judged, params)
     else:
         grown, found = _grown_together(bundles, tasks, models, params)
     for (r, fold), trees, gains in zip(wanted, grown, found):
@@ -512,19 +711,20 @@ def score(packed: DataFrame, model: Model, columns: Sequence[str] | None = None)
     take = [packed_cols.index(f) for f in model.features]
     width, edges, trees = len(packed_cols), model.edges, model.trees
 
-    def scored(rows: list[dict], flats: dict[int, list[Flat]]) -> pd.DataFrame:
+    def scored(rows: list[dict], forests: dict[int, _Forest]) -> pd.DataFrame:
         sizes = [len(r["docs"]) for r in rows]
         codes = _codes(np.concatenate([_unpack(r, width)[1] for r in rows])[:, take], edges)
         fold = np.repeat([r["fold"] for r in rows], sizes)
         oof = np.full(len(codes), np.nan)
-        for f in set(fold.tolist()) & set(flats):
-            oof[fold == f] = _predict(flats[f], codes[fold == f])
-        final = _predict(flats[FINAL], codes) if FINAL in flats else np.full(len(codes), np.nan)
+        for f in set(fold.tolist()) & set(forests):
+            oof[fold == f] = forests[f].score(codes[fold == f])
+        final = forests[FINAL].score(codes) if FINAL in forests else np.full(len(codes), np.nan)
         return pd.DataFrame({"query_id": np.repeat([r["query_id"] for r in rows], sizes), "doc_id": np.concatenate([np.asarray(r["docs"], dtype=np.int64) for r in rows]),
                              "fold": fold, "oof_score": oof, "final_score": final})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flats = {f: [Flat.of(t, _depth(t)) for t in ts] for f, ts in trees.items()}
+        cells = [len(cut) + 2 for cut in edges]
+        forests = {f: _Forest([Flat.of(t, _depth(t)) for t in ts], cells) for f, ts in trees.items()}
         for batch in batches:
             some: list[dict] = []
             held = 0
@@ -532,10 +732,10 @@ def score(packed: DataFrame, model: Model, columns: Sequence[str] | None = None)
                 some.append(row)
                 held += len(row["docs"])
                 if held >= SCORE_ROWS:
-                    yield scored(some, flats)
+                    yield scored(some, forests)
                     some, held = [], 0
             if some:
-                yield scored(some, flats)
+                yield scored(some, forests)
 
     # Candidates are few bytes and much work: left to the size of their files, one task would score them all.
     tasks = max(packed.sparkSession.sparkContext.defaultParallelism, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
