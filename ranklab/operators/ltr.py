@@ -21,7 +21,8 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -325,8 +326,13 @@ def _drawn(keys: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
     return (z >> np.uint64(11)) * 2.0 ** -53 < share
 
 
-def _unpack(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.asarray(row["labels"], dtype=np.int64), np.asarray(row["x"], dtype=float).reshape(-1, width)
+def _flat(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """The values of a list column, one list after another; a missing double is NaN."""
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False)
+
+
+def _sizes(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return pc.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -341,20 +347,25 @@ class _Grown:
 
 def _bundles(packed: DataFrame, edges: list[list[list[float]]]) -> DataFrame:
     """(part, bundle): one row per task and table, the judged candidates of its queries."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
         for batch in batches:
-            for row in batch.to_dict("records"):
-                labels, x = _unpack(row, len(edges[row["part"]]))
+            part = batch.column("part").to_numpy()
+            for p in np.unique(part).tolist():
+                some = batch.filter(pa.array(part == p))
+                labels, sizes = _flat(some, "labels"), _sizes(some, "labels")
                 judged = labels >= 0
-                if judged.any():
-                    parts.setdefault(row["part"], []).append((labels[judged].astype(np.int8), x[judged], np.asarray(row["keys"], dtype=np.int64)[judged], row["fold"]))
-        for part, rows in sorted(parts.items()):
-            bundle = {part: {"labels": np.concatenate([r[0] for r in rows]), "codes": _codes(np.concatenate([r[1] for r in rows]), edges[part]), "keys": np.concatenate([r[2] for r in rows]),
-                             "stops": np.cumsum([len(r[0]) for r in rows]), "folds": np.array([r[3] for r in rows])}}
-            yield pd.DataFrame({"part": [part], "bundle": [pickle.dumps(bundle, protocol=5)]})
+                counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[judged], minlength=len(sizes))
+                x = _flat(some, "x").astype(float).reshape(-1, len(edges[p]))[judged]
+                parts.setdefault(p, []).append((labels[judged].astype(np.int8), _codes(x, edges[p]), _flat(some, "keys")[judged], counts[counts > 0],
+                                                some.column("fold").to_numpy()[counts > 0]))
+        for p, rows in sorted(parts.items()):
+            labels, codes, keys, counts, folds = (np.concatenate(c) for c in zip(*rows))
+            if len(labels):
+                bundle = {p: {"labels": labels, "codes": codes, "keys": keys, "stops": np.cumsum(counts), "folds": folds}}
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "bundle": pa.array([pickle.dumps(bundle, protocol=5)], pa.binary())})
 
-    return packed.mapInPandas(run, "part int, bundle binary")
+    return packed.mapInArrow(run, "part int, bundle binary")
 
 
 def _columns(b: dict, model: _Grown) -> np.ndarray:
@@ -711,36 +722,33 @@ def score(packed: DataFrame, model: Model, columns: Sequence[str] | None = None)
     take = [packed_cols.index(f) for f in model.features]
     width, edges, trees = len(packed_cols), model.edges, model.trees
 
-    def scored(rows: list[dict], forests: dict[int, _Forest]) -> pd.DataFrame:
-        sizes = [len(r["docs"]) for r in rows]
-        codes = _codes(np.concatenate([_unpack(r, width)[1] for r in rows])[:, take], edges)
-        fold = np.repeat([r["fold"] for r in rows], sizes)
+    def scored(batch: pa.RecordBatch, forests: dict[int, _Forest]) -> pa.RecordBatch:
+        sizes = _sizes(batch, "docs")
+        codes = _codes(_flat(batch, "x").astype(float).reshape(-1, width)[:, take], edges)
+        fold = np.repeat(batch.column("fold").to_numpy(), sizes)
         oof = np.full(len(codes), np.nan)
         for f in set(fold.tolist()) & set(forests):
             oof[fold == f] = forests[f].score(codes[fold == f])
         final = forests[FINAL].score(codes) if FINAL in forests else np.full(len(codes), np.nan)
-        return pd.DataFrame({"query_id": np.repeat([r["query_id"] for r in rows], sizes), "doc_id": np.concatenate([np.asarray(r["docs"], dtype=np.int64) for r in rows]),
-                             "fold": fold, "oof_score": oof, "final_score": final})
+        return pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(batch.column("query_id").to_numpy(), sizes), pa.int64()),
+                                           "doc_id": pa.array(_flat(batch, "docs"), pa.int64()), "fold": pa.array(fold, pa.int32()),
+                                           "oof_score": pa.array(oof), "final_score": pa.array(final)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = [len(cut) + 2 for cut in edges]
         forests = {f: _Forest([Flat.of(t, _depth(t)) for t in ts], cells) for f, ts in trees.items()}
         for batch in batches:
-            some: list[dict] = []
-            held = 0
-            for row in batch.to_dict("records"):
-                some.append(row)
-                held += len(row["docs"])
-                if held >= SCORE_ROWS:
-                    yield scored(some, forests)
-                    some, held = [], 0
-            if some:
-                yield scored(some, forests)
+            ends, low = np.cumsum(_sizes(batch, "docs")), 0
+            while low < len(ends):
+                held = ends[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, held + SCORE_ROWS, side="right")))
+                yield scored(batch.slice(low, high - low), forests)
+                low = high
 
     # Candidates are few bytes and much work: left to the size of their files, one task would score them all.
     tasks = max(packed.sparkSession.sparkContext.defaultParallelism, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = packed.select("query_id", "fold", "docs", "labels", "x").repartition(tasks, "query_id")
-    return spread.mapInPandas(run, "query_id long, doc_id long, fold int, oof_score double, final_score double")
+    return spread.mapInArrow(run, "query_id long, doc_id long, fold int, oof_score double, final_score double")
 
 
 def scores_of(models: dict[str, Model], packed: dict[str, DataFrame], specs: dict[str, Spec]) -> dict[str, DataFrame]:

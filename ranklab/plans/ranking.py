@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ranklab.operators.bootstrap import bootstrap_ci, boot_draws
+from ranklab.operators.bootstrap import bootstrap_ci, drawn_positions as boot_draws
 from ranklab.operators.features import SCORE_FEATURES, normalize_by_query
 from ranklab.operators.fusion import fuse_systems, order_by_feature
 from ranklab.operators.ltr import rank_by_score
-from ranklab.operators.metrics import condensed_lists, judged_share, mean_metrics, metrics_per_query, to_long
+from ranklab.operators.metrics import condensed_lists, judged_share, mean_metrics, metric_columns, metrics_per_query, to_long
 from ranklab.session import union_all
 
 # The two recipes and their fusion weights.
@@ -58,13 +58,13 @@ def ablation_means(per: DataFrame) -> DataFrame:
 
 
 def ablation_differences(per: DataFrame, queries: DataFrame, n_boot: int = 2000, stages: Sequence[str] = ("rrf", "linz", "noce", "fused")) -> DataFrame:
-    """Paired differences tag - base of every stage. Draws are made and written by the call."""
-    values = to_long(per, ABLATION)
-    stage = F.array(*[F.lit(s) for s in stages])
-    pairs = [values.where(F.col("system").startswith(f"{side}_")).select(
-        "labels", "treatment", F.substring_index("system", "_", -1).alias("stage"), "query_id", "metric", F.col("value").alias(side)) for side in ("tag", "base")]
-    diff = pairs[0].join(pairs[1], ["labels", "treatment", "stage", "query_id", "metric"]).where(F.array_contains(stage, F.col("stage"))).withColumn(
-        "value", F.col("tag") - F.col("base"))
+    """Paired differences tag - base of every stage. Draws are made by the call, and both sides stand in one aggregation, so
+    that metrics are made once."""
+    side, stage = F.substring_index("system", "_", 1), F.substring_index("system", "_", -1)
+    of = lambda name, c: F.max(F.when(side == name, F.col(c)))
+    both = per.where(stage.isin(*stages) & side.isin("tag", "base")).groupBy("labels", "treatment", stage.alias("stage"), "query_id").agg(
+        *[(of("tag", c) - of("base", c)).alias(c) for c in metric_columns(per, ABLATION)])
+    diff = to_long(both, ["labels", "treatment", "stage"])
     draws = boot_draws(queries, "query_id", n_boot, purpose="downstream/boot")
     out = bootstrap_ci(diff, draws, ["labels", "treatment", "stage", "metric"])
     return out.withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))

@@ -97,3 +97,40 @@ def test_channels_and_grades_are_made_once_for_both_candidate_tables(spark, monk
     assert sorted(raw.collect(), key=key) == sorted(pairs.candidates(spark, SMALL).collect(), key=key)
     assert sorted(tag.collect(), key=key) == sorted(tag_features(plain, tables.ev_list(spark, SMALL, "purchase"), raw=False).collect(), key=key)
     assert {r.query_id for r in tables.ev_score_queries(spark, SMALL).collect()} == {r.query_id for r in tables.ev_scores(spark, SMALL).select("query_id").collect()}
+
+
+def test_intervals_of_counted_draws_are_those_of_draw_rows(spark, monkeypatch):
+    """Values with gaps and repeats, blocks of few units and resamples cut between tasks."""
+    from pyspark.sql import functions as F
+    from ranklab.operators import bootstrap as bs
+    rng = np.random.default_rng(4)
+    rows = [(u, k, None if rng.random() < .3 else float(rng.normal())) for u in range(40) for k in ("a", "b", "c") for _ in range(1 + (u == 7))]
+    values, units = spark.createDataFrame(rows, "unit bigint, key string, value double"), spark.range(60).withColumnRenamed("id", "unit")
+    want = bs.bootstrap_ci(values, bs.boot_draws(units, "unit", 90, purpose="p"), ["key"], "unit").collect()
+    for name, value in (("BLOCK_UNITS", 7), ("RUN_DRAWS", 11), ("TASK_DRAWS", 500)):
+        monkeypatch.setattr(bs, name, value)
+    got = bs.bootstrap_ci(values, bs.drawn_positions(units, "unit", 90, purpose="p"), ["key"], "unit")
+    assert sorted(got.collect()) == sorted(want) and len(want) == 3
+    one = spark.range(1).select(F.col("id").alias("unit"), F.lit("a").alias("key"), F.lit(2.0).alias("value"))
+    many = bs.Draws(spark.createDataFrame([(0, 1)], "unit bigint, position bigint"), 1, 3, 7, "p")
+    assert [tuple(r) for r in bs.bootstrap_ci(one, many, ["key"], "unit").collect()] == [("a", 1, 2.0, 2.0, 2.0)]
+
+
+def test_differences_of_the_ablation_make_metrics_once_and_no_row_for_a_draw(spark, monkeypatch):
+    from ranklab.operators import bootstrap as bs
+    from ranklab.operators.metrics import to_long
+    from ranklab.plans import ranking as plan
+    rng = np.random.default_rng(9)
+    rows = [(lab, "standard", f"{side}_{stage}", q, *[None if rng.random() < .2 else float(rng.random()) for _ in range(2)])
+            for lab in ("x", "y") for side in ("tag", "base") for stage in ("rrf", "fused") for q in range(12) if (side, q) != ("tag", 3)]
+    per = spark.createDataFrame(rows, "labels string, treatment string, system string, query_id bigint, p_5 double, mrr double")
+    queries = per.select("query_id").distinct()
+    got = plan.ablation_differences(per, queries, 50)
+    long = [r for r in to_long(per, plan.ABLATION).collect() if r.value is not None]
+    at = {(r.labels, r.treatment, r.system, r.query_id, r.metric): r.value for r in long}
+    diff = [(a, b, s[4:], q, m, v - at[a, b, "base_" + s[4:], q, m]) for (a, b, s, q, m), v in at.items() if s.startswith("tag_") and (a, b, "base_" + s[4:], q, m) in at]
+    frame = spark.createDataFrame(diff, "labels string, treatment string, stage string, query_id bigint, metric string, value double")
+    want = bs.bootstrap_ci(frame, bs.boot_draws(queries, "query_id", 50, purpose="downstream/boot"), ["labels", "treatment", "stage", "metric"])
+    assert sorted(r[:8] for r in got.collect()) == sorted(tuple(r) for r in want.collect()) and len(diff) > 40
+    monkeypatch.setattr(bs, "boot_draws", lambda *a, **k: pytest.fail("a row for each draw"))
+    plan.ablation_differences(per, queries, 50)
